@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,3 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def extended(df: DataFrame, columns: str) -> StructType:
+    """The schema of df with more columns, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])

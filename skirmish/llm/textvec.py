@@ -82,7 +82,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, BLOCK + 4096)
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, base, U64)]).astype(U64)) for base in (_BASE, _BASE_INVERSE)]
+            _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, base, U64)])) for base in (_BASE, _BASE_INVERSE)]
     return _powers[0], _powers[1]
 
 
