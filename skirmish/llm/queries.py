@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules, secret_scan, url_filter
+from . import chat_format, decontaminate, ngram_jaccard, quality_rules, secret_scan, url_filter
 from .common import read
 
 
@@ -22,6 +21,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_groups(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -43,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat_format.sql(),
         "op3_decontaminate": decontaminate.sql(),
+        "op4_ngram_jaccard": ngram_jaccard.sql(),
         "op8_secret_scan": secret_scan.sql(),
         "op9_quality_rules": quality_rules.sql(),
     }
