@@ -260,7 +260,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, width: int, p
     """The pairs (a, b) that are similar. first: sig, id of one row of each class."""
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     ids = first.join(sigs, "sig").select(F.col("id").alias("wanted"))
-    texts = docs.join(ids.distinct(), F.col("id") == F.col("wanted"), "left_semi").select("text")
+    texts = docs.join(ids.distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

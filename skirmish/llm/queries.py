@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, ngram_jaccard, quality_rules, secret_scan, url_filter
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_jaccard, quality_rules, secret_scan, url_filter
 from .common import read
 
 
@@ -29,6 +30,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_weights(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -38,6 +43,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -47,6 +56,8 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat_format.sql(),
         "op3_decontaminate": decontaminate.sql(),
         "op4_ngram_jaccard": ngram_jaccard.sql(),
+        "op6_mixing": mixing.sql(),
         "op8_secret_scan": secret_scan.sql(),
         "op9_quality_rules": quality_rules.sql(),
+        "op10_line_dedup": line_dedup.sql(),
     }
