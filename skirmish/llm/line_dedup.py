@@ -90,7 +90,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text:
     size = 1
     while 2 * size <= longest:
         after = level.select("doc", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
-        level = _ranked(level.join(after, ["doc", "pos"]), ["rank", "next"])
+        level = _ranked(level.withColumnRenamed("rank", "this").join(after, ["doc", "pos"]), ["this", "next"])
         if level.isEmpty():
             break
         levels.append(level)
@@ -100,7 +100,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text:
     for k, x in enumerate(levels):
         x = x.withColumn("level", F.lit(k))
         table = x if table is None else table.unionByName(x)
-    windows = windows.withColumn("level", F.floor(F.log2(F.col("n").cast("double"))).cast("int")).withColumn("end", F.col("start") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int"))
+    windows = windows.withColumn("level", F.length(F.bin("n")) - 1).withColumn("end", F.col("start") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int"))
     head = table.select("level", "doc", F.col("pos").alias("start"), F.col("rank").alias("head"))
     tail = table.select("level", "doc", F.col("pos").alias("end"), F.col("rank").alias("tail"))
     named = cut(windows.join(head, ["level", "doc", "start"]).join(tail, ["level", "doc", "end"]).select("id", "doc", "start", "n", "head", "tail"))
