@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, ngram_jaccard, quality_rules, secret_scan, toxicity, url_filter
+from . import chat_format, decontaminate, line_dedup, lm_trie, mixing, ngram_jaccard, quality_rules, secret_scan, toxicity, url_filter
 from .common import read
 
 
@@ -39,6 +39,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_weights(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op7_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_trie.score(docs, lm_trie.train(docs))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
