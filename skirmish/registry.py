@@ -19,12 +19,15 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .plans import catalog  # noqa: F401  registers its queries
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["usage_cube"](spark, sf_dir)
+    return queries()["usage_cube"](spark, sf_dir)
