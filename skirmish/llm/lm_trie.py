@@ -1,11 +1,12 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped levels.
 
-The trie has three levels. An entry of level 2 is a pair of words, found by its 64-bit key; an entry
-of level 3 is stored as its parent's place in level 2 (the monotone pointer) followed by a 32-bit id of
-its word, so that the level is one monotone sequence and a look-up is a successor search inside the
-range of its context. Level 1 holds the words with exact counts. Each sequence is Elias-Fano coded:
+The trie has three levels. An entry of level 2 is a pair of words, found by its 64-bit key. Pairs that
+have children point, by a monotone sequence, to where their range in level 3 begins; an entry there is
+the 32-bit id of the word that follows, placed relative to the range of its context, so that the level
+is one monotone sequence and a look-up is a successor search inside that range. Level 1 holds the words with exact counts. Each sequence is Elias-Fano coded:
 packed low bits, unary high bits, and a sampled directory of zeros; values are 16-bit codes, counts in
-level 2 and smoothed probabilities in level 3.
+level 2 and smoothed probabilities in level 3. Inside the range of a context, high parts follow the
+share of its ids below, so a search reads about one entry however many words follow the context.
 
 Counts are gathered from all training texts in packed parts, one for each shard; a shard is built by
 one task that streams its parts, and written to the shared folder. Shards are split by the hash of the
@@ -59,8 +60,8 @@ SAMPLE = 8
 class EliasFano:
     """A monotone sequence. Arrays may be memory-mapped; look-ups read only what they need."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -69,13 +70,14 @@ class EliasFano:
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         high = (values >> U64(low_bits)).astype(np.int64)
         size = n + (int(high[-1]) if n else 0) + 1
-        words = np.zeros(size // 64 + 3, U64)
+        words = np.zeros(size // 64 + 5, U64)
         at = high + np.arange(n)
         np.bitwise_or.at(words, at >> 6, U64(1) << (at & 63).astype(U64))
         # Zero number h, from 0, ends the run of high part h; directory: the place of zeros 0, SAMPLE, ... minus 1's start.
         count = np.bincount(high, minlength=(int(high[-1]) if n else 0) + 1) if n else np.zeros(1, np.int64)
         begins = np.concatenate([[0], np.cumsum(count + 1)])  # where the run of each high part begins
         zeros = begins[::SAMPLE].astype(U64)
+        ones = np.append((high + np.arange(n))[::SAMPLE], 0).astype(U64)
         low = np.zeros(n * low_bits // 64 + 2, U64)
         if low_bits:
             part = values & ((U64(1) << U64(low_bits)) - U64(1))
@@ -84,7 +86,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << off)
             spill = off.astype(np.int64) + low_bits > 64
             np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (U64(64) - off[spill]))
-        return cls(n, low_bits, low, words, zeros)
+        return cls(n, low_bits, low, words, zeros, ones)
 
     def _window(self, words: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """64 bits from each bit on."""
@@ -97,37 +99,47 @@ class EliasFano:
             return np.zeros(len(i), U64)
         return self._window(self.low, i * self.low_bits) & ((U64(1) << U64(self.low_bits)) - U64(1))
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each value of x in the sequence, or -1: a successor search from the begin of its high part on."""
-        out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
-            return out
-        high = x >> U64(self.low_bits)
-        ask = np.flatnonzero(high // U64(SAMPLE) < U64(len(self.zeros)))
-        h = high[ask].astype(np.int64)
-        bit = self.zeros[h // SAMPLE].astype(np.int64)
-        skip = h % SAMPLE
-        # Walk over `skip` zeros from the sampled place on, 64 bits at a time.
+    def _walk(self, bit: np.ndarray, skip: np.ndarray, zeros: bool) -> np.ndarray:
+        """The bit behind the skip-th zero (or one) from each bit on, 64 bits at a time; skip is below SAMPLE."""
+        bit, skip = bit.copy(), skip.copy()
         todo = np.flatnonzero(skip > 0)
         while len(todo):
-            gaps = ~self._window(self.high, bit[todo])
-            held = np.bitwise_count(gaps).astype(np.int64)
+            w = self._window(self.high, bit[todo])
+            w = ~w if zeros else w
+            held = np.bitwise_count(w).astype(np.int64)
             inside = held >= skip[todo]
-            w = gaps[inside]
-            left = skip[todo[inside]] - 1
+            w, left = w[inside], skip[todo[inside]] - 1
             for k in range(SAMPLE - 1):
                 more = left > k
                 if not more.any():
                     break
                 w = np.where(more, w & (w - U64(1)), w)
             bit[todo[inside]] += np.bitwise_count((w & (~w + U64(1))) - U64(1)).astype(np.int64) + 1
-            skip[todo[inside]] = 0
-            out_of = todo[~inside]
-            skip[out_of] -= held[~inside]
-            bit[out_of] += 64
-            todo = out_of
-            size = len(self.high) * 64 - 128
-            todo = todo[bit[todo] < size]
+            todo, held = todo[~inside], held[~inside]
+            skip[todo] -= held
+            bit[todo] += 64
+            live = bit[todo] < len(self.high) * 64 - 128
+            todo = todo[live]
+        return bit
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        bit = self.ones[i // SAMPLE].astype(np.int64)
+        skip = i % SAMPLE
+        # Behind the one at the sampled place, then behind `skip` more; the last one passed is the i-th.
+        at = np.where(skip > 0, self._walk(bit + 1, skip, False) - 1, bit)
+        return (at - i).astype(U64) << U64(self.low_bits) | self._low(i)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each value of x in the sequence, or -1: a successor search from the begin of its high part on."""
+        out = np.full(len(x), -1, np.int64)
+        if not self.n or not len(x):
+            return out
+        high = x >> U64(self.low_bits)
+        ask = np.flatnonzero(high // U64(SAMPLE) < U64(len(self.zeros)))
+        h = high[ask].astype(np.int64)
+        bit = self.zeros[h // SAMPLE].astype(np.int64)
+        bit = self._walk(bit, h % SAMPLE, True)
         place = bit - h
         want = x[ask] & ((U64(1) << U64(self.low_bits)) - U64(1))
         live = np.arange(len(ask))
@@ -145,7 +157,7 @@ class EliasFano:
         return out
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], U64), self.low, self.high, self.zeros]
+        return [np.array([self.n, self.low_bits], U64), self.low, self.high, self.zeros, self.ones]
 
 
 # --- files --------------------------------------------------------------------------------------
@@ -214,9 +226,9 @@ def _shard(uri: str) -> tuple | None:
             _open[uri] = None
         else:
             sequences = []
-            while len(arrays) >= 4 and len(arrays[0]) == 2:
-                sequences.append(EliasFano(int(arrays[0][0]), int(arrays[0][1]), *arrays[1:4]))
-                arrays = arrays[4:]
+            while len(arrays) >= 5 and len(arrays[0]) == 2:
+                sequences.append(EliasFano(int(arrays[0][0]), int(arrays[0][1]), *arrays[1:5]))
+                arrays = arrays[5:]
             _open[uri] = (*sequences, *arrays)
         while len(_open) > 512:
             _open.popitem(last=False)
@@ -363,6 +375,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _placed(begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The monotone values of a context's children: begin of its range plus the share of ids below, then the id."""
+    return (begin.astype(U64) + (ids * size.astype(U64) >> U64(32))) << U64(32) | ids
+
+
 def _build_words(parts: list[tuple], uri: str) -> tuple[int, int]:
     keys, counts = _summed(np.concatenate([np.frombuffer(p[0], U64) for p in parts]), np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(U64))
     _save(uri, [*EliasFano.build(keys).arrays(), counts])
@@ -380,7 +397,10 @@ def _build_pairs(parts: list[tuple], uri: str) -> tuple[int, int]:
     parent = (entry >> U64(32)).astype(np.int64)
     held = np.bincount(parent, c3, minlength=len(unique))
     backoff = (c2 - held + MU3) / (c2 + MU3)
-    _save(uri, [*EliasFano.build(unique).arrays(), *EliasFano.build(entry).arrays(), count_codes(c2), chance_codes(backoff), chance_codes(c3 / (c2[parent] + MU3))])
+    owners, begin, size = np.unique(parent, return_index=True, return_counts=True)
+    placed = _placed(np.repeat(begin, size), np.repeat(size, size), entry & U64(0xFFFFFFFF))
+    pointers = np.append(begin, len(entry)).astype(U64)
+    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v).arrays()), count_codes(c2), chance_codes(backoff), chance_codes(c3 / (c2[parent] + MU3))])
     return 0, 0
 
 
@@ -454,14 +474,17 @@ class Trie:
         parent = (wanted >> U64(32)).astype(np.int64)
         bounds = np.searchsorted(parent, np.arange(len(keys) + 1))
         c2, backoff, chance = np.zeros(len(keys)), np.ones(len(keys)), np.zeros(len(wanted))
-        for rows, (pairs, entries, counts, backs, chances) in self._look(keys, 1):
+        for rows, (pairs, owners, pointers, entries, counts, backs, chances) in self._look(keys, 1):
             place = pairs.find(keys[rows])
             rows, place = rows[place >= 0], place[place >= 0]
             c2[rows] = code_counts(counts[place])
             backoff[rows] = code_chances(backs[place])
+            owner = owners.find(place.astype(U64))
+            rows, owner = rows[owner >= 0], owner[owner >= 0]
+            begin, end = pointers.get(owner).astype(np.int64), pointers.get(owner + 1).astype(np.int64)
             n = bounds[rows + 1] - bounds[rows]
             mine = np.repeat(bounds[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            spot = entries.find(np.repeat(place, n).astype(U64) << U64(32) | wanted[mine] & U64(0xFFFFFFFF))
+            spot = entries.find(_placed(np.repeat(begin, n), np.repeat(end - begin, n), wanted[mine] & U64(0xFFFFFFFF)))
             chance[mine[spot >= 0]] = code_chances(chances[spot[spot >= 0]])
         p = (c2[pair] + MU2 * p1) / (own[which[first]] + MU2)
         p[asks + 1] = chance[asked] + backoff[pair[asks]] * p[asks + 1]
