@@ -47,8 +47,9 @@ FOLDS, HELD = 7, 2
 MU2, MU3 = 40.0, 4.0
 LEAST3 = 2
 #: Distinct n-grams a shard should hold, and texts (bytes) that one packed part covers.
-SHARD_TOKENS = 3_000_000
-PART_BYTES = 16 << 20
+SHARD_TOKENS = 1_000_000
+PART_BYTES = 8 << 20
+ASK_BYTES = 6 << 20
 START = U64(0x243F6A8885A308D3)
 END = U64(0x13198A2E03707344)
 SAMPLE = 8
@@ -64,7 +65,8 @@ class EliasFano:
         self.n, self.low_bits, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
+    def build(cls, values: np.ndarray, by_place: bool = False) -> EliasFano:
+        """by_place: keep what get() needs."""
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
@@ -76,8 +78,8 @@ class EliasFano:
         # Zero number h, from 0, ends the run of high part h; directory: the place of zeros 0, SAMPLE, ... minus 1's start.
         count = np.bincount(high, minlength=(int(high[-1]) if n else 0) + 1) if n else np.zeros(1, np.int64)
         begins = np.concatenate([[0], np.cumsum(count + 1)])  # where the run of each high part begins
-        zeros = begins[::SAMPLE].astype(U64)
-        ones = np.append((high + np.arange(n))[::SAMPLE], 0).astype(U64)
+        zeros = begins[::SAMPLE].astype(np.uint32)  # a shard has fewer than 2**32 bits
+        ones = np.append((high + np.arange(n))[::SAMPLE], 0).astype(np.uint32) if by_place else np.zeros(0, np.uint32)
         low = np.zeros(n * low_bits // 64 + 2, U64)
         if low_bits:
             part = values & ((U64(1) << U64(low_bits)) - U64(1))
@@ -283,26 +285,26 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tv.mix(tv.mix(a * U64(0xA0761D6478BD642F)) + b)
 
 
-def _parts(column_batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """(batches, hashes, starts) of consecutive texts of about PART_BYTES together."""
+def _parts(column_batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """(batches, hashes, starts) of consecutive texts of about `size` bytes of hashes together."""
     batches, hashes, sizes, held = [], [], [], 0
     for batch in column_batches:
-        for lo, hi in _slices(batch.column(at)):
+        for lo, hi in _slices(batch.column(at), size // 2):
             piece = batch.slice(lo, hi - lo)
             batches.append(piece)
             for h, s in token_hashes(piece.column(at)):
                 hashes.append(h)
                 sizes.append(np.diff(s))
                 held += h.nbytes
-            if held >= PART_BYTES:
+            if held >= size:
                 yield batches, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
                 batches, hashes, sizes, held = [], [], [], 0
     if batches:
         yield batches, np.concatenate(hashes or [np.zeros(0, U64)]), np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))])
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    for row, _, starts in tv.chunks(column, PART_BYTES // 2):
+def _slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    for row, _, starts in tv.chunks(column, size):
         yield row, row + len(starts) - 1
 
 
@@ -359,7 +361,7 @@ def _counted(texts: DataFrame, shards: int) -> DataFrame:
             yield row(s + shards, keys[mine], c2[mine].astype(np.uint32), kids[mine].astype(np.uint32), ids[take], c3[take])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, at in _parts(batches, 0):
+        for _, h, at in _parts(batches, 0, PART_BYTES):
             rows = list(count(h, at)) if len(h) else []
             if rows:
                 kinds = [pa.int64(), *[pa.binary()] * 5]
@@ -400,7 +402,7 @@ def _build_pairs(parts: list[tuple], uri: str) -> tuple[int, int]:
     owners, begin, size = np.unique(parent, return_index=True, return_counts=True)
     placed = _placed(np.repeat(begin, size), np.repeat(size, size), entry & U64(0xFFFFFFFF))
     pointers = np.append(begin, len(entry)).astype(U64)
-    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v).arrays()), count_codes(c2), chance_codes(backoff), chance_codes(c3 / (c2[parent] + MU3))])
+    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v, v is pointers).arrays()), count_codes(c2), chance_codes(backoff), chance_codes(c3 / (c2[parent] + MU3))])
     return 0, 0
 
 
@@ -500,7 +502,7 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
-        for pieces, h, at in _parts(batches, 1):
+        for pieces, h, at in _parts(batches, 1, ASK_BYTES):
             values = trie.score(h, at)
             lo = 0
             for piece in pieces:
