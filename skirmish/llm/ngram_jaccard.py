@@ -5,7 +5,10 @@ reach the similarity if the first elements of their sets, in one common order, m
 (all but the overlap that the size demands, plus one). The order puts widely shared shingles last, so
 prefixes hold rare ones. Prefix incidence goes to blocks of shingles; in each block the sparse product
 of the documents-by-shingles matrix with its transpose counts the overlaps of pairs, and pairs below
-the bounds that follow from the sizes are discarded. What is left is verified on the whole sets.
+the bounds that follow from the sizes are discarded. So are pairs whose parity sketches differ in
+more bits than similar sets of these sizes differ in elements: each bit is the parity of the elements
+that fall on it, so the bits never differ more than the sets do. What is left is verified on the
+whole sets.
 
 Groups of near copies aren't expanded into all pairs. Two rounds first compare the documents of each
 shingle with one representative and join what is similar; the product then runs only over pairs that
@@ -39,6 +42,8 @@ LOCAL = 4
 PART_BYTES = 24 << 20
 BLOCKS = 48
 PAIRS = 2_000_000
+#: The parity sketch of a set, in columns of 64 bits.
+SKETCH = [f"w{i}" for i in range(8)]
 U64 = np.uint64
 
 
@@ -72,6 +77,12 @@ def signature(s: np.ndarray) -> int | None:
     return int(tv.mix(np.array([mixed], U64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    size = 64 * len(SKETCH)
+    odd = np.bincount((s % U64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int | np.ndarray, percent: int):
     """The least overlap of a set of n elements with any similar one."""
     return (percent * n + 99) // 100
@@ -94,7 +105,7 @@ class _Order:
 
 
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, sig of each row; on some rows, the locally frequent shingles (hashes and counts) of a part of the texts."""
+    """id, n, sig and sketch of each row; on some rows, the locally frequent shingles (hashes and counts) of a part of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -108,10 +119,11 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             return np.rec.fromarrays([s[c >= LOCAL], c[c >= LOCAL]], dtype=[("s", "<u8"), ("c", "<i8")]).tobytes()
 
         for batch in batches:
-            n, sig, hot = [], [], []
+            n, sig, bits, hot = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), width)):
                 n.append(len(s))
                 sig.append(signature(s))
+                bits.append(sketch(s))
                 pending.append(s)
                 size += len(s) * 8
                 full = size >= PART_BYTES
@@ -120,9 +132,11 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             if hot:  # the rest of this batch
                 hot[-1] = hot[-1] or frequent()
                 size = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(hot, pa.binary())], names=["id", "n", "sig", "hot"])
+            words = np.array(bits, np.int64).reshape(-1, len(SKETCH)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(hot, pa.binary()), *map(pa.array, words)], names=["id", "n", "sig", "hot", *SKETCH])
 
-    return docs.mapInArrow(run, StructType([docs.schema["id"], *StructType.fromDDL("n bigint, sig bigint, hot binary").fields]))
+    columns = ["n bigint", "sig bigint", "hot binary", *(f"{w} bigint" for w in SKETCH)]
+    return docs.mapInArrow(run, StructType([docs.schema["id"], *StructType.fromDDL(", ".join(columns)).fields]))
 
 
 def _shared(classes: DataFrame, limit: int) -> np.ndarray:
@@ -208,8 +222,9 @@ def _incidence(docs: DataFrame, shared: np.ndarray, width: int, percent: int) ->
 def _product(lists: DataFrame, percent: int) -> DataFrame:
     """a, b, c: pairs of classes of unlike labels that share keys, and how many of these keys the block holds.
 
-    lists: key, sig, n, label, sorted by key within partitions. Rows of a key are handled in the order
-    of size, so that partners beyond the size bound are never formed.
+    lists: key, sig, n, label and sketch, sorted by key within partitions. Rows of a key are handled in
+    the order of size, so that partners beyond the size bound are never formed; those whose sketches
+    differ too much aren't counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +250,9 @@ def _product(lists: DataFrame, percent: int) -> DataFrame:
             for i in range(len(x)):
                 others = x[i + 1 : reach[i]]
                 others = others[others[:, 3] != x[i, 3]]
+                if len(others):
+                    differ = np.bitwise_count((others[:, 4:] ^ x[i, 4:]).view(U64)).sum(1, dtype=np.int64)
+                    others = others[(100 + percent) * differ <= (100 - percent) * (others[:, 2] + x[i, 2])]
                 if len(others):
                     mine = np.full(len(others), x[i, 1])
                     waiting.append(np.stack([np.minimum(mine, others[:, 1]), np.maximum(mine, others[:, 1])], 1))
@@ -242,7 +260,7 @@ def _product(lists: DataFrame, percent: int) -> DataFrame:
                     if held >= PAIRS:
                         yield summed()
 
-        rest = np.zeros((0, 4), np.int64)
+        rest = np.zeros((0, 4 + len(SKETCH)), np.int64)
         for batch in batches:
             x = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
             cuts = [0, *(np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1)]
@@ -286,7 +304,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """One row per input row: id, n_shingles, component_id."""
     slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = cut(_classes(slim, width))
-    first = cut(classes.filter("sig is not null").groupBy("sig", "n").agg(F.min("id").alias("id")))
+    first = cut(classes.filter("sig is not null").groupBy("sig", "n", *SKETCH).agg(F.min("id").alias("id")))
     sizes = first.select("sig", "n")
     lists = cut(_incidence(slim, _shared(classes, shared), width, percent).join(sizes, "sig"))
 
@@ -314,7 +332,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     labels = components(links)
 
     # The product over all pairs that are still in different groups.
-    apart = _apart(lists, labels).repartition("key").sortWithinPartitions("key")
+    apart = _apart(lists, labels).join(first.select("sig", *SKETCH), "sig").select("key", "sig", "n", "label", *SKETCH).repartition("key").sortWithinPartitions("key")
     pairs = _product(apart, percent).groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
     pairs = pairs.filter(_reachable(F.col("c"), F.col("na"), F.col("nb"), percent)).select("a", "b")

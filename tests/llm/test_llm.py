@@ -113,6 +113,30 @@ def test_jaccard_against_brute_force(spark):
     assert got.n_shingles.tolist() == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("words,edits", [(45, 2), (400, 11), (1500, 40)])
+def test_jaccard_of_large_groups_at_the_edge(spark, words, edits):
+    """Near copies of one text whose similarity to each other lies on both sides of the threshold."""
+    rng = random.Random(words)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for i in range(240):
+        row = list(base)
+        for _ in range(rng.randrange(edits // 2, edits + 1)):
+            row[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(row))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and least[i] != least[j]:
+                lo, hi = sorted((least[i], least[j]))
+                least = [lo if x == hi else x for x in least]
+    got = ngram_jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas().set_index("doc_id").sort_index()
+    assert 1 < len(set(least)) < len(texts)
+    assert got.component_id.tolist() == least
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a int, b int")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
