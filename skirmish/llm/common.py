@@ -6,8 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bits of the bitmap of possible(), which is broadcast as rows of 64 bits: 262,144 rows at most.
+BITMAP = 1 << 24
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -36,3 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
 def extended(df: DataFrame, columns: str) -> StructType:
     """The schema of df with more columns, given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
+
+
+def possible(marked: DataFrame, key: str, found: DataFrame, doc: str, name: str) -> DataFrame:
+    """marked with a boolean column: false only if found has no row of this key."""
+
+    def place(column: str) -> tuple[str, str]:
+        slot = f"pmod(`{column}`, {BITMAP})"
+        return f"cast({slot} div 64 as int)", f"shiftleft(1L, cast({slot} % 64 as int))"
+
+    word, bit = place(doc)
+    bitmap = found.groupBy(F.expr(word).alias(f"{name}word")).agg(F.bit_or(F.expr(bit)).alias(f"{name}bits"))
+    word, bit = place(key)
+    met = marked.join(F.broadcast(bitmap), F.expr(word) == F.col(f"{name}word"), "left")
+    return met.withColumn(name, F.coalesce(F.expr(f"`{name}bits` & {bit}") != 0, F.lit(False))).drop(f"{name}word", f"{name}bits")

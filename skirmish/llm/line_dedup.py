@@ -11,7 +11,8 @@ earlier, by (id, text, line). Each run of enough words contains, for each of its
 run from that line on or up to the last line; so the intervals of the shortest runs decide, and the
 maximal repeated runs are the unions of what they cover. Overlapping copies count.
 
-Only distinct pairs are sorted, so a line that a third of all rows share is one row there.
+Only distinct pairs are sorted, so a line that a third of all rows share is one row there. Texts that
+lose no line aren't shuffled: a bitmap of fixed size over the hashes of the others tells most of them.
 
 Defined results: null and empty texts have no lines and stay; lines without a word are not counted
 and never deleted; rows that repeat both id and text are one document in the comparison, and all get
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textvec as tv
-from .common import cut, extended
+from .common import cut, extended, possible
 
 MIN_WORDS = 40
 
@@ -125,7 +126,11 @@ def _applied(docs: DataFrame, min_words: int, id: str, text: str, prefix: str) -
     """docs with the text replaced, and with the numbers of lines with a word before and of deleted ones, named with the prefix."""
     found = cut(runs(docs, min_words, id, text)).select(F.col("doc").alias(f"{prefix}doc"), F.col("deleted").alias(f"{prefix}deleted"))
     marked = docs.withColumn(f"{prefix}key", F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")))
-    joined = marked.join(found, F.col(f"{prefix}key") == F.col(f"{prefix}doc"), "left").select(*(F.col(f"`{c}`") for c in docs.columns), f"{prefix}deleted")
+    marked = possible(marked, f"{prefix}key", found, f"{prefix}doc", f"{prefix}possible")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = marked.filter(~F.col(f"{prefix}possible")).select(*columns, F.lit(None).cast("array<int>").alias(f"{prefix}deleted"))
+    joined = marked.filter(f"{prefix}possible").join(found, F.col(f"{prefix}key") == F.col(f"{prefix}doc"), "left").select(*columns, f"{prefix}deleted")
+    joined = whole.unionByName(joined)
     at, names = docs.columns.index(text), [*docs.columns, f"{prefix}n_lines", f"{prefix}n_deleted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
