@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textvec as tv
-from .common import cut
+from .common import cut, possible
 from .graph import components
 
 WIDTH, PERCENT = 5, 75
@@ -278,7 +278,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, width: int, p
     """The pairs (a, b) that are similar. first: sig, id of one row of each class."""
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     ids = first.join(sigs, "sig").select(F.col("id").alias("wanted"))
-    texts = docs.join(ids.distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    ids = cut(ids.distinct().withColumn("wanted_key", F.xxhash64("wanted")))
+    near = possible(docs.withColumn("key", F.xxhash64("id")), "key", ids, "wanted_key", "possible").filter("possible")
+    texts = near.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
