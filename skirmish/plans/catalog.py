@@ -110,7 +110,7 @@ def _names(s, d):
     return load(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
 
 
-register("similar_names", lambda s, d: ob.similar_names(_names(s, d).filter("key < 300"), _names(s, d).filter("key < 300")), """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 300),
+register("similar_names", lambda s, d: ob.similar_names(_names(s, d), _names(s, d)), """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 300),
 w AS (SELECT name, unnest(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM n), g AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS gram FROM (SELECT name, w, unnest(range(1, length(w) + 2)) AS i FROM w)),
 c AS (SELECT name, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM g x JOIN g y USING (gram) GROUP BY 1, 2),
 s AS (SELECT a, b, c::DOUBLE / (ca.n + cb.n - c) AS similarity FROM p JOIN c ca ON ca.name = a JOIN c cb ON cb.name = b)
