@@ -76,13 +76,19 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
 def in_intervals(points: DataFrame, intervals: DataFrame, bin_seconds: int = 86_400) -> DataFrame:
     """points: key, at. intervals: key, start, end (half-open). Each point with the number of intervals of its key that hold it.
 
-    Intervals are cut into time bins, so the join is an equi-join on key and bin with a residual test.
+    What is open at a time is the number of starts up to it less the number of ends up to it. Both are summed by key and time first,
+    then within time bins and over the totals of bins, so neither a crowded key nor a long interval makes pairs of points and intervals.
     """
-    bin_of = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / bin_seconds)
-    cut = intervals.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))))
-    hit = points.withColumn("bin", bin_of(F.col("at"))).join(cut, ["key", "bin"]).filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    counts = hit.groupBy("key", "at").agg(F.count("*").alias("n"))
-    return points.select("key", "at").distinct().join(counts, ["key", "at"], "left").na.fill(0, ["n"])
+    whole = intervals.filter("key is not null and start < end")
+    moves = whole.select("key", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("by")))).alias("m"))
+    moves = moves.select("key", "m.at", "m.by", F.lit(False).alias("asked"))
+    times = moves.unionByName(points.select("key", "at", F.lit(0).alias("by"), F.lit(True).alias("asked"))).groupBy("key", "at").agg(F.sum("by").alias("by"), F.bool_or("asked").alias("asked"))
+    times = times.withColumn("bin", F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / bin_seconds))
+    bins = times.groupBy("key", "bin").agg(F.sum("by").alias("total"))
+    bins = bins.select("key", "bin", F.sum("total").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    within = times.withColumn("within", F.sum("by").over(W.partitionBy("key", "bin").orderBy("at"))).filter("asked")
+    n = F.when(F.col("at").isNull(), 0).otherwise(F.col("within") + F.coalesce("before", F.lit(0)))
+    return within.join(bins, ["key", "bin"], "left").select("key", "at", n.cast("long").alias("n"))
 
 
 def stat_windows(snapshots: DataFrame) -> DataFrame:

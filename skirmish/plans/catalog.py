@@ -118,7 +118,7 @@ SELECT l.p_partkey AS left_key, r.p_partkey AS right_key, similarity FROM s JOIN
 
 
 def _intervals(s, d):
-    x = load(s, d, "events").filter("event_id % 10 = 0").select(F.col("user_id").alias("key"), F.col("ts").alias("start"))
+    x = load(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("start"))
     return x.withColumn("end", F.expr("start + INTERVAL 30 HOURS"))
 
 
