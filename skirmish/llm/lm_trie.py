@@ -14,9 +14,9 @@ word or of the pair, so no frequent word makes a large one, and their number fol
 Scoring tasks map the shards and look up the distinct n-grams of a part of the texts at once.
 
 Probabilities are smoothed by Dirichlet priors, each order backing off to the next lower and words to
-(c + 1) / (N + V + 1): P3 = (kept count + (pruned count + MU3) * P2) / (count of the pair + MU3),
-P2 = (count of the pair + MU2 * P1) / (count of the context + MU2). Triples that occur once are pruned;
-their mass goes to P2, so each distribution still sums to one over the known and the unknown word.
+(c + 1) / (N + V + 1): P3 = (count + MU3 * P2) / (count of the pair + MU3),
+P2 = (count of the pair + MU2 * P1) / (count of the context + MU2). All triples are kept, also those that
+occur once, so each distribution sums to one over the known and the unknown word.
 Words and pairs are identified by hashes; a collision would merge two of them.
 
 Defined results: a null text is empty and has the end token alone; rows are scored each, and a repeated
@@ -45,7 +45,8 @@ from .common import shared_folder
 U64 = np.uint64
 FOLDS, HELD = 7, 2
 MU2, MU3 = 40.0, 4.0
-LEAST3 = 2
+#: Every triple is kept, from this count on.
+LEAST3 = 1
 #: Distinct n-grams a shard should hold, and texts (bytes) that one packed part covers.
 SHARD_TOKENS = 1_000_000
 PART_BYTES = 8 << 20
@@ -394,15 +395,11 @@ def _build_pairs(parts: list[tuple], uri: str) -> tuple[int, int]:
     unique, c2 = _summed(keys, np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(np.int64))
     parent = np.repeat(np.searchsorted(unique, keys), kids).astype(U64)
     entry, c3 = _summed(parent << U64(32) | np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts]), np.concatenate([np.frombuffer(p[4], np.uint32) for p in parts]).astype(np.int64))
-    kept = c3 >= LEAST3
-    entry, c3 = entry[kept], c3[kept]
     parent = (entry >> U64(32)).astype(np.int64)
-    held = np.bincount(parent, c3, minlength=len(unique))
-    backoff = (c2 - held + MU3) / (c2 + MU3)
     owners, begin, size = np.unique(parent, return_index=True, return_counts=True)
     placed = _placed(np.repeat(begin, size), np.repeat(size, size), entry & U64(0xFFFFFFFF))
     pointers = np.append(begin, len(entry)).astype(U64)
-    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v, v is pointers).arrays()), count_codes(c2), chance_codes(backoff), chance_codes(c3 / (c2[parent] + MU3))])
+    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v, v is pointers).arrays()), count_codes(c2), chance_codes(c3 / (c2[parent] + MU3))])
     return 0, 0
 
 
@@ -475,12 +472,11 @@ class Trie:
         wanted, asked = np.unique(pair[asks].astype(U64) << U64(32) | h[first[asks] + 2] >> U64(32), return_inverse=True)
         parent = (wanted >> U64(32)).astype(np.int64)
         bounds = np.searchsorted(parent, np.arange(len(keys) + 1))
-        c2, backoff, chance = np.zeros(len(keys)), np.ones(len(keys)), np.zeros(len(wanted))
-        for rows, (pairs, owners, pointers, entries, counts, backs, chances) in self._look(keys, 1):
+        c2, chance = np.zeros(len(keys)), np.zeros(len(wanted))
+        for rows, (pairs, owners, pointers, entries, counts, chances) in self._look(keys, 1):
             place = pairs.find(keys[rows])
             rows, place = rows[place >= 0], place[place >= 0]
             c2[rows] = code_counts(counts[place])
-            backoff[rows] = code_chances(backs[place])
             owner = owners.find(place.astype(U64))
             rows, owner = rows[owner >= 0], owner[owner >= 0]
             begin, end = pointers.get(owner).astype(np.int64), pointers.get(owner + 1).astype(np.int64)
@@ -489,7 +485,7 @@ class Trie:
             spot = entries.find(_placed(np.repeat(begin, n), np.repeat(end - begin, n), wanted[mine] & U64(0xFFFFFFFF)))
             chance[mine[spot >= 0]] = code_chances(chances[spot[spot >= 0]])
         p = (c2[pair] + MU2 * p1) / (own[which[first]] + MU2)
-        p[asks + 1] = chance[asked] + backoff[pair[asks]] * p[asks + 1]
+        p[asks + 1] = chance[asked] + MU3 / (c2[pair[asks]] + MU3) * p[asks + 1]
         row = np.searchsorted(at, first, "right") - 1
         n = len(at) - 1
         token = which[first + 1]

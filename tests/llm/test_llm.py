@@ -240,6 +240,30 @@ def test_lm_against_brute_force(spark, odd):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=2e-3, abs_tol=2e-3)
 
 
+def test_lm_keeps_triples_that_occur_once(spark):
+    """Brute force without pruning: almost all triples here occur once."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") + rng.choice("klmno") for _ in range(rng.randrange(2, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lines = [["<s>", *t.split(), None] for t in texts]
+    train = [s for i, s in enumerate(lines) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for s in train for w in s)
+    c2 = Counter(p for s in train for p in zip(s, s[1:]))
+    c3 = Counter(p for s in train for p in zip(s, s[1:], s[2:]))
+    assert sum(n == 1 for n in c3.values()) > 0.9 * len(c3)
+    total = sum(n for w, n in c.items() if w != "<s>")
+    got = {r["doc_id"]: r["score"] for r in lm_trie.score(docs, lm_trie.train(docs)).collect()}
+    for i, s in enumerate(lines):
+        score = 0.0
+        for k in range(1, len(s)):
+            p = (c[s[k]] + 1) / (total + len(c))
+            p = (c2[s[k - 1], s[k]] + lm_trie.MU2 * p) / (c[s[k - 1]] + lm_trie.MU2)
+            if k > 1:
+                p = (c3[s[k - 2], s[k - 1], s[k]] + lm_trie.MU3 * p) / (c2[s[k - 2], s[k - 1]] + lm_trie.MU3)
+            score += math.log10(p)
+        assert math.isclose(got[i], score, rel_tol=2e-3, abs_tol=2e-3)
+
+
 def test_toxicity_on_held_out_rows(spark, odd):
     got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
