@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ramp, ratio, upper_median
+from ..functions.columns import ramp, ratio
 from .loadouts import population
 
 LEAST_SECONDS = 36_000
@@ -14,13 +14,29 @@ METRICS = ("kills", "damage_dealt", "points_scored", "dominations", "captures")
 HOUR_STEPS = (10, 50, 100)
 
 
+def upper_medians(values: DataFrame, by: str, value: str) -> DataFrame:
+    """by, value: the element at floor(n / 2) of each group's sorted values, without a group's values in one row or task.
+
+    Equal values are counted first; the unit range that holds the place is found from counts by range, and only its values are sorted.
+    """
+    counts = values.groupBy(by, value).agg(F.count("*").alias("n")).withColumn("range", F.floor(value))
+    whole = W.partitionBy(by)
+    ranges = counts.groupBy(by, "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumn("upto", F.sum("n").over(whole.orderBy("range"))).withColumn("place", F.floor(F.sum("n").over(whole) / 2) + 1)
+    ranges = ranges.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
+    inside = counts.join(ranges.select(by, "range", (F.col("place") - F.col("upto") + F.col("n")).alias("place")), [by, "range"])
+    inside = inside.withColumn("upto", F.sum("n").over(W.partitionBy(by, "range").orderBy(value)))
+    return inside.filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))).select(by, value)
+
+
 def item_rates(facts: DataFrame, stats: DataFrame, metric: str = "points_scored", cap: float = 5000, least_players: int = 5) -> DataFrame:
     """Upper median of an hourly rate over the players who wear an item group in a class."""
     rate = F.col(metric) * 3600.0 / F.col("playtime_seconds")
     rated = stats.filter(F.col("playtime_seconds") >= LEAST_SECONDS).select("steamid", "class_num", rate.alias("rate"), (F.col("playtime_seconds") / 3600.0).alias("hours")).filter(F.col("rate") <= cap)
     worn = facts.select("steamid", "class_num", "gid").distinct()
-    out = worn.join(rated, ["steamid", "class_num"]).groupBy("gid").agg(upper_median(F.col("rate")).alias("value"), F.count_distinct("steamid").alias("players"), F.avg("hours").alias("avg_hours"))
-    return out.filter(F.col("players") >= least_players)
+    worn = worn.join(rated, ["steamid", "class_num"])
+    out = worn.groupBy("gid").agg(F.count_distinct("steamid").alias("players"), F.avg("hours").alias("avg_hours")).filter(F.col("players") >= least_players)
+    return out.join(upper_medians(worn, "gid", "rate"), "gid").select("gid", F.col("rate").alias("value"), "players", "avg_hours")
 
 
 def class_medians(facts: DataFrame, stats: DataFrame, least_players: int = 3) -> DataFrame:
