@@ -373,12 +373,17 @@ def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the row of the least id, once, with all columns. Rows of a null id stay."""
-    groups = similar_groups(docs, width, percent, id, text)
-    keep = groups.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("_kept_id")).distinct()
-    named = docs.filter(F.col(f"`{id}`").isNotNull())
-    kept = named.join(keep, F.col(f"`{id}`") == F.col("_kept_id"), "left_semi").dropDuplicates([id])
-    return kept.unionByName(docs.filter(F.col(f"`{id}`").isNull()))
+    """The rows of docs that stay: of each group the row of the least id and text hash, once, with all columns. Rows of a null id stay.
+
+    Rows are told apart by id and text, so an id with texts of two groups stays with one row in each.
+    """
+    key, digest = F.col(f"`{id}`"), F.xxhash64(F.col(f"`{text}`"))
+    own = F.when(key.isNotNull(), F.struct(key.alias("id"), digest.alias("digest"))).alias("_row")
+    groups = similar_groups(docs.select(own, F.col(f"`{text}`").alias("_text")), width, percent, "_row", "_text")
+    keep = groups.filter(F.col("_row") == F.col("component_id")).select("_row.id", "_row.digest").distinct().toDF("_kept_id", "_kept_digest")
+    named = docs.filter(key.isNotNull()).withColumn("_digest", digest)
+    kept = named.join(keep, (key == F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi").dropDuplicates([id, "_digest"]).drop("_digest")
+    return kept.unionByName(docs.filter(key.isNull()))
 
 
 def sql(docs: str = "documents", width: int = WIDTH, percent: int = PERCENT) -> str:

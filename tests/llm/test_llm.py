@@ -137,6 +137,16 @@ def test_jaccard_of_large_groups_at_the_edge(spark, words, edits):
     assert got.component_id.tolist() == least
 
 
+def test_representatives_of_an_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows_ = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c + " end"), (4, c), (None, a), (5, None), (5, "")]
+    got = ngram_jaccard.representatives(spark.createDataFrame(rows_, "doc_id bigint, text string")).collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in got)
+    whole = {(1, a): 1, (1, b): 1, (None, a): 1, (5, None): 1, (5, ""): 1}
+    of_c = [x for x in kept if x[0] == 4]
+    assert len(of_c) == 1 and kept == whole | {of_c[0]: 1}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a int, b int")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
