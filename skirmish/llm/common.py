@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 #: Bits of the bitmap of possible(), which is broadcast as rows of 64 bits: 262,144 rows at most.
 BITMAP = 1 << 24
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,11 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again.
 
-    This ends the lineage: a lost executor costs its own tasks, not the job so far.
+    This ends the lineage: a lost executor costs its own tasks, not the job so far. The shuffle files of
+    the write are removed when it has ended, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,16 +3,16 @@
 Documents of equal sets are one class, found by a 64-bit signature of the set. Two classes can only
 reach the similarity if the first elements of their sets, in one common order, meet: the prefix
 (all but the overlap that the size demands, plus one). The order puts widely shared shingles last, so
-prefixes hold rare ones. Prefix incidence goes to blocks of shingles; in each block the sparse product
-of the documents-by-shingles matrix with its transpose counts the overlaps of pairs, and pairs below
-the bounds that follow from the sizes are discarded. So are pairs whose parity sketches differ in
-more bits than similar sets of these sizes differ in elements: each bit is the parity of the elements
-that fall on it, so the bits never differ more than the sets do. What is left is verified on the
-whole sets.
+prefixes hold rare ones. Prefixes of two similar sets share a number of elements that follows from the
+sizes (`_least_common`); the incidence of prefix shingles tells which classes can reach it.
 
-Groups of near copies aren't expanded into all pairs. Two rounds first compare the documents of each
-shingle with one representative and join what is similar; the product then runs only over pairs that
-aren't in one group yet, so no link between two groups can be missed.
+What is left is compared by a blocked product of the sparse document by shingle matrix with its
+transpose. Classes are dealt to blocks of bounded size, those of a common shingle together. First each
+block is multiplied with itself, and the classes found similar are joined. Then a class is compared with
+another block only if it shares prefix shingles with classes there that aren't in its group yet, often
+enough for the size bound. Each product adds up overlaps over column slices, gives up pairs that can't
+reach the overlap any more, and returns for each class one link to the group it fell in within the
+product: rows grow with the classes, not with the pairs of a group. No pair of unlike groups is passed by.
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing; a text of
 fewer words than the width is one shingle; repeated rows and rows of one id give one row each; null
@@ -40,10 +40,17 @@ SHARED = 400_000
 #: A shingle is a candidate for these if it occurs so often in one part of the texts of PART_BYTES.
 LOCAL = 4
 PART_BYTES = 24 << 20
-BLOCKS = 48
-PAIRS = 2_000_000
-#: The parity sketch of a set, in columns of 64 bits.
-SKETCH = [f"w{i}" for i in range(8)]
+#: Prefix elements that one task of the incidence takes.
+BLOCK_KEYS = 2_000_000
+#: Classes and shingles of a block of the product; classes of one key that are met at once.
+BLOCK_ROWS = 256
+BLOCK_SIZE = 500_000
+CELL_ROWS = 2048
+#: Rows that a task meets at once, and asks it holds before it adds them up.
+MET_ROWS = 200_000
+ASKS = 2_000_000
+COLUMNS = 4096
+BIG = 1 << 40
 U64 = np.uint64
 
 
@@ -77,12 +84,6 @@ def signature(s: np.ndarray) -> int | None:
     return int(tv.mix(np.array([mixed], U64)).view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    size = 64 * len(SKETCH)
-    odd = np.bincount((s % U64(size)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def needed(n: int | np.ndarray, percent: int):
     """The least overlap of a set of n elements with any similar one."""
     return (percent * n + 99) // 100
@@ -105,7 +106,7 @@ class _Order:
 
 
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, sig and sketch of each row; on some rows, the locally frequent shingles (hashes and counts) of a part of the texts."""
+    """id, n and sig of each row; on some rows, the locally frequent shingles (hashes and counts) of a part of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -119,11 +120,10 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             return np.rec.fromarrays([s[c >= LOCAL], c[c >= LOCAL]], dtype=[("s", "<u8"), ("c", "<i8")]).tobytes()
 
         for batch in batches:
-            n, sig, bits, hot = [], [], [], []
+            n, sig, hot = [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), width)):
                 n.append(len(s))
                 sig.append(signature(s))
-                bits.append(sketch(s))
                 pending.append(s)
                 size += len(s) * 8
                 full = size >= PART_BYTES
@@ -132,11 +132,9 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
             if hot:  # the rest of this batch
                 hot[-1] = hot[-1] or frequent()
                 size = 0
-            words = np.array(bits, np.int64).reshape(-1, len(SKETCH)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(hot, pa.binary()), *map(pa.array, words)], names=["id", "n", "sig", "hot", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(hot, pa.binary())], names=["id", "n", "sig", "hot"])
 
-    columns = ["n bigint", "sig bigint", "hot binary", *(f"{w} bigint" for w in SKETCH)]
-    return docs.mapInArrow(run, StructType([docs.schema["id"], *StructType.fromDDL(", ".join(columns)).fields]))
+    return docs.mapInArrow(run, StructType([docs.schema["id"], *StructType.fromDDL("n bigint, sig bigint, hot binary").fields]))
 
 
 def _shared(classes: DataFrame, limit: int) -> np.ndarray:
@@ -153,10 +151,9 @@ def _shared(classes: DataFrame, limit: int) -> np.ndarray:
     return np.ascontiguousarray(top[::-1]).view(U64)
 
 
-def _incidence(docs: DataFrame, shared: np.ndarray, width: int, percent: int) -> DataFrame:
-    """key, sig: prefix shingles that at least two classes have. Travels as packed arrays, one row for each part and block."""
+def _incidence(docs: DataFrame, shared: np.ndarray, blocks: int, width: int, percent: int) -> DataFrame:
+    """key, sig, m: prefix shingles that at least two classes have, and how many have them. Travels as packed arrays, one row for each part and block."""
     order = docs.sparkSession.sparkContext.broadcast(shared)
-    blocks = max(BLOCKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _Order(order.value)
@@ -211,136 +208,228 @@ def _incidence(docs: DataFrame, shared: np.ndarray, width: int, percent: int) ->
             new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
             k, s = k[new], s[new]
             _, which, count = np.unique(k, return_inverse=True, return_counts=True)
-            k, s = k[count[which] > 1], s[count[which] > 1]
+            keep = count[which] > 1
+            k, s, m = k[keep], s[keep], count[which][keep]
             for i in range(0, len(k), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 17)].view(np.int64)), pa.array(s[i : i + (1 << 17)])], names=["key", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 17)].view(np.int64)), pa.array(s[i : i + (1 << 17)]), pa.array(m[i : i + (1 << 17)])], names=["key", "sig", "m"])
 
     rows = docs.select("text").mapInArrow(pack, "block bigint, keys binary, sigs binary")
-    return rows.repartition(blocks, "block").mapInArrow(unpack, "key bigint, sig bigint")
+    return rows.repartition(blocks, "block").mapInArrow(unpack, "key bigint, sig bigint, m bigint")
+
+
+def _least_common(n, m, percent: int):
+    """How many prefix elements two similar sets of n and m elements share at least.
+
+    Of the set whose prefix ends first in the order, every prefix element that the other set has lies
+    in the other's prefix; what lies beyond is fewer than the overlap that its own size demands.
+    """
+    return (percent * (n + m) + 99 + percent) // (100 + percent) - needed(np.maximum(n, m), percent) + 1
 
 
-def _product(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b, c: pairs of classes of unlike labels that share keys, and how many of these keys the block holds.
+def _blocks(lists: DataFrame) -> DataFrame:
+    """sig, block, lives: classes that share keys lie in one block where possible.
 
-    lists: key, sig, n, label and sketch, sorted by key within partitions. Rows of a key are handled in
-    the order of size, so that partners beyond the size bound are never formed; those whose sketches
-    differ too much aren't counted.
+    The home of a class is the most shared of its keys. Classes of one home are dealt to blocks by a hash;
+    the least of them is a guest in all of these, so that it can join what the blocks hold.
     """
+    homes = lists.groupBy("sig", "n").agg(F.max(F.struct("m", "key")).alias("home")).select("sig", "n", F.col("home.key").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.min("sig").alias("pivot"))
+    sizes = sizes.select("home", "pivot", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SIZE)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    parts = F.when(F.col("sig") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    placed = homes.join(sizes, "home").select("sig", "home", own.alias("own"), F.explode(parts).alias("part"))
+    return placed.select("sig", F.xxhash64("home", "part").alias("block"), (F.col("own") == F.col("part")).alias("lives"))
+
+
+def _cells(cell: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one cell within the size bound; rows are sorted by cell, then by n."""
+    at, step = np.arange(len(cell)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(cell)]
+        at = at[(cell[at] == cell[at + step]) & (100 * n[at] >= percent * n[at + step])]
+        yield at, at + step
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """Of the columns of x with one first value, the one of the least second value."""
+    x = x[:, np.lexsort((x[1], x[0]))]
+    return x[:, np.append(True, x[0, 1:] != x[0, :-1])] if x.shape[1] else x
+
+
+def _met(cells: DataFrame, percent: int, within: bool) -> DataFrame:
+    """sig, block, asks: classes that can be similar to some of a block; asks: they don't live there.
+
+    cells: cell, side, n, label, weight, block, sig. Rows of a cell share a key. `within`: rows of a cell are of
+    one block, and meet in it. Else rows of unlike labels and blocks meet, if their sides are unlike or below 0:
+    the one of less weight asks the block of the other. A class stays if it meets others in as many keys as
+    the least pair needs.
+    """
+
+    def flush(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, side, n, label, weight, block, sig = x.T
+        names, code = np.unique(block, return_inverse=True)
+        least = np.full(len(x), BIG)
+        asks: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for i, j in _cells(cell, n, percent):
+            if not within:
+                apart = (label[i] != label[j]) & (code[i] != code[j]) & ((side[i] != side[j]) | (side[i] < 0))
+                i, j = i[apart], j[apart]
+            need = _least_common(n[i], n[j], percent)
+            if not within:
+                turn = (weight[i] > weight[j]) | ((weight[i] == weight[j]) & (block[i] > block[j]))
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                asks.append(np.stack([i * len(names) + code[j], need]))
+                if sum(x.shape[1] for x in asks) > ASKS:
+                    asks = [_least(np.concatenate(asks, 1))]
+            else:
+                np.minimum.at(least, i, need)
+            np.minimum.at(least, j, need)
+        at = np.flatnonzero(least < BIG)
+        who, need = _least(np.concatenate(asks, 1))
+        columns = np.append(sig[at], sig[who // len(names)]), np.append(block[at], names[who % len(names)]), np.append(np.zeros(len(at), bool), np.ones(len(who), bool)), np.append(least[at], need)
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["sig", "block", "asks", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        held = 0
-
-        def summed() -> pa.RecordBatch:
-            nonlocal held
-            pairs = np.concatenate(waiting)
-            waiting.clear()
-            held = 0
-            at = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[at]
-            new = np.ones(len(pairs), bool)
-            new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-            first = np.flatnonzero(new)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(np.diff([*first, len(pairs)]))], names=["a", "b", "c"])
-
-        def of_key(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            x = x[np.argsort(x[:, 2], kind="stable")]
-            reach = np.searchsorted(x[:, 2], x[:, 2] * 100 // percent, "right")
-            for i in range(len(x)):
-                others = x[i + 1 : reach[i]]
-                others = others[others[:, 3] != x[i, 3]]
-                if len(others):
-                    differ = np.bitwise_count((others[:, 4:] ^ x[i, 4:]).view(U64)).sum(1, dtype=np.int64)
-                    others = others[(100 + percent) * differ <= (100 - percent) * (others[:, 2] + x[i, 2])]
-                if len(others):
-                    mine = np.full(len(others), x[i, 1])
-                    waiting.append(np.stack([np.minimum(mine, others[:, 1]), np.maximum(mine, others[:, 1])], 1))
-                    held += len(others)
-                    if held >= PAIRS:
-                        yield summed()
-
-        rest = np.zeros((0, 4 + len(SKETCH)), np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            x = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
-            cuts = [0, *(np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from of_key(x[a:b])
-            rest = x[cuts[-1] :]
-        yield from of_key(rest)
-        if waiting:
-            yield summed()
-
-    return lists.mapInArrow(run, "a bigint, b bigint, c bigint")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar. first: sig, id of one row of each class."""
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    ids = first.join(sigs, "sig").select(F.col("id").alias("wanted"))
-    ids = cut(ids.distinct().withColumn("wanted_key", F.xxhash64("wanted")))
-    near = possible(docs.withColumn("key", F.xxhash64("id")), "key", ids, "wanted_key", "possible").filter("possible")
-    texts = near.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
+            if sum(map(len, held)) >= MET_ROWS:
+                x = np.concatenate(held)
+                last = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last cell may go on
+                yield from flush(x[:last])
+                held = [x[last:]]
+        if held:
+            yield from flush(np.concatenate(held))
+
+    columns = ("cell", "side", "n", "label", "weight", "block", "sig")
+    met = cells.select(*(F.col(c).cast("bigint").alias(c) for c in columns)).repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "sig bigint, block bigint, asks boolean, least bigint")
+    return met.groupBy("sig", "block", "asks").agg(F.count("*").alias("c"), F.min("least").alias("least")).filter("c >= least").select("sig", "block", "asks")
+
+
+def overlaps(sets: list[np.ndarray], need: np.ndarray) -> np.ndarray:
+    """Overlaps of all pairs of sets, by the product of their sparse incidence with its transpose, slice by slice of columns.
+
+    need: the overlap that each pair must reach; the product ends when what is left can't lead there for any pair
+    that hasn't got it yet.
+    """
+    sizes = np.array([len(s) for s in sets])
+    elements, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, rows = elements[order], rows[order]
+    new = np.append(True, elements[1:] != elements[:-1])[: len(elements)]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1  # a column of one row adds nothing
+    rows, column = rows[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])[: len(column)]) - 1
+    left = np.bincount(rows, minlength=len(sets))
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(sets), int(column[b - 1]) + 1 - first), np.float32)
+        part[rows[a:b], column[a:b] - first] = 1
+        total += part @ part.T
+        left = left - np.bincount(rows[a:b], minlength=len(sets))
+        if not ((total < need) & (total + np.minimum.outer(left, left) >= need)).any():
+            break
+    return total
+
+
+def _linked(wanted: DataFrame, docs: DataFrame, first: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): classes of one group, by the products of all tasks.
+
+    wanted: task, sig, asks, label. In a task, classes that live in a block are compared with each other, or, if some
+    ask, with these; only those of unlike labels. first: sig, id of one row of each class.
+    """
+    sigs = wanted.select("sig").distinct()
+    ids = cut(first.join(sigs, "sig").select(F.col("sig").alias("wanted_sig"), F.col("id").alias("wanted"), F.xxhash64("id").alias("wanted_key")))
+    near = possible(docs.withColumn("key", F.xxhash64("id")), "key", ids, "wanted_key", "possible").filter("possible").select("id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(signature(s), s.tobytes()) for s in shingle_sets(batch.column(0), width)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["sig", "hashes"])
+            for row, _, starts in tv.chunks(batch.column(1)):
+                piece = batch.slice(row, len(starts) - 1)
+                found = [(signature(s), s.tobytes()) for s in shingle_sets(piece.column(1), width)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "own", "hashes"])
+
+    def product(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({(r[0], r[1]): r for r in rows}.values())  # repeated rows of one id
+        sigs, asks, labels = (np.array([r[k] for r in rows]) for k in range(3))
+        n = np.array([len(r[3]) // 8 for r in rows])
+        may = (labels[:, None] != labels) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+        if asks.any():
+            may &= asks[:, None] != asks
+        need = np.where(may, (percent * np.add.outer(n, n) + 99 + percent) // (100 + percent), BIG)
+        links = np.zeros(may.shape, bool)
+        if may.any():
+            links = (overlaps([np.frombuffer(r[3], U64) for r in rows], need) >= need) & may
+        root = np.arange(len(rows))
+        while True:  # to the least row that can be reached
+            now = np.minimum(root, np.where(links, root, len(rows)).min(1))
+            if (now == root).all():
+                break
+            root = now
+        moved = root < np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(sigs[moved], pa.int64()), pa.array(sigs[root[moved]], pa.int64())], names=["a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for task, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now and held:
+                    yield product(held)
+                    held = []
+                now = task
+                held.append(row)
+        if held:
+            yield product(held)
 
-    sets = cut(texts.mapInArrow(pack, "sig bigint, hashes binary").dropDuplicates(["sig"]))
-    x = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    sets = near.mapInArrow(pack, StructType([docs.schema["id"], *StructType.fromDDL("own bigint, hashes binary").fields]))
+    chosen = ids.join(wanted, F.col("wanted_sig") == F.col("sig")).select("wanted", "task", "sig", "asks", "label")
+    given = chosen.join(sets, (F.col("sig") == F.col("own")) & F.col("wanted").eqNullSafe(F.col("id"))).select("task", "sig", "asks", "label", "hashes")
+    return given.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text", shared: int = SHARED) -> DataFrame:
     """One row per input row: id, n_shingles, component_id."""
     slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     classes = cut(_classes(slim, width))
-    first = cut(classes.filter("sig is not null").groupBy("sig", "n", *SKETCH).agg(F.min("id").alias("id")))
-    sizes = first.select("sig", "n")
-    lists = cut(_incidence(slim, _shared(classes, shared), width, percent).join(sizes, "sig"))
-
-    def size_ok(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    # Round 1: each class against the one with the least signature of its size among those that share the key.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("step")
-    keyed = lists.select("key", "sig", "n", step)
-    pivots = keyed.groupBy("key", "step").agg(F.min("sig").alias("pivot"))
-    met = keyed.join(pivots, ["key", "step"]).filter("sig <> pivot").groupBy(F.col("sig").alias("b"), F.col("pivot").alias("a")).count()
-    # A pair whose prefixes share little can't reach the similarity; here this only saves work.
-    tried = cut(met.join(sizes, met.b == sizes.sig).filter(_reachable(F.col("count"), F.col("n"), F.col("n"), percent)).select("a", "b"))
-    links = cut(_verified(tried, slim, first, width, percent))
+    first = cut(classes.filter("sig is not null").groupBy("sig", "n").agg(F.min("id").alias("id")))
+    prefix = classes.agg(F.sum(F.col("n") * (100 - percent) / 100)).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = cut(_incidence(slim, _shared(classes, shared), max(least, int(prefix / BLOCK_KEYS)), width, percent).join(first.select("sig", "n"), "sig"))
+    homes = cut(_blocks(lists))
+    none = F.lit(0)
+
+    # Each block with itself.
+    cells = lists.join(homes, "sig").select(F.xxhash64("key", "block").alias("cell"), none.alias("side"), "n", F.col("sig").alias("label"), none.alias("weight"), "block", "sig")
+    wanted = cut(_met(cells, percent, True).select(F.col("block").alias("task"), "sig", "asks", F.col("sig").alias("label")))
+    links = cut(_linked(wanted, slim, first, width, percent))
     labels = components(links)
+    weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
+    labels = cut(labels.join(weights, "component").select(F.col("node").alias("sig"), F.col("component").alias("label"), "weight"))
 
-    # Round 2: of each key, one class against those of other groups.
-    apart = _apart(lists, labels)
-    heads = apart.groupBy("key").agg(F.min(F.struct("label", "sig", "n")).alias("h")).select("key", "h.*").toDF("key", "hl", "hs", "hn")
-    met = apart.join(heads, "key").filter((F.col("label") != F.col("hl")) & size_ok("n", "hn"))
-    met = met.groupBy(F.least("sig", "hs").alias("a"), F.greatest("sig", "hs").alias("b"), F.least("n", "hn").alias("na"), F.greatest("n", "hn").alias("nb")).count()
-    met = met.filter(_reachable(F.col("count"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    more = cut(_verified(cut(_untried(met, tried)), slim, first, width, percent))
-    links = cut(links.unionByName(more))
+    # Classes with the blocks of others that aren't in their group.
+    own = homes.filter("lives").select("sig", "block").join(labels, "sig", "left").select("sig", "block", F.coalesce("label", "sig").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    own = cut(own)
+    named = lists.join(own, "sig")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    named = named.join(mixed, "key", "left_semi")
+    # A key of many classes is dealt to cells of two parts each.
+    parts = F.ceil(F.col("m") / CELL_ROWS).cast("int")
+    named = named.withColumn("part", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int"))
+    cells = named.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), side.alias("side"), "n", "label", "weight", "block", "sig")
+    met = cut(_met(cells, percent, False))
+    asks = met.filter("asks")
+    pieces = asks.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("pieces"))
+    asks = asks.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("sig"), "pieces").cast("int"))
+    live = met.filter("not asks").join(pieces, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    both = asks.unionByName(live).join(own.select("sig", "label"), "sig")
+    wanted = cut(both.select(F.xxhash64("block", "piece").alias("task"), "sig", "asks", "label"))
+    links = links.unionByName(cut(_linked(wanted, slim, first, width, percent)))
     labels = components(links)
 
-    # The product over all pairs that are still in different groups.
-    apart = _apart(lists, labels).join(first.select("sig", *SKETCH), "sig").select("key", "sig", "n", "label", *SKETCH).repartition("key").sortWithinPartitions("key")
-    pairs = _product(apart, percent).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.filter(_reachable(F.col("c"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    last = cut(_verified(cut(_untried(pairs, tried)), slim, first, width, percent))
-    labels = components(links.unionByName(last))
-
     group = first.select("sig", "n", "id").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = group.groupBy("component").agg(F.min("id").alias("component_id"))
     named = group.join(least, "component").select("sig", "component_id")
@@ -349,29 +438,6 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return linked.unionByName(alone).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _reachable(common, na, nb, percent: int):
-    """Whether a pair with `common` shared prefix elements can have the overlap that its sizes demand.
-
-    Of the set whose prefix ends first in the order, every prefix element that the other set has lies
-    in the other's prefix; what lies beyond is fewer than the overlap that its own size demands.
-    """
-    overlap = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    rest = F.floor((percent * F.greatest(na, nb) + 99) / 100) - 1
-    return common + rest >= overlap
-
-
-def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The incidence with labels, of keys that classes of more than one group have."""
-    named = lists.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    return named.join(mixed, "key", "left_semi").select("key", "sig", "n", "label")
-
-
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    other = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(other, ["a", "b"], "left_anti")
-
-
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group the row of the least id and text hash, once, with all columns. Rows of a null id stay.
 
