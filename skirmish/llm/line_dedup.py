@@ -6,12 +6,15 @@ next k) in the sorted order of the pairs that occur more than once; suffixes who
 drop out. Suffixes of one rank are an LCP interval: they share that prefix. Of a run of any length
 the interval is named by two ranks, those of the largest power of two lines at its begin and its end.
 
-A run counts if it has at least `min_words` words. A line is deleted if some run with it occurs
+A run is one line or more, of at least `min_words` words together; by default that spares single words
+alone on a line, and nothing else. A line is deleted if some run with it occurs
 earlier, by (id, text, line). Each run of enough words contains, for each of its lines, a shortest
 run from that line on or up to the last line; so the intervals of the shortest runs decide, and the
 maximal repeated runs are the unions of what they cover. Overlapping copies count.
 
-Only distinct pairs are sorted, so a line that a third of all rows share is one row there. Texts that
+Lines are told apart by two independent 64-bit hashes, so 128 bits decide before a line is deleted. Only
+distinct pairs are sorted, so a line that a third of all rows share is one row there; the first places of
+the commonest runs are broadcast (their number is bounded), so no task gathers all copies of a run. Texts that
 lose no line aren't shuffled: a bitmap of fixed size over the hashes of the others tells most of them.
 
 Defined results: null and empty texts have no lines and stay; lines without a word are not counted
@@ -33,7 +36,9 @@ from pyspark.sql.types import StructType
 from . import textvec as tv
 from .common import cut, extended, possible
 
-MIN_WORDS = 40
+MIN_WORDS = 2
+#: A run with more than this share of all places is common; so there are at most as many common runs as its inverse.
+COMMON = 1e-4
 
 
 def _worded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -45,8 +50,23 @@ def _worded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return begins[has], ends[has], rows[has], count[has]
 
 
+def _second_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, independent of textvec.span_hashes(): sums of a mixed value of each byte and its place."""
+    out = np.zeros(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        to = max(at + 1, int(np.searchsorted(ends, begins[at] + tv.BLOCK, "right")))
+        size = ends[at:to] - begins[at:to]
+        cuts = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(cuts, size)
+        value = tv.mix((place.astype(np.uint64) << np.uint64(8)) + data[np.repeat(begins[at:to], size) + place] + np.uint64(0x9FB21C651E98DF25))
+        out[at:to] = np.add.reduceat(value, cuts)
+        at = to
+    return out
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, doc, pos, h, ahead, back: lengths of the shortest runs of enough words that begin and end at the line; 0: none."""
+    """id, doc, pos, h, g (two hashes of the line), ahead, back: lengths of the shortest runs of enough words that begin and end at the line; 0: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,11 +83,11 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 since = np.searchsorted(before, upto - min_words, "right") - 1
                 take = pa.array(rows + row)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first).astype(np.int32)), pa.array(tv.span_hashes(data, begins, ends).view(np.int64)),
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first).astype(np.int32)), pa.array(tv.span_hashes(data, begins, ends).view(np.int64)), pa.array(_second_hashes(data, begins, ends).view(np.int64)),
                     pa.array(np.where(to < last, to - at + 1, 0).astype(np.int32)), pa.array(np.where(since >= first, at - since + 1, 0).astype(np.int32)),
-                ], names=["id", "doc", "pos", "h", "ahead", "back"])
+                ], names=["id", "doc", "pos", "h", "g", "ahead", "back"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields[:2], *StructType.fromDDL("pos int, h bigint, ahead int, back int").fields])).distinct()
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:2], *StructType.fromDDL("pos int, h bigint, g bigint, ahead int, back int").fields])).distinct()
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +106,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text:
     windows = windows.unionByName(lines.filter("back > 0").select("id", "doc", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))).distinct()
     longest = lines.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
 
-    level = _ranked(lines.select("doc", "pos", "h"), ["h"])
+    level = _ranked(lines.select("doc", "pos", "h", "g"), ["h", "g"])
     levels = [level]
     size = 1
     while 2 * size <= longest:
@@ -105,8 +125,12 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text:
     head = table.select("level", "doc", F.col("pos").alias("start"), F.col("rank").alias("head"))
     tail = table.select("level", "doc", F.col("pos").alias("end"), F.col("rank").alias("tail"))
     named = cut(windows.join(head, ["level", "doc", "start"]).join(tail, ["level", "doc", "end"]).select("id", "doc", "start", "n", "head", "tail"))
-    firsts = named.groupBy("n", "head", "tail").agg(F.min(spot).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    later = named.join(firsts, ["n", "head", "tail"]).filter(spot > F.col("first"))
+    run = ["n", "head", "tail"]
+    firsts = cut(named.groupBy(*run).agg(F.min(spot).alias("first"), F.count("*").alias("c")).filter("c > 1"))
+    most = COMMON * (firsts.agg(F.sum("c")).first()[0] or 0)
+    common, rest = firsts.filter(F.col("c") > most).drop("c"), firsts.filter(F.col("c") <= most).drop("c")
+    later = named.join(F.broadcast(common), run)  # fewer than 1 / COMMON rows
+    later = later.unionByName(named.join(F.broadcast(common.select(*run)), run, "left_anti").join(rest, run)).filter(spot > F.col("first"))
     gone = later.groupBy("doc", "start").agg(F.max("n").alias("n")).select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("deleted"))
 
