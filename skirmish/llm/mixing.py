@@ -1,9 +1,11 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling.
 
 Tokens are counted by cell (source, language, topic). Raking scales the cells in turn until the
-marginals of source, language and topic are the targets; a cell's factor is its raked weight by its
-tokens. Documents are drawn with probability min(1, c * factor), where c makes the expected number of
-tokens the budget. A document is drawn by a hash of its id and a seed, so a rerun draws the same.
+marginals of source, language and topic are the targets. No cell may take more than its tokens: after
+each step cells are held at that bound, so that the steps that follow move the surplus to others of the same
+marginals. Documents of a cell are drawn with the probability of its raked tokens by its tokens, at a
+total of the budget, or as near as the bounds allow. A document is drawn by a hash of its id and a
+seed, so a rerun draws the same.
 
 Up to MAX_CELLS cells are raked in numpy on the driver (their number depends on the categories, not
 on the documents); more are raked by the same steps on DataFrames.
@@ -65,44 +67,49 @@ def _shares(natural: dict[str, float], target: dict[str, float] | None, temper:
     return {k: v / total for k, v in raw.items()} if total > 0 else natural
 
 
-def rake(cells: dict[tuple[str, ...], float], mix: Mix) -> dict[tuple[str, ...], float]:
-    """Cell -> factor. cells: tokens by cell."""
+def _sides(cells: dict[tuple[str, ...], float], mix: Mix) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    """By dimension: its categories, the place of each cell (in order) among them, and the shares to reach."""
     keys = sorted(cells)
     t = np.array([cells[k] for k in keys], float)
-    total = t.sum()
-    if not total:
-        return dict.fromkeys(keys, 1.0)
-    x = t.copy()
-    sides = []
+    out = []
     for i, d in enumerate(DIMS):
         names = sorted({k[i] for k in keys})
-        code = np.array([names.index(k[i]) for k in keys])
-        natural = dict(zip(names, np.bincount(code, t, len(names)) / total))
-        shares = _shares(natural, mix.targets.get(d), mix.temper.get(d, 1.0))
-        sides.append((code, np.array([shares[n] for n in names]) * total))
+        place = {n: j for j, n in enumerate(names)}
+        code = np.array([place[k[i]] for k in keys])
+        shares = _shares(dict(zip(names, np.bincount(code, t, len(names)) / t.sum())), mix.targets.get(d), mix.temper.get(d, 1.0))
+        out.append((names, code, np.array([shares[n] for n in names])))
+    return out
+
+
+def rake(cells: dict[tuple[str, ...], float], mix: Mix) -> dict[tuple[str, ...], float]:
+    """Cell -> probability. cells: tokens by cell."""
+    keys = sorted(cells)
+    t = np.array([cells[k] for k in keys], float)
+    if not t.sum():
+        return dict.fromkeys(keys, min(1.0, mix.budget))
+    x = t * mix.budget
+    sides = _sides(cells, mix)
     for _ in range(mix.rounds):
-        for code, target in sides:
+        for _, code, shares in sides:
+            target = shares * t.sum() * mix.budget
             now = np.bincount(code, x, len(target))
-            x *= np.divide(target, now, out=np.zeros_like(target), where=now > 0)[code]
+            x = np.minimum(x * np.divide(target, now, out=np.zeros_like(target), where=now > 0)[code], t)
     return dict(zip(keys, np.divide(x, t, out=np.zeros_like(x), where=t > 0)))
 
 
-def calibrate(cells: dict[tuple[str, ...], float], factors: dict[tuple[str, ...], float], budget: float) -> float:
-    """c with sum(tokens * min(1, c * factor)) = budget * tokens; infinite if all must be taken."""
-    order = sorted((k for k in cells if factors[k] > 0 and cells[k] > 0), key=lambda k: -factors[k])
-    left, rest = budget * sum(cells.values()), sum(cells[k] * factors[k] for k in order)
-    for k in order:
-        if left <= 0 or rest <= 0:
-            break
-        if left / rest * factors[k] <= 1:
-            return left / rest
-        left, rest = left - cells[k], rest - cells[k] * factors[k]
-    return float("inf") if left > 0 else 0.0
+def marginals(cells: dict[tuple[str, ...], float], chances: dict[tuple[str, ...], float], mix: Mix) -> dict[tuple[str, str], tuple[float, float]]:
+    """(dimension, category) -> (share wanted, share reached) of the tokens drawn."""
+    kept = np.array([cells[k] * chances[k] for k in sorted(cells)])
+    out = {}
+    for d, (names, code, shares) in zip(DIMS, _sides(cells, mix)):
+        reached = np.bincount(code, kept, len(names)) / max(kept.sum(), 1e-300)
+        out |= {(d, n): (float(a), float(b)) for n, a, b in zip(names, shares, reached)}
+    return out
 
 
 def rake_frame(cells: DataFrame, mix: Mix) -> DataFrame:
-    """The factors of rake() for any number of cells. cells: DIMS, t. Returns DIMS, t, factor."""
-    x = cells.withColumn("x", F.col("t").cast("double"))
+    """rake() for any number of cells. cells: DIMS, t. Returns DIMS, t, p."""
+    x = cells.withColumn("x", F.col("t").cast("double") * mix.budget)
     total = cells.agg(F.sum("t")).first()[0] or 0
     wants = {}
     for d in DIMS:
@@ -113,27 +120,14 @@ def rake_frame(cells: DataFrame, mix: Mix) -> DataFrame:
         else:
             raw = F.when(F.col("share") > 0, F.pow("share", F.lit(mix.temper.get(d, 1.0)))).otherwise(0.0)
         raw = cut(natural.select(d, raw.alias("raw")))
-        wants[d] = cut(raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("s")))).select(d, (F.col("raw") / F.col("s") * float(total)).alias("want")))
+        wants[d] = cut(raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("s")))).select(d, (F.col("raw") / F.col("s") * float(total) * mix.budget).alias("want")))
     for _ in range(mix.rounds):
         for d in DIMS:
             now = x.groupBy(d).agg(F.sum("x").alias("now"))
             scale = now.join(wants[d], d).select(d, F.coalesce(F.try_divide("want", "now"), F.lit(0.0)).alias("scale"))
-            x = x.join(scale, d).withColumn("x", F.col("x") * F.col("scale")).drop("scale")
+            x = x.join(scale, d).withColumn("x", F.least(F.col("x") * F.col("scale"), F.col("t").cast("double"))).drop("scale")
         x = cut(x)
-    return x.select(*DIMS, "t", F.coalesce(F.try_divide("x", F.col("t").cast("double")), F.lit(0.0)).alias("factor"))
-
-
-def calibrate_frame(raked: DataFrame, budget: float, steps: int = 60) -> float:
-    """calibrate() by bisection over sums."""
-    t, f = F.col("t").cast("double"), F.col("factor")
-    total, low, most = raked.agg(F.sum(t), F.min(F.when(f > 0, f)), F.sum(F.when(f > 0, t))).first()
-    if not total or (most or 0) <= budget * total:
-        return float("inf")
-    a, b = 0.0, 1 / low
-    for _ in range(steps):
-        c = (a + b) / 2
-        a, b = (c, b) if raked.agg(F.sum(t * F.least(F.lit(1.0), f * c))).first()[0] < budget * total else (a, c)
-    return b
+    return x.select(*DIMS, "t", F.coalesce(F.try_divide("x", F.col("t").cast("double")), F.lit(0.0 if total else min(1.0, mix.budget))).alias("p"))
 
 
 def _probabilities(docs: DataFrame, mix: Mix, text: str, prefix: str, max_cells: int) -> DataFrame:
@@ -141,14 +135,10 @@ def _probabilities(docs: DataFrame, mix: Mix, text: str, prefix: str, max_cells:
     cells = cut(tagged.groupBy(*(F.col(f"{prefix}{d}").alias(d) for d in DIMS)).agg(F.sum(f"{prefix}tokens").alias("t")))
     if cells.count() <= max_cells:
         tokens = {tuple(r[d] for d in DIMS): float(r["t"]) for r in cells.toLocalIterator()}
-        factors = rake(tokens, mix)
-        c = calibrate(tokens, factors, mix.budget)
-        rows = [(*k, float(min(1.0, c * f)) if f > 0 else 0.0) for k, f in factors.items()]
+        rows = [(*k, float(p)) for k, p in rake(tokens, mix).items()]
         table = F.broadcast(docs.sparkSession.createDataFrame(rows, ", ".join(f"{d} string" for d in DIMS) + ", p double"))  # at most max_cells rows
     else:
-        raked = rake_frame(cells, mix)
-        c = calibrate_frame(raked, mix.budget)
-        table = raked.select(*DIMS, F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(c))).otherwise(0.0).alias("p"))
+        table = rake_frame(cells, mix).select(*DIMS, "p")
     named = table.select(*(F.col(d).alias(f"{prefix}{d}_") for d in DIMS), F.col("p").alias(f"{prefix}p"))
     on = [F.col(f"{prefix}{d}") == F.col(f"{prefix}{d}_") for d in DIMS]
     return tagged.join(named, on).drop(*(f"{prefix}{d}_" for d in DIMS))
@@ -175,20 +165,15 @@ def sql(docs: str = "documents", mix: Mix = Mix()) -> str:
         f"d0 AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM {docs})",
         "d1 AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM d0)",
         f"d2 AS (SELECT doc_id, source, lang, n, CASE WHEN n < 40 THEN 'short' WHEN {count('|')} * 10 > n THEN 'table' WHEN {count('#*$%&')} * 3 > n THEN 'marked' ELSE 'prose' END AS topic FROM d1)",
-        "x0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS t, sum(n)::DOUBLE AS x FROM d2 GROUP BY ALL)",
+        f"x0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS t, sum(n)::DOUBLE * {mix.budget} AS x FROM d2 GROUP BY ALL)",
     ]
     for d in DIMS:
-        parts.append(f"w_{d} AS MATERIALIZED (SELECT {d}, CASE WHEN s > 0 THEN pow(s, {mix.temper[d]}) ELSE 0 END / sum(CASE WHEN s > 0 THEN pow(s, {mix.temper[d]}) ELSE 0 END) OVER () * a AS want FROM (SELECT {d}, sum(t) / any_value(a) AS s, any_value(a) AS a FROM x0, (SELECT sum(t) AS a FROM x0) GROUP BY {d}))")
+        parts.append(f"w_{d} AS MATERIALIZED (SELECT {d}, CASE WHEN s > 0 THEN pow(s, {mix.temper[d]}) ELSE 0 END / sum(CASE WHEN s > 0 THEN pow(s, {mix.temper[d]}) ELSE 0 END) OVER () * a * {mix.budget} AS want FROM (SELECT {d}, sum(t) / any_value(a) AS s, any_value(a) AS a FROM x0, (SELECT sum(t) AS a FROM x0) GROUP BY {d}))")
     k = 0
     for _ in range(mix.rounds):
         for d in DIMS:
-            parts.append(f"x{k + 1} AS MATERIALIZED (SELECT source, lang, topic, t, CASE WHEN s > 0 THEN x * want / s ELSE 0 END AS x FROM (SELECT *, sum(x) OVER (PARTITION BY {d}) AS s FROM x{k}) JOIN w_{d} USING ({d}))")
+            parts.append(f"x{k + 1} AS MATERIALIZED (SELECT source, lang, topic, t, least(CASE WHEN s > 0 THEN x * want / s ELSE 0 END, t) AS x FROM (SELECT *, sum(x) OVER (PARTITION BY {d}) AS s FROM x{k}) JOIN w_{d} USING ({d}))")
             k += 1
-    parts += [
-        f"f AS MATERIALIZED (SELECT source, lang, topic, t, CASE WHEN t > 0 THEN x / t ELSE 0 END AS f FROM x{k})",
-        "o AS (SELECT *, coalesce(sum(t) OVER b, 0) AS taken, sum(t * f) OVER a AS rest FROM f WHERE f > 0 WINDOW b AS (ORDER BY f DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY f DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))",
-        f"c AS (SELECT coalesce((SELECT ({mix.budget} * (SELECT sum(t) FROM f) - taken) / rest FROM o WHERE ({mix.budget} * (SELECT sum(t) FROM f) - taken) / rest * f <= 1 ORDER BY f DESC, source, lang, topic LIMIT 1), 1e300) AS c)",
-        "p AS (SELECT source, lang, topic, CASE WHEN f > 0 THEN least(1.0, c * f) ELSE 0.0 END AS p FROM f, c)",
-    ]
+    parts.append(f"p AS (SELECT source, lang, topic, CASE WHEN t > 0 THEN x / t ELSE 0.0 END AS p FROM x{k})")
     uniform = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mix.seed}'), 1, 13))::BIGINT::DOUBLE / {16**13}.0"
     return f"WITH {', '.join(parts)}\nSELECT doc_id, n AS n_tokens, topic, round(p, 6) AS probability, {uniform} < p AS kept FROM d2 JOIN p USING (source, lang, topic)"
