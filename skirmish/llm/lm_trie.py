@@ -9,7 +9,9 @@ level 2 and smoothed probabilities in level 3. Inside the range of a context, hi
 share of its ids below, so a search reads about one entry however many words follow the context.
 
 Counts are gathered from all training texts in packed parts, one for each shard; a shard is built by
-one task that streams its parts, and written to the shared folder. Shards are split by the hash of the
+one task that streams its parts, and written to the shared folder. A round gathers a share of the shards,
+so that the shuffled counts of one round lie on disk at a time. The model knows which shards were
+written; one that can't be read is an error, never an unseen n-gram. Shards are split by the hash of the
 word or of the pair, so no frequent word makes a large one, and their number follows the corpus.
 Scoring tasks map the shards and look up the distinct n-grams of a part of the texts at once.
 
@@ -40,13 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textvec as tv
-from .common import shared_folder
+from .common import CLEANUP, shared_folder
 
 U64 = np.uint64
 FOLDS, HELD = 7, 2
-MU2, MU3 = 40.0, 4.0
-#: Every triple is kept, from this count on.
-LEAST3 = 1
+MU2, MU3 = 40.0, 1.0
+#: Rounds of training; each reads all texts and builds its share of the shards.
+ROUNDS = 4
 #: Distinct n-grams a shard should hold, and texts (bytes) that one packed part covers.
 SHARD_TOKENS = 1_000_000
 PART_BYTES = 8 << 20
@@ -192,17 +194,13 @@ def _save(uri: str, arrays: list[np.ndarray]) -> None:
     store.move(own, path)
 
 
-def _load(uri: str) -> list[np.ndarray] | None:
+def _load(uri: str) -> list[np.ndarray]:
     if _is_local(uri):
-        if not os.path.exists(urlparse(uri).path):
-            return None
         raw = np.memmap(urlparse(uri).path, np.uint8, "r")
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(uri)
-        if store.get_file_info(path).type == fs.FileType.NotFound:
-            return None
         with store.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:  # has no name, so nothing is left behind
             while block := f.read(1 << 20):
                 copy.write(block)
@@ -218,21 +216,17 @@ def _load(uri: str) -> list[np.ndarray] | None:
     return out
 
 
-_open: OrderedDict[str, tuple | None] = OrderedDict()
+_open: OrderedDict[str, tuple] = OrderedDict()
 
 
-def _shard(uri: str) -> tuple | None:
+def _shard(uri: str) -> tuple:
     """The arrays of a shard: sequences first. Keeps the maps of the shards that were used last."""
     if uri not in _open:
-        arrays = _load(uri)
-        if arrays is None:
-            _open[uri] = None
-        else:
-            sequences = []
-            while len(arrays) >= 5 and len(arrays[0]) == 2:
-                sequences.append(EliasFano(int(arrays[0][0]), int(arrays[0][1]), *arrays[1:5]))
-                arrays = arrays[5:]
-            _open[uri] = (*sequences, *arrays)
+        arrays, sequences = _load(uri), []
+        while len(arrays) >= 5 and len(arrays[0]) == 2:
+            sequences.append(EliasFano(int(arrays[0][0]), int(arrays[0][1]), *arrays[1:5]))
+            arrays = arrays[5:]
+        _open[uri] = (*sequences, *arrays)
         while len(_open) > 512:
             _open.popitem(last=False)
     _open.move_to_end(uri)
@@ -322,21 +316,30 @@ def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.nd
 _PARTS = "shard bigint, keys binary, counts binary, children binary, ids binary, id_counts binary"
 
 
-def _counted(texts: DataFrame, shards: int) -> DataFrame:
-    """Packed counts by part and shard: of words (shards below `shards`), then of pairs with the words that follow."""
+def _counted(texts: DataFrame, shards: int, turn: int) -> DataFrame:
+    """Packed counts by part and shard: of words (shards below `shards`), then of pairs with the words that follow.
+
+    Only of the shards that are built in this turn.
+    """
 
     def row(shard, *arrays):
         return (int(shard), *(a.tobytes() for a in arrays))
 
+    def now(keys: np.ndarray) -> np.ndarray:
+        return keys % U64(shards) % U64(ROUNDS) == U64(turn)
+
     def count(h: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         predicted = np.ones(len(h), bool)
         predicted[at[:-1]] = False
-        words, c = np.unique(h[predicted], return_counts=True)
+        words = h[predicted]
+        words, c = np.unique(words[now(words)], return_counts=True)
         order, which, cuts = _split(words, shards)
         for s, a, b in zip(which, cuts, cuts[1:]):
             yield row(s, words[order[a:b]], c[order[a:b]].astype(np.uint32), *(np.zeros(0, np.uint32),) * 3)
         first = np.flatnonzero(predicted[1:])  # a pair begins at every token but the end
         g = pair_keys(h[first], h[first + 1])
+        mine = now(g)
+        g, first = g[mine], first[mine]
         follows = first + 2 < len(h)
         follows[follows] = predicted[first[follows] + 2]
         ids = np.where(follows, h[np.minimum(first + 2, len(h) - 1)] >> U64(32), U64(0))
@@ -414,7 +417,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, parts: list[tuple]) -> pa.RecordBatch:
             n, v = (_build_words if shard < shards else _build_pairs)(parts, f"{base}/{shard % 251}/{shard}")
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([v], pa.int64())], names=["n", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, n, v)], names=["shard", "n", "v"])
 
         now, parts = None, []
         for batch in batches:
@@ -427,9 +430,20 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
         if parts:
             yield done(now, parts)
 
-    built = _counted(texts, shards).repartition(2 * shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "n bigint, v bigint")
-    n, v = built.agg(F.sum("n"), F.sum("v")).first()
-    return {"base": base, "shards": shards, "n": n or 0, "v": v or 0, "texts": size[1]}
+    n = v = 0
+    written = np.zeros(2 * shards // 64 + 1, U64)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        for turn in range(ROUNDS):
+            built = _counted(texts, shards, turn).repartition(max(1, 2 * shards // ROUNDS), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, n bigint, v bigint")
+            bits = F.expr("bit_or(shiftleft(1L, cast(shard % 64 as int)))").alias("bits")
+            for r in built.groupBy(F.expr("shard div 64").alias("word")).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), bits).toLocalIterator():  # a row for 64 shards
+                n, v = n + r["n"], v + r["v"]
+                written[r["word"]] |= U64(r["bits"] & (1 << 64) - 1)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return {"base": base, "shards": shards, "n": n, "v": v, "texts": size[1], "written": written}
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -444,8 +458,8 @@ class Trie:
         order, which, cuts = _split(keys, self.shards)
         for s, a, b in zip(which, cuts, cuts[1:]):
             shard = int(s) + level * self.shards
-            if (found := _shard(f"{self.model['base']}/{shard % 251}/{shard}")) is not None:
-                yield order[a:b], found
+            if self.model["written"][shard >> 6] >> U64(shard & 63) & U64(1):
+                yield order[a:b], _shard(f"{self.model['base']}/{shard % 251}/{shard}")
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words))

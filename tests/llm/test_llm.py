@@ -283,7 +283,7 @@ def test_lm_against_brute_force(spark, odd):
     c3 = Counter(p for s in train for p in zip(s, s[1:], s[2:]))
     held = Counter()
     for (a, b, _), n in c3.items():
-        held[a, b] += n if n >= lm_trie.LEAST3 else 0
+        held[a, b] += n
     total, own = sum(c.values()), {**c, "<s>": len(train)}
     for r, (i, ts) in zip(got, sorted(toks, key=lambda x: (x[0], len(x[1])))):
         s, base, score = ["<s>", *ts], 0.0, 0.0
@@ -293,7 +293,7 @@ def test_lm_against_brute_force(spark, odd):
             p = (c2[s[k - 1], s[k]] + lm_trie.MU2 * p1) / (own.get(s[k - 1], 0) + lm_trie.MU2)
             if k > 1:
                 ab = (s[k - 2], s[k - 1])
-                n3 = c3[(*ab, s[k])] if c3[(*ab, s[k])] >= lm_trie.LEAST3 else 0
+                n3 = c3[(*ab, s[k])]
                 p = (n3 + (c2[ab] - held[ab] + lm_trie.MU3) * p) / (c2[ab] + lm_trie.MU3)
             score += math.log10(p)
         assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, len(ts), sum(c[w] > 0 for w in ts), total)
@@ -324,6 +324,12 @@ def test_lm_keeps_triples_that_occur_once(spark):
         assert math.isclose(got[i], score, rel_tol=2e-3, abs_tol=2e-3)
 
 
+def test_lm_with_a_shard_missing_raises(spark, odd):
+    model = lm_trie.train(odd)
+    with pytest.raises(Exception, match="nowhere"):
+        lm_trie.score(odd, model | {"base": "/tmp/nowhere"}).collect()
+
+
 def _auc(score: pd.Series, positive: pd.Series) -> float:
     rank = score.rank()
     return (rank[positive].sum() - positive.sum() * (positive.sum() + 1) / 2) / (positive.sum() * (~positive).sum())
