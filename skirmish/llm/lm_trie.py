@@ -438,7 +438,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
         for turn in range(ROUNDS):
             built = _counted(texts, shards, turn).repartition(max(1, 2 * shards // ROUNDS), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, n bigint, v bigint")
             bits = F.expr("bit_or(shiftleft(1L, cast(shard % 64 as int)))").alias("bits")
-            for r in built.groupBy(F.expr("shard div 64").alias("word")).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), bits).toLocalIterator():  # a row for 64 shards
+            for r in built.groupBy(F.expr("shard div 64").alias("word")).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), bits).collect():  # a row for 64 shards
                 n, v = n + r["n"], v + r["v"]
                 written[r["word"]] |= U64(r["bits"] & (1 << 64) - 1)
     finally:
