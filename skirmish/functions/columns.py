@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Zero-width and direction marks that names are stripped of.
-INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
 
 
 def upper_median(x: Column) -> Column:
@@ -66,3 +66,29 @@ def gamemode(map_name: Column) -> Column:
     for prefix, mode in (("pl_", "payload"), ("koth_", "koth"), ("ctf_", "ctf"), ("cp_", "cp"), ("mvm_", "mvm"), ("pd_", "pd")):
         out = out.when(map_name.startswith(prefix), mode)
     return out.otherwise("other")
+
+
+def variant_kind(name: Column) -> Column:
+    """What kind of variant a name tells, the first that fits."""
+    n = F.lower(name)
+    return F.when(n.rlike("botkiller"), "botkiller").when(n.rlike("^festive|festivized"), "festive").when(n.rlike("australium"), "australium").when(n.rlike("war ?paint|skin"), "warpaint").otherwise("stock")
+
+
+def display_name(token: Column) -> Column:
+    """A readable name from an internal token: prefix off, underscores as blanks, words capitalised."""
+    return F.initcap(F.regexp_replace(F.regexp_replace(token, "^TF_WEAPON_", ""), "_", " "))
+
+
+def account_id(text: Column) -> Column:
+    """The 17-digit id, or the vanity name, of a profile link."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(\d{17})", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"/id/([^/?#]+)", 1), F.lit("")))
+
+
+def snapped(x: Column, buckets: tuple[int, ...]) -> Column:
+    """The nearest bucket; the earlier one of two that are as near."""
+    return F.array_min(F.array(*(F.struct(F.abs(x - b).alias("d"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in enumerate(buckets))))["b"]
+
+
+def tier(x: Column, floors: tuple[int, ...]) -> Column:
+    """How many of the ascending floors x reaches."""
+    return sum(((x >= f).cast("int") for f in floors[1:]), (x >= floors[0]).cast("int"))

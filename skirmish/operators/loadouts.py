@@ -10,6 +10,7 @@ from ..functions.columns import ratio, two_proportions
 HOURS = (0, 30_000, 60_000, 120_000, 240_000)
 ACTIVITY = (0, 1, 300, 900)
 BOT = 0.5
+WEAPON_SLOT = 6
 
 
 def population() -> Column:
@@ -17,31 +18,72 @@ def population() -> Column:
     return F.col("personaname").isNotNull() & (F.col("vac_banned") == F.lit(False)) & (F.coalesce("botness", F.lit(0.0)) < BOT)
 
 
-def enriched(equipped: DataFrame, players: DataFrame, items: DataFrame) -> DataFrame:
-    """Equipped rows of eligible players with their item group and the players' experience."""
+#: The weapon that each class has where others have the pan family's.
+STOCK_MELEE = {1: 0, 4: 1, 7: 2, 2: 3, 8: 4, 6: 5, 3: 6, 9: 7, 5: 8}
+
+
+def enriched(equipped: DataFrame, players: DataFrame, items: DataFrame, pan: int = 264) -> DataFrame:
+    """Equipped rows of eligible players with their item group and the players' experience.
+
+    gid: the reskin group, or the item; cgid: as gid, but the family of `pan` counts as the stock weapon of the class.
+    """
     eligible = players.filter((F.col("items_status") == "ok") & (F.coalesce("botness", F.lit(0.0)) < BOT)).select("steamid", "lifetime_min", "active_min")
     groups = items.select("defindex", "reskin_group")
-    return equipped.join(eligible, "steamid").join(groups, "defindex", "left").withColumn("gid", F.coalesce("reskin_group", "defindex")).drop("reskin_group")
+    family = items.agg(F.coalesce(F.max(F.when(F.col("defindex") == pan, F.coalesce("reskin_group", "defindex"))), F.lit(pan)).alias("pan"))
+    out = equipped.join(eligible, "steamid").join(groups, "defindex", "left").withColumn("gid", F.coalesce("reskin_group", "defindex")).drop("reskin_group")
+    stock = F.try_element_at(F.create_map(*(F.lit(x) for kv in STOCK_MELEE.items() for x in kv)), F.col("class_num")).cast("long")
+    return out.crossJoin(F.broadcast(family)).withColumn("cgid", F.when(F.col("gid") == F.col("pan"), F.coalesce(stock, "gid")).otherwise(F.col("gid"))).drop("pan")  # one row
 
 
 def loadouts(facts: DataFrame) -> DataFrame:
-    """One row per player and class with the sorted distinct groups worn."""
-    return facts.groupBy("steamid", "class_num").agg(F.array_sort(F.collect_set("gid")).alias("gids"), F.max("lifetime_min").alias("lifetime_min"))
+    """One row per player and class with the sorted distinct groups worn: all, weapons (slots to 6) and all to slot 7, of class-wise groups."""
+    upto = lambda slot: F.array_sort(F.collect_set(F.when(F.col("slot_num") <= slot, F.col("cgid"))))
+    return facts.groupBy("steamid", "class_num").agg(F.array_sort(F.collect_set("gid")).alias("gids"), upto(WEAPON_SLOT).alias("weapon_gids"), upto(WEAPON_SLOT + 1).alias("all_gids"), F.max("lifetime_min").alias("lifetime_min"))
+
 
+def _reached(x: Column, floors: tuple[int, ...]) -> Column:
+    """The place of the highest of the ascending floors that x reaches, -1 below all."""
+    return sum(((x >= f).cast("int") for f in floors), F.lit(-1))
 
-def usage_cube(facts: DataFrame) -> DataFrame:
-    """Wearers of each group by class and slot, any class, any slot, and of each experience and activity threshold; -1 is any.
 
-    Each fact is expanded to the thresholds it meets, and one grouping-sets aggregation makes the rollups.
+def _every(df: DataFrame, *keys: str) -> DataFrame:
+    """Counts c by keys and highest thresholds (h, a), summed up for each pair of thresholds."""
+    wide = df.filter("h >= 0 and a >= 0").withColumn("hours", F.explode(F.sequence(F.lit(0), "h"))).withColumn("active", F.explode(F.sequence(F.lit(0), "a")))
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), F.col(i) + 1)
+    return wide.groupBy(*keys, at(HOURS, "hours").alias("hours"), at(ACTIVITY, "active").alias("active")).agg(F.sum("c").alias("c"))
+
+
+def usage_cube(facts: DataFrame, players: DataFrame, items: DataFrame, slots: DataFrame) -> DataFrame:
+    """Share of the places an item could be worn in, by class and slot, any class, any slot; -1 is any.
+
+    For each experience and activity threshold, for items as they are and for merged ones. Counts are rows; the
+    sample is all eligible players. A class is one place, any class as many as can wear the item (in the slot), 9 if
+    unknown. Facts are counted first by the highest thresholds they meet, so that only counts are expanded.
+    slots: defindex, class_num, slot_num.
     """
-    t = facts.withColumn("hours", F.explode(F.filter(F.array(*map(F.lit, HOURS)), lambda h: h <= F.col("lifetime_min"))))
-    t = t.withColumn("active", F.explode(F.filter(F.array(*map(F.lit, ACTIVITY)), lambda a: a <= F.col("active_min"))))
-    sets = [["hours", "active", "gid", "class_num", "slot_num"], ["hours", "active", "gid", "class_num"], ["hours", "active", "gid", "slot_num"], ["hours", "active", "gid"]]
-    keys = [F.col(c) for c in sets[0]]
-    out = t.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.count_distinct("steamid").alias("wearers"), F.grouping("class_num").alias("any_class"), F.grouping("slot_num").alias("any_slot"))
-    people = t.groupBy("hours", "active").agg(F.count_distinct("steamid").alias("sample"))
-    out = out.select("hours", "active", "gid", F.when(F.col("any_class") == 1, -1).otherwise(F.col("class_num")).alias("class_num"), F.when(F.col("any_slot") == 1, -1).otherwise(F.col("slot_num")).alias("slot_num"), "wearers")
-    return out.join(people, ["hours", "active"]).withColumn("usage", ratio(F.col("wearers"), F.col("sample")))
+    met = (_reached(F.col("lifetime_min"), HOURS).alias("h"), _reached(F.col("active_min"), ACTIVITY).alias("a"))
+    counts = facts.groupBy("class_num", "slot_num", "defindex", "gid", "cgid", *met).agg(F.count("*").alias("c"))
+    cells = _every(counts, "class_num", "slot_num", "defindex", "gid", "cgid")
+    eligible = players.filter((F.col("items_status") == "ok") & (F.coalesce("botness", F.lit(0.0)) < BOT))
+    sample = _every(eligible.groupBy(*met).agg(F.count("*").alias("c"))).withColumnRenamed("c", "sample")
+
+    def rollup(key: str, merged: bool, *sets: tuple[str, ...]) -> DataFrame:
+        keys = [F.col(c) for c in ("hours", "active", key, "class_num", "slot_num")]
+        out = cells.groupingSets([[*keys[:3], *map(F.col, s)] for s in sets], *keys).agg(F.sum("c").alias("c"), F.grouping("class_num").alias("gc"), F.grouping("slot_num").alias("gs"))
+        any_ = lambda flag, c: F.when(F.col(flag) == 1, -1).otherwise(F.col(c)).alias(c)
+        return out.select(F.lit(merged).alias("merged"), "hours", "active", F.col(key).alias("item"), any_("gc", "class_num"), any_("gs", "slot_num"), "c")
+
+    rows = rollup("defindex", False, ("class_num", "slot_num"), ("slot_num",), ("class_num",), ())
+    rows = rows.unionByName(rollup("cgid", True, ("class_num", "slot_num"), ("class_num",))).unionByName(rollup("gid", True, ("slot_num",), ()))
+    named = items.select("defindex", F.coalesce("reskin_group", "defindex").alias("gid"), F.array_distinct(F.array("class_a", "class_b")).alias("classes"))
+    both = named.select(F.lit(False).alias("merged"), F.col("defindex").alias("item"), "classes").unionByName(named.select(F.lit(True).alias("merged"), F.col("gid").alias("item"), "classes"))
+    classes = both.select("merged", "item", F.explode("classes").alias("k")).groupBy("merged", "item").agg(F.count_distinct("k").alias("n"))
+    worn = slots.join(named.select("defindex", "gid"), "defindex")
+    by_slot = worn.select(F.lit(False).alias("merged"), F.col("defindex").alias("item"), "slot_num", "class_num").unionByName(worn.select(F.lit(True).alias("merged"), F.col("gid").alias("item"), "slot_num", "class_num"))
+    by_slot = by_slot.groupBy("merged", "item", "slot_num").agg(F.count_distinct("class_num").alias("ns"))
+    out = rows.join(F.broadcast(sample), ["hours", "active"]).join(classes, ["merged", "item"], "left").join(by_slot, ["merged", "item", "slot_num"], "left")  # at most 20 rows
+    places = F.when(F.col("class_num") != -1, 1).when(F.col("slot_num") == -1, F.coalesce("n", F.lit(9))).otherwise(F.coalesce("ns", "n", F.lit(9)))
+    return out.select("merged", "hours", "active", "item", "class_num", "slot_num", F.col("c").alias("worn"), "sample", ratio(F.col("c"), F.col("sample") * places).alias("usage"))
 
 
 def combos(loads: DataFrame, size: int, least: int = 2, exclude: tuple[int, ...] = ()) -> DataFrame:
@@ -73,12 +115,16 @@ def pairs_with(loads: DataFrame, gid: int, top: int = 12) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).withColumn("share", ratio(F.col("n"), F.col("with_item"))).orderBy(F.desc("n"), "other").limit(top)
 
 
-def experience_compare(facts: DataFrame, low: int, high: int) -> DataFrame:
-    """Wearers of each group among players of two experience thresholds, with the test of their difference."""
-    a, b = F.col("lifetime_min") >= low, F.col("lifetime_min") >= high
-    wearers = lambda c: F.count_distinct(F.when(c, F.col("steamid")))
-    totals = facts.agg(wearers(a).alias("pop_a"), wearers(b).alias("pop_b"))
-    out = facts.groupBy("gid").agg(wearers(a).alias("count_a"), wearers(b).alias("count_b")).filter(F.col("count_a") + F.col("count_b") >= 2)
+def experience_compare(facts: DataFrame, class_num: int, slot_num: int, low: int, high: int) -> DataFrame:
+    """Wearers of each group in a class and slot among players of two experience thresholds, the largest difference first.
+
+    Populations are the loadouts of the class at each threshold. Each wearer of an item is counted once, by one distinct.
+    """
+    loads = facts.filter(F.col("class_num") == class_num).select("steamid", "lifetime_min").distinct()
+    totals = loads.agg(F.count_if(F.col("lifetime_min") >= low).alias("pop_a"), F.count_if(F.col("lifetime_min") >= high).alias("pop_b"))
+    worn = facts.filter((F.col("class_num") == class_num) & (F.col("slot_num") == slot_num)).select("cgid", "steamid", "lifetime_min").distinct()
+    out = worn.groupBy("cgid").agg(F.count_if(F.col("lifetime_min") >= low).alias("count_a"), F.count_if(F.col("lifetime_min") >= high).alias("count_b")).filter(F.col("count_a") + F.col("count_b") >= 2)
     test = two_proportions(F.col("count_a"), F.col("pop_a"), F.col("count_b"), F.col("pop_b"))
-    out = out.crossJoin(F.broadcast(totals)).withColumn("delta", ratio(F.col("count_b"), F.col("pop_b")) - ratio(F.col("count_a"), F.col("pop_a"))).withColumn("t", test)
-    return out.select("gid", "count_a", "count_b", "pop_a", "pop_b", "delta", F.col("t.z").alias("z"), F.col("t.significant").alias("significant"))
+    share = lambda x: F.col(f"count_{x}") / F.greatest(f"pop_{x}", F.lit(1))
+    out = out.crossJoin(F.broadcast(totals)).withColumn("delta", share("b") - share("a")).withColumn("t", test)  # one row
+    return out.select("cgid", "count_a", "count_b", "pop_a", "pop_b", "delta", F.col("t.z").alias("z"), F.col("t.significant").alias("significant")).orderBy(F.desc(F.abs("delta")), F.desc("count_b"), "cgid")

@@ -29,10 +29,24 @@ def match_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6)
 
 
 def trend(events: DataFrame, modes: tuple[str, ...]) -> DataFrame:
-    """Hourly means of per-scan sums, one column for each mode; a mode without scans in an hour is 0."""
+    """Hourly means of per-scan sums, one column for each mode; a mode without scans in an hour has none."""
     scans = events.groupBy(F.date_trunc("minute", "ts").alias("scan"), F.col("event_type").alias("mode")).agg(F.count("*").alias("players"))
     hourly = scans.groupBy(F.date_trunc("hour", "scan").alias("hour"), "mode").agg(F.avg("players").alias("players"))
-    return hourly.groupBy("hour").pivot("mode", list(modes)).agg(F.first("players")).na.fill(0.0)
+    return hourly.groupBy("hour").pivot("mode", list(modes)).agg(F.first("players"))
+
+
+def scan_totals(events: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """events: ts, user_id, gametype (tags, comma-separated). Rows by scan of five minutes and region, and how many carry each tag."""
+    parts = F.split("gametype", ",")
+    scans = events.groupBy(F.window("ts", "5 minutes")["start"].alias("scan"), (F.col("user_id") % 4).alias("region"))
+    return scans.agg(F.count("*").alias("servers"), *(F.count_if(F.array_contains(parts, t)).alias(t) for t in tags))
+
+
+def peaks(events: DataFrame) -> DataFrame:
+    """Players in the newest hour, and the highest hour of each day."""
+    hours = events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_distinct("user_id").alias("players"))
+    days = hours.groupBy(F.to_date("hour").alias("day")).agg(F.max("players").alias("peak"))
+    return days.crossJoin(F.broadcast(hours.agg(F.max_by("players", "hour").alias("live"))))  # one row
 
 
 def rush_hours(events: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ramp, ratio
-from .loadouts import population
+from .loadouts import WEAPON_SLOT, population
 
 LEAST_SECONDS = 36_000
-METRICS = ("kills", "damage_dealt", "points_scored", "dominations", "captures")
-HOUR_STEPS = (10, 50, 100)
+METRICS = ("kills", "kill_assists", "damage_dealt", "points_scored", "dominations", "captures", "defenses")
+HOUR_STEPS = (10, 50, 150, 500)
 
 
 def upper_medians(values: DataFrame, by: str, value: str) -> DataFrame:
@@ -40,11 +40,11 @@ def item_rates(facts: DataFrame, stats: DataFrame, metric: str = "points_scored"
 
 
 def class_medians(facts: DataFrame, stats: DataFrame, least_players: int = 3) -> DataFrame:
-    """Interpolated medians of points and kills an hour and damage a minute, by item group and class."""
+    """Interpolated medians of points and damage a minute and kills an hour, by class-wise item group and class; weapons only."""
     s = stats.filter(F.col("playtime_seconds") >= LEAST_SECONDS)
-    joined = facts.select("steamid", "class_num", "gid").distinct().join(s, ["steamid", "class_num"])
+    joined = facts.filter(F.col("slot_num") <= WEAPON_SLOT).select("steamid", "class_num", "cgid").distinct().join(s, ["steamid", "class_num"])
     per = lambda c, k: F.percentile(F.col(c) * k / F.col("playtime_seconds"), F.lit(0.5))
-    return joined.groupBy("gid", "class_num").agg(per("points_scored", 3600.0).alias("pph"), per("kills", 3600.0).alias("kph"), per("damage_dealt", 60.0).alias("dpm"), F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
+    return joined.groupBy("cgid", "class_num").agg(per("points_scored", 60.0).alias("ppm"), per("kills", 3600.0).alias("kph"), per("damage_dealt", 60.0).alias("dpm"), F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
 
 
 def board_values(stats: DataFrame, players: DataFrame) -> DataFrame:
@@ -58,6 +58,7 @@ def board_values(stats: DataFrame, players: DataFrame) -> DataFrame:
     scoped = s.groupingSets([[F.col("steamid"), F.col("class_num")], [F.col("steamid")]], F.col("steamid"), F.col("class_num")).agg(*sums, F.grouping("class_num").alias("g"))
     scope = F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("class_num").cast("string"))
     boards = [F.struct(F.concat(F.lit(f"{m}:"), scope, F.lit(":total")).alias("board"), F.col(m).cast("double").alias("value")) for m in METRICS]
+    boards.append(F.struct(F.concat(F.lit("playtime:"), scope, F.lit(":total")).alias("board"), F.col("playtime_seconds").cast("double").alias("value")))
     for m in METRICS:
         for h in HOUR_STEPS:
             value = F.when(F.col("playtime_seconds") >= h * 3600, F.col(m) * 3600.0 / F.col("playtime_seconds"))
@@ -83,7 +84,7 @@ def player_ranks(values: DataFrame, steamid: int) -> DataFrame:
     """One player's rank on every board by counting who is better: no sort, and one pass."""
     mine = values.filter(F.col("steamid") == steamid).select("board", F.col("value").alias("mine"))
     out = values.join(mine, "board").groupBy("board").agg((F.count_if(F.col("value") > F.col("mine")) + 1).alias("rank"), F.count("*").alias("of"), F.first("mine").alias("value"))
-    return out.withColumn("percentile", 100.0 * F.col("rank") / F.col("of"))
+    return out.withColumn("percentile", 100.0 * F.col("rank") / F.col("of")).orderBy(F.col("rank") / F.col("of"), "board")
 
 
 def counter_boards(facts: DataFrame, top: int = 100, full: int = 8500) -> DataFrame:
@@ -118,3 +119,16 @@ def country_shares(players: DataFrame) -> DataFrame:
     total = n.agg(F.sum("n").alias("total"))
     out = n.crossJoin(F.broadcast(total)).withColumn("share", ratio(F.col("n"), F.col("total"))).drop("total")
     return out.withColumn("factor", F.least(F.greatest(F.lit(0.15) / F.greatest("share", F.lit(0.15)), F.lit(0.25)), F.lit(1.0)))
+
+
+def combo_rates(loads: DataFrame, stats: DataFrame, metric: str = "points_scored", least_players: int = 5) -> DataFrame:
+    """Upper median of an hourly rate over the players who wear two groups together in a class."""
+    rate = F.col(metric) * 3600.0 / F.col("playtime_seconds")
+    rated = stats.filter(F.col("playtime_seconds") >= LEAST_SECONDS).select("steamid", "class_num", rate.alias("rate"))
+    n = F.size("g")
+    later = lambda i: F.when(i < n, F.sequence(i + 1, n)).otherwise(F.array().cast("array<int>"))
+    first = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(first, lambda i: F.transform(later(i), lambda j: F.concat_ws("+", F.element_at("g", i), F.element_at("g", j)))))
+    worn = loads.withColumn("g", F.col("weapon_gids")).select("steamid", "class_num", F.explode(pairs).alias("pair")).join(rated, ["steamid", "class_num"])
+    out = worn.groupBy("pair").agg(F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
+    return out.join(upper_medians(worn, "pair", "rate"), "pair").select("pair", F.col("rate").alias("value"), "players")

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import loadouts as lo
+from ..operators import matches as ma
 from ..operators import observations as ob
 from ..operators import ratings as ra
+from ..operators import social as so
 from ..registry import register
 from ..sources.tables import cte, load
 
-_FACTS = """facts AS (SELECT e.*, coalesce(i.reskin_group, e.defindex) AS gid, p.lifetime_min, p.active_min FROM equipped e
-  JOIN players p ON p.steamid = e.steamid AND p.items_status = 'ok' AND coalesce(p.botness, 0) < 0.5 LEFT JOIN items i ON i.defindex = e.defindex)"""
-_LOADS = "loads AS (SELECT steamid, class_num, list_sort(list(DISTINCT gid)) AS gids, max(lifetime_min) AS lifetime_min FROM facts GROUP BY 1, 2)"
+#: The item that stands for the pan family in the generated tables.
+PAN = 5
+_STOCK = " ".join(f"WHEN {c} THEN {w}" for c, w in lo.STOCK_MELEE.items())
+_FACTS = f"""fp AS (SELECT coalesce(max(coalesce(reskin_group, defindex)) FILTER (defindex = {PAN}), {PAN}) AS pan FROM items),
+f0 AS (SELECT e.*, coalesce(i.reskin_group, e.defindex) AS gid, p.lifetime_min, p.active_min FROM equipped e
+  JOIN players p ON p.steamid = e.steamid AND p.items_status = 'ok' AND coalesce(p.botness, 0) < 0.5 LEFT JOIN items i ON i.defindex = e.defindex),
+facts AS (SELECT f0.*, CASE WHEN gid = pan THEN coalesce(CASE class_num {_STOCK} END, gid) ELSE gid END AS cgid FROM f0, fp)"""
+_LOADS = """loads AS (SELECT steamid, class_num, list_sort(list(DISTINCT gid)) AS gids, coalesce(list_sort(list(DISTINCT cgid) FILTER (slot_num <= 6)), []) AS weapon_gids,
+  coalesce(list_sort(list(DISTINCT cgid) FILTER (slot_num <= 7)), []) AS all_gids, max(lifetime_min) AS lifetime_min FROM facts GROUP BY 1, 2)"""
 _POP = "personaname IS NOT NULL AND vac_banned = false AND coalesce(botness, 0) < 0.5"
 
 
 def _facts(spark, d):
-    return lo.enriched(load(spark, d, "equipped"), load(spark, d, "players"), load(spark, d, "items"))
+    return lo.enriched(load(spark, d, "equipped"), load(spark, d, "players"), load(spark, d, "items"), PAN)
 
 
 def _loads(spark, d):
@@ -28,18 +36,36 @@ def _values(spark, d):
     return ra.board_values(load(spark, d, "class_stats"), load(spark, d, "players"))
 
 
-register("enriched_equipped", lambda s, d: _facts(s, d).select("steamid", "class_num", "slot_num", "defindex", "gid", "quality", "strange_kills", "lifetime_min", "active_min"),
-         cte(f"WITH {_FACTS} SELECT steamid, class_num, slot_num, defindex, gid, quality, strange_kills, lifetime_min, active_min FROM facts"))
+register("enriched_equipped", lambda s, d: _facts(s, d).select("steamid", "class_num", "slot_num", "defindex", "gid", "cgid", "quality", "strange_kills", "lifetime_min", "active_min"),
+         cte(f"WITH {_FACTS} SELECT steamid, class_num, slot_num, defindex, gid, cgid, quality, strange_kills, lifetime_min, active_min FROM facts"))
 register("loadout_arrays", _loads, cte(f"WITH {_FACTS}, {_LOADS} SELECT * FROM loads"))
 
-_any = "CASE WHEN grouping({0}) = 1 THEN -1 ELSE {0} END AS {0}"
-register("usage_cube", lambda s, d: lo.usage_cube(_facts(s, d)), cte(f"""WITH {_FACTS},
+
+def _cube(spark, d):
+    items = load(spark, d, "items")
+    return lo.usage_cube(_facts(spark, d), load(spark, d, "players"), items, so.capabilities(items))
+
+
+_CAPS = """us AS (SELECT defindex, coalesce(reskin_group, defindex) AS gid, slot_num, unnest(list_distinct([class_a, class_b])) AS k FROM items),
+caps AS (SELECT defindex, gid, k AS class_num, CASE WHEN k = 2 AND defindex % 2 = 1 THEN 1 ELSE slot_num END AS slot_num FROM us)"""
+_CUBE = f"""{_FACTS}, {_CAPS},
 h AS (SELECT * FROM (VALUES (0), (30000), (60000), (120000), (240000)) t(hours)), a AS (SELECT * FROM (VALUES (0), (1), (300), (900)) t(active)),
+pop AS (SELECT hours, active, count(*) AS sample FROM players, h, a WHERE items_status = 'ok' AND coalesce(botness, 0) < 0.5 AND lifetime_min >= hours AND active_min >= active GROUP BY 1, 2),
 x AS (SELECT * FROM facts, h, a WHERE lifetime_min >= hours AND active_min >= active),
-c AS (SELECT hours, active, gid, {_any.format('class_num')}, {_any.format('slot_num')}, count(DISTINCT steamid) AS wearers FROM x
-  GROUP BY GROUPING SETS ((hours, active, gid, class_num, slot_num), (hours, active, gid, class_num), (hours, active, gid, slot_num), (hours, active, gid))),
-p AS (SELECT hours, active, count(DISTINCT steamid) AS sample FROM x GROUP BY 1, 2)
-SELECT c.*, sample, wearers::DOUBLE / sample AS usage FROM c JOIN p USING (hours, active)"""))
+ro AS (SELECT false AS merged, hours, active, defindex AS item, class_num, slot_num, count(*) AS worn FROM x GROUP BY ALL
+ UNION ALL SELECT false, hours, active, defindex, -1, slot_num, count(*) FROM x GROUP BY ALL UNION ALL SELECT false, hours, active, defindex, class_num, -1, count(*) FROM x GROUP BY ALL
+ UNION ALL SELECT false, hours, active, defindex, -1, -1, count(*) FROM x GROUP BY ALL UNION ALL SELECT true, hours, active, cgid, class_num, slot_num, count(*) FROM x GROUP BY ALL
+ UNION ALL SELECT true, hours, active, cgid, class_num, -1, count(*) FROM x GROUP BY ALL UNION ALL SELECT true, hours, active, gid, -1, slot_num, count(*) FROM x GROUP BY ALL
+ UNION ALL SELECT true, hours, active, gid, -1, -1, count(*) FROM x GROUP BY ALL),
+dc AS (SELECT false AS merged, defindex AS item, count(DISTINCT k) AS n FROM us GROUP BY ALL UNION ALL SELECT true, gid, count(DISTINCT k) FROM us GROUP BY ALL),
+ds AS (SELECT false AS merged, defindex AS item, slot_num, count(DISTINCT class_num) AS n FROM caps GROUP BY ALL UNION ALL SELECT true, gid, slot_num, count(DISTINCT class_num) FROM caps GROUP BY ALL),
+cube AS (SELECT ro.*, sample, worn::DOUBLE / (sample * CASE WHEN ro.class_num <> -1 THEN 1 WHEN ro.slot_num = -1 THEN coalesce(dc.n, 9) ELSE coalesce(ds.n, dc.n, 9) END) AS usage
+ FROM ro JOIN pop USING (hours, active) LEFT JOIN dc ON dc.merged = ro.merged AND dc.item = ro.item LEFT JOIN ds ON ds.merged = ro.merged AND ds.item = ro.item AND ds.slot_num = ro.slot_num)"""
+register("usage_cube", _cube, cte(f"WITH {_CUBE} SELECT * FROM cube"))
+register("usage_page", lambda s, d: so.usage_page(_cube(s, d).filter("merged"), 0, 0, -1, -1, 20, 20), cte(f"""WITH {_CUBE},
+r AS (SELECT item, worn, usage, row_number() OVER (ORDER BY usage DESC, item DESC) AS k, count(*) OVER () AS n FROM cube WHERE merged AND hours = 0 AND active = 0 AND class_num = -1 AND slot_num = -1)
+SELECT item, worn, usage, CASE WHEN n > 40 THEN 40 END AS next_offset FROM r WHERE k > 20 AND k <= 40"""))
+register("capabilities", lambda s, d: so.capabilities(load(s, d, "items")), cte(f"WITH {_CAPS} SELECT defindex, class_num, slot_num FROM caps"))
 
 for _n, _members, _joins in ((2, "[a, b]", ""), (3, "[a, b, c]", ", unnest(gids) t3(c)")):
     _where = "a < b" + (" AND b < c" if _n == 3 else "")
@@ -48,25 +74,26 @@ SELECT {_members} AS members, count(*) AS n, count(*)::DOUBLE / (SELECT count(*)
 
 register("item_pairs", lambda s, d: lo.pairs_with(_loads(s, d), 5), cte(f"""WITH {_FACTS}, {_LOADS}, m AS (SELECT * FROM loads WHERE list_contains(gids, 5)), t AS (SELECT count(*) AS with_item FROM m)
 SELECT other, count(*) AS n, with_item, count(*)::DOUBLE / with_item AS share FROM m, unnest(gids) u(other), t WHERE other <> 5 GROUP BY other, with_item ORDER BY n DESC, other LIMIT 12"""))
-register("experience_compare", lambda s, d: lo.experience_compare(_facts(s, d), 0, 120_000).drop("z"), cte(f"""WITH {_FACTS},
-t AS (SELECT count(DISTINCT steamid) AS pop_a, count(DISTINCT CASE WHEN lifetime_min >= 120000 THEN steamid END) AS pop_b FROM facts),
-g AS (SELECT gid, count(DISTINCT steamid) AS count_a, count(DISTINCT CASE WHEN lifetime_min >= 120000 THEN steamid END) AS count_b FROM facts GROUP BY gid HAVING count_a + count_b >= 2),
-z AS (SELECT *, (count_a + count_b)::DOUBLE / (pop_a + pop_b) AS p FROM g, t)
-SELECT gid, count_a, count_b, pop_a, pop_b, count_b::DOUBLE / pop_b - count_a::DOUBLE / pop_a AS delta,
- coalesce(abs(count_a::DOUBLE / pop_a - count_b::DOUBLE / pop_b) / nullif(sqrt(p * (1 - p) * (1.0 / pop_a + 1.0 / pop_b)), 0), 0) > 1.959964 AS significant FROM z"""))
+register("experience_compare", lambda s, d: lo.experience_compare(_facts(s, d), 3, 0, 0, 120_000), cte(f"""WITH {_FACTS}, {_LOADS},
+t AS (SELECT count(*) AS pop_a, count(*) FILTER (lifetime_min >= 120000) AS pop_b FROM loads WHERE class_num = 3),
+g AS (SELECT cgid, count(DISTINCT steamid) AS count_a, count(DISTINCT steamid) FILTER (lifetime_min >= 120000) AS count_b FROM facts WHERE class_num = 3 AND slot_num = 0 GROUP BY cgid HAVING count_a + count_b >= 2),
+z AS (SELECT *, (count_a + count_b)::DOUBLE / nullif(pop_a + pop_b, 0) AS p FROM g, t), e AS (SELECT *, sqrt(p * (1 - p) * (1.0 / nullif(pop_a, 0) + 1.0 / nullif(pop_b, 0))) AS err FROM z)
+SELECT cgid, count_a, count_b, pop_a, pop_b, count_b::DOUBLE / greatest(pop_b, 1) - count_a::DOUBLE / greatest(pop_a, 1) AS delta,
+ CASE WHEN err > 0 THEN (count_a::DOUBLE / pop_a - count_b::DOUBLE / pop_b) / err ELSE 0 END AS z, coalesce(abs(count_a::DOUBLE / pop_a - count_b::DOUBLE / pop_b) / nullif(err, 0), 0) > 1.959964 AS significant FROM e"""))
 
 register("item_rates", lambda s, d: ra.item_rates(_facts(s, d), load(s, d, "class_stats")), cte(f"""WITH {_FACTS},
 r AS (SELECT steamid, class_num, points_scored * 3600.0::DOUBLE / playtime_seconds AS rate, playtime_seconds / 3600.0::DOUBLE AS hours FROM class_stats WHERE playtime_seconds >= 36000),
 j AS (SELECT * FROM (SELECT DISTINCT steamid, class_num, gid FROM facts) JOIN r USING (steamid, class_num) WHERE rate <= 5000)
 SELECT gid, list_sort(list(rate))[cast(floor(count(*) / 2) AS int) + 1] AS value, count(DISTINCT steamid) AS players, avg(hours) AS avg_hours FROM j GROUP BY gid HAVING players >= 5"""))
 register("class_medians", lambda s, d: ra.class_medians(_facts(s, d), load(s, d, "class_stats")), cte(f"""WITH {_FACTS},
-j AS (SELECT * FROM (SELECT DISTINCT steamid, class_num, gid FROM facts) JOIN class_stats USING (steamid, class_num) WHERE playtime_seconds >= 36000)
-SELECT gid, class_num, quantile_cont(points_scored * 3600.0::DOUBLE / playtime_seconds, 0.5) AS pph, quantile_cont(kills * 3600.0::DOUBLE / playtime_seconds, 0.5) AS kph,
+j AS (SELECT * FROM (SELECT DISTINCT steamid, class_num, cgid FROM facts WHERE slot_num <= 6) JOIN class_stats USING (steamid, class_num) WHERE playtime_seconds >= 36000)
+SELECT cgid, class_num, quantile_cont(points_scored * 60.0::DOUBLE / playtime_seconds, 0.5) AS ppm, quantile_cont(kills * 3600.0::DOUBLE / playtime_seconds, 0.5) AS kph,
  quantile_cont(damage_dealt * 60.0::DOUBLE / playtime_seconds, 0.5) AS dpm, count(DISTINCT steamid) AS players FROM j GROUP BY 1, 2 HAVING players >= 3"""))
 
 _values_sql = " UNION ALL ".join(
     [f"SELECT '{m}:' || scope || ':total' AS board, steamid, {m}::DOUBLE AS value FROM sc" for m in ra.METRICS]
     + [f"SELECT '{m}:' || scope || ':per_hour:{h}h', steamid, {m} * 3600.0::DOUBLE / playtime_seconds FROM sc WHERE playtime_seconds >= {h * 3600}" for m in ra.METRICS for h in ra.HOUR_STEPS]
+    + ["SELECT 'playtime:' || scope || ':total', steamid, playtime_seconds::DOUBLE FROM sc"]
 )
 _VALUES = f"""el AS (SELECT class_stats.* FROM class_stats JOIN players USING (steamid) WHERE {_POP} AND playtime_seconds > 0),
 sc AS (SELECT steamid, CASE WHEN grouping(class_num) = 1 THEN 'all' ELSE class_num::VARCHAR END AS scope, {', '.join(f'sum({m}) AS {m}' for m in (*ra.METRICS, 'playtime_seconds'))} FROM el GROUP BY GROUPING SETS ((steamid, class_num), (steamid))),
@@ -110,11 +137,11 @@ def _names(s, d):
     return load(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
 
 
-register("similar_names", lambda s, d: ob.similar_names(_names(s, d), _names(s, d)), """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 300),
+register("similar_names", lambda s, d: ob.similar_names(_names(s, d), _names(s, d)), """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
 w AS (SELECT name, unnest(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM n), g AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS gram FROM (SELECT name, w, unnest(range(1, length(w) + 2)) AS i FROM w)),
 c AS (SELECT name, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM g x JOIN g y USING (gram) GROUP BY 1, 2),
 s AS (SELECT a, b, c::DOUBLE / (ca.n + cb.n - c) AS similarity FROM p JOIN c ca ON ca.name = a JOIN c cb ON cb.name = b)
-SELECT l.p_partkey AS left_key, r.p_partkey AS right_key, similarity FROM s JOIN part l ON l.p_name = a AND l.p_partkey < 300 JOIN part r ON r.p_name = b AND r.p_partkey < 300 WHERE similarity >= 0.3""")
+SELECT l.p_partkey AS left_key, r.p_partkey AS right_key, similarity FROM s JOIN part l ON l.p_name = a JOIN part r ON r.p_name = b WHERE similarity >= 0.3""")
 
 
 def _intervals(s, d):
@@ -123,16 +150,112 @@ def _intervals(s, d):
 
 
 register("in_intervals", lambda s, d: ob.in_intervals(load(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at")), _intervals(s, d)),
-         'WITH i AS (SELECT user_id AS key, ts AS s, ts + INTERVAL 30 HOUR AS e FROM events WHERE event_id % 10 = 0), p AS (SELECT DISTINCT user_id AS key, ts AS "at" FROM events) SELECT p.key, p."at", count(i.s) AS n FROM p LEFT JOIN i ON i.key = p.key AND i.s <= p."at" AND p."at" < i.e GROUP BY 1, 2')
+         'WITH i AS (SELECT user_id AS key, ts AS s, ts + INTERVAL 30 HOUR AS e FROM events), p AS (SELECT DISTINCT user_id AS key, ts AS "at" FROM events) SELECT p.key, p."at", count(i.s) AS n FROM p LEFT JOIN i ON i.key = p.key AND i.s <= p."at" AND p."at" < i.e GROUP BY 1, 2')
 
 
-def _snapshots(s, d):
+def _totals(s, d):
     from pyspark.sql import Window as W
 
     o = load(s, d, "orders").groupBy(F.col("o_custkey").alias("steamid"), F.col("o_orderdate").alias("at")).agg(F.sum(F.expr("cast(floor(o_totalprice) as bigint) * CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END")).alias("moved"))
     return o.withColumn("total", F.sum("moved").over(W.partitionBy("steamid").orderBy("at"))).drop("moved")
 
 
-register("stat_windows", lambda s, d: ob.stat_windows(_snapshots(s, d)), """WITH o AS (SELECT o_custkey AS steamid, o_orderdate AS t, sum(floor(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END) AS moved FROM orders GROUP BY 1, 2),
+register("stat_windows", lambda s, d: ob.stat_windows(_totals(s, d)), """WITH o AS (SELECT o_custkey AS steamid, o_orderdate AS t, sum(floor(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END) AS moved FROM orders GROUP BY 1, 2),
 l AS (SELECT steamid, t, lag(t) OVER (PARTITION BY steamid ORDER BY t) AS before, moved FROM o)
 SELECT steamid, before AS start, t AS "end", moved::BIGINT AS delta, moved < 0 AS reset, moved = 0 AS lag FROM l WHERE before IS NOT NULL""")
+
+# --- matches and windows -----------------------------------------------------------------------
+
+_SECS = "(epoch_us({1}) - epoch_us({0})) / 1e6::DOUBLE"
+_PPH = f"CASE WHEN observations >= 2 AND last_seen > first_seen THEN (last_score - first_score) * 3600.0::DOUBLE / ({_SECS.format('first_seen', 'last_seen')}) END"
+
+
+def _matches(f):
+    return lambda s, d: f(load(s, d, "segments"), load(s, d, "participants"))
+
+
+register("recent_segments", _matches(ma.recent_segments), cte("""WITH n AS (SELECT * FROM segments WHERE started > (SELECT max(started) FROM segments) - INTERVAL 10 DAY ORDER BY started DESC, segment LIMIT 50)
+SELECT n.segment, server, map, started, count(*) AS players, max(last_score) AS best FROM n JOIN participants p ON p.segment = n.segment GROUP BY ALL"""))
+register("sampled_maps", _matches(ma.sampled_maps), cte("SELECT map, count(*) AS participants, count(DISTINCT segment) AS segments FROM participants JOIN segments USING (segment) GROUP BY map ORDER BY participants DESC, map LIMIT 8"))
+register("segment_detail", _matches(ma.segment_detail), cte(f"""WITH p AS (SELECT *, {_PPH} AS pph FROM participants)
+SELECT segment, map, server, steamid, last_score, pph, row_number() OVER (PARTITION BY segment ORDER BY pph DESC NULLS LAST, last_score DESC, steamid) AS place FROM p JOIN segments USING (segment)"""))
+register("match_leaderboard", _matches(ma.match_leaderboard), cte(f"""WITH b AS (SELECT segment, steamid, observations, {_PPH} AS pph FROM participants WHERE observations >= 3 AND {_SECS.format('first_seen', 'last_seen')} >= 1800 AND last_score >= first_score
+  AND last_seen > (SELECT max(ended) FROM segments) - INTERVAL 20 DAY ORDER BY pph DESC, segment, steamid LIMIT 100) SELECT b.*, map FROM b JOIN segments USING (segment)"""))
+register("match_durations", lambda s, d: ma.match_durations(load(s, d, "segments")), cte(f"""WITH l AS (SELECT *, lag(ended) OVER (PARTITION BY server ORDER BY started, segment) AS before FROM segments WHERE observations >= 2),
+w AS (SELECT mode, map, {_SECS.format('started', 'ended')} AS n FROM l WHERE closed_by <> 'server_gone' AND {_SECS.format('before', 'started')} < 43200),
+g AS (SELECT mode, map, grouping(map) AS whole, count(*) AS matches, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS p75 FROM w GROUP BY GROUPING SETS ((mode, map), (mode)))
+SELECT mode, map, matches, p25, median, p75 FROM g WHERE whole = 1 OR matches >= 3"""))
+register("duration_histogram", lambda s, d: ma.duration_histogram(load(s, d, "segments")), cte(f"""WITH e AS (SELECT * FROM (VALUES (0, 0), (1, 3600), (2, 14400), (3, 28800), (4, 43200), (5, 10000000)) t(bucket, low)), n AS (SELECT {_SECS.format('started', 'ended')} AS n FROM segments)
+SELECT bucket, low, (SELECT count(*) FROM n WHERE n.n >= e.low AND n.n < coalesce((SELECT min(x.low) FROM e x WHERE x.low > e.low), 1e300)) AS n FROM e"""))
+
+_WINDOWS = """dl AS (SELECT steamid, snapshot, taken, class_num, seconds - coalesce(lag(seconds) OVER (PARTITION BY steamid, class_num ORDER BY taken, snapshot), 0) AS delta FROM snapshots),
+wh AS (SELECT steamid, snapshot, taken AS t, bool_or(delta < 0) AS reset, count(*) FILTER (delta > 0) AS n, min(class_num) FILTER (delta > 0) AS c FROM dl GROUP BY ALL),
+wn AS (SELECT steamid, snapshot, t, reset, n, c, lag(t) OVER (PARTITION BY steamid ORDER BY t, snapshot) AS start FROM wh)"""
+
+
+def _windows(s, d):
+    return ma.class_windows(load(s, d, "snapshots"))
+
+
+register("class_windows", lambda s, d: _windows(s, d).drop("moved"), cte(f'WITH {_WINDOWS} SELECT steamid, snapshot, start, t AS "end", reset, n = 0 AS lag, CASE WHEN n = 1 THEN c END AS pure_class FROM wn WHERE start IS NOT NULL'))
+register("moved_classes", lambda s, d: ma.moved_classes(_windows(s, d)), cte(f'WITH {_WINDOWS} SELECT steamid, snapshot, start, t AS "end", reset, class_num, delta FROM wn JOIN dl USING (steamid, snapshot) WHERE start IS NOT NULL AND delta > 0'))
+register("play_sessions", lambda s, d: ma.play_sessions(_windows(s, d)), cte(f"""WITH {_WINDOWS}, f AS (SELECT steamid, snapshot, row_number() OVER (PARTITION BY steamid ORDER BY t DESC, snapshot DESC) AS place FROM wn WHERE start IS NOT NULL AND NOT reset AND n > 0)
+SELECT steamid, snapshot, place, list(class_num ORDER BY delta DESC, class_num) AS classes, sum(delta)::BIGINT AS seconds FROM f JOIN dl USING (steamid, snapshot) WHERE place <= 25 AND delta > 0 GROUP BY ALL"""))
+
+
+def _stays(s, d):
+    x = load(s, d, "events").select((F.col("user_id") % 12).alias("key"), F.date_trunc("day", "ts").alias("start")).distinct()
+    return ma.overlapping_maps(x.withColumn("end", F.expr("start + INTERVAL 8 HOURS")), load(s, d, "participants"), load(s, d, "segments"))
+
+
+_STAYS = """wi AS (SELECT DISTINCT user_id % 12 AS key, date_trunc('day', ts)::TIMESTAMP AS s FROM events), st AS (SELECT steamid, map, first_seen, last_seen FROM participants JOIN segments USING (segment)),
+ma AS (SELECT key, s, coalesce(list_sort(list(DISTINCT map) FILTER (map IS NOT NULL)), []) AS maps FROM wi LEFT JOIN st ON steamid = key AND first_seen < s + INTERVAL 8 HOUR AND last_seen > s GROUP BY 1, 2)"""
+register("overlapping_maps", _stays, cte(f'WITH {_STAYS} SELECT key, s AS start, s + INTERVAL 8 HOUR AS "end", maps, CASE WHEN len(maps) = 1 THEN maps[1] END AS pure_map FROM ma'))
+
+
+def _played(s, d):
+    return load(s, d, "participants").join(load(s, d, "segments"), "segment").select("map", (F.col("steamid") % 9).alias("class_num"), (F.col("last_score") * 60).alias("seconds"))
+
+
+register("map_class_mix", lambda s, d: ma.map_shares(_played(s, d)), cte("""WITH p AS (SELECT map, steamid % 9 AS class_num, sum(last_score * 60)::BIGINT AS seconds FROM participants JOIN segments USING (segment) GROUP BY ALL),
+w AS (SELECT map, sum(seconds) AS total FROM p GROUP BY 1 HAVING total >= 3600 ORDER BY total DESC, map LIMIT 40) SELECT map, class_num, seconds, seconds::DOUBLE / total AS share FROM p JOIN w USING (map)"""))
+register("bracketing_snapshots", lambda s, d: ma.bracketing(load(s, d, "snapshots"), load(s, d, "orders").select(F.col("o_custkey").alias("steamid"), F.expr("o_orderdate + INTERVAL 36 HOURS").alias("at"))), cte("""WITH t AS (SELECT DISTINCT steamid, taken FROM snapshots),
+p AS (SELECT steamid, taken, lead(taken) OVER (PARTITION BY steamid ORDER BY taken) AS next FROM t), a AS (SELECT DISTINCT o_custkey AS steamid, o_orderdate + INTERVAL 36 HOUR AS "at" FROM orders)
+SELECT steamid, "at", taken AS start, next FROM p JOIN a USING (steamid) WHERE taken <= "at" AND "at" < next"""))
+register("trajectories", lambda s, d: ma.trajectories(load(s, d, "scores").withColumn("segment", F.floor(F.col("event_id") / 40))), cte("""SELECT CAST(floor(event_id / 40) AS BIGINT) AS segment, name, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(score, (ts, event_id)) AS first_score, arg_max(score, (ts, event_id)) AS last_score,
+ max(score) AS best, count(*) AS observations FROM scores GROUP BY ALL"""))
+
+# --- players, items, servers -------------------------------------------------------------------
+
+
+def _metric_totals(s, d):
+    return load(s, d, "class_stats").groupBy("steamid").agg(F.sum("kills").alias("kills"), F.sum("damage_dealt").alias("damage_dealt"))
+
+
+register("friend_ranks", lambda s, d: so.friend_ranks(_metric_totals(s, d), load(s, d, "friends"), 7), cte("""WITH c AS (SELECT b AS steamid FROM friends WHERE a = 7 UNION SELECT a FROM friends WHERE b = 7 UNION SELECT 7),
+t AS (SELECT steamid, sum(kills) AS kills, sum(damage_dealt) AS damage_dealt FROM class_stats JOIN c USING (steamid) GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY kills DESC) AS rk, rank() OVER (ORDER BY damage_dealt DESC) AS rd, count(*) OVER () AS of FROM t)
+SELECT of, 'kills' AS metric, rk AS rank FROM r WHERE steamid = 7 AND of >= 2 UNION ALL SELECT of, 'damage_dealt', rd FROM r WHERE steamid = 7 AND of >= 2"""))
+register("queue_eta", lambda s, d: so.queue_eta(load(s, d, "orders").select(F.col("o_orderkey").alias("steamid"), (F.col("o_custkey") % 5).alias("priority"), F.col("o_orderdate").alias("queued_at")), 40, 120.0), """WITH m AS (SELECT o_custkey % 5 AS p, o_orderdate AS t FROM orders WHERE o_orderkey = 40)
+SELECT count(*) FILTER (o_custkey % 5 > p OR (o_custkey % 5 = p AND o_orderdate < t)) AS ahead, count(*) AS queued, ahead / 120.0::DOUBLE AS hours FROM orders, m HAVING count(*) > 0 OR true""")
+register("recrawl", lambda s, d: so.recrawl(load(s, d, "players"), load(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("steamid")), (("vac_banned = false and active_min > 300", 150), ("items_status = 'private'", 50))), cte("""WITH o AS (SELECT * FROM players p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.steamid AND o.o_orderkey % 7 = 0))
+(SELECT steamid, 0 AS cohort FROM o WHERE vac_banned = false AND active_min > 300 ORDER BY active_min DESC, steamid LIMIT 150) UNION ALL (SELECT steamid, 1 FROM o WHERE items_status = 'private' ORDER BY active_min DESC, steamid LIMIT 50)"""))
+register("search", lambda s, d: so.search(load(s, d, "items"), load(s, d, "players"), "R"), cte("""(SELECT 'item' AS kind, defindex AS id, name FROM items WHERE contains(lower(name), 'r') ORDER BY slot_num = 0 DESC, name, defindex LIMIT 8)
+UNION ALL (SELECT 'player', steamid, personaname FROM players WHERE contains(lower(personaname), 'r') ORDER BY personaname, steamid LIMIT 5)"""))
+_COSMETIC = ", ".join(f"'{c}'" for c in so.COSMETIC)
+register("reskin_groups", lambda s, d: so.reskin_groups(load(s, d, "attributes")), cte(f"""WITH g AS (SELECT defindex, class_num, list_sort(list(DISTINCT attribute || '=' || value) FILTER (attribute NOT IN ({_COSMETIC}))) AS sign FROM attributes GROUP BY 1, 2)
+SELECT defindex, min(defindex) OVER w AS reskin_group, count(*) OVER w AS size FROM g WINDOW w AS (PARTITION BY class_num, sign) QUALIFY size >= 2"""))
+register("usage_deltas", lambda s, d: so.usage_deltas(load(s, d, "usage_days")), cte("""WITH m AS (SELECT max(day) AS now, coalesce(max(day) FILTER (day <= (SELECT max(day) FROM usage_days) - 90), min(day)) AS b4 FROM usage_days),
+x AS (SELECT gid, sum(CASE WHEN day = now THEN worn ELSE 0 END) AS a, sum(CASE WHEN day = b4 THEN worn ELSE 0 END) AS b FROM usage_days, m WHERE day IN (now, b4) GROUP BY 1), t AS (SELECT sum(a) AS na, sum(b) AS nb FROM x)
+SELECT gid, a::DOUBLE / na AS now, b::DOUBLE / nb AS "then", a::DOUBLE / na - b::DOUBLE / nb AS delta FROM x, t"""))
+register("counter_tiers", lambda s, d: so.counter_tiers(_facts(s, d)), cte(f"WITH {_FACTS} SELECT gid, CASE WHEN strange_kills >= 8500 THEN 5 WHEN strange_kills >= 1000 THEN 4 WHEN strange_kills >= 100 THEN 3 WHEN strange_kills >= 10 THEN 2 ELSE 1 END AS tier, count(*) AS copies FROM facts WHERE quality = 11 GROUP BY ALL"))
+register("item_counter_board", lambda s, d: so.item_counter_board(_facts(s, d), 5), cte(f"WITH {_FACTS} SELECT steamid, max(strange_kills) AS kills FROM facts WHERE defindex = 5 AND quality = 11 GROUP BY 1 ORDER BY kills DESC, steamid LIMIT 20"))
+register("combo_rates", lambda s, d: ra.combo_rates(_loads(s, d), load(s, d, "class_stats")), cte(f"""WITH {_FACTS}, {_LOADS}, r AS (SELECT steamid, class_num, points_scored * 3600.0::DOUBLE / playtime_seconds AS rate FROM class_stats WHERE playtime_seconds >= 36000),
+j AS (SELECT a || '+' || b AS pair, steamid, rate FROM loads JOIN r USING (steamid, class_num), unnest(weapon_gids) t1(a), unnest(weapon_gids) t2(b) WHERE a < b)
+SELECT pair, list_sort(list(rate))[cast(floor(count(*) / 2) AS int) + 1] AS value, count(DISTINCT steamid) AS players FROM j GROUP BY pair HAVING players >= 5"""))
+register("round_robin", lambda s, d: so.round_robin(load(s, d, "orders").select(F.col("o_orderkey").alias("server"), (F.col("o_custkey") % 6).alias("region"), F.floor("o_totalprice").alias("humans"), (F.col("o_orderkey") % 13).alias("tracked"))), """WITH x AS (SELECT o_orderkey AS server, o_custkey % 6 AS region, floor(o_totalprice)::BIGINT AS humans, o_orderkey % 13 AS tracked FROM orders),
+w AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY humans DESC, server) AS turn FROM x) SELECT * FROM w ORDER BY turn, tracked, region, server LIMIT 40""")
+register("inventory", lambda s, d: so.inventory(load(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("steamid")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(F.col("l_partkey").alias("defindex"), (F.col("l_linenumber") * 2 + 3).alias("quality")))), ","), F.lit("]")).alias("raw"))),
+         "SELECT l_orderkey AS steamid, l_partkey AS defindex, l_linenumber * 2 + 3 AS quality, count(*) AS copies, CASE l_linenumber * 2 + 3 WHEN 5 THEN 1 WHEN 11 THEN 2 WHEN 6 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS place FROM lineitem GROUP BY ALL")
+register("server_trend", lambda s, d: ob.trend(load(s, d, "events"), _MODES), "WITH s AS (SELECT date_trunc('minute', ts) AS scan, event_type AS m, count(*) AS n FROM events GROUP BY 1, 2), h AS (SELECT date_trunc('hour', scan)::TIMESTAMP AS hour, m, avg(n) AS a FROM s GROUP BY 1, 2) SELECT hour, " + ", ".join(f"max(a) FILTER (m = '{m}') AS {m}" for m in _MODES) + " FROM h GROUP BY 1")
+register("scan_totals", lambda s, d: ob.scan_totals(load(s, d, "events").withColumn("gametype", F.concat_ws(",", "event_type", F.when(F.col("value") > 50, "full"))), ("click", "full")), """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS scan, user_id % 4 AS region, count(*) AS servers, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (value > 50) AS "full" FROM events GROUP BY 1, 2""")
+register("peaks", lambda s, d: ob.peaks(load(s, d, "events")), "WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS n FROM events GROUP BY 1) SELECT hour::DATE AS day, max(n) AS peak, (SELECT arg_max(n, hour) FROM h) AS live FROM h GROUP BY 1")

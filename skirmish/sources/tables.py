@@ -21,8 +21,22 @@ VIEWS: dict[str, str] = {
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey GROUP BY o_custkey, l_linenumber, p_size % 3, l_partkey""",
     "class_stats": """SELECT o_custkey AS steamid, l_linenumber AS class_num, cast(sum(l_quantity) AS bigint) * 600 AS playtime_seconds,
   cast(sum(floor(l_extendedprice)) AS bigint) AS damage_dealt, cast(sum(floor(l_extendedprice / 100)) AS bigint) AS kills, cast(sum(floor(l_quantity * 3)) AS bigint) AS points_scored,
-  cast(sum(floor(l_discount * 100)) AS bigint) AS dominations, cast(sum(floor(l_tax * 100)) AS bigint) AS captures
+  cast(sum(floor(l_discount * 100)) AS bigint) AS dominations, cast(sum(floor(l_tax * 100)) AS bigint) AS captures,
+  cast(sum(floor(l_quantity)) AS bigint) AS kill_assists, cast(sum(floor(l_tax * 50)) AS bigint) AS defenses
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_linenumber""",
+    "segments": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, cast(floor(event_id / 40) AS bigint) % 5 AS server, concat('map', cast(cast(floor(event_id / 40) AS bigint) % 7 AS varchar(9))) AS map,
+  cast(floor(event_id / 40) AS bigint) % 3 AS mode, min(ts) AS started, max(ts) AS ended, count(*) AS observations,
+  CASE WHEN cast(floor(event_id / 40) AS bigint) % 4 = 3 THEN 'server_gone' ELSE 'map_change' END AS closed_by FROM {events} GROUP BY cast(floor(event_id / 40) AS bigint)""",
+    "participants": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, user_id % 12 AS steamid, min(ts) AS first_seen, max(ts) AS last_seen, cast(floor(min(value)) AS bigint) AS first_score,
+  CASE WHEN user_id % 12 = 5 THEN 0 ELSE cast(floor(max(value)) AS bigint) END AS last_score, count(*) AS observations FROM {events} GROUP BY cast(floor(event_id / 40) AS bigint), user_id % 12""",
+    "snapshots": """SELECT o_custkey AS steamid, o_orderdate AS taken, l_linenumber AS class_num,
+  sum(cast(floor(sum(l_quantity)) AS bigint) * CASE WHEN o_orderkey % 29 = 0 THEN -60 ELSE 60 END) OVER (PARTITION BY o_custkey, l_linenumber ORDER BY o_orderdate, o_orderkey) AS seconds, o_orderkey AS snapshot
+  FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderdate, l_linenumber, o_orderkey""",
+    "friends": """SELECT o_custkey AS a, 1 + (o_custkey * 7 + o_orderkey) % 150 AS b FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "usage_days": """SELECT cast(date_trunc('month', l_shipdate) AS date) AS day, l_partkey % 200 AS gid, count(*) AS worn FROM {lineitem} GROUP BY cast(date_trunc('month', l_shipdate) AS date), l_partkey % 200""",
+    "attributes": """SELECT p_partkey AS defindex, p_name AS name, 1 + p_partkey % 3 AS class_num, 'damage bonus' AS attribute, cast(p_size % 5 AS varchar(9)) AS value FROM {part}
+  UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'fire rate', cast(p_size % 2 AS varchar(9)) FROM {part} WHERE p_partkey % 4 <> 0
+  UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'set item tint rgb', cast(p_partkey AS varchar(9)) FROM {part}""",
     "scores": """SELECT event_id, ts, user_id % 2 AS server, concat('p', cast(user_id AS varchar(20))) AS name, greatest(cast(floor(value) AS bigint), 0) AS score, event_type, user_id, value FROM {events}""",
 }
 

@@ -11,7 +11,7 @@ def text(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(text, v)) + "]"
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "null"
     if isinstance(v, float):
         return f"{v:.9g}"
