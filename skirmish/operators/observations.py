@@ -28,6 +28,20 @@ def match_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6)
     return r.groupBy("server", "segment").agg(F.min("round").alias("started"), F.max("round").alias("ended"), F.first("map").alias("map"), F.count("*").alias("observations"), F.max("why").alias("opened_by"), F.sum("players").alias("seen"))
 
 
+def closed_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6, gone: int = 2) -> DataFrame:
+    """The segments of match_segments() that are closed, also by more than `gone` rounds without the server, and why. Batch twin of streaming.live.segments."""
+    order = W.partitionBy("server").orderBy("round")
+    away = scores.select("server", "round").distinct().withColumn("since", F.col("round") - F.lag("round").over(order)).filter(F.col("since") > gone)
+    opened = match_segments(scores, returning, dropped)
+    rounds = scores.groupBy("server", "round").agg(F.first("map").alias("map"))
+    starts = opened.select("server", F.col("started").alias("round"), F.col("opened_by").alias("why")).join(away.select("server", "round", F.lit(True).alias("away")), ["server", "round"], "full")
+    starts = starts.select("server", "round", F.when(F.col("away"), "server_gone").otherwise(F.col("why")).alias("why"))
+    r = rounds.join(starts, ["server", "round"], "left").withColumn("segment", F.count("why").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = r.groupBy("server", "segment").agg(F.min("round").alias("started"), F.max("round").alias("ended"), F.min_by("map", "round").alias("map"), F.count("*").alias("observations"), F.max("why").alias("why"))
+    out = whole.withColumn("closed_by", F.lead("why").over(W.partitionBy("server").orderBy("segment"))).filter("closed_by is not null")
+    return out.select("server", "started", "ended", "map", "observations", "closed_by")
+
+
 def trend(events: DataFrame, modes: tuple[str, ...]) -> DataFrame:
     """Hourly means of per-scan sums, one column for each mode; a mode without scans in an hour has none."""
     scans = events.groupBy(F.date_trunc("minute", "ts").alias("scan"), F.col("event_type").alias("mode")).agg(F.count("*").alias("players"))

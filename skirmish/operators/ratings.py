@@ -101,16 +101,40 @@ def counter_distribution(facts: DataFrame) -> DataFrame:
     return x.groupBy("gid").agg(F.count("*").alias("copies"), F.avg("strange_kills").alias("mean"), F.percentile("strange_kills", F.lit(0.5)).alias("median"), F.percentile("strange_kills", F.lit(0.9)).alias("p90"), F.max("strange_kills").alias("most"))
 
 
-def outliers(stats: DataFrame, kph: tuple[float, float] = (600, 1500), dpm: tuple[float, float] = (700, 3000), hours: tuple[float, float] = (15_000, 30_000)) -> DataFrame:
-    """A score in 0 to 1: 1 for what can't be, else independent signs combined as 1 - prod(1 - weight * sign)."""
-    s = stats.filter("playtime_seconds > 0")
-    k, d = F.col("kills") * 3600.0 / F.col("playtime_seconds"), F.col("damage_dealt") * 60.0 / F.col("playtime_seconds")
-    played = F.col("playtime_seconds") >= 3600
-    per = s.groupBy("steamid").agg(F.max(F.when(played, k).otherwise(0.0)).alias("kph"), F.max(F.when(played, d).otherwise(0.0)).alias("dpm"), (F.sum("playtime_seconds") / 3600.0).alias("hours"))
-    rate = F.greatest(ramp(F.col("kph"), *kph), ramp(F.col("dpm"), *dpm))
-    soft = 1 - (1 - 0.9 * rate) * (1 - 0.8 * ramp(F.col("hours"), *hours))
-    hard = (F.col("kph") > kph[1]) | (F.col("dpm") > dpm[1]) | (F.col("hours") > hours[1])
-    return per.select("steamid", F.when(hard, 1.0).otherwise(soft).alias("botness"))
+#: The stock weapons.
+STOCK = (*range(25), 29, 30, 735)
+#: Counters at or over this, or at the top of 32 bits, are the mark of a hack.
+HACKED, TOP = 1_000_000_000, 2_147_483_647
+
+
+def botness(stats: DataFrame, players: DataFrame, equipped: DataFrame, stock: tuple[int, ...] = STOCK, scale: float = 1.0) -> DataFrame:
+    """A score in 0 to 1: 1 for what can't be, else independent signs combined as 1 - prod(1 - weight * sign).
+
+    Signs: rates near the possible, time played, hours without points, stock weapons only, and much lifetime with
+    little of it played. scale: what a second of the stats counts for, for tables of short play.
+    """
+    t = F.col("playtime_seconds") * scale
+    hour, hours = t >= 3600, F.col("total") / 3600.0
+    per = lambda c, k: F.col(c) * F.lit(float(k)) / t
+    rates = {"kills": (3600, 600, 1500), "damage_dealt": (60, 700, 3000), "points_scored": (60, 6, 30)}
+    hack = F.lit(False)
+    for c in ("kills", "points_scored", "damage_dealt", "kill_assists"):
+        hack = hack | (F.col(c) >= HACKED) | (F.col(c) == TOP)
+    beyond = hour & ((per("kills", 3600) > 1500) | (per("damage_dealt", 60) > 3000) | (per("points_scored", 60) > 30))
+    sign = F.when(hour, F.greatest(*(ramp(per(c, k), lo, hi) for c, (k, lo, hi) in rates.items()))).otherwise(0.0)
+    own = stats.filter("playtime_seconds > 0").groupBy("steamid").agg(
+        F.sum(t).alias("total"), F.max(t).alias("longest"), F.bool_or(hack).alias("hack"), F.bool_or(beyond).alias("beyond"), F.max(sign).alias("rate"),
+        F.min(F.when(t >= 360_000, per("points_scored", 3600))).alias("least_pph"))
+    played = stats.filter(t >= 36_000).select("steamid", "class_num")
+    worn = equipped.filter("slot_num in (0, 1, 2)").join(played, ["steamid", "class_num"]).groupBy("steamid").agg(F.count_distinct("class_num").alias("classes"), F.count("*").alias("slots"), F.count_if(F.col("defindex").isin(*stock)).alias("stock"))
+    x = own.join(players.select("steamid", "lifetime_min"), "steamid").join(worn, "steamid", "left")
+    idle = F.when(F.col("least_pph").isNotNull(), ramp(-F.col("least_pph"), -5.0, -2.0)).otherwise(0.0)
+    plain = F.when((F.col("total") >= 300 * 3600) & (F.col("classes") >= 2), F.col("stock") / F.col("slots")).otherwise(0.0)
+    life = F.col("lifetime_min") * 60
+    absent = F.when((F.col("lifetime_min") >= 120_000) & (F.col("total") > 0) & (life > F.col("total")), ramp(-F.col("total") / life, -0.4, -0.1)).otherwise(0.0)
+    soft = 1 - (1 - 0.9 * F.col("rate")) * (1 - 0.8 * ramp(hours, 15_000.0, 30_000.0)) * (1 - 0.9 * idle) * (1 - 0.6 * plain) * (1 - 0.6 * absent)
+    hard = F.col("hack") | F.col("beyond") | (F.col("total") > 30_000 * 3600) | (F.col("longest") > 30_000 * 3600)
+    return x.select("steamid", F.when(hard, 1.0).otherwise(soft).alias("botness"))
 
 
 def country_shares(players: DataFrame) -> DataFrame:

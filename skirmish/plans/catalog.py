@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import health as he
 from ..operators import loadouts as lo
 from ..operators import matches as ma
 from ..operators import observations as ob
 from ..operators import ratings as ra
+from ..operators import sinks as si
 from ..operators import social as so
 from ..registry import register
 from ..sources.tables import cte, load
@@ -106,10 +108,16 @@ p AS (SELECT steamid, sum(k)::BIGINT AS total, max(k) AS best, count(*) FILTER (
 l AS (SELECT steamid, 'total' AS board, total AS value FROM p UNION ALL SELECT steamid, 'best', best FROM p UNION ALL SELECT steamid, 'full', p.full FROM p)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY value DESC, steamid) AS rank FROM l) WHERE rank <= 100"""))
 register("counter_distribution", lambda s, d: ra.counter_distribution(_facts(s, d)), cte(f"WITH {_FACTS} SELECT gid, count(*) AS copies, avg(strange_kills) AS mean, quantile_cont(strange_kills, 0.5) AS median, quantile_cont(strange_kills, 0.9) AS p90, max(strange_kills) AS most FROM facts WHERE quality = 11 GROUP BY gid"))
-register("outliers", lambda s, d: ra.outliers(load(s, d, "class_stats"), (100, 1500), (700, 9000), (1, 3000)), cte("""WITH q AS (SELECT steamid, max(CASE WHEN playtime_seconds >= 3600 THEN kills * 3600.0::DOUBLE / playtime_seconds ELSE 0 END) AS kph,
- max(CASE WHEN playtime_seconds >= 3600 THEN damage_dealt * 60.0::DOUBLE / playtime_seconds ELSE 0 END) AS dpm, sum(playtime_seconds) / 3600.0::DOUBLE AS hours FROM class_stats WHERE playtime_seconds > 0 GROUP BY 1)
-SELECT steamid, CASE WHEN kph > 1500 OR dpm > 9000 OR hours > 3000 THEN 1.0::DOUBLE ELSE 1 - (1 - 0.9::DOUBLE * greatest(least(greatest((kph - 100) / 1400.0::DOUBLE, 0), 1), least(greatest((dpm - 700) / 8300.0::DOUBLE, 0), 1)))
- * (1 - 0.8::DOUBLE * least(greatest((hours - 1) / 2999.0::DOUBLE, 0), 1)) END AS botness FROM q"""))
+_BOT_SCALE = 60
+register("botness", lambda s, d: ra.botness(load(s, d, "class_stats"), load(s, d, "players"), load(s, d, "equipped"), scale=_BOT_SCALE), cte(f"""WITH c AS (SELECT *, playtime_seconds * {_BOT_SCALE}::DOUBLE AS t FROM class_stats WHERE playtime_seconds > 0),
+a AS (SELECT steamid, sum(t) AS total, max(t) AS longest, bool_or(kills >= 1000000000 OR points_scored >= 1000000000 OR damage_dealt >= 1000000000 OR kill_assists >= 1000000000) AS hack,
+ bool_or(t >= 3600 AND (kills * 3600 / t > 1500 OR damage_dealt * 60 / t > 3000 OR points_scored * 60 / t > 30)) AS beyond,
+ max(CASE WHEN t >= 3600 THEN greatest(least(greatest((kills * 3600 / t - 600) / 900, 0), 1), least(greatest((damage_dealt * 60 / t - 700) / 2300, 0), 1), least(greatest((points_scored * 60 / t - 6) / 24, 0), 1)) ELSE 0 END) AS rate,
+ min(CASE WHEN t >= 360000 THEN points_scored * 3600 / t END) AS pph FROM c GROUP BY 1),
+w AS (SELECT e.steamid, count(DISTINCT e.class_num) AS classes, count(*) AS slots, count(*) FILTER (defindex IN {ra.STOCK}) AS stock FROM equipped e JOIN c ON c.steamid = e.steamid AND c.class_num = e.class_num AND c.t >= 36000 WHERE slot_num IN (0, 1, 2) GROUP BY 1)
+SELECT a.steamid, CASE WHEN hack OR beyond OR total > 108000000 OR longest > 108000000 THEN 1.0::DOUBLE ELSE 1 - (1 - 0.9::DOUBLE * rate) * (1 - 0.8::DOUBLE * least(greatest((total / 3600 - 15000) / 15000, 0), 1))
+ * (1 - 0.9::DOUBLE * coalesce(least(greatest((5 - pph) / 3, 0), 1), 0)) * (1 - 0.6::DOUBLE * CASE WHEN total >= 1080000 AND coalesce(classes, 0) >= 2 THEN stock::DOUBLE / slots ELSE 0 END)
+ * (1 - 0.6::DOUBLE * CASE WHEN lifetime_min >= 120000 AND lifetime_min * 60 > total THEN least(greatest((0.4 - total / (lifetime_min * 60)) / 0.3, 0), 1) ELSE 0 END) END AS botness FROM a JOIN players USING (steamid) LEFT JOIN w USING (steamid)"""))
 register("country_shares", lambda s, d: ra.country_shares(load(s, d, "players")), cte(f"WITH n AS (SELECT country, count(*) AS n FROM players WHERE {_POP} GROUP BY 1), f AS (SELECT country, n, n::DOUBLE / sum(n) OVER () AS share FROM n) SELECT *, least(greatest(0.15::DOUBLE / greatest(share, 0.15), 0.25), 1.0) AS factor FROM f"))
 
 _ROUNDS = """ob AS (SELECT server, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS round, name, max(score) AS score, CAST(floor(epoch(ts) / 172800) AS BIGINT) % 5 AS m FROM scores GROUP BY ALL)"""
@@ -259,3 +267,29 @@ register("inventory", lambda s, d: so.inventory(load(s, d, "lineitem").groupBy(F
 register("server_trend", lambda s, d: ob.trend(load(s, d, "events"), _MODES), "WITH s AS (SELECT date_trunc('minute', ts) AS scan, event_type AS m, count(*) AS n FROM events GROUP BY 1, 2), h AS (SELECT date_trunc('hour', scan)::TIMESTAMP AS hour, m, avg(n) AS a FROM s GROUP BY 1, 2) SELECT hour, " + ", ".join(f"max(a) FILTER (m = '{m}') AS {m}" for m in _MODES) + " FROM h GROUP BY 1")
 register("scan_totals", lambda s, d: ob.scan_totals(load(s, d, "events").withColumn("gametype", F.concat_ws(",", "event_type", F.when(F.col("value") > 50, "full"))), ("click", "full")), """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS scan, user_id % 4 AS region, count(*) AS servers, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (value > 50) AS "full" FROM events GROUP BY 1, 2""")
 register("peaks", lambda s, d: ob.peaks(load(s, d, "events")), "WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS n FROM events GROUP BY 1) SELECT hour::DATE AS day, max(n) AS peak, (SELECT arg_max(n, hour) FROM h) AS live FROM h GROUP BY 1")
+
+# --- sinks and health --------------------------------------------------------------------------
+
+
+def _halves(s, d):
+    x = load(s, d, "scores").select("name", "event_id", F.col("score").alias("first_score"), F.col("score").alias("last_score"), F.col("score").alias("best"), F.lit(1).cast("long").alias("n"))
+    x = x.withColumn("last_score", F.when(F.col("event_id") % 3 > 0, F.col("last_score")))
+    return x.filter("event_id % 2 = 0"), x.filter("event_id % 2 = 1")
+
+
+register("upsert", lambda s, d: si.upsert(*_halves(s, d), ["name"], "event_id", ("first_score",), ("last_score",), ("best",), ("n",)), cte("""SELECT name, arg_min(score, event_id) AS first_score, arg_max(score, event_id) FILTER (event_id % 3 > 0) AS last_score, max(score) AS best, count(*) AS n, max(event_id) AS event_id FROM scores GROUP BY 1"""))
+register("insert_ignore", lambda s, d: si.insert_ignore(load(s, d, "orders").filter("o_orderkey % 5 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")), load(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey"),
+         "SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderkey % 5 = 0), min(o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+register("corpus_counts", lambda s, d: he.corpus_counts(load(s, d, "players")), cte("SELECT count(*) AS players, count(personaname) AS named, count(*) FILTER (items_status = 'private') AS private, count(*) FILTER (vac_banned) AS banned, count(*) FILTER (botness >= 0.5) AS flagged, count(*) FILTER (active_min > 0) AS active FROM players"))
+register("frontier", lambda s, d: he.frontier(load(s, d, "players")), cte("WITH n AS (SELECT items_status, count(*) AS n, count(*) FILTER (active_min > 0) AS active FROM players GROUP BY 1) SELECT *, n::DOUBLE / sum(n) OVER () AS share FROM n"))
+register("top_countries", lambda s, d: he.top_countries(load(s, d, "players")), cte("SELECT country, count(*) AS n FROM players WHERE country IS NOT NULL GROUP BY 1 ORDER BY n DESC, country LIMIT 24"))
+register("class_totals", lambda s, d: he.class_totals(load(s, d, "class_stats")), cte("SELECT class_num, sum(playtime_seconds)::DOUBLE / 3600 AS hours, count(DISTINCT steamid) AS players, sum(points_scored)::BIGINT AS points FROM class_stats GROUP BY 1"))
+register("event_props", lambda s, d: he.keyed_values(load(s, d, "events").select("event_id", "props"), "props", "k int, absent string").select("event_id", "k", "absent"), "SELECT event_id, (props->>'k')::INT AS k, props->>'absent' AS absent FROM events")
+register("closed_segments", lambda s, d: ob.closed_segments(_observed(s, d)), cte(f"""WITH {_ROUNDS},
+r AS (SELECT server, round, any_value(m)::VARCHAR AS map FROM ob GROUP BY 1, 2), l AS (SELECT *, lag(round) OVER w AS before, lag(map) OVER w AS was FROM r WINDOW w AS (PARTITION BY server ORDER BY round)),
+b AS (SELECT n.server, n.round, count(*) AS came, count(*) FILTER (n.score < o.score) AS fell FROM ob n JOIN l USING (server, round) JOIN ob o ON o.server = n.server AND o.round = l.before AND o.name = n.name GROUP BY 1, 2),
+y AS (SELECT l.*, CASE WHEN before IS NULL THEN 'first' WHEN round - before > 2 THEN 'server_gone' WHEN map <> was THEN 'map_change' WHEN came >= 4 AND fell >= 0.6::DOUBLE * came THEN 'score_reset' END AS why FROM l LEFT JOIN b USING (server, round)),
+g AS (SELECT *, count(why) OVER (PARTITION BY server ORDER BY round) AS segment FROM y),
+e AS (SELECT server, segment, min(round) AS started, max(round) AS ended, arg_min(map, round) AS map, count(*) AS observations, max(why) AS why FROM g GROUP BY 1, 2),
+f AS (SELECT *, lead(why) OVER (PARTITION BY server ORDER BY segment) AS closed_by FROM e)
+SELECT server, started, ended, map, observations, closed_by FROM f WHERE closed_by IS NOT NULL"""))
