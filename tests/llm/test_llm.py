@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from skirmish.llm import chat_format, decontaminate, graph, line_dedup, lm_trie, mixing, ngram_jaccard, queries, quality_rules, secret_scan, toxicity, url_filter
+from skirmish.llm import chat_format, common, decontaminate, graph, line_dedup, lm_trie, mixing, ngram_jaccard, queries, quality_rules, secret_scan, toxicity, url_filter
 
 from ..compare import duck, rows
 
@@ -56,6 +56,30 @@ def test_pipeline_equals_its_sql(spark):
     assert rows(corpus_pipeline.run(spark, SF).toPandas()) == rows(duck(corpus_pipeline.ORACLE_SQL, SF))
 
 
+def test_pipeline_of_odd_rows_and_empty_tables(spark, odd, tmp_path):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, None)], "item_id int, text string")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == odd.columns
+        kept = [r["doc_id"] for r in out.collect()]
+        assert set(kept) <= {d[0] for d in ODD} - {7} and len(kept) == len(set(kept))
+    common.clear(spark)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(Session)
+
+
 def test_quality_of_odd_rows(odd, odd_duck):
     got = quality_rules.judge(odd).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept").toPandas()
     assert rows(got) == rows(duck(quality_rules.sql("src"), SF, src=odd_duck))
