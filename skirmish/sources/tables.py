@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +43,43 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: Fact tables that many queries read; built from the large base tables once and stored.
+STORED = ("equipped", "class_stats", "snapshots")
+_stored: dict[tuple, str] = {}
+_folders: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, or a domain table over base tables."""
+    """A base table, or a domain table over base tables. STORED ones are read from where they have been written."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in BASE if f"{{{t}}}" in text})
+    built = spark.sql(text, **{t: load(spark, sf_dir, t) for t in BASE if f"{{{t}}}" in text})
+    folder = _folder(spark) if name in STORED else None
+    if not folder:
+        return built
+    key = (folder, sf_dir, name, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in BASE if f"{{{t}}}" in text))
+    if key not in _stored:
+        path = f"{folder}/facts-{uuid.uuid4().hex}"
+        built.write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(built.schema).parquet(_stored[key])
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """Where facts are stored: the shared folder of the cluster, a temporary one of a local session, else nowhere."""
+    app = spark.sparkContext.applicationId
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{shared.rstrip('/')}/skirmish-{app}"
+    if spark.sparkContext.master.startswith("local["):
+        return _folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return None
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    """When the table was last written, so that facts of older rows aren't read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
 
 
 def cte(sql: str) -> str:
