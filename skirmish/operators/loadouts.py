@@ -58,32 +58,35 @@ def usage_cube(facts: DataFrame, players: DataFrame, items: DataFrame, slots: Da
 
     For each experience and activity threshold, for items as they are and for merged ones. Counts are rows; the
     sample is all eligible players. A class is one place, any class as many as can wear the item (in the slot), 9 if
-    unknown. Facts are counted first by the highest thresholds they meet, so that only counts are expanded.
-    slots: defindex, class_num, slot_num.
+    unknown. slots: defindex, class_num, slot_num.
+
+    Facts are read once and counted by the highest thresholds they meet; only these counts go into the eight roll-ups.
+    A roll-up's row holds its counts for all pairs of thresholds as columns, which become rows after the joins.
     """
     met = (_reached(F.col("lifetime_min"), HOURS).alias("h"), _reached(F.col("active_min"), ACTIVITY).alias("a"))
-    counts = facts.groupBy("class_num", "slot_num", "defindex", "gid", "cgid", *met).agg(F.count("*").alias("c"))
-    cells = _every(counts, "class_num", "slot_num", "defindex", "gid", "cgid")
+    counts = facts.groupBy("class_num", "slot_num", "defindex", "gid", "cgid", *met).agg(F.count("*").alias("c")).filter("h >= 0 and a >= 0")
+    anything = F.lit(-1).cast("long")
+    c, s = F.col("class_num").cast("long"), F.col("slot_num").cast("long")
+    kinds = [(False, "defindex", c, s), (False, "defindex", anything, s), (False, "defindex", c, anything), (False, "defindex", anything, anything)]
+    kinds += [(True, "cgid", c, s), (True, "cgid", c, anything), (True, "gid", anything, s), (True, "gid", anything, anything)]
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("merged"), F.col(i).alias("item"), k.alias("class_num"), p.alias("slot_num")) for m, i, k, p in kinds)))
+    pairs = [(i, j) for i in range(len(HOURS)) for j in range(len(ACTIVITY))]
+    upto = [F.sum(F.when((F.col("h") >= i) & (F.col("a") >= j), F.col("c"))).alias(f"c{n}") for n, (i, j) in enumerate(pairs)]
+    rows = counts.select(each.alias("k"), "h", "a", "c").select("k.*", "h", "a", "c").groupBy("merged", "item", "class_num", "slot_num").agg(*upto)
+
     eligible = players.filter((F.col("items_status") == "ok") & (F.coalesce("botness", F.lit(0.0)) < BOT))
     sample = _every(eligible.groupBy(*met).agg(F.count("*").alias("c"))).withColumnRenamed("c", "sample")
-
-    def rollup(key: str, merged: bool, *sets: tuple[str, ...]) -> DataFrame:
-        keys = [F.col(c) for c in ("hours", "active", key, "class_num", "slot_num")]
-        out = cells.groupingSets([[*keys[:3], *map(F.col, s)] for s in sets], *keys).agg(F.sum("c").alias("c"), F.grouping("class_num").alias("gc"), F.grouping("slot_num").alias("gs"))
-        any_ = lambda flag, c: F.when(F.col(flag) == 1, -1).otherwise(F.col(c)).alias(c)
-        return out.select(F.lit(merged).alias("merged"), "hours", "active", F.col(key).alias("item"), any_("gc", "class_num"), any_("gs", "slot_num"), "c")
-
-    rows = rollup("defindex", False, ("class_num", "slot_num"), ("slot_num",), ("class_num",), ())
-    rows = rows.unionByName(rollup("cgid", True, ("class_num", "slot_num"), ("class_num",))).unionByName(rollup("gid", True, ("slot_num",), ()))
     named = items.select("defindex", F.coalesce("reskin_group", "defindex").alias("gid"), F.array_distinct(F.array("class_a", "class_b")).alias("classes"))
     both = named.select(F.lit(False).alias("merged"), F.col("defindex").alias("item"), "classes").unionByName(named.select(F.lit(True).alias("merged"), F.col("gid").alias("item"), "classes"))
     classes = both.select("merged", "item", F.explode("classes").alias("k")).groupBy("merged", "item").agg(F.count_distinct("k").alias("n"))
-    worn = slots.join(named.select("defindex", "gid"), "defindex")
-    by_slot = worn.select(F.lit(False).alias("merged"), F.col("defindex").alias("item"), "slot_num", "class_num").unionByName(worn.select(F.lit(True).alias("merged"), F.col("gid").alias("item"), "slot_num", "class_num"))
-    by_slot = by_slot.groupBy("merged", "item", "slot_num").agg(F.count_distinct("class_num").alias("ns"))
-    out = rows.join(F.broadcast(sample), ["hours", "active"]).join(classes, ["merged", "item"], "left").join(by_slot, ["merged", "item", "slot_num"], "left")  # at most 20 rows
+    can = slots.join(named.select("defindex", "gid"), "defindex").select("slot_num", "class_num", F.explode(F.array(F.struct(F.lit(False).alias("merged"), F.col("defindex").alias("item")), F.struct(F.lit(True).alias("merged"), F.col("gid").alias("item")))).alias("i"))
+    by_slot = can.groupBy("i.merged", "i.item", F.col("slot_num").cast("long").alias("slot_num")).agg(F.count_distinct("class_num").alias("ns"))
     places = F.when(F.col("class_num") != -1, 1).when(F.col("slot_num") == -1, F.coalesce("n", F.lit(9))).otherwise(F.coalesce("ns", "n", F.lit(9)))
-    return out.select("merged", "hours", "active", "item", "class_num", "slot_num", F.col("c").alias("worn"), "sample", ratio(F.col("c"), F.col("sample") * places).alias("usage"))
+    out = rows.join(classes, ["merged", "item"], "left").join(by_slot, ["merged", "item", "slot_num"], "left").withColumn("places", places)
+    cells = F.explode(F.array(*(F.struct(F.lit(HOURS[i]).alias("hours"), F.lit(ACTIVITY[j]).alias("active"), F.col(f"c{n}").alias("worn")) for n, (i, j) in enumerate(pairs))))
+    out = out.select("merged", "item", "class_num", "slot_num", "places", cells.alias("x")).select("merged", "x.hours", "x.active", "item", "class_num", "slot_num", "x.worn", "places").filter("worn is not null")
+    out = out.join(F.broadcast(sample), ["hours", "active"])  # at most 20 rows
+    return out.select("merged", "hours", "active", "item", "class_num", "slot_num", "worn", "sample", ratio(F.col("worn"), F.col("sample") * F.col("places")).alias("usage"))
 
 
 def combos(loads: DataFrame, size: int, least: int = 2, exclude: tuple[int, ...] = ()) -> DataFrame:

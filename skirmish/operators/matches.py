@@ -72,16 +72,23 @@ def duration_histogram(segments: DataFrame, edges: tuple[int, ...] = (0, 3600, 1
 
 
 def class_windows(snapshots: DataFrame) -> DataFrame:
-    """snapshots: steamid, snapshot, taken, class_num, seconds so far. One row per player and snapshot but the first.
+    """snapshots: steamid, snapshot, taken, class_num, seconds so far. One row per player and snapshot but the first; before: the snapshot before.
 
     moved: class -> seconds gained since the class was seen last; reset if any fell; lag if none moved; pure_class if one did.
     """
     deltas = snapshots.withColumn("delta", F.col("seconds") - F.coalesce(F.lag("seconds").over(W.partitionBy("steamid", "class_num").orderBy("taken", "snapshot")), F.lit(0)))
     gained = F.when(F.col("delta") > 0, F.struct("class_num", "delta"))
     whole = deltas.groupBy("steamid", "snapshot", F.col("taken").alias("end")).agg(F.array_sort(F.collect_list(gained)).alias("moved"), F.bool_or(F.col("delta") < 0).alias("reset"))
-    whole = whole.withColumn("start", F.lag("end").over(W.partitionBy("steamid").orderBy("end", "snapshot"))).filter("start is not null")
+    order = W.partitionBy("steamid").orderBy("end", "snapshot")
+    whole = whole.withColumn("start", F.lag("end").over(order)).withColumn("before", F.lag("snapshot").over(order)).filter("start is not null")
     pure = F.when(F.size("moved") == 1, F.element_at("moved", 1)["class_num"])
-    return whole.select("steamid", "snapshot", "start", "end", "moved", "reset", (F.size("moved") == 0).alias("lag"), pure.alias("pure_class"))
+    return whole.select("steamid", "snapshot", "before", "start", "end", "moved", "reset", (F.size("moved") == 0).alias("lag"), pure.alias("pure_class"))
+
+
+def points_gained(snapshots: DataFrame) -> DataFrame:
+    """Points since the class was seen last, by player, snapshot and class."""
+    before = F.lag("points").over(W.partitionBy("steamid", "class_num").orderBy("taken", "snapshot"))
+    return snapshots.select("steamid", "snapshot", "class_num", (F.col("points") - F.coalesce(before, F.lit(0))).alias("points"))
 
 
 def moved_classes(windows: DataFrame) -> DataFrame:

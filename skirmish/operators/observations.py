@@ -87,36 +87,47 @@ def recapture(events: DataFrame, days: int = 7, least: float = 100) -> DataFrame
     return n.withColumn("estimate", (F.col("n1") + 1) * (F.col("n2") + 1) / (F.col("both") + 1) - 1)
 
 
+def near_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
+    """a, b, similarity: the pairs of distinct names, of the one column of left and of right, whose trigram sets have at least this Jaccard similarity."""
+    def grams(df: DataFrame, n: str, size: str) -> DataFrame:
+        return df.toDF(n).select(n, F.explode(trigrams(F.col(n))).alias("gram"), F.size(trigrams(F.col(n))).alias(size))
+
+    shared = grams(left, "a", "na").join(grams(right, "b", "nb"), "gram").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs of keys whose names' trigram sets have at least this Jaccard similarity; both: key, name.
 
     Names are first made distinct, so that a name many rows share is compared once and its keys are joined on at the end.
     """
-    def grams(df: DataFrame, n: str, size: str) -> DataFrame:
-        return df.select(F.col("name").alias(n)).distinct().select(n, F.explode(trigrams(F.col(n))).alias("gram"), F.size(trigrams(F.col(n))).alias(size))
-
-    shared = grams(left, "a", "na").join(grams(right, "b", "nb"), "gram").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    near = shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("similarity") >= least)
+    near = near_names(left.select("name").distinct(), right.select("name").distinct(), least)
     out = near.join(left.select(F.col("key").alias("left_key"), F.col("name").alias("a")), "a").join(right.select(F.col("key").alias("right_key"), F.col("name").alias("b")), "b")
     return out.select("left_key", "right_key", "similarity")
 
 
-def in_intervals(points: DataFrame, intervals: DataFrame, bin_seconds: int = 86_400) -> DataFrame:
+def in_intervals(points: DataFrame, intervals: DataFrame, bin_seconds: int = 86_400, value: str | None = None) -> DataFrame:
     """points: key, at. intervals: key, start, end (half-open). Each point with the number of intervals of its key that hold it.
 
+    value: a whole-number column of the intervals whose sum over these is returned as `total`.
+
     What is open at a time is the number of starts up to it less the number of ends up to it. Both are summed by key and time first,
     then within time bins and over the totals of bins, so neither a crowded key nor a long interval makes pairs of points and intervals.
     """
     whole = intervals.filter("key is not null and start < end")
-    moves = whole.select("key", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("by")))).alias("m"))
-    moves = moves.select("key", "m.at", "m.by", F.lit(False).alias("asked"))
-    times = moves.unionByName(points.select("key", "at", F.lit(0).alias("by"), F.lit(True).alias("asked"))).groupBy("key", "at").agg(F.sum("by").alias("by"), F.bool_or("asked").alias("asked"))
+    sums = {"by": "n"} | ({"much": "total"} if value else {})
+    much = F.col(value).cast("decimal(38,0)") if value else F.lit(None).cast("decimal(38,0)")
+    moves = whole.select("key", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by"), much.alias("much")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("by"), (-much).alias("much")))).alias("m"))
+    moves = moves.select("key", "m.at", *(f"m.{c}" for c in sums), F.lit(False).alias("asked"))
+    asked = points.select("key", "at", *(F.lit(0).alias(c) for c in sums), F.lit(True).alias("asked"))
+    times = moves.unionByName(asked).groupBy("key", "at").agg(*(F.sum(c).cast("long" if c == "by" else "decimal(38,0)").alias(c) for c in sums), F.bool_or("asked").alias("asked"))
     times = times.withColumn("bin", F.floor(F.unix_timestamp(F.col("at").cast("timestamp")) / bin_seconds))
-    bins = times.groupBy("key", "bin").agg(F.sum("by").alias("total"))
-    bins = bins.select("key", "bin", F.sum("total").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
-    within = times.withColumn("within", F.sum("by").over(W.partitionBy("key", "bin").orderBy("at"))).filter("asked")
-    n = F.when(F.col("at").isNull(), 0).otherwise(F.col("within") + F.coalesce("before", F.lit(0)))
-    return within.join(bins, ["key", "bin"], "left").select("key", "at", n.cast("long").alias("n"))
+    bins = times.groupBy("key", "bin").agg(*(F.sum(c).alias(c) for c in sums))
+    earlier = W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.select("key", "bin", *(F.sum(c).over(earlier).alias(f"before_{c}") for c in sums))
+    within = times.withColumns({f"within_{c}": F.sum(c).over(W.partitionBy("key", "bin").orderBy("at")) for c in sums}).filter("asked")
+    held = lambda c: F.when(F.col("at").isNull(), 0).otherwise(F.col(f"within_{c}") + F.coalesce(f"before_{c}", F.lit(0)))
+    return within.join(bins, ["key", "bin"], "left").select("key", "at", *(held(c).cast("long" if c == "by" else "decimal(38,0)").alias(name) for c, name in sums.items()))
 
 
 def stat_windows(snapshots: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def botness(stats: DataFrame, players: DataFrame, equipped: DataFrame, stock: tu
 
 def country_shares(players: DataFrame) -> DataFrame:
     """Share of the population by country, and the factor that damps crowded countries."""
-    n = players.filter(population()).groupBy("country").agg(F.count("*").alias("n"))
+    n = players.filter(population() & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     out = n.crossJoin(F.broadcast(total)).withColumn("share", ratio(F.col("n"), F.col("total"))).drop("total")
     return out.withColumn("factor", F.least(F.greatest(F.lit(0.15) / F.greatest("share", F.lit(0.15)), F.lit(0.25)), F.lit(1.0)))

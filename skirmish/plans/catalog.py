@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import attribution as at
 from ..operators import health as he
+from ..operators import intake as ta
 from ..operators import loadouts as lo
 from ..operators import matches as ma
 from ..operators import observations as ob
+from ..operators import pages as pa
 from ..operators import ratings as ra
 from ..operators import sinks as si
 from ..operators import social as so
@@ -118,7 +121,7 @@ w AS (SELECT e.steamid, count(DISTINCT e.class_num) AS classes, count(*) AS slot
 SELECT a.steamid, CASE WHEN hack OR beyond OR total > 108000000 OR longest > 108000000 THEN 1.0::DOUBLE ELSE 1 - (1 - 0.9::DOUBLE * rate) * (1 - 0.8::DOUBLE * least(greatest((total / 3600 - 15000) / 15000, 0), 1))
  * (1 - 0.9::DOUBLE * coalesce(least(greatest((5 - pph) / 3, 0), 1), 0)) * (1 - 0.6::DOUBLE * CASE WHEN total >= 1080000 AND coalesce(classes, 0) >= 2 THEN stock::DOUBLE / slots ELSE 0 END)
  * (1 - 0.6::DOUBLE * CASE WHEN lifetime_min >= 120000 AND lifetime_min * 60 > total THEN least(greatest((0.4 - total / (lifetime_min * 60)) / 0.3, 0), 1) ELSE 0 END) END AS botness FROM a JOIN players USING (steamid) LEFT JOIN w USING (steamid)"""))
-register("country_shares", lambda s, d: ra.country_shares(load(s, d, "players")), cte(f"WITH n AS (SELECT country, count(*) AS n FROM players WHERE {_POP} GROUP BY 1), f AS (SELECT country, n, n::DOUBLE / sum(n) OVER () AS share FROM n) SELECT *, least(greatest(0.15::DOUBLE / greatest(share, 0.15), 0.25), 1.0) AS factor FROM f"))
+register("country_shares", lambda s, d: ra.country_shares(load(s, d, "players")), cte(f"WITH n AS (SELECT country, count(*) AS n FROM players WHERE {_POP} AND country IS NOT NULL GROUP BY 1), f AS (SELECT country, n, n::DOUBLE / sum(n) OVER () AS share FROM n) SELECT *, least(greatest(0.15::DOUBLE / greatest(share, 0.15), 0.25), 1.0) AS factor FROM f"))
 
 _ROUNDS = """ob AS (SELECT server, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS round, name, max(score) AS score, CAST(floor(epoch(ts) / 172800) AS BIGINT) % 5 AS m FROM scores GROUP BY ALL)"""
 
@@ -205,7 +208,7 @@ def _windows(s, d):
     return ma.class_windows(load(s, d, "snapshots"))
 
 
-register("class_windows", lambda s, d: _windows(s, d).drop("moved"), cte(f'WITH {_WINDOWS} SELECT steamid, snapshot, start, t AS "end", reset, n = 0 AS lag, CASE WHEN n = 1 THEN c END AS pure_class FROM wn WHERE start IS NOT NULL'))
+register("class_windows", lambda s, d: _windows(s, d).drop("moved", "before"), cte(f'WITH {_WINDOWS} SELECT steamid, snapshot, start, t AS "end", reset, n = 0 AS lag, CASE WHEN n = 1 THEN c END AS pure_class FROM wn WHERE start IS NOT NULL'))
 register("moved_classes", lambda s, d: ma.moved_classes(_windows(s, d)), cte(f'WITH {_WINDOWS} SELECT steamid, snapshot, start, t AS "end", reset, class_num, delta FROM wn JOIN dl USING (steamid, snapshot) WHERE start IS NOT NULL AND delta > 0'))
 register("play_sessions", lambda s, d: ma.play_sessions(_windows(s, d)), cte(f"""WITH {_WINDOWS}, f AS (SELECT steamid, snapshot, row_number() OVER (PARTITION BY steamid ORDER BY t DESC, snapshot DESC) AS place FROM wn WHERE start IS NOT NULL AND NOT reset AND n > 0)
 SELECT steamid, snapshot, place, list(class_num ORDER BY delta DESC, class_num) AS classes, sum(delta)::BIGINT AS seconds FROM f JOIN dl USING (steamid, snapshot) WHERE place <= 25 AND delta > 0 GROUP BY ALL"""))
@@ -293,3 +296,116 @@ g AS (SELECT *, count(why) OVER (PARTITION BY server ORDER BY round) AS segment
 e AS (SELECT server, segment, min(round) AS started, max(round) AS ended, arg_min(map, round) AS map, count(*) AS observations, max(why) AS why FROM g GROUP BY 1, 2),
 f AS (SELECT *, lead(why) OVER (PARTITION BY server ORDER BY segment) AS closed_by FROM e)
 SELECT server, started, ended, map, observations, closed_by FROM f WHERE closed_by IS NOT NULL"""))
+
+# --- names on scoreboards ----------------------------------------------------------------------
+
+_NORM = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
+_GRAMS = "SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS gram FROM (SELECT name, w, unnest(range(1, length(w) + 2)) AS i FROM (SELECT name, unnest(list_filter(string_split_regex(name, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM %s))"
+_GROWING = "gr AS (SELECT * FROM (SELECT steamid, seen AS lo, lead(seen) OVER w AS hi, minutes, lead(minutes) OVER w AS later FROM logged WINDOW w AS (PARTITION BY steamid ORDER BY seen)) WHERE later > minutes)"
+_SCORED = f"""sn AS (SELECT segment, name AS shown, started, {_NORM.format('name')} AS norm FROM sighted), kn AS (SELECT steamid, recent_min, lower(personaname) AS low FROM personas WHERE personaname IS NOT NULL),
+an AS (SELECT DISTINCT norm AS name FROM sn), bn AS (SELECT DISTINCT low AS name FROM kn), ag AS ({_GRAMS % 'an'}), bg AS ({_GRAMS % 'bn'}),
+ac AS (SELECT name, count(*) AS n FROM ag GROUP BY 1), bc AS (SELECT name, count(*) AS n FROM bg GROUP BY 1), sh AS (SELECT ag.name AS norm, bg.name AS low, count(*) AS c FROM ag JOIN bg USING (gram) GROUP BY 1, 2),
+si AS (SELECT norm, low, c::DOUBLE / (ac.n + bc.n - c) AS similarity FROM sh JOIN ac ON ac.name = norm JOIN bc ON bc.name = low),
+ca AS (SELECT norm, steamid, recent_min, similarity, {_NORM.format('low')} = norm AS exact FROM si JOIN kn USING (low) WHERE similarity >= 0.3),
+cr AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY exact DESC, similarity DESC, steamid) AS place FROM ca),
+cc AS (SELECT *, count(*) OVER (PARTITION BY norm) AS candidates, count(*) FILTER (exact) OVER (PARTITION BY norm) AS same FROM cr WHERE place <= 50), {_GROWING},
+pl AS (SELECT DISTINCT steamid, started FROM (SELECT DISTINCT steamid, started FROM sn JOIN cc USING (norm)) JOIN gr USING (steamid) WHERE started BETWEEN lo AND hi),
+cs AS (SELECT segment, shown AS name, started, steamid, similarity, exact, coalesce(recent_min > 0, false) AS recent, pl.steamid IS NOT NULL AS played, place, candidates, same FROM sn JOIN cc USING (norm) LEFT JOIN pl USING (steamid, started)),
+sc AS (SELECT * EXCLUDE (candidates, same), least(greatest(0.45::DOUBLE * similarity + CASE WHEN exact THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN recent THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN played THEN 0.35::DOUBLE ELSE 0 END
+ + CASE WHEN exact AND same = 1 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN candidates > 20 THEN -0.1::DOUBLE ELSE 0 END, 0), 1) AS confidence FROM cs)"""
+_ATTRIBUTED = f"{_SCORED}, be AS (SELECT *, row_number() OVER (PARTITION BY segment, name ORDER BY confidence DESC, similarity DESC, place) AS r FROM sc), att AS (SELECT segment, name, steamid, similarity, exact, recent, played, confidence, played AND confidence >= 0.7 AS strong FROM be WHERE r = 1 AND confidence >= 0.9)"
+
+
+def _scores(s, d, segment=None):
+    seen = load(s, d, "sighted")
+    return at.scored(seen if segment is None else seen.filter(F.col("segment") == segment), load(s, d, "personas"), load(s, d, "logged"))
+
+
+register("attributions", lambda s, d: at.attributions(_scores(s, d)), cte(f"WITH {_ATTRIBUTED} SELECT * FROM att"))
+register("match_candidates", lambda s, d: at.candidate_tiers(_scores(s, d, 3)), cte(f"""WITH {_SCORED.replace("FROM sighted)", "FROM sighted WHERE segment = 3)")}
+SELECT segment, name, steamid, similarity, confidence, exact, recent, played, CASE WHEN played AND confidence >= 0.7 THEN 'strong' WHEN confidence >= 0.45 THEN 'possible' ELSE 'weak' END AS tier FROM sc"""))
+register("pending_names", lambda s, d: at.pending(load(s, d, "sighted"), load(s, d, "sighted").filter("segment % 4 = 1")).select("segment", "name", "started"), cte("""SELECT segment, name, started FROM sighted x WHERE started > (SELECT max(started) FROM sighted) - INTERVAL 14 DAY
+ AND NOT EXISTS (SELECT 1 FROM sighted y WHERE y.segment = x.segment AND y.name = x.name AND y.segment % 4 = 1) ORDER BY started DESC, segment, name LIMIT 4000"""))
+register("sightings", lambda s, d: at.sightings(load(s, d, "sighted"), load(s, d, "personas"), load(s, d, "logged")), cte(f"""WITH re AS (SELECT segment, name, started, {_NORM.format('name')} AS norm, greatest(last_score - first_score, 0) AS gain FROM sighted WHERE started > (SELECT max(started) FROM sighted) - INTERVAL 30 DAY),
+na AS (SELECT steamid, {_NORM.format('personaname')} AS norm FROM personas WHERE personaname IS NOT NULL), {_GROWING}
+SELECT segment, name, started, gain, count(DISTINCT steamid) AS players, CASE WHEN count(DISTINCT steamid) = 1 THEN max(steamid) END AS steamid FROM re JOIN na USING (norm) JOIN gr USING (steamid) WHERE started BETWEEN lo AND hi GROUP BY ALL"""))
+register("map_regulars", lambda s, d: pa.map_regulars(load(s, d, "segments"), at.attributions(_scores(s, d)), load(s, d, "players"), "map3"), cte(f"""WITH {_ATTRIBUTED}
+SELECT steamid, personaname, count(DISTINCT segment) AS segments FROM att JOIN segments USING (segment) JOIN players USING (steamid) WHERE map = 'map3' AND {_POP} GROUP BY ALL ORDER BY segments DESC, steamid LIMIT 500"""))
+register("regulars_weapons", lambda s, d: pa.regulars_weapons(_facts(s, d), pa.map_regulars(load(s, d, "segments"), at.attributions(_scores(s, d)), load(s, d, "players"), "map3"), 2), cte(f"""WITH {_ATTRIBUTED}, {_FACTS},
+rg AS (SELECT steamid, count(DISTINCT segment) AS segments FROM att JOIN segments USING (segment) JOIN players USING (steamid) WHERE map = 'map3' AND {_POP} GROUP BY ALL ORDER BY segments DESC, steamid LIMIT 500), en AS (SELECT count(*) AS regulars FROM rg)
+SELECT gid, count(DISTINCT steamid) AS players, regulars FROM facts JOIN rg USING (steamid), en WHERE slot_num BETWEEN 0 AND 6 AND regulars >= 2 GROUP BY ALL ORDER BY players DESC, gid LIMIT 12"""))
+register("map_scorers", lambda s, d: pa.map_scorers(load(s, d, "segments"), load(s, d, "participants"), "map3"), cte(f"""SELECT segment, steamid, observations, {_PPH} AS pph FROM (SELECT p.* FROM participants p JOIN segments s USING (segment) WHERE map = 'map3')
+WHERE observations >= 3 AND {_SECS.format('first_seen', 'last_seen')} >= 300 AND last_score >= first_score ORDER BY pph DESC, segment, steamid LIMIT 15"""))
+
+# --- pages -------------------------------------------------------------------------------------
+
+_GROUP = "gp AS (SELECT defindex, coalesce(reskin_group, defindex) AS gid FROM items WHERE coalesce(reskin_group, defindex) = (SELECT coalesce(reskin_group, defindex) FROM items WHERE defindex = {0}))"
+register("item_variants", lambda s, d: pa.item_variants(load(s, d, "equipped"), load(s, d, "items"), 8), cte(f"WITH {_GROUP.format(8)} SELECT defindex, quality, count(*) AS n FROM equipped WHERE defindex IN (SELECT defindex FROM gp) GROUP BY 1, 2"))
+register("item_usage", lambda s, d: pa.item_usage(_cube(s, d), load(s, d, "items"), 8), cte(f"WITH {_CUBE}, {_GROUP.format(8)} SELECT class_num, active >= 1 AS active_only, hours, worn, sample, usage FROM cube WHERE merged AND slot_num = -1 AND active IN (0, 1) AND hours IN (0, 120000) AND item IN (SELECT gid FROM gp)"))
+register("item_performance", lambda s, d: pa.item_performance(ra.class_medians(_facts(s, d), load(s, d, "class_stats")), load(s, d, "items"), PAN, PAN), cte(f"""WITH {_FACTS}, {_GROUP.format(PAN)},
+j AS (SELECT * FROM (SELECT DISTINCT steamid, class_num, cgid FROM facts WHERE slot_num <= 6) JOIN class_stats USING (steamid, class_num) WHERE playtime_seconds >= 36000)
+SELECT cgid, class_num, quantile_cont(points_scored * 60.0::DOUBLE / playtime_seconds, 0.5) AS ppm, quantile_cont(kills * 3600.0::DOUBLE / playtime_seconds, 0.5) AS kph,
+ quantile_cont(damage_dealt * 60.0::DOUBLE / playtime_seconds, 0.5) AS dpm, count(DISTINCT steamid) AS players FROM j WHERE cgid IN (SELECT gid FROM gp) OR cgid BETWEEN 0 AND 8 GROUP BY 1, 2 HAVING players >= 3"""))
+register("usage_history", lambda s, d: pa.usage_history(_cube(s, d), "2024-02-01"), cte(f"WITH {_CUBE} SELECT DATE '2024-02-01' AS day, item AS gid, worn, sample, usage FROM cube WHERE merged AND class_num = -1 AND slot_num = -1 AND hours = 0 AND active = 0"))
+register("profile_classes", lambda s, d: pa.profile_classes(load(s, d, "class_stats"), 7), cte("SELECT class_num, playtime_seconds / 3600.0::DOUBLE AS hours, kills * 3600::DOUBLE / playtime_seconds AS kph, damage_dealt * 60::DOUBLE / playtime_seconds AS dpm, points_scored * 3600::DOUBLE / playtime_seconds AS pph FROM class_stats WHERE steamid = 7"))
+register("profile_items", lambda s, d: pa.profile_items(load(s, d, "equipped"), load(s, d, "items"), 7), cte("SELECT class_num, e.slot_num, e.defindex, name, reskin_group, quality, strange_kills FROM equipped e LEFT JOIN items i ON i.defindex = e.defindex WHERE steamid = 7"))
+_WFACTS = f"""{_WINDOWS}, bf AS (SELECT steamid, snapshot, lag(snapshot) OVER (PARTITION BY steamid ORDER BY t, snapshot) AS prior FROM wh),
+pt AS (SELECT steamid, snapshot, class_num, points - coalesce(lag(points) OVER (PARTITION BY steamid, class_num ORDER BY taken, snapshot), 0) AS points FROM snapshots),
+ks AS (SELECT snapshot, class_num, list_sort(list(DISTINCT gid)) AS gids FROM kits WHERE slot_num <= 6 GROUP BY 1, 2),
+mv AS (SELECT wn.steamid, wn.snapshot, dl.class_num, delta AS seconds, n = 1 AS pure, coalesce(k1.gids, []) AS g1, coalesce(k0.gids, []) AS g0, bf.snapshot IN (SELECT snapshot FROM kits) AND prior IN (SELECT snapshot FROM kits) AS "both"
+ FROM wn JOIN dl USING (steamid, snapshot) JOIN bf USING (steamid, snapshot) LEFT JOIN ks k1 ON k1.snapshot = wn.snapshot AND k1.class_num = dl.class_num LEFT JOIN ks k0 ON k0.snapshot = prior AND k0.class_num = dl.class_num WHERE start IS NOT NULL AND NOT reset AND delta > 0),
+wf AS (SELECT mv.steamid, snapshot, mv.class_num, seconds, greatest(points, 0)::BIGINT AS points, CASE WHEN "both" THEN g1 ELSE [] END AS weapon_gids, bool_and("both" AND g1 = g0) OVER (PARTITION BY mv.steamid, snapshot) AS stable, pure, coalesce(lifetime_min, 0) AS lifetime_min
+ FROM mv JOIN pt USING (steamid, snapshot, class_num) JOIN players USING (steamid) WHERE coalesce(botness, 0) < 0.5)"""
+
+
+def _window_facts(s, d):
+    return pa.window_facts(_windows(s, d), ma.points_gained(load(s, d, "snapshots")), load(s, d, "kits"), load(s, d, "players"))
+
+
+register("window_facts", _window_facts, cte(f"WITH {_WFACTS} SELECT * FROM wf"))
+register("session_rates", lambda s, d: pa.session_rates(_window_facts(s, d), least_players=3), cte(f"""WITH {_WFACTS}, x AS (SELECT steamid, seconds, points * 3600.0::DOUBLE / seconds AS rate, unnest(weapon_gids) AS gid FROM wf WHERE stable AND seconds >= 600 AND points * 3600.0::DOUBLE / seconds <= 5000)
+SELECT gid, list_sort(list(rate))[cast(floor(count(*) / 2) AS int) + 1] AS value, count(DISTINCT steamid) AS players, sum(seconds)::DOUBLE / 3600 / count(DISTINCT steamid) AS avg_hours FROM x GROUP BY gid HAVING sum(seconds) >= 36000 AND players >= 3"""))
+_CONTINENT = "CASE region " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in pa.CONTINENTS.items()) + " END"
+_MODE = "CASE WHEN map LIKE 'plr\\_%' ESCAPE '\\' THEN 'other' WHEN map LIKE 'pl\\_%' ESCAPE '\\' THEN 'payload' WHEN map LIKE 'koth\\_%' ESCAPE '\\' THEN 'koth' WHEN map LIKE 'ctf\\_%' ESCAPE '\\' THEN 'ctf' WHEN map LIKE 'cp\\_%' ESCAPE '\\' THEN 'cp' ELSE 'other' END"
+_SUMS = "sum(players)::BIGINT AS players, sum(bots)::BIGINT AS bots, sum(servers)::BIGINT AS servers, sum(capacity)::BIGINT AS capacity, coalesce(sum(players) FILTER (official), 0)::BIGINT AS official_players, coalesce(sum(servers) FILTER (official), 0)::BIGINT AS official_servers"
+_OVERVIEW = f"""la AS (SELECT * FROM server_scans WHERE scanned_at = (SELECT max(scanned_at) FROM server_scans)), ov AS (SELECT 'total' AS section, '' AS key, {_SUMS} FROM la HAVING count(*) > 0 UNION ALL SELECT 'region', region::VARCHAR, {_SUMS} FROM la GROUP BY region
+ UNION ALL SELECT 'mode', {_MODE}, {_SUMS} FROM la GROUP BY 2 UNION ALL SELECT 'continent', {_CONTINENT}, {_SUMS} FROM la WHERE NOT official AND region BETWEEN 0 AND 7 GROUP BY 2 UNION ALL (SELECT 'map', map, {_SUMS} FROM la GROUP BY map ORDER BY players DESC, map LIMIT 30))"""
+register("server_overview", lambda s, d: pa.server_overview(load(s, d, "server_scans")), cte(f"WITH {_OVERVIEW} SELECT * FROM ov"))
+register("seat_fill", lambda s, d: pa.seat_fill(pa.server_overview(load(s, d, "server_scans"))), cte(f"WITH {_OVERVIEW} SELECT section, key, coalesce(players::DOUBLE / nullif(capacity, 0), 0) AS fill, coalesce(official_players::DOUBLE / nullif(players, 0), 0) AS official_share FROM ov"))
+register("server_rush", lambda s, d: pa.server_rush(load(s, d, "server_scans")), cte("""WITH b AS (SELECT scanned_at, coalesce(sum(players) FILTER (official), 0) AS o, coalesce(sum(players) FILTER (NOT official), 0) AS c FROM server_scans WHERE scanned_at > (SELECT max(scanned_at) FROM server_scans) - INTERVAL 7 DAY GROUP BY 1)
+SELECT hour(scanned_at)::INT AS hour, round(avg(o))::INT AS official, round(avg(c))::INT AS community FROM b GROUP BY 1"""))
+
+# --- intake ------------------------------------------------------------------------------------
+
+_STOCK_ROWS = ", ".join(f"({c}, {p}, {i})" for c, row in enumerate(ta.STOCK_ITEMS, 1) for p, i in enumerate(row) if i >= 0)
+_MEANT = "CASE WHEN class_num = 9 AND p IN (4, 6) THEN 5 WHEN class_num = 8 AND p = 1 THEN 0 WHEN class_num = 8 AND p = 4 THEN 1 ELSE p END"
+register("worn_rows", lambda s, d: ta.worn_rows(load(s, d, "backpack")), cte(f"""WITH st AS (SELECT * FROM (VALUES {_STOCK_ROWS}) t(class_num, p, defindex)), ok AS (SELECT *, CASE WHEN place < 7 THEN place WHEN place < 11 THEN 7 ELSE 8 END AS p FROM backpack WHERE class_num BETWEEN 1 AND 9 AND place <> 9),
+al AS (SELECT steamid, position, class_num, p, defindex, quality, kills, renamed FROM ok UNION ALL SELECT u.steamid, 1000000000000, st.class_num, st.p, st.defindex, 6, 0, false FROM (SELECT DISTINCT steamid FROM backpack) u, st
+ WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.steamid = u.steamid AND ok.class_num = st.class_num AND ok.p = st.p AND ok.p < 7)),
+sl AS (SELECT *, {_MEANT} AS slot_num FROM al) SELECT steamid, class_num, slot_num, defindex, arg_min(quality, (position, quality, kills, renamed)) AS quality, arg_min(kills, (position, quality, kills, renamed)) AS kills, arg_min(renamed, (position, quality, kills, renamed)) AS renamed FROM sl WHERE NOT (class_num = 8 AND slot_num = 3) GROUP BY 1, 2, 3, 4"""))
+
+
+def _stat_maps(s, d):
+    name = F.element_at(F.create_map(*(F.lit(x) for n, c in ta.CLASSES.items() for x in (c, n))), F.col("class_num").cast("int"))
+    pairs = F.array(*(F.struct(F.concat(name, F.lit(f".accum.{stat}")).alias("k"), F.col(c).alias("v")) for stat, c in ta.STATS.items()))
+    each = load(s, d, "class_stats").select("steamid", F.explode(pairs).alias("p"))
+    return each.groupBy("steamid").agg(F.map_from_entries(F.collect_list("p")).alias("stats"))
+
+
+register("class_rows", lambda s, d: ta.class_rows(_stat_maps(s, d)), cte(f"SELECT steamid, class_num, {', '.join(ta.STATS.values())} FROM class_stats WHERE playtime_seconds > 0"))
+register("unchanged", lambda s, d: ta.unchanged(load(s, d, "snapshots")), cte("WITH t AS (SELECT steamid, snapshot, taken, sum(seconds) AS n FROM snapshots GROUP BY ALL) SELECT steamid, snapshot, taken, coalesce(n = lag(n) OVER (PARTITION BY steamid ORDER BY taken, snapshot), false) AS unchanged FROM t"))
+_LOT = "(('0x' || substr(md5({0}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+register("weighted_draw", lambda s, d: ta.weighted_draw(load(s, d, "waiting"), {"seed": 8, "recrawl": 5, "friend_bfs": 4}, "draw"), cte(f"""WITH b AS (SELECT source, steamid, row_number() OVER (PARTITION BY source ORDER BY priority DESC, queued_at, steamid) AS r FROM waiting WHERE attempts < 3)
+SELECT source, steamid FROM b WHERE r = 1 ORDER BY power({_LOT.format("'draw/' || source")}, 1.0::DOUBLE / CASE source WHEN 'seed' THEN 8 WHEN 'recrawl' THEN 5 WHEN 'friend_bfs' THEN 4 ELSE 1 END) DESC, source LIMIT 1"""))
+_SIZES = f"""cn AS (SELECT country, count(*) AS n FROM players WHERE {_POP} AND country IS NOT NULL GROUP BY 1), cf AS (SELECT country, least(greatest(0.15::DOUBLE / greatest(n::DOUBLE / sum(n) OVER (), 0.15), 0.25), 1.0) AS factor FROM cn),
+fs AS (SELECT steamid, least(greatest(round(least(greatest(round(12 * log2(lifetime_min::DOUBLE / 100000 + 1)), 5), 30) * coalesce(factor, 1)), 5), 30)::INT AS k FROM players LEFT JOIN cf USING (country))"""
+
+
+def _sizes(s, d):
+    players = load(s, d, "players")
+    return ta.fan_out(players, ra.country_shares(players))
+
+
+register("fan_out", _sizes, cte(f"WITH {_SIZES} SELECT * FROM fs"))
+register("drawn_friends", lambda s, d: ta.drawn_friends(load(s, d, "friends"), _sizes(s, d), "draw"), cte(f"""WITH {_SIZES}, l AS (SELECT a, b, k, row_number() OVER (PARTITION BY a ORDER BY {_LOT.format("'draw/' || a || '/' || b")}, b) AS place FROM (SELECT DISTINCT a, b FROM friends) JOIN fs ON steamid = a)
+SELECT a, b, place FROM l WHERE place <= k"""))

@@ -32,13 +32,27 @@ VIEWS: dict[str, str] = {
     "participants": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, user_id % 12 AS steamid, min(ts) AS first_seen, max(ts) AS last_seen, cast(floor(min(value)) AS bigint) AS first_score,
   CASE WHEN user_id % 12 = 5 THEN 0 ELSE cast(floor(max(value)) AS bigint) END AS last_score, count(*) AS observations FROM {events} GROUP BY cast(floor(event_id / 40) AS bigint), user_id % 12""",
     "snapshots": """SELECT o_custkey AS steamid, o_orderdate AS taken, l_linenumber AS class_num,
-  sum(cast(floor(sum(l_quantity)) AS bigint) * CASE WHEN o_orderkey % 29 = 0 THEN -60 ELSE 60 END) OVER (PARTITION BY o_custkey, l_linenumber ORDER BY o_orderdate, o_orderkey) AS seconds, o_orderkey AS snapshot
+  sum(cast(floor(sum(l_quantity)) AS bigint) * CASE WHEN o_orderkey % 29 = 0 THEN -60 ELSE 60 END) OVER (PARTITION BY o_custkey, l_linenumber ORDER BY o_orderdate, o_orderkey) AS seconds, o_orderkey AS snapshot,
+  sum(cast(floor(sum(l_quantity) * 5 + sum(l_extendedprice) / 1000) AS bigint)) OVER (PARTITION BY o_custkey, l_linenumber ORDER BY o_orderdate, o_orderkey) AS points
   FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderdate, l_linenumber, o_orderkey""",
     "friends": """SELECT o_custkey AS a, 1 + (o_custkey * 7 + o_orderkey) % 150 AS b FROM {orders} WHERE o_orderkey % 3 = 0""",
     "usage_days": """SELECT cast(date_trunc('month', l_shipdate) AS date) AS day, l_partkey % 200 AS gid, count(*) AS worn FROM {lineitem} GROUP BY cast(date_trunc('month', l_shipdate) AS date), l_partkey % 200""",
     "attributes": """SELECT p_partkey AS defindex, p_name AS name, 1 + p_partkey % 3 AS class_num, 'damage bonus' AS attribute, cast(p_size % 5 AS varchar(9)) AS value FROM {part}
   UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'fire rate', cast(p_size % 2 AS varchar(9)) FROM {part} WHERE p_partkey % 4 <> 0
   UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'set item tint rgb', cast(p_partkey AS varchar(9)) FROM {part}""",
+    "kits": """SELECT o_orderkey AS snapshot, cast(c.class_num AS int) AS class_num, k.slot_num, (o_custkey + c.class_num * k.slot_num + CASE WHEN o_orderkey % 8 = c.class_num THEN 1 ELSE 0 END) % 40 AS gid
+  FROM {orders} CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7)) AS c(class_num) CROSS JOIN (VALUES (0), (2), (7)) AS k(slot_num) WHERE o_orderkey % 9 <> 0""",
+    "personas": """SELECT p_partkey AS steamid, CASE WHEN p_partkey % 13 <> 0 THEN concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN '  of ' ELSE ' ' END, cast(p_partkey % 40 AS varchar(9))) END AS personaname,
+  CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 4 * 30 END AS recent_min FROM {part}""",
+    "sighted": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, concat(' ', upper(p_name), '  ', cast(user_id % 40 AS varchar(9))) AS name, min(min(ts)) OVER (PARTITION BY cast(floor(event_id / 40) AS bigint)) AS started,
+  cast(floor(min(value)) AS bigint) AS first_score, cast(floor(max(value)) AS bigint) - 20 AS last_score FROM {events} JOIN {part} ON p_partkey = user_id GROUP BY cast(floor(event_id / 40) AS bigint), p_name, user_id % 40""",
+    "logged": """SELECT user_id AS steamid, ts AS seen, sum(cast(floor(value) AS bigint) % 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS minutes FROM {events}""",
+    "backpack": """SELECT o_custkey AS steamid, l_orderkey * 10 + l_linenumber AS position, l_partkey % 60 AS defindex, 5 + l_linenumber AS quality, cast(floor(l_extendedprice) AS bigint) % 9000 AS kills, l_partkey % 5 = 0 AS renamed,
+  l_linenumber + l_orderkey % 4 AS class_num, l_suppkey % 14 AS place FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "waiting": """SELECT o_orderkey AS steamid, CASE o_custkey % 4 WHEN 0 THEN 'seed' WHEN 1 THEN 'recrawl' WHEN 2 THEN 'friend_bfs' ELSE 'other' END AS source, o_orderkey % 5 AS priority, o_orderdate AS queued_at, o_orderkey % 6 AS attempts FROM {orders}""",
+    "server_scans": """SELECT date_trunc('hour', ts) AS scanned_at, CASE WHEN user_id % 9 = 8 THEN 255 ELSE user_id % 9 END AS region, CASE user_id % 6 WHEN 0 THEN 'pl_a' WHEN 1 THEN 'plr_b' WHEN 2 THEN 'koth_c' WHEN 3 THEN 'cp_d' WHEN 4 THEN 'ctf_e' ELSE 'trade_f' END AS map,
+  user_id % 4 = 0 AS official, count(*) AS players, count(*) % 3 AS bots, count(DISTINCT event_type) AS servers, 24 * count(DISTINCT event_type) AS capacity FROM {events}
+  GROUP BY date_trunc('hour', ts), user_id % 9, user_id % 6, user_id % 4 = 0""",
     "scores": """SELECT event_id, ts, user_id % 2 AS server, concat('p', cast(user_id AS varchar(20))) AS name, greatest(cast(floor(value) AS bigint), 0) AS score, event_type, user_id, value FROM {events}""",
 }
 
