@@ -96,14 +96,24 @@ def near_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFra
     return shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def name_classes(rows: DataFrame) -> DataFrame:
+    """rows: key, name. Each key with the least key of its name, which stands for all rows of the name; rows without a name have none."""
+    least = rows.filter("name is not null").groupBy("name").agg(F.min("key").alias("class_key"))
+    return rows.join(least, "name", "left").select("key", "name", "class_key")
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs of keys whose names' trigram sets have at least this Jaccard similarity; both: key, name.
+    """Pairs of names whose trigram sets have at least this Jaccard similarity; both: key, name.
 
-    Names are first made distinct, so that a name many rows share is compared once and its keys are joined on at the end.
+    One row per pair of distinct names: the least key of each (see name_classes() for the other keys), and how many rows
+    have it. So a name that very many rows share makes no more pairs than any other.
     """
-    near = near_names(left.select("name").distinct(), right.select("name").distinct(), least)
-    out = near.join(left.select(F.col("key").alias("left_key"), F.col("name").alias("a")), "a").join(right.select(F.col("key").alias("right_key"), F.col("name").alias("b")), "b")
-    return out.select("left_key", "right_key", "similarity")
+    def named(df: DataFrame, name: str, side: str) -> DataFrame:
+        return df.filter("name is not null").groupBy(F.col("name").alias(name)).agg(F.min("key").alias(f"{side}_key"), F.count("*").alias(f"{side}_rows"))
+
+    a, b = named(left, "a", "left"), named(right, "b", "right")
+    near = near_names(a.select("a"), b.select("b"), least)
+    return near.join(a, "a").join(b, "b").select("left_key", "right_key", "left_rows", "right_rows", "similarity")
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, bin_seconds: int = 86_400, value: str | None = None) -> DataFrame:

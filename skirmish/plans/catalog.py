@@ -151,8 +151,10 @@ def _names(s, d):
 register("similar_names", lambda s, d: ob.similar_names(_names(s, d), _names(s, d)), """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
 w AS (SELECT name, unnest(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM n), g AS (SELECT DISTINCT name, substr('  ' || w || ' ', i, 3) AS gram FROM (SELECT name, w, unnest(range(1, length(w) + 2)) AS i FROM w)),
 c AS (SELECT name, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM g x JOIN g y USING (gram) GROUP BY 1, 2),
-s AS (SELECT a, b, c::DOUBLE / (ca.n + cb.n - c) AS similarity FROM p JOIN c ca ON ca.name = a JOIN c cb ON cb.name = b)
-SELECT l.p_partkey AS left_key, r.p_partkey AS right_key, similarity FROM s JOIN part l ON l.p_name = a JOIN part r ON r.p_name = b WHERE similarity >= 0.3""")
+s AS (SELECT a, b, c::DOUBLE / (ca.n + cb.n - c) AS similarity FROM p JOIN c ca ON ca.name = a JOIN c cb ON cb.name = b),
+k AS (SELECT p_name AS name, min(p_partkey) AS key, count(*) AS n FROM part GROUP BY 1)
+SELECT l.key AS left_key, r.key AS right_key, l.n AS left_rows, r.n AS right_rows, similarity FROM s JOIN k l ON l.name = a JOIN k r ON r.name = b WHERE similarity >= 0.3""")
+register("name_classes", lambda s, d: ob.name_classes(_names(s, d)), "SELECT p_partkey AS key, p_name AS name, min(p_partkey) OVER (PARTITION BY p_name) AS class_key FROM part")
 
 
 def _intervals(s, d):

@@ -25,13 +25,16 @@ def test_similar_names_of_the_whole_table(spark):
             x, y = grams(a), grams(b)
             if len(x & y) >= 0.3 * len(x | y):
                 want[a, b] = (keys[a] * keys[b], round(len(x & y) / len(x | y), 9))
-    name = spark.read.parquet(f"{SF}/part.parquet")
+    members = registry.queries()["name_classes"](spark, SF)
+    assert members.count() == sum(keys.values())
     got = registry.queries()["similar_names"](spark, SF)
+    rows_of = got.select("left_key", "right_key", "left_rows", "right_rows").collect()
+    assert len(rows_of) == len(want)
     for side, n in (("left_key", "a"), ("right_key", "b")):
-        got = got.join(name.select(F.col("p_partkey").alias(side), F.col("p_name").alias(n)), side)
-    found = got.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_distinct("left_key", "right_key").alias("pairs"), F.max("similarity").alias("s")).collect()
+        got = got.join(members.select(F.col("class_key").alias(side), F.col("key").alias(f"{n}_member"), F.col("name").alias(n)), side)
+    found = got.groupBy("a", "b", "left_rows", "right_rows").agg(F.count("*").alias("n"), F.count_distinct("a_member", "b_member").alias("pairs"), F.max("similarity").alias("s")).collect()
     assert {(r["a"], r["b"]): (r["n"], round(r["s"], 9)) for r in found} == want
-    assert all(r["n"] == r["pairs"] for r in found)
+    assert all(r["n"] == r["pairs"] == r["left_rows"] * r["right_rows"] for r in found)
 
 
 def test_in_intervals_counts_the_intervals_of_all_events(spark):
