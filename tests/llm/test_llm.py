@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skirmish.llm import chat_format, common, decontaminate, graph, line_dedup, lm_trie, mixing, ngram_jaccard, queries, quality_rules, secret_scan, toxicity, url_filter
@@ -404,3 +405,39 @@ def test_empty_tables(spark, odd):
     assert lm_trie.score(odd, lm_trie.train(empty)).filter("n_known > 0").count() == 0
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+CLASHES = tuple(dict.fromkeys("_text n key label labels h w a b c d k v x at by sig code size home member members gid part shard held_out score predicted kept judged rejected failed fails rate rates host topic tokens cell cells factor probability lot word words hit hits n_words n_hit n_items n_lines n_deleted line lines rank ranks head tail start end pos position component_id n_shingles shingle group cut texts found marked possible spans kind lang_ source_ row_number count base_failed contaminated item_id".split()))
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Stages return the columns of their input, whatever they are called, and keep rows without an id; repeated rows count as rows."""
+    good = "\n".join(" ".join(f"w{i * 7 + j * 31}" for j in range(12)) for i in range(4))
+    base = [(None, good + " alpha", "en", "a", 5), (None, PASSAGE + " beta", "en", "a", 5), (3, good.replace("w", "v"), None, None, None), (3, good.replace("w", "v"), None, None, None), (None, None, None, None, None), (4, "", "de", "b", 0)]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id int, text string")
+    stages = {
+        "quality": quality_rules.passed(docs), "lines": line_dedup.deduped(docs), "jaccard": ngram_jaccard.representatives(docs),
+        "clean": decontaminate.clean(docs, bench), "mixed": mixing.mixed(docs),
+    }
+    kept = {name: df.collect() for name, df in stages.items()}
+    assert all(df.columns == docs.columns for df in stages.values())
+    assert all(r[c] == i for found in kept.values() for r in found for i, c in enumerate(CLASHES))
+    texts = {name: sorted(r["text"] or "" for r in found) for name, found in kept.items()}
+    assert good + " alpha" in texts["jaccard"] and texts["jaccard"].count(good.replace("w", "v")) == 1
+    assert PASSAGE + " beta" not in texts["clean"] and len(texts["clean"]) == 5
+    assert good + " alpha" in texts["lines"] and good + " alpha" in texts["quality"]
+    scored = [toxicity.score(docs, None), secret_scan.digest(secret_scan.scan(docs)), lm_trie.score(docs, lm_trie.train(docs)), mixing.mix_weights(docs), ngram_jaccard.similar_groups(docs), line_dedup.line_dedup(docs)]
+    assert [len(df.collect()) for df in scored] == [6] * len(scored)
+    pages = spark.createDataFrame([(None, None), (1, "http://" + "a" * 100_000 + ".org/fr/x"), (1, "http://good.net/" + "p" * 100_000), (2, ""), (2, "")], "page_id long, url string").withColumns({c: F.lit(i) for i, c in enumerate(("_host", "_path", "score", "n", "kind", "features"))})
+    judged = url_filter.judge(pages).collect()
+    assert len(judged) == 5 and sorted(r["rule"] or "" for r in judged) == ["", "", "", "net/", "org/fr/"]
+
+
+def test_chats_with_very_long_and_missing_parts(spark):
+    """Rows of no conversation, turns that tie, texts of a megabyte, and columns named as the operator's own."""
+    long = "</s> x" * 200_000
+    chats = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", None), (None, 0, "user", "b"), (3, None, None, None)]
+    frame = spark.createDataFrame(chats, "conv_id long, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("formatted", "segments", "state", "valid", "loss", "turns")})
+    got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_chats(frame)).collect()}
+    assert got[1]["n_turns"] == 2 and got[1]["loss_chars"] == len(long) and got[2]["n_turns"] == 3 and got[2]["loss_chars"] == 0
