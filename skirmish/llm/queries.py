@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, lm_trie, mixing, ngram_jaccard, quality_rules, secret_scan, toxicity, url_filter
+from . import chat_format, collocations, decontaminate, line_dedup, lm_trie, mixing, ngram_jaccard, quality_rules, ranked_search, secret_scan, simhash, toxicity, url_filter
 from .common import read
 
 
@@ -57,6 +57,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -70,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scan": secret_scan.sql(),
         "op9_quality_rules": quality_rules.sql(),
         "op10_line_dedup": line_dedup.sql(),
+        "op12_ranked_search": ranked_search.sql(),
+        "op13_collocations": collocations.sql(),
     }
