@@ -226,14 +226,18 @@ def sql(docs: str = "documents", least: int = LEAST, best: int = BEST, share: in
     """DuckDB SQL for collocations() of two and three words."""
     return f"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM {docs}),
-w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM d),
-g AS (SELECT lang, m, ws[i:i + m - 1] AS g, count(*) AS a FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m) GROUP BY ALL),
+p AS (SELECT lang, row_number() OVER () AS q, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM d),
+w AS (SELECT lang, q, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM p),
+t AS (SELECT lang, w AS x, lead(w) OVER s AS y, lead(w, 2) OVER s AS z FROM w WINDOW s AS (PARTITION BY q ORDER BY i)),
+g AS (SELECT lang, 1 AS m, x AS g, count(*) AS a FROM t GROUP BY ALL UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM t WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM t WHERE z IS NOT NULL GROUP BY ALL),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
-c AS (SELECT * FROM g WHERE m > 1 AND a >= {least}),
-k AS (SELECT c.lang, c.m, c.g, c.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN g y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+c AS (SELECT *, string_split(g, ' ') AS ws FROM g WHERE m > 1 AND a >= {least}),
+h AS (SELECT *, array_to_string(ws[1:k], ' ') AS lg, array_to_string(ws[k + 1:], ' ') AS rg FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+k AS (SELECT h.lang, h.m, h.g, h.a, k, x.a AS l, y.a AS r, ((1000000::HUGEINT * h.a * h.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM h JOIN g x ON x.lang = h.lang AND x.g = h.lg JOIN g y ON y.lang = h.lang AND y.g = h.rg),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-o AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, g[1:2] AS g, a FROM c WHERE m = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE m = 3) GROUP BY ALL),
-f AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE m = 3 OR longer IS NULL OR 100 * longer < {share} * a)
+o AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS g, a FROM c WHERE m = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE m = 3) GROUP BY ALL),
+f AS (SELECT b.lang, b.g AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE m = 3 OR longer IS NULL OR 100 * longer < {share} * a)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM f) JOIN n USING (lang) WHERE rank <= {best}"""
