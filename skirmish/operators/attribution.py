@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, normal_name
-from .observations import in_intervals, near_names
+from .observations import in_intervals
+from .similarity import near_names
 
 SURE = 0.9
 

@@ -12,10 +12,9 @@ def corpus_counts(players: DataFrame) -> DataFrame:
     return players.agg(F.count("*").alias("players"), F.count_if(known).alias("named"), F.count_if(F.col("items_status") == "private").alias("private"), F.count_if("vac_banned").alias("banned"), F.count_if(flagged).alias("flagged"), F.count_if(F.col("active_min") > 0).alias("active"))
 
 
-def frontier(players: DataFrame) -> DataFrame:
-    """Players by where they stand, with those seen and the share of all."""
-    by = players.groupBy("items_status").agg(F.count("*").alias("n"), F.count_if(F.col("active_min") > 0).alias("active"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("all")))).select("items_status", "n", "active", (F.col("n") / F.col("all")).alias("share"))  # one row
+def frontier(queue: DataFrame) -> DataFrame:
+    """What is queued, by source, and since when at the longest. queue: source, enqueued_at."""
+    return queue.groupBy("source").agg(F.count("*").alias("n"), F.min("enqueued_at").alias("oldest"))
 
 
 def top_countries(players: DataFrame, top: int = 24) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .percentiles import percentile_columns
 
 
 def seconds(a: Column, b: Column) -> Column:
@@ -50,16 +51,24 @@ def match_leaderboard(segments: DataFrame, participants: DataFrame, observations
     return best.join(segments.select("segment", "map"), "segment")
 
 
-def match_durations(segments: DataFrame, gap: float = 43_200, least: int = 3) -> DataFrame:
+WITNESSED = ("score_reset", "map_change")
+
+
+def match_durations(segments: DataFrame, gap: float = 540, least: int = 5) -> DataFrame:
     """Median and quartiles of the lengths of segments whose both ends were seen, by mode and map and by mode.
 
-    A begin was seen if the server's segment before ended less than `gap` seconds earlier, an end if the server didn't vanish.
+    Both this segment and the server's one before were closed by a reset of scores or a change of map, and less than `gap` seconds lie
+    between them. Segments seen once don't count, neither as matches nor as the one before. Maps need `least` matches.
     """
-    s = segments.filter("observations >= 2").withColumn("before", F.lag("ended").over(W.partitionBy("server").orderBy("started", "segment")))
-    s = s.filter((F.col("closed_by") != "server_gone") & (seconds(F.col("before"), F.col("started")) < gap)).withColumn("length", seconds(F.col("started"), F.col("ended")))
-    quartile = lambda q: F.percentile("length", F.lit(q))
-    out = s.groupingSets([[F.col("mode"), F.col("map")], [F.col("mode")]], F.col("mode"), F.col("map")).agg(F.count("*").alias("matches"), quartile(0.25).alias("p25"), quartile(0.5).alias("median"), quartile(0.75).alias("p75"), F.grouping("map").alias("whole"))
-    return out.filter((F.col("whole") == 1) | (F.col("matches") >= least)).select("mode", "map", "matches", "p25", "median", "p75")
+    order = W.partitionBy("server").orderBy("started", "segment")
+    s = segments.filter("observations >= 2").withColumn("before", F.lag("ended").over(order)).withColumn("why", F.lag("closed_by").over(order))
+    s = s.filter(F.col("closed_by").isin(*WITNESSED) & F.col("why").isin(*WITNESSED) & (seconds(F.col("before"), F.col("started")) < gap) & (F.col("ended") > F.col("started")))
+    s = s.withColumn("length", seconds(F.col("started"), F.col("ended")))
+    both = s.select("mode", F.coalesce("map", F.lit("")).alias("map"), F.lit(0).alias("whole"), "length").unionByName(s.select("mode", F.lit("").alias("map"), F.lit(1).alias("whole"), "length"))
+    by = ["mode", "map", "whole"]
+    counts = both.groupBy(*by).agg(F.count("*").alias("matches")).filter((F.col("whole") == 1) | (F.col("matches") >= least))
+    out = counts.join(percentile_columns(both, by, "length", {"p25": 0.25, "median": 0.5, "p75": 0.75}), by)
+    return out.select("mode", F.when(F.col("whole") == 0, F.col("map")).alias("map"), "matches", "p25", "median", "p75")
 
 
 def duration_histogram(segments: DataFrame, edges: tuple[int, ...] = (0, 3600, 14_400, 28_800, 43_200, 10_000_000)) -> DataFrame:
@@ -104,17 +113,75 @@ def play_sessions(windows: DataFrame, top: int = 25) -> DataFrame:
     return newest.select("steamid", "snapshot", "place", by_time.alias("classes"), F.aggregate("moved", F.lit(0).cast("long"), lambda a, m: a + m["delta"]).alias("seconds"))
 
 
-def overlapping_maps(windows: DataFrame, participants: DataFrame, segments: DataFrame) -> DataFrame:
-    """Windows of one key with the distinct maps of the stays that overlap them (half-open); pure_map if there is one.
+def overlapping(windows: DataFrame, stays: DataFrame, bin_seconds: int | None = None) -> DataFrame:
+    """windows: key, window, start, end. stays: key, map, from, to. The distinct (key, window, map) with from < end and to > start.
 
-    windows: key, start, end. Stays are joined on the key, so a window only meets the stays of its own key.
+    Time is cut into bins, and windows and stays at their edges; two of them overlap if their parts in some bin do. So the rows of a
+    crowded key are dealt by time, and windows only meet what is in their bins. Stays on one map in a bin that overlap or touch
+    are one, so many stays at once make no more pairs than one. By default a bin is as long as the mean window or stay,
+    whichever is longer, so the parts grow with the rows. Null keys, maps and times, and what ends before it begins, meet nothing.
     """
-    stays = participants.join(segments.select("segment", "map"), "segment").select(F.col("steamid").alias("key"), "map", F.col("first_seen").alias("from"), F.col("last_seen").alias("to"))
-    maps = windows.join(stays, "key").filter((F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))).groupBy("key", "start", "end").agg(F.array_sort(F.collect_set("map")).alias("maps"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    w = windows.select("key", "window", micros("start").alias("a"), micros("end").alias("b")).filter("key is not null and a <= b")
+    s = stays.select("key", "map", micros("from").alias("a"), micros("to").alias("b")).filter("key is not null and map is not null and a <= b")
+    if bin_seconds is None:
+        means = [x.agg(F.avg(F.col("b") - F.col("a"))).first()[0] or 0 for x in (w, s)]
+        bin_seconds = max(1, int(max(means) / 1e6))
+    size = F.lit(bin_seconds * 1_000_000)
+
+    def parts(x: DataFrame) -> DataFrame:
+        # A part that began before its bin begins a microsecond before it, so that what has no length is inside at the edge too.
+        x = x.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.greatest(F.col("b") - 1, F.col("a")) / size))))
+        return x.withColumn("a", F.greatest("a", F.col("bin") * size - 1)).withColumn("b", F.least("b", (F.col("bin") + 1) * size))
+
+    order = W.partitionBy("key", "bin", "map").orderBy("a", "b")
+    until = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
+    there = parts(s).withColumn("new", F.when(until.isNull() | (F.col("a") > until), 1).otherwise(0))
+    there = there.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("key", "bin", "map", "run").agg(F.min("a").alias("from"), F.max("b").alias("to"))
+    return parts(w).join(there, ["key", "bin"]).filter((F.col("from") < F.col("b")) & (F.col("to") > F.col("a"))).select("key", "window", "map").distinct()
+
+
+def stays_of(participants: DataFrame, segments: DataFrame) -> DataFrame:
+    """key, map, from, to: when a player was in a segment, and where."""
+    return participants.join(segments.select("segment", "map"), "segment").select(F.col("steamid").alias("key"), "map", F.col("first_seen").alias("from"), F.col("last_seen").alias("to"))
+
+
+def overlapping_maps(windows: DataFrame, participants: DataFrame, segments: DataFrame) -> DataFrame:
+    """Windows (key, start, end) with the distinct maps of the stays of their key that overlap them; pure_map if there is one."""
+    maps = overlapping(windows.select("key", "start", "end", F.struct("start", "end").alias("window")).distinct(), stays_of(participants, segments))
+    maps = maps.groupBy("key", F.col("window.start").alias("start"), F.col("window.end").alias("end")).agg(F.array_sort(F.collect_list("map")).alias("maps"))
     out = windows.join(maps, ["key", "start", "end"], "left").withColumn("maps", F.coalesce("maps", F.array().cast("array<string>")))
     return out.withColumn("pure_map", F.when(F.size("maps") == 1, F.element_at("maps", 1)))
 
 
+def full_windows(windows: DataFrame, stays: DataFrame, kits: DataFrame, slots: tuple[int, ...] = (0, 1, 2, 3, 4, 5, 6)) -> DataFrame:
+    """windows, as of class_windows(), with pure_map and loadout_stable on the same row, one row per window.
+
+    stays: key, map, from, to: attributed segments of players. kits: snapshot, class_num, slot_num, gid, known for some snapshots. A
+    window is stable if both its snapshots are known and every class that moved wore the same weapons in both, so
+    also if none moved.
+    """
+    maps = overlapping(windows.select(F.col("steamid").alias("key"), F.col("snapshot").alias("window"), "start", "end"), stays)
+    maps = maps.groupBy(F.col("key").alias("steamid"), F.col("window").alias("snapshot")).agg(F.count("*").alias("maps"), F.min("map").alias("one"))
+    worn = kits.groupBy("snapshot", "class_num").agg(F.array_sort(F.collect_set(F.when(F.col("slot_num").isin(*slots), F.col("gid")))).alias("gids"))
+    known = kits.select("snapshot").distinct()
+    both = windows.select("steamid", "snapshot", "before").join(known, "snapshot", "left_semi").join(known.withColumnRenamed("snapshot", "before"), "before", "left_semi").select("steamid", "snapshot", F.lit(True).alias("both"))
+    moved = windows.select("steamid", "snapshot", "before", F.explode("moved.class_num").alias("class_num"))
+    now = moved.join(worn.withColumnRenamed("gids", "now"), ["snapshot", "class_num"], "left")
+    then = now.join(worn.withColumnsRenamed({"snapshot": "before", "gids": "then"}), ["before", "class_num"], "left")
+    none = F.array().cast(worn.schema["gids"].dataType)
+    same = then.groupBy("steamid", "snapshot").agg(F.bool_and(F.coalesce("now", none) == F.coalesce("then", none)).alias("same"))
+    out = windows.join(maps, ["steamid", "snapshot"], "left").join(both, ["steamid", "snapshot"], "left").join(same, ["steamid", "snapshot"], "left")
+    stable = F.coalesce(F.col("both") & F.coalesce(F.col("same"), F.lit(True)), F.lit(False))
+    return out.select(*windows.columns, F.when(F.col("maps") == 1, F.col("one")).alias("pure_map"), stable.alias("loadout_stable"))
+
+
+def map_class_time(windows: DataFrame) -> DataFrame:
+    """Time, windows and players by map and class, of windows on one map that weren't reset. windows: as of full_windows()."""
+    fit = windows.filter(F.col("pure_map").isNotNull() & ~F.col("reset")).select("steamid", F.col("pure_map").alias("map"), F.explode("moved").alias("m"))
+    return fit.groupBy("map", "m.class_num").agg(F.sum("m.delta").alias("seconds"), F.count("*").alias("windows"), F.count_distinct("steamid").alias("players"))
+
+
 def map_shares(played: DataFrame, least: int = 3600, top: int = 40) -> DataFrame:
     """played: map, class_num, seconds. Share of each class in the map's time, for the maps played most."""
     by = played.groupBy("map", "class_num").agg(F.sum("seconds").alias("seconds"))

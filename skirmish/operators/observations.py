@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, trigrams
+from ..functions.columns import ratio
+from .similarity import near_names
 
 
 def match_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6) -> DataFrame:
@@ -87,15 +88,6 @@ def recapture(events: DataFrame, days: int = 7, least: float = 100) -> DataFrame
     return n.withColumn("estimate", (F.col("n1") + 1) * (F.col("n2") + 1) / (F.col("both") + 1) - 1)
 
 
-def near_names(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
-    """a, b, similarity: the pairs of distinct names, of the one column of left and of right, whose trigram sets have at least this Jaccard similarity."""
-    def grams(df: DataFrame, n: str, size: str) -> DataFrame:
-        return df.toDF(n).select(n, F.explode(trigrams(F.col(n))).alias("gram"), F.size(trigrams(F.col(n))).alias(size))
-
-    shared = grams(left, "a", "na").join(grams(right, "b", "nb"), "gram").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
-
-
 def name_classes(rows: DataFrame) -> DataFrame:
     """rows: key, name. Each key with the least key of its name, which stands for all rows of the name; rows without a name have none."""
     least = rows.filter("name is not null").groupBy("name").agg(F.min("key").alias("class_key"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ramp, ratio
 from .loadouts import WEAPON_SLOT, population
+from .percentiles import percentile_columns, percentiles
 
 LEAST_SECONDS = 36_000
 METRICS = ("kills", "kill_assists", "damage_dealt", "points_scored", "dominations", "captures", "defenses")
@@ -43,8 +44,12 @@ def class_medians(facts: DataFrame, stats: DataFrame, least_players: int = 3) ->
     """Interpolated medians of points and damage a minute and kills an hour, by class-wise item group and class; weapons only."""
     s = stats.filter(F.col("playtime_seconds") >= LEAST_SECONDS)
     joined = facts.filter(F.col("slot_num") <= WEAPON_SLOT).select("steamid", "class_num", "cgid").distinct().join(s, ["steamid", "class_num"])
-    per = lambda c, k: F.percentile(F.col(c) * k / F.col("playtime_seconds"), F.lit(0.5))
-    return joined.groupBy("cgid", "class_num").agg(per("points_scored", 60.0).alias("ppm"), per("kills", 3600.0).alias("kph"), per("damage_dealt", 60.0).alias("dpm"), F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
+    per = {"ppm": F.col("points_scored") * 60.0, "kph": F.col("kills") * 3600.0, "dpm": F.col("damage_dealt") * 60.0}
+    kept = joined.groupBy("cgid", "class_num").agg(F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
+    rates = joined.join(kept, ["cgid", "class_num"], "left_semi").select("cgid", "class_num", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), (x / F.col("playtime_seconds")).alias("rate")) for n, x in per.items()))))
+    medians = percentiles(rates, ["cgid", "class_num", "metric"], "rate", (0.5,))
+    wide = medians.groupBy("cgid", "class_num").agg(*(F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in per))
+    return kept.join(wide, ["cgid", "class_num"]).select("cgid", "class_num", *per, "players")
 
 
 def board_values(stats: DataFrame, players: DataFrame) -> DataFrame:
@@ -76,8 +81,9 @@ def leaderboards(values: DataFrame, top: int = 100) -> DataFrame:
 def distribution(values: DataFrame, board: str, points: int = 41, least: int = 20) -> DataFrame:
     """The percentile curve of a board; empty below `least` participants."""
     steps = [i / (points - 1) for i in range(points)]
-    curve = values.filter(F.col("board") == board).agg(F.percentile("value", F.array(*map(F.lit, steps))).alias("c"), F.count("*").alias("n")).filter(F.col("n") >= least)
-    return curve.select("n", F.posexplode("c").alias("step", "value")).select("step", "value", F.col("n").alias("participants"))
+    own = values.filter(F.col("board") == board)
+    n = own.groupBy("board").agg(F.count("*").alias("participants")).filter(F.col("participants") >= least)
+    return percentiles(own, ["board"], "value", tuple(steps)).join(n, "board").select("step", "value", "participants")
 
 
 def player_ranks(values: DataFrame, steamid: int) -> DataFrame:
@@ -97,8 +103,9 @@ def counter_boards(facts: DataFrame, top: int = 100, full: int = 8500) -> DataFr
 
 def counter_distribution(facts: DataFrame) -> DataFrame:
     """Copies, mean, median, 90th percentile and maximum of the counters by item group."""
-    x = facts.filter("quality = 11")
-    return x.groupBy("gid").agg(F.count("*").alias("copies"), F.avg("strange_kills").alias("mean"), F.percentile("strange_kills", F.lit(0.5)).alias("median"), F.percentile("strange_kills", F.lit(0.9)).alias("p90"), F.max("strange_kills").alias("most"))
+    x = facts.filter("quality = 11").select("gid", "strange_kills")
+    whole = x.groupBy("gid").agg(F.count("*").alias("copies"), F.avg("strange_kills").alias("mean"), F.max("strange_kills").alias("most"))
+    return whole.join(percentile_columns(x, ["gid"], "strange_kills", {"median": 0.5, "p90": 0.9}), "gid").select("gid", "copies", "mean", "median", "p90", "most")
 
 
 #: The stock weapons.

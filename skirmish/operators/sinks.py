@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str, first: tuple[str, ...] = (), last: tuple[str, ...] = (), most: tuple[str, ...] = (), add: tuple[str, ...] = ()) -> DataFrame:
     """target after updates, one row per key: by column the first or the last value by `order`, the greatest, or the sum.
@@ -33,12 +35,49 @@ def rejected(rows: DataFrame, casts: dict[str, str]) -> tuple[DataFrame, DataFra
     return rows.filter(~bad).withColumns({c: F.col(c).try_cast(kind) for c, kind in casts.items()}), rows.filter(bad)
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """The whole of a table by way of a staged one; readers see the old or the new."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").saveAsTable(f"{name}__staged")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {name}__staged RENAME TO {name}")
+def replace_table(df: DataFrame, name: str, root: str) -> None:
+    """The whole of a table by way of a staged version under root; the view `name` is then set to it in one step of the catalog.
+
+    Readers see the old rows or the new ones: a query that runs keeps the files it began with, which only versions.vacuum() removes.
+    """
+    version = versions.replace(df, root)
+    df.sparkSession.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{root}/{version}`")
+
+
+def swept(source: DataFrame, dead: Column, root: str) -> tuple[int, int]:
+    """Rows of source for which `dead` holds, apart from the rest, as the next version of root; returns (kept, dead) counts.
+
+    One scan and one write serve both outputs: rows are tagged, and the tag is the partition. Counts are observed in that write
+    and must add up to the rows read, else nothing is committed. kept() and dead() read the newest version, so a rerun on
+    kept rows finds none, and on the same source gives the same rows again. A null condition keeps the row.
+    """
+    tag = F.when(F.coalesce(dead, F.lit(False)), "dead").otherwise("kept")
+    seen = Observation()
+    rows = source.withColumn("outcome", tag).observe(seen, F.count("*").alias("all"), F.count_if(F.col("outcome") == "dead").alias("dead"))
+    versions.replace(rows, root, "outcome", lambda written: _whole(written, seen))
+    return seen.get["all"] - seen.get["dead"], seen.get["dead"]
+
+
+def _whole(written: DataFrame, seen: Observation) -> None:
+    found = {r["outcome"]: r["count"] for r in written.groupBy("outcome").count().collect()}
+    if sum(found.values()) != seen.get["all"] or found.get("dead", 0) != seen.get["dead"]:
+        raise ValueError(f"{seen.get} rows were read, {found} were written")
+
+
+def outcome(spark: SparkSession, root: str, which: str) -> DataFrame:
+    """The kept or the dead rows of the newest sweep."""
+    return versions.current(spark, root).filter(F.col("outcome") == which).drop("outcome")
+
+
+def dead_letters(waiting: DataFrame, known: DataFrame, attempts: int = 5, now: Column | None = None) -> tuple[Column, DataFrame]:
+    """The condition of a dead row of a queue (tried often enough, not locked any more), and the error rows for players not known yet.
+
+    waiting: steamid, source, attempts, locked_until.
+    """
+    at = F.current_timestamp() if now is None else now
+    dead = (F.col("attempts") >= attempts) & (F.col("locked_until").isNull() | (F.col("locked_until") < at))
+    new = waiting.filter(dead).groupBy("steamid").agg(F.min("source").alias("source")).join(known.select("steamid").distinct(), "steamid", "left_anti")
+    return dead, new.select("steamid", "source", F.lit("error").alias("items_status"), F.lit("error").alias("stats_status"))
 
 
 def daily_snapshot(df: DataFrame, path: str, day: str = "day") -> None:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, tier
 
-#: Attributes that change looks only.
-COSMETIC = ("set item tint rgb", "attach particle effect", "paintkit_proto_def_index", "item style override")
-
-
 def circle(friends: DataFrame, steamid: int) -> DataFrame:
     """The player and the friends, edges of either direction, each once."""
     edges = friends.filter(F.col("a") == steamid).select(F.col("b").alias("steamid")).union(friends.filter(F.col("b") == steamid).select("a"))
@@ -28,22 +24,49 @@ def friend_ranks(totals: DataFrame, friends: DataFrame, steamid: int) -> DataFra
     return ranks.unpivot("of", metrics, "metric", "rank")
 
 
-def queue_eta(queue: DataFrame, steamid: int, per_hour: float) -> DataFrame:
-    """queue: steamid, priority, queued_at. How many stand ahead of one player (higher priority, or earlier), and the hours to wait."""
-    mine = queue.filter(F.col("steamid") == steamid).select(F.col("priority").alias("my_priority"), F.col("queued_at").alias("my_time"))
-    ahead = (F.col("priority") > F.col("my_priority")) | ((F.col("priority") == F.col("my_priority")) & (F.col("queued_at") < F.col("my_time")))
-    out = queue.crossJoin(F.broadcast(mine)).agg(F.count_if(ahead).alias("ahead"), F.count("*").alias("queued"))
-    return out.withColumn("hours", F.col("ahead") / F.lit(per_hour))
+#: How often a source is drawn; others 1.
+SOURCE_WEIGHTS = {"seed": 8, "recrawl": 5, "review_sample": 3, "random_sample": 3, "friend_bfs": 4}
 
 
-def recrawl(players: DataFrame, done: DataFrame, cohorts: tuple[tuple[str, int], ...]) -> DataFrame:
-    """For each (condition, limit): the players that fit, haven't been done and were active most, as one list."""
-    open_ = players.join(done.select("steamid").distinct(), "steamid", "left_anti")
-    parts = [open_.filter(c).orderBy(F.desc("active_min"), "steamid").limit(n).select("steamid", F.lit(i).alias("cohort")) for i, (c, n) in enumerate(cohorts)]
+def queue_eta(queue: DataFrame, players: DataFrame, steamid: int, now: Column, source: str = "recrawl", weights: dict[str, int] = SOURCE_WEIGHTS) -> DataFrame:
+    """One row: is the player queued, at which position of the source, and in how many seconds is it their turn.
+
+    queue: steamid, source, priority, enqueued_at, locked_until. players: last_crawled. The rate is what was crawled in the hour before
+    `now`; the source has the share of its weight among the sources with rows that aren't locked. No rate, or no such source: no time.
+    """
+    mine = queue.filter(F.col("steamid") == steamid).agg(F.max("priority").alias("my_priority"), F.max("enqueued_at").alias("my_time"))
+    ahead = (F.col("source") == source) & ((F.col("priority") > F.col("my_priority")) | ((F.col("priority") == F.col("my_priority")) & (F.col("enqueued_at") < F.col("my_time"))))
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("source")), F.lit(1))
+    free = F.col("locked_until").isNull() | (F.col("locked_until") < now)
+    by = queue.crossJoin(F.broadcast(mine)).groupBy("source").agg(F.count_if(ahead).alias("ahead"), F.bool_or(free).alias("open"), F.first("my_time").alias("my_time"))  # one row; every row has the same time
+    state = by.agg(F.sum("ahead").alias("ahead"), F.coalesce(F.sum(F.when(F.col("open"), weight)), F.lit(0)).alias("total_weight"), F.max("my_time").alias("my_time"))
+    rate = players.agg(F.count_if(F.col("last_crawled") > now - F.expr("INTERVAL 1 HOUR")).alias("per_hour"))
+    share = F.when(F.col("total_weight") > 0, F.col("per_hour") * F.lit(float(weights.get(source, 1))) / F.col("total_weight"))
+    out = state.crossJoin(F.broadcast(rate)).withColumn("share", share)  # one row each
+    position = F.col("ahead") + 1
+    present = F.col("my_time").isNotNull()
+    eta = F.when(present & (F.col("share") > 0), F.floor(position / F.col("share") * 3600 + 0.5))
+    return out.select(present.alias("present"), F.when(present, position).alias("position"), "per_hour", "total_weight", eta.alias("eta_seconds"))
+
+
+def recrawl(players: DataFrame, queue: DataFrame, now: Column, tiers: tuple[tuple[int, int, int, bool], ...] = ((2, 8, 1500, True), (1, 14 * 24, 500, False))) -> DataFrame:
+    """steamid, source, priority: whom to crawl again. players: steamid, stats_status, active_min, lifetime_min, last_crawled.
+
+    tiers: (priority, hours since the last crawl, limit, only active players). The active are taken by lifetime, the longest first, then by
+    who waits longest; the others by who waits longest. Who is queued already isn't taken, and who is in two tiers is taken in the first.
+    """
+    open_ = players.filter("stats_status = 'ok'").join(queue.select("steamid").distinct(), "steamid", "left_anti")
+    parts = []
+    for priority, hours, limit, active in tiers:
+        fit = open_.filter(F.col("last_crawled") < now - F.make_interval(hours=F.lit(hours)))
+        if active:
+            fit = fit.filter(F.coalesce("active_min", F.lit(0)) > 0)
+        order = ([F.desc(F.coalesce("lifetime_min", F.lit(0)))] if active else []) + [F.col("last_crawled"), F.col("steamid")]
+        parts.append(fit.orderBy(*order).limit(limit).select("steamid", F.lit(priority).alias("priority")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.groupBy("steamid").agg(F.max("priority").alias("priority")).select("steamid", F.lit("recrawl").alias("source"), "priority")
 
 
 def search(items: DataFrame, players: DataFrame, text: str, items_top: int = 8, players_top: int = 5) -> DataFrame:
@@ -56,25 +79,16 @@ def search(items: DataFrame, players: DataFrame, text: str, items_top: int = 8,
     return found.unionByName(named)
 
 
-def reskin_groups(attributes: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """attributes: defindex, class_num, attribute, value. Items that play alike: one class and one set of attributes that matter.
+def capabilities(items: DataFrame, overrides: dict[tuple[int, int], int] | None = None) -> DataFrame:
+    """One row per item and class it can be worn by, with the slot. overrides: (defindex, class_num) -> slot, where it differs from the item's own.
 
-    The id of a group is its least item; items alone have none. merges: defindex, reskin_group, by hand, override.
+    Items with definitions get theirs from reskins.class_slots().
     """
-    matter = F.when(~F.col("attribute").isin(*COSMETIC), F.concat_ws("=", "attribute", "value"))
-    signs = attributes.groupBy("defindex", "class_num").agg(F.array_join(F.array_sort(F.collect_set(matter)), ";").alias("sign"))
-    groups = signs.groupBy("class_num", "sign").agg(F.min("defindex").alias("reskin_group"), F.count("*").alias("size")).filter("size >= 2")
-    out = signs.join(groups, ["class_num", "sign"]).select("defindex", "reskin_group", "size")
-    if merges is not None:
-        out = out.join(merges.withColumnRenamed("reskin_group", "by_hand"), "defindex", "full").select("defindex", F.coalesce("by_hand", "reskin_group").alias("reskin_group"), "size")
-    return out
-
-
-def capabilities(items: DataFrame) -> DataFrame:
-    """One row per item and class it can be worn by, with the slot; class 2 wears what is odd in another slot."""
     each = items.select("defindex", "slot_num", F.explode(F.array_distinct(F.array("class_a", "class_b"))).alias("class_num"))
-    own = F.when((F.col("class_num") == 2) & (F.col("defindex") % 2 == 1), 1)
-    return each.select("defindex", "class_num", F.coalesce(own, "slot_num").alias("slot_num"))
+    own = F.col("slot_num")
+    for (defindex, class_num), slot in (overrides or {}).items():
+        own = F.when((F.col("defindex") == defindex) & (F.col("class_num") == class_num), slot).otherwise(own)
+    return each.select("defindex", "class_num", own.alias("slot_num"))
 
 
 def usage_deltas(days: DataFrame, back: int = 90) -> DataFrame:

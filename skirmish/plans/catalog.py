@@ -52,7 +52,7 @@ def _cube(spark, d):
 
 
 _CAPS = """us AS (SELECT defindex, coalesce(reskin_group, defindex) AS gid, slot_num, unnest(list_distinct([class_a, class_b])) AS k FROM items),
-caps AS (SELECT defindex, gid, k AS class_num, CASE WHEN k = 2 AND defindex % 2 = 1 THEN 1 ELSE slot_num END AS slot_num FROM us)"""
+caps AS (SELECT defindex, gid, k AS class_num, slot_num FROM us)"""
 _CUBE = f"""{_FACTS}, {_CAPS},
 h AS (SELECT * FROM (VALUES (0), (30000), (60000), (120000), (240000)) t(hours)), a AS (SELECT * FROM (VALUES (0), (1), (300), (900)) t(active)),
 pop AS (SELECT hours, active, count(*) AS sample FROM players, h, a WHERE items_status = 'ok' AND coalesce(botness, 0) < 0.5 AND lifetime_min >= hours AND active_min >= active GROUP BY 1, 2),
@@ -194,10 +194,6 @@ register("segment_detail", _matches(ma.segment_detail), cte(f"""WITH p AS (SELEC
 SELECT segment, map, server, steamid, last_score, pph, row_number() OVER (PARTITION BY segment ORDER BY pph DESC NULLS LAST, last_score DESC, steamid) AS place FROM p JOIN segments USING (segment)"""))
 register("match_leaderboard", _matches(ma.match_leaderboard), cte(f"""WITH b AS (SELECT segment, steamid, observations, {_PPH} AS pph FROM participants WHERE observations >= 3 AND {_SECS.format('first_seen', 'last_seen')} >= 1800 AND last_score >= first_score
   AND last_seen > (SELECT max(ended) FROM segments) - INTERVAL 20 DAY ORDER BY pph DESC, segment, steamid LIMIT 100) SELECT b.*, map FROM b JOIN segments USING (segment)"""))
-register("match_durations", lambda s, d: ma.match_durations(load(s, d, "segments")), cte(f"""WITH l AS (SELECT *, lag(ended) OVER (PARTITION BY server ORDER BY started, segment) AS before FROM segments WHERE observations >= 2),
-w AS (SELECT mode, map, {_SECS.format('started', 'ended')} AS n FROM l WHERE closed_by <> 'server_gone' AND {_SECS.format('before', 'started')} < 43200),
-g AS (SELECT mode, map, grouping(map) AS whole, count(*) AS matches, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS p75 FROM w GROUP BY GROUPING SETS ((mode, map), (mode)))
-SELECT mode, map, matches, p25, median, p75 FROM g WHERE whole = 1 OR matches >= 3"""))
 register("duration_histogram", lambda s, d: ma.duration_histogram(load(s, d, "segments")), cte(f"""WITH e AS (SELECT * FROM (VALUES (0, 0), (1, 3600), (2, 14400), (3, 28800), (4, 43200), (5, 10000000)) t(bucket, low)), n AS (SELECT {_SECS.format('started', 'ended')} AS n FROM segments)
 SELECT bucket, low, (SELECT count(*) FROM n WHERE n.n >= e.low AND n.n < coalesce((SELECT min(x.low) FROM e x WHERE x.low > e.low), 1e300)) AS n FROM e"""))
 
@@ -248,15 +244,8 @@ def _metric_totals(s, d):
 register("friend_ranks", lambda s, d: so.friend_ranks(_metric_totals(s, d), load(s, d, "friends"), 7), cte("""WITH c AS (SELECT b AS steamid FROM friends WHERE a = 7 UNION SELECT a FROM friends WHERE b = 7 UNION SELECT 7),
 t AS (SELECT steamid, sum(kills) AS kills, sum(damage_dealt) AS damage_dealt FROM class_stats JOIN c USING (steamid) GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY kills DESC) AS rk, rank() OVER (ORDER BY damage_dealt DESC) AS rd, count(*) OVER () AS of FROM t)
 SELECT of, 'kills' AS metric, rk AS rank FROM r WHERE steamid = 7 AND of >= 2 UNION ALL SELECT of, 'damage_dealt', rd FROM r WHERE steamid = 7 AND of >= 2"""))
-register("queue_eta", lambda s, d: so.queue_eta(load(s, d, "orders").select(F.col("o_orderkey").alias("steamid"), (F.col("o_custkey") % 5).alias("priority"), F.col("o_orderdate").alias("queued_at")), 40, 120.0), """WITH m AS (SELECT o_custkey % 5 AS p, o_orderdate AS t FROM orders WHERE o_orderkey = 40)
-SELECT count(*) FILTER (o_custkey % 5 > p OR (o_custkey % 5 = p AND o_orderdate < t)) AS ahead, count(*) AS queued, ahead / 120.0::DOUBLE AS hours FROM orders, m HAVING count(*) > 0 OR true""")
-register("recrawl", lambda s, d: so.recrawl(load(s, d, "players"), load(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("steamid")), (("vac_banned = false and active_min > 300", 150), ("items_status = 'private'", 50))), cte("""WITH o AS (SELECT * FROM players p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.steamid AND o.o_orderkey % 7 = 0))
-(SELECT steamid, 0 AS cohort FROM o WHERE vac_banned = false AND active_min > 300 ORDER BY active_min DESC, steamid LIMIT 150) UNION ALL (SELECT steamid, 1 FROM o WHERE items_status = 'private' ORDER BY active_min DESC, steamid LIMIT 50)"""))
 register("search", lambda s, d: so.search(load(s, d, "items"), load(s, d, "players"), "R"), cte("""(SELECT 'item' AS kind, defindex AS id, name FROM items WHERE contains(lower(name), 'r') ORDER BY slot_num = 0 DESC, name, defindex LIMIT 8)
 UNION ALL (SELECT 'player', steamid, personaname FROM players WHERE contains(lower(personaname), 'r') ORDER BY personaname, steamid LIMIT 5)"""))
-_COSMETIC = ", ".join(f"'{c}'" for c in so.COSMETIC)
-register("reskin_groups", lambda s, d: so.reskin_groups(load(s, d, "attributes")), cte(f"""WITH g AS (SELECT defindex, class_num, list_sort(list(DISTINCT attribute || '=' || value) FILTER (attribute NOT IN ({_COSMETIC}))) AS sign FROM attributes GROUP BY 1, 2)
-SELECT defindex, min(defindex) OVER w AS reskin_group, count(*) OVER w AS size FROM g WINDOW w AS (PARTITION BY class_num, sign) QUALIFY size >= 2"""))
 register("usage_deltas", lambda s, d: so.usage_deltas(load(s, d, "usage_days")), cte("""WITH m AS (SELECT max(day) AS now, coalesce(max(day) FILTER (day <= (SELECT max(day) FROM usage_days) - 90), min(day)) AS b4 FROM usage_days),
 x AS (SELECT gid, sum(CASE WHEN day = now THEN worn ELSE 0 END) AS a, sum(CASE WHEN day = b4 THEN worn ELSE 0 END) AS b FROM usage_days, m WHERE day IN (now, b4) GROUP BY 1), t AS (SELECT sum(a) AS na, sum(b) AS nb FROM x)
 SELECT gid, a::DOUBLE / na AS now, b::DOUBLE / nb AS "then", a::DOUBLE / na - b::DOUBLE / nb AS delta FROM x, t"""))
@@ -286,7 +275,6 @@ register("upsert", lambda s, d: si.upsert(*_halves(s, d), ["name"], "event_id",
 register("insert_ignore", lambda s, d: si.insert_ignore(load(s, d, "orders").filter("o_orderkey % 5 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")), load(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey"),
          "SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderkey % 5 = 0), min(o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
 register("corpus_counts", lambda s, d: he.corpus_counts(load(s, d, "players")), cte("SELECT count(*) AS players, count(personaname) AS named, count(*) FILTER (items_status = 'private') AS private, count(*) FILTER (vac_banned) AS banned, count(*) FILTER (botness >= 0.5) AS flagged, count(*) FILTER (active_min > 0) AS active FROM players"))
-register("frontier", lambda s, d: he.frontier(load(s, d, "players")), cte("WITH n AS (SELECT items_status, count(*) AS n, count(*) FILTER (active_min > 0) AS active FROM players GROUP BY 1) SELECT *, n::DOUBLE / sum(n) OVER () AS share FROM n"))
 register("top_countries", lambda s, d: he.top_countries(load(s, d, "players")), cte("SELECT country, count(*) AS n FROM players WHERE country IS NOT NULL GROUP BY 1 ORDER BY n DESC, country LIMIT 24"))
 register("class_totals", lambda s, d: he.class_totals(load(s, d, "class_stats")), cte("SELECT class_num, sum(playtime_seconds)::DOUBLE / 3600 AS hours, count(DISTINCT steamid) AS players, sum(points_scored)::BIGINT AS points FROM class_stats GROUP BY 1"))
 register("event_props", lambda s, d: he.keyed_values(load(s, d, "events").select("event_id", "props"), "props", "k int, absent string").select("event_id", "k", "absent"), "SELECT event_id, (props->>'k')::INT AS k, props->>'absent' AS absent FROM events")

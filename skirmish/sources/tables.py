@@ -37,9 +37,6 @@ VIEWS: dict[str, str] = {
   FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderdate, l_linenumber, o_orderkey""",
     "friends": """SELECT o_custkey AS a, 1 + (o_custkey * 7 + o_orderkey) % 150 AS b FROM {orders} WHERE o_orderkey % 3 = 0""",
     "usage_days": """SELECT cast(date_trunc('month', l_shipdate) AS date) AS day, l_partkey % 200 AS gid, count(*) AS worn FROM {lineitem} GROUP BY cast(date_trunc('month', l_shipdate) AS date), l_partkey % 200""",
-    "attributes": """SELECT p_partkey AS defindex, p_name AS name, 1 + p_partkey % 3 AS class_num, 'damage bonus' AS attribute, cast(p_size % 5 AS varchar(9)) AS value FROM {part}
-  UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'fire rate', cast(p_size % 2 AS varchar(9)) FROM {part} WHERE p_partkey % 4 <> 0
-  UNION ALL SELECT p_partkey, p_name, 1 + p_partkey % 3, 'set item tint rgb', cast(p_partkey AS varchar(9)) FROM {part}""",
     "kits": """SELECT o_orderkey AS snapshot, cast(c.class_num AS int) AS class_num, k.slot_num, (o_custkey + c.class_num * k.slot_num + CASE WHEN o_orderkey % 8 = c.class_num THEN 1 ELSE 0 END) % 40 AS gid
   FROM {orders} CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7)) AS c(class_num) CROSS JOIN (VALUES (0), (2), (7)) AS k(slot_num) WHERE o_orderkey % 9 <> 0""",
     "personas": """SELECT p_partkey AS steamid, CASE WHEN p_partkey % 13 <> 0 THEN concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN '  of ' ELSE ' ' END, cast(p_partkey % 40 AS varchar(9))) END AS personaname,
@@ -53,6 +50,26 @@ VIEWS: dict[str, str] = {
     "server_scans": """SELECT date_trunc('hour', ts) AS scanned_at, CASE WHEN user_id % 9 = 8 THEN 255 ELSE user_id % 9 END AS region, CASE user_id % 6 WHEN 0 THEN 'pl_a' WHEN 1 THEN 'plr_b' WHEN 2 THEN 'koth_c' WHEN 3 THEN 'cp_d' WHEN 4 THEN 'ctf_e' ELSE 'trade_f' END AS map,
   user_id % 4 = 0 AS official, count(*) AS players, count(*) % 3 AS bots, count(DISTINCT event_type) AS servers, 24 * count(DISTINCT event_type) AS capacity FROM {events}
   GROUP BY date_trunc('hour', ts), user_id % 9, user_id % 6, user_id % 4 = 0""",
+    "handles": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 31 <> 0 THEN concat(substring(md5(cast(cast(floor(o_orderkey / 2) AS bigint) AS varchar(20))), 1, 7), CASE WHEN o_orderkey % 20 = 0 THEN ' the ' ELSE '_' END, substring(md5(cast(o_custkey AS varchar(20))), 1, 3)) END AS name FROM {orders}""",
+    "definitions": """SELECT p_partkey AS name, p_name AS title FROM {part}""",
+    "builds_on": """SELECT p_partkey AS name, 0 AS position, cast(floor(p_partkey / 2) AS bigint) AS parent FROM {part} WHERE p_partkey > 1
+  UNION ALL SELECT p_partkey, 1, cast(floor(p_partkey / 3) AS bigint) FROM {part} WHERE p_partkey > 2 AND p_partkey % 4 <> 1""",
+    "defined": """SELECT p_partkey AS name, concat('attributes/', CASE p_size % 6 WHEN 0 THEN 'damage bonus' WHEN 1 THEN 'fire rate' WHEN 2 THEN 'clip size' WHEN 3 THEN 'is marketable' WHEN 4 THEN 'loot rarity' ELSE 'heal rate' END) AS path, cast(p_partkey % 4 AS varchar(9)) AS value FROM {part} WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT p_partkey, 'item_slot', CASE p_partkey % 5 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'melee' WHEN 3 THEN 'building' ELSE 'head' END FROM {part} WHERE p_partkey % 2 = 0 OR p_partkey < 9
+  UNION ALL SELECT p_partkey, 'item_class', CASE p_size % 4 WHEN 0 THEN 'tf_weapon_builder' WHEN 1 THEN 'tf_weapon_sapper' ELSE p_type END FROM {part} WHERE p_partkey % 5 < 2 OR p_partkey < 9
+  UNION ALL SELECT p_partkey, concat('used_by_classes/', CASE p_size % 3 WHEN 0 THEN 'Spy' WHEN 1 THEN 'engineer' ELSE 'pyro' END), CASE p_partkey % 3 WHEN 0 THEN 'melee' ELSE '1' END FROM {part} WHERE p_partkey % 7 < 3
+  UNION ALL SELECT p_partkey, 'static_attrs', 'none' FROM {part} WHERE p_partkey % 10 = 0
+  UNION ALL SELECT p_partkey, concat('static_attrs/', CASE WHEN p_size % 2 = 0 THEN 'allowed in medieval mode' ELSE 'paintkit_proto_def_index' END), cast(p_size AS varchar(9)) FROM {part} WHERE p_partkey % 7 = 0""",
+    "attributed": """SELECT o_custkey AS key, concat('map', cast(o_orderkey % 7 AS varchar(9))) AS map, o_orderdate - INTERVAL '10' DAY AS from_at, o_orderdate + INTERVAL '1' DAY * (o_orderkey % 40 - 9) AS to_at FROM {orders}""",
+    "dim_old": """SELECT p_partkey AS defindex, p_name AS name, concat('old ', p_name) AS item_name, CASE WHEN p_size > 20 THEN p_brand END AS image_url, 'melee' AS slot, '1' AS classes, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 9 END AS reskin_group FROM {part} WHERE p_partkey % 3 <> 0""",
+    "dim_pages": """SELECT p_partkey AS defindex, concat(p_name, '!') AS name, CASE p_partkey % 4 WHEN 0 THEN concat('#Tok_', cast(p_partkey % 50 AS varchar(9))) WHEN 1 THEN '' WHEN 2 THEN concat('Paint ', cast(p_partkey % 3 AS varchar(9)), ' ', p_name) END AS item_name,
+  CASE WHEN p_size > 30 THEN p_type END AS image_url, CASE WHEN p_size % 2 = 0 THEN 'primary' END AS slot, cast(p_size % 9 AS varchar(9)) AS classes FROM {part} WHERE p_partkey % 7 <> 0""",
+    "dim_tokens": """SELECT DISTINCT concat('tok_', cast(p_partkey % 40 AS varchar(9))) AS token, concat('The ', cast(p_partkey % 40 AS varchar(9))) AS text FROM {part}""",
+    "dim_paints": """SELECT p_partkey AS defindex, concat('Paint ', cast(p_partkey % 3 AS varchar(9))) AS paint FROM {part} WHERE p_partkey % 6 < 3""",
+    "queue": """SELECT o_orderkey AS steamid, CASE o_custkey % 4 WHEN 0 THEN 'seed' WHEN 1 THEN 'recrawl' WHEN 2 THEN 'friend_bfs' ELSE 'other' END AS source, o_orderkey % 5 AS priority, o_orderdate AS enqueued_at,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '400' DAY END AS locked_until, o_orderkey % 9 AS attempts FROM {orders}""",
+    "crawled": """SELECT c_custkey * 5 AS steamid, CASE WHEN c_custkey % 9 = 0 THEN 'private' ELSE 'ok' END AS stats_status, CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 37 % 500 END AS active_min,
+  cast(greatest(floor(c_acctbal), 0) AS bigint) AS lifetime_min, TIMESTAMP '1998-08-01 00:00:00' - INTERVAL '1' MINUTE * (c_custkey * c_custkey % 60000) AS last_crawled FROM {customer}""",
     "scores": """SELECT event_id, ts, user_id % 2 AS server, concat('p', cast(user_id AS varchar(20))) AS name, greatest(cast(floor(value) AS bigint), 0) AS score, event_type, user_id, value FROM {events}""",
 }
 
@@ -80,6 +97,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(built.schema).parquet(_stored[key])
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of this application that the driver and all executors see; an error on a cluster that names none."""
+    folder = _folder(spark)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, which ends its lineage."""
+    path = f"{shared(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _folder(spark: SparkSession) -> str | None:
     """Where facts are stored: the shared folder of the cluster, a temporary one of a local session, else nowhere."""
     app = spark.sparkContext.applicationId
