@@ -29,7 +29,9 @@ from . import textvec as tv
 from .common import cut
 
 LONGEST, LEAST, BEST, SHARE = 3, 10, 2000, 50
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
+#: Rows that a task hands over at once.
+ROWS = 1 << 16
 #: Bits of the bitmap of frequent phrases.
 BITMAP = 1 << 26
 #: Parts of a language that are ranked apart before all of it is.
@@ -51,12 +53,6 @@ def _codes(seeds: np.ndarray, words: np.ndarray) -> np.ndarray:
     return total
 
 
-def _keys(words: np.ndarray) -> pa.Array:
-    """Rows of word hashes as binary values."""
-    offsets = np.arange(len(words) + 1, dtype=np.int32) * (8 * words.shape[1])
-    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words, "<u8"))])
-
-
 def intervals(ids: np.ndarray, room: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A place and the count of each run of n ids among those that begin at starts.
 
@@ -86,90 +82,91 @@ def intervals(ids: np.ndarray, room: np.ndarray, starts: np.ndarray, n: int) ->
 
 
 def _counted(docs: DataFrame, n: int, known) -> DataFrame:
-    """lang, key, count by shard of the phrases of n words whose parts the bitmap `known` (broadcast) has; of one word also the word."""
+    """seed (of the language), w0 to the last word's hash, count by shard, of the phrases of n words whose parts the bitmap `known` (broadcast) has; of one word also lang and word."""
+    columns = ["seed", *(f"w{k}" for k in range(n)), "count", *["lang", "word"][: 2 * (n == 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         held: list[tuple] = []
         size = 0
 
-        def shard() -> pa.RecordBatch:
+        def shard() -> Iterator[pa.RecordBatch]:
             code, words, breaks, texts = (list(x) for x in zip(*held))
+            sizes = [len(b) for b in breaks]
             last = np.cumsum([0, *(int(b[-1]) + 1 if len(b) else 0 for b in breaks)])
             piece = np.concatenate([b + base for b, base in zip(breaks, last)])
             code, words = np.concatenate(code), np.concatenate(words)
             seeds = np.array([_seed(x) for x in names] or [0], U64)[code]
-            ends = np.searchsorted(piece, piece, "right")
-            room = ends - np.arange(len(piece))
+            room = np.searchsorted(piece, piece, "right") - np.arange(len(piece))
             starts = np.flatnonzero(room >= n)
             if n > 1:
                 places = max(0, len(words) - n + 2)
-                before = np.stack([words[k : k + places] for k in range(n - 1)], 1)
-                inside = room[:places] >= n - 1
-                slot = _codes(seeds[:places], before) % U64(BITMAP)
-                hit = inside & ((known.value[slot >> U64(6)] >> (slot & U64(63))) & U64(1)).astype(bool)
+                slot = _codes(seeds[:places], np.stack([words[k : k + places] for k in range(n - 1)], 1)) % U64(BITMAP)
+                hit = (room[:places] >= n - 1) & ((known.value[slot >> U64(6)] >> (slot & U64(63))) & U64(1)).astype(bool)
                 starts = starts[hit[starts] & hit[starts + 1]]
+            del piece, breaks
             at, count = intervals(tv.mix(words ^ seeds), room, starts, n)
-            columns = [pa.array(list(names) or [""]).take(pa.array(code[at])), _keys(words[at[:, None] + np.arange(n)]), pa.array(count)]
-            if n == 1:
-                bounds = np.cumsum([0, *(len(b) for b in breaks)])
-                part = np.searchsorted(bounds, at, "right") - 1
-                found = [texts[p][0][texts[p][1][i] : texts[p][2][i]].tobytes() for p, i in zip(part.tolist(), (at - bounds[part]).tolist())]
-                columns.append(pa.array(found, pa.binary()).cast(pa.string()))
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "key", "count", "word"][: len(columns)])
+            bounds = np.cumsum([0, *sizes])
+            for i in range(0, len(at), ROWS):
+                own = at[i : i + ROWS]
+                out = [pa.array(seeds[own].view(np.int64)), *(pa.array(words[own + k].view(np.int64)) for k in range(n)), pa.array(count[i : i + ROWS])]
+                if n == 1:
+                    part = np.searchsorted(bounds, own, "right") - 1
+                    found = [texts[p][0][texts[p][1][j] : texts[p][2][j]].tobytes() for p, j in zip(part.tolist(), (own - bounds[part]).tolist())]
+                    out += [pa.array(list(names)).take(pa.array(code[own])), pa.array(found, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=columns)
 
         for batch in batches:
-            langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int32)
             for row, data, starts in tv.chunks(batch.column(1)):
                 lower = tv.LOWER[data]
                 begins, ends, rows = tv.tokens(lower, starts, SEPARATORS)
-                breaks = np.cumsum(BREAKS[lower])[begins] if len(begins) else begins
+                breaks = np.cumsum(BREAKS[lower], dtype=np.int32)[begins] if len(begins) else begins
                 new = np.ones(len(begins), bool)
                 new[1:] = (breaks[1:] != breaks[:-1]) | (rows[1:] != rows[:-1])
                 held.append((langs[rows + row], tv.span_hashes(lower, begins, ends), np.cumsum(new) - 1, (lower, begins, ends) if n == 1 else None))
                 size += len(data)
                 if size >= SHARD_BYTES:
-                    yield shard()
+                    yield from shard()
                     held, size = [], 0
         if held:
-            yield shard()
+            yield from shard()
 
-    return docs.mapInArrow(run, "lang string, key binary, count bigint" + ", word string" * (n == 1))
+    kinds = {"lang": "string", "word": "string"}
+    return docs.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in columns))
 
 
 def _bitmap(grams: DataFrame, n: int) -> np.ndarray:
-    """The bits of all grams (lang, key) of n words."""
+    """The bits of all grams (seed, key) of n words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITMAP // 64, U64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column(0).dictionary_encode()
-            seeds = np.array([_seed(x) for x in langs.dictionary.to_pylist()], U64)[langs.indices.to_numpy()]
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, n)
+            seeds, words = batch.column(0).to_numpy().view(U64), batch.column(1).flatten().to_numpy().view(U64).reshape(-1, n)
             slot = _codes(seeds, words) % U64(BITMAP)
             np.bitwise_or.at(bits, slot >> U64(6), U64(1) << (slot & U64(63)))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
 
-    found = grams.select("lang", "key").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = grams.select("seed", "key").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITMAP // 64, U64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(U64)
     return out
 
 
 def _frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
-    """All words (lang, key, a, word), and the frequent grams (lang, key, a) of each length."""
+    """All words (lang, seed, key, a, word), and the frequent grams (seed, key, a) of each length; a key is the array of the words' hashes."""
     context = docs.sparkSession.sparkContext
     words, levels, known = None, [], None
     for n in range(1, longest + 1):
-        counts = _counted(docs, n, known).groupBy("lang", "key")
+        parts = [f"w{k}" for k in range(n)]
+        counts = _counted(docs, n, known).groupBy("seed", *parts, *["lang", "word"][: 2 * (n == 1)]).agg(F.sum("count").alias("a"))
+        key = F.array(*parts).alias("key")
         if n == 1:
-            words = cut(counts.agg(F.sum("count").alias("a"), F.min("word").alias("word")))
-            level = words.filter(F.col("a") >= least).select("lang", "key", "a")
+            words = cut(counts.select("lang", "seed", key, "a", "word"))
+            level = words.filter(F.col("a") >= least).select("seed", "key", "a")
         else:
-            level = cut(counts.agg(F.sum("count").alias("a")).filter(F.col("a") >= least))
+            level = cut(counts.filter(F.col("a") >= least).select("seed", key, "a"))
             known.unpersist()
         levels.append(level)
         if n < longest:
@@ -179,7 +176,7 @@ def _frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, lis
 
 def _part(first: str, words: str, key: str = "key"):
     """So many words of a key, from a place counted from 0."""
-    return F.expr(f"substring({key}, 8 * ({first}) + 1, 8 * ({words}))")
+    return F.expr(f"slice({key}, {first} + 1, {words})")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST, share: int = SHARE, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -193,33 +190,34 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     grams = levels[0]
     for level in levels[1:]:
         grams = grams.unionByName(level)
-    phrases = grams.withColumn("m", (F.octet_length("key") / 8).cast("int")).filter("m > 1")
+    phrases = grams.withColumn("m", F.size("key")).filter("m > 1")
 
     cuts = phrases.withColumn("k", F.explode(F.expr("sequence(1, m - 1)")))
     cuts = cuts.withColumn("left", _part("0", "k")).withColumn("right", _part("k", "m - k"))
-    cuts = cuts.join(grams.select("lang", F.col("key").alias("left"), F.col("a").alias("l")), ["lang", "left"])
-    cuts = cuts.join(grams.select("lang", F.col("key").alias("right"), F.col("a").alias("r")), ["lang", "right"])
+    cuts = cuts.join(grams.select("seed", F.col("key").alias("left"), F.col("a").alias("l")), ["seed", "left"])
+    cuts = cuts.join(grams.select("seed", F.col("key").alias("right"), F.col("a").alias("r")), ["seed", "right"])
     # floor(1000000 a a / (l r)) by long division, in decimals of 38 digits; a is at most l and r.
     square, product = (F.expr(f"cast({x} as decimal(18, 0)) * cast({y} as decimal(18, 0))") for x, y in (("a", "a"), ("l", "r")))
     cuts = cuts.withColumn("square", square).withColumn("product", product)
     cuts = cuts.withColumn("rest", F.expr("cast(square % product as decimal(34, 0)) * 1000"))
     score = "(square div product) * 1000000 + (rest div product) * 1000 + (cast(rest % product as decimal(34, 0)) * 1000) div product"
-    cut_of = cuts.withColumn("score", F.expr(score)).groupBy("lang", "key", "m", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    cut_of = cuts.withColumn("score", F.expr(score)).groupBy("seed", "key", "m", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
-    inner = phrases.filter("m > 2").select("lang", "key", "a", "m", F.expr("explode(sequence(2, m - 1)) as size"))
-    inner = inner.select("lang", "key", "a", "size", F.expr("explode(sequence(0, m - size)) as first"))
-    longer = inner.groupBy("lang", _part("first", "size").alias("key")).agg(F.max("a").alias("longer"))
-    kept = cut_of.join(longer, ["lang", "key"], "left").filter(F.expr(f"longer is null or 100 * longer < {share} * a"))
+    inner = phrases.filter("m > 2").select("seed", "key", "a", "m", F.expr("explode(sequence(2, m - 1)) as size"))
+    inner = inner.select("seed", "key", "a", "size", F.expr("explode(sequence(0, m - size)) as first"))
+    longer = inner.groupBy("seed", _part("first", "size").alias("key")).agg(F.max("a").alias("longer"))
+    kept = cut_of.join(longer, ["seed", "key"], "left").filter(F.expr(f"longer is null or 100 * longer < {share} * a"))
 
-    spelt = kept.select("lang", "key", F.expr("posexplode(transform(sequence(0, m - 1), i -> substring(key, 8 * i + 1, 8))) as (place, one)"))
-    spelt = spelt.join(words.select("lang", F.col("key").alias("one"), "word"), ["lang", "one"]).groupBy("lang", "key").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("spelt"))
-    named = kept.join(spelt, ["lang", "key"]).select("lang", F.array_join("spelt.word", " ").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+    spelt = kept.select("seed", "key", F.posexplode("key").alias("place", "one"))
+    spelt = spelt.join(words.filter(F.col("a") >= least).select("seed", F.col("key")[0].alias("one"), "word"), ["seed", "one"])
+    spelt = spelt.groupBy("seed", "key").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("spelt"))
+    named = kept.join(spelt, ["seed", "key"]).select("seed", F.array_join("spelt.word", " ").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     part = F.pmod(F.xxhash64("phrase"), F.lit(SALT))
-    first = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= best)
-    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    return top.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    first = named.withColumn("rank", F.row_number().over(Window.partitionBy("seed", part).orderBy(*order))).filter(F.col("rank") <= best)
+    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).filter(F.col("rank") <= best)
+    totals = words.groupBy("seed", "lang").agg(F.sum("a").alias("n"))
+    return top.join(totals, "seed").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def sql(docs: str = "documents", least: int = LEAST, best: int = BEST, share: int = SHARE) -> str:
