@@ -10,7 +10,7 @@ INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
 
 
 def upper_median(x: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values: the upper one of two middles."""
+    """The element at floor(n / 2) of the sorted values, for groups of bounded size; ratings.upper_medians() is for others."""
     s = F.array_sort(F.collect_list(x))
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
@@ -69,19 +69,42 @@ def gamemode(map_name: Column) -> Column:
 
 
 def variant_kind(name: Column) -> Column:
-    """What kind of variant a name tells, the first that fits."""
-    n = F.lower(name)
-    return F.when(n.rlike("botkiller"), "botkiller").when(n.rlike("^festive|festivized"), "festive").when(n.rlike("australium"), "australium").when(n.rlike("war ?paint|skin"), "warpaint").otherwise("stock")
+    """What kind of variant an item's name tells, the first that fits; null if none."""
+    renamed = name.rlike("^Upgradeable TF_WEAPON_")
+    kind = F.when(name.rlike("(?i)^TF_WEAPON_"), "stock").when(renamed, "renamed / strange")
+    for pattern, what in (("(?i)botkiller", "botkiller"), ("(?i)^Festive", "festive"), ("(?i)australium", "australium"), ("^[a-z0-9_]+$", "warpaint")):
+        kind = kind.when(name.rlike(pattern), what)
+    return kind
 
 
-def display_name(token: Column) -> Column:
-    """A readable name from an internal token: prefix off, underscores as blanks, words capitalised."""
-    return F.initcap(F.regexp_replace(F.regexp_replace(token, "^TF_WEAPON_", ""), "_", " "))
+def display_name(item_name: Column, name: Column, defindex: Column) -> Column:
+    """A localised name as it is; else a readable one from the token, the name or the id: prefix off, underscores as blanks, words capitalised."""
+    token = F.when(item_name.startswith("#"), F.substring(item_name, 2, 2**31 - 1))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(token, name, defindex.cast("string")), "(?i)^TF_WEAPON_", ""), "_", " "))
+    words = F.array_join(F.transform(F.split(plain, r"(?<=[^A-Za-z0-9])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), "")
+    return F.when((item_name != "") & ~item_name.startswith("#"), item_name).otherwise(words)
 
 
 def account_id(text: Column) -> Column:
-    """The 17-digit id, or the vanity name, of a profile link."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(\d{17})", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"/id/([^/?#]+)", 1), F.lit("")))
+    """The 17-digit id of a profile link or alone; else the vanity name of a link, or the text, of word characters; null if nothing is left."""
+    asked = F.trim(text)
+    number = F.nullif(F.regexp_extract(asked, r"(?:^|/profiles/)(\d{17})(?:/|$)", 1), F.lit(""))
+    vanity = F.coalesce(F.nullif(F.regexp_extract(asked, "/id/([^/]+)", 1), F.lit("")), asked)
+    return F.coalesce(number, F.nullif(F.regexp_replace(vanity, r"[^A-Za-z0-9_-]", ""), F.lit("")))
+
+
+def percent_to_top(x: Column, top: int = 8500) -> Column:
+    """How far a counter is on the way to the highest tier, 100 at most."""
+    return F.least(F.lit(100.0), x / F.lit(float(top)) * 100)
+
+
+def holds(needle: str, *columns: Column) -> Column:
+    """Whether a text is in one of the columns, whatever the case; an empty one is in all rows. Nulls hold nothing."""
+    asked = needle.strip().lower()
+    found = F.lit(not asked)
+    for c in columns:
+        found = found | F.coalesce(F.contains(F.lower(c.cast("string")), F.lit(asked)), F.lit(False))
+    return found
 
 
 def snapped(x: Column, buckets: tuple[int, ...]) -> Column:

@@ -89,24 +89,27 @@ def usage_cube(facts: DataFrame, players: DataFrame, items: DataFrame, slots: Da
     return out.select("merged", "hours", "active", "item", "class_num", "slot_num", "worn", "sample", ratio(F.col("worn"), F.col("sample") * F.col("places")).alias("usage"))
 
 
-def combos(loads: DataFrame, size: int, least: int = 2, exclude: tuple[int, ...] = ()) -> DataFrame:
-    """Combinations of `size` (2 or 3) groups in one loadout, ascending, with count and share of loadouts.
+def ascending(gids: Column, size: int) -> Column:
+    """All ascending combinations of 1 to 3 elements of a sorted array, formed inside the array, so nothing is joined with itself."""
+    n = F.size(gids)
+    nothing = F.array().cast("array<int>")
+    first = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(nothing)
+    later = lambda i: F.when(i < n, F.sequence(i + 1, n)).otherwise(nothing)
+    at = lambda i: F.element_at(gids, i)
+    if size == 1:
+        return F.transform(first, lambda i: F.array(at(i)))
+    if size == 2:
+        return F.flatten(F.transform(first, lambda i: F.transform(later(i), lambda j: F.array(at(i), at(j)))))
+    return F.flatten(F.transform(first, lambda i: F.flatten(F.transform(later(i), lambda j: F.transform(later(j), lambda k: F.array(at(i), at(j), at(k)))))))
 
-    Only ascending combinations are formed, inside the array, so nothing is joined with itself.
-    """
+
+def combos(loads: DataFrame, size: int, least: int = 2, exclude: tuple[int, ...] = ()) -> DataFrame:
+    """Combinations of `size` (2 or 3) groups in one loadout, ascending, with count and share of loadouts."""
     size = min(max(size, 2), 3)
     gids = F.array_except("gids", F.array(*map(F.lit, exclude))) if exclude else F.col("gids")
     base = loads.select(gids.alias("g"))
-    n = F.size("g")
-    later = lambda i: F.when(i < n, F.sequence(i + 1, n)).otherwise(F.array().cast("array<int>"))
-    first = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    at = lambda i: F.element_at("g", i)
-    if size == 2:
-        found = F.flatten(F.transform(first, lambda i: F.transform(later(i), lambda j: F.array(at(i), at(j)))))
-    else:
-        found = F.flatten(F.transform(first, lambda i: F.flatten(F.transform(later(i), lambda j: F.transform(later(j), lambda k: F.array(at(i), at(j), at(k)))))))
     total = loads.agg(F.count("*").alias("loadouts"))
-    counted = base.select(F.explode(found).alias("members")).groupBy("members").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counted = base.select(F.explode(ascending(F.col("g"), size)).alias("members")).groupBy("members").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return counted.crossJoin(F.broadcast(total)).select("members", "n", ratio(F.col("n"), F.col("loadouts")).alias("share"))  # one row
 
 

@@ -19,7 +19,7 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import catalog, mechanisms  # noqa: F401  register their queries
+    from .plans import catalog, explorer, mechanisms  # noqa: F401  register their queries
 
     return _QUERIES
 

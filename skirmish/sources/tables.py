@@ -70,6 +70,11 @@ VIEWS: dict[str, str] = {
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '400' DAY END AS locked_until, o_orderkey % 9 AS attempts FROM {orders}""",
     "crawled": """SELECT c_custkey * 5 AS steamid, CASE WHEN c_custkey % 9 = 0 THEN 'private' ELSE 'ok' END AS stats_status, CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 37 % 500 END AS active_min,
   cast(greatest(floor(c_acctbal), 0) AS bigint) AS lifetime_min, TIMESTAMP '1998-08-01 00:00:00' - INTERVAL '1' MINUTE * (c_custkey * c_custkey % 60000) AS last_crawled FROM {customer}""",
+    "listed": """SELECT date_trunc('hour', ts) AS scanned_at, CASE WHEN user_id % 9 < 8 THEN user_id % 9 END AS region, concat(CASE event_id % 4 WHEN 0 THEN 'PL_a' WHEN 1 THEN 'koth_b' ELSE 'cp_' END, cast(event_id % 5 AS varchar(9))) AS map,
+  CASE event_id % 6 WHEN 0 THEN 'valve,alltalk' WHEN 1 THEN 'nocrits,increased_maxplayers' WHEN 2 THEN 'valve' WHEN 3 THEN 'highlander' END AS gametype, user_id % 7 AS players, event_id % 5 AS bots, 24 AS max_players FROM {events}""",
+    "claims": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, concat('p', cast(user_id % 50 AS varchar(9))) AS name, min(user_id % 30) AS steamid, cast(max(event_id % 11) AS double) / 10 AS confidence, max(event_id % 2) = 1 AS strong FROM {events} GROUP BY cast(floor(event_id / 40) AS bigint), user_id % 50""",
+    "labels_of": """SELECT p_partkey AS defindex, CASE p_partkey % 4 WHEN 0 THEN concat('#TF_Weapon_', p_type, '_', cast(p_size AS varchar(9))) WHEN 1 THEN '' WHEN 2 THEN p_name END AS item_name,
+  CASE p_partkey % 7 WHEN 0 THEN concat('TF_WEAPON_', p_type) WHEN 1 THEN concat('Upgradeable TF_WEAPON_', p_type) WHEN 2 THEN 'Gold Botkiller' WHEN 3 THEN concat('Festive ', p_type) WHEN 4 THEN concat('war_', cast(p_size AS varchar(9))) WHEN 5 THEN concat(p_type, ' Australium') END AS name, p_size * 777 AS kills FROM {part}""",
     "scores": """SELECT event_id, ts, user_id % 2 AS server, concat('p', cast(user_id AS varchar(20))) AS name, greatest(cast(floor(value) AS bigint), 0) AS score, event_type, user_id, value FROM {events}""",
 }
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.functions.columns import account_id, display_name, snapped, trigrams, variant_kind
+from skirmish.functions.columns import account_id, display_name, holds, percent_to_top, snapped, trigrams, variant_kind
 from skirmish.operators import dimension, matches, percentiles, prefabs, reskins, sinks, social, versions
 from skirmish.operators.similarity import near_names
 from skirmish.sources import localisation
@@ -270,6 +270,12 @@ def test_a_server_that_never_returns_is_closed_by_a_timer(spark, tmp_path):
 
 
 def test_small_column_functions(spark):
-    row = spark.createDataFrame([("Festive Axe", "TF_WEAPON_GRENADE_LAUNCHER", "https://x/profiles/76561198000000001/", "https://x/id/bob?y", 137)], "v string, d string, a string, b string, n int")
-    got = row.select(variant_kind(F.col("v")), display_name(F.col("d")), account_id(F.col("a")), account_id(F.col("b")), snapped(F.col("n"), (0, 100, 174, 300)), trigrams(F.lit("Ab-b"))).first()
-    assert tuple(got)[0] == "festive" and got[1].lower() == "grenade launcher" and got[2] == "76561198000000001" and got[3] == "bob" and got[4] in (100, 174) and set(got[5]) == {"  a", " ab", "ab ", "  b", " b "}
+    names = ["TF_WEAPON_X", "Upgradeable TF_WEAPON_X", "Silver Botkiller Axe", "Festive Axe", "Australium Axe", "warpaint_7", "The Axe", None]
+    kinds = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(variant_kind(F.col("n"))).collect()]
+    assert kinds == ["stock", "renamed / strange", "botkiller", "festive", "australium", "warpaint", None, None]
+    shown = spark.createDataFrame([(1, "The Axe", "x"), (2, "#TF_Weapon_grenade_LAUNCHER", "x"), (3, None, "eviction-notice_b"), (4, "", None), (5, None, None)], "d int, i string, n string")
+    assert [r[0] for r in shown.orderBy("d").select(display_name(F.col("i"), F.col("n"), F.col("d"))).collect()] == ["The Axe", "Grenade Launcher", "Eviction-Notice B", "4", "5"]
+    links = [" 76561198000000001", "https://x/profiles/76561198000000001/", "https://x/id/bob!y/z", "al ice", "!!", "765611980000000012"]
+    assert [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, x string").orderBy("i").select(account_id(F.col("x"))).collect()] == ["76561198000000001"] * 2 + ["boby", "alice", None, "765611980000000012"]
+    got = spark.range(1).select(snapped(F.lit(137), (0, 100, 174, 300)), snapped(F.lit(50), (0, 100)), percent_to_top(F.lit(4250)), percent_to_top(F.lit(99999)), holds(" 42", F.lit(None).cast("string"), F.lit(1423)), holds("", F.lit("a")), holds("b", F.lit("a")), trigrams(F.lit("Ab-b"))).first()
+    assert tuple(got)[:7] == (100, 0, 50.0, 100.0, True, True, False) and set(got[7]) == {"  a", " ab", "ab ", "  b", " b "}
