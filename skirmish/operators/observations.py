@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ def match_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6)
     A round begins a segment if it is the server's first, if the map changed, or if at least `returning`
     players came back and at least the share `dropped` of them with less score than in the round before.
     """
-    rounds = scores.groupBy("server", "round").agg(F.first("map").alias("map"), F.count("*").alias("players"))
+    rounds = scores.groupBy("server", "round").agg(F.min("map").alias("map"), F.count("*").alias("players"))
     order = W.partitionBy("server").orderBy("round")
     rounds = rounds.withColumn("before", F.lag("round").over(order)).withColumn("was", F.lag("map").over(order))
     old = scores.select("server", F.col("round").alias("before"), "name", F.col("score").alias("old"))
@@ -26,7 +26,7 @@ def match_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6)
     reset = (F.coalesce("came", F.lit(0)) >= returning) & (F.coalesce("fell", F.lit(0)) >= dropped * F.coalesce("came", F.lit(0)))
     why = F.when(F.col("before").isNull(), "first").when(F.col("map") != F.col("was"), "map_change").when(reset, "score_reset")
     r = r.withColumn("why", why).withColumn("segment", F.count("why").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return r.groupBy("server", "segment").agg(F.min("round").alias("started"), F.max("round").alias("ended"), F.first("map").alias("map"), F.count("*").alias("observations"), F.max("why").alias("opened_by"), F.sum("players").alias("seen"))
+    return r.groupBy("server", "segment").agg(F.min("round").alias("started"), F.max("round").alias("ended"), F.min_by("map", "round").alias("map"), F.count("*").alias("observations"), F.max("why").alias("opened_by"), F.sum("players").alias("seen"))
 
 
 def closed_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6, gone: int = 2) -> DataFrame:
@@ -34,7 +34,7 @@ def closed_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6,
     order = W.partitionBy("server").orderBy("round")
     away = scores.select("server", "round").distinct().withColumn("since", F.col("round") - F.lag("round").over(order)).filter(F.col("since") > gone)
     opened = match_segments(scores, returning, dropped)
-    rounds = scores.groupBy("server", "round").agg(F.first("map").alias("map"))
+    rounds = scores.groupBy("server", "round").agg(F.min("map").alias("map"))
     starts = opened.select("server", F.col("started").alias("round"), F.col("opened_by").alias("why")).join(away.select("server", "round", F.lit(True).alias("away")), ["server", "round"], "full")
     starts = starts.select("server", "round", F.when(F.col("away"), "server_gone").otherwise(F.col("why")).alias("why"))
     r = rounds.join(starts, ["server", "round"], "left").withColumn("segment", F.count("why").over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -43,6 +43,29 @@ def closed_segments(scores: DataFrame, returning: int = 4, dropped: float = 0.6,
     return out.select("server", "started", "ended", "map", "observations", "closed_by")
 
 
+def timed_segments(scores: DataFrame, as_of: Column, gone_seconds: int = 1800, returning: int = 4, dropped: float = 0.6) -> DataFrame:
+    """scores: server, round, at, map, name, score. The closed segments of rounds in order of their time, and why: the first that holds of server_gone
+    (over `gone_seconds` since the round before, or up to as_of), map_change and score_reset. Batch twin of streaming.live.timed_segments.
+
+    A name twice in a round counts with its greatest score; of two maps of a round the lesser is taken.
+    """
+    scores = scores.groupBy("server", "round", F.unix_timestamp(F.col("at").cast("timestamp")).alias("second"), "name").agg(F.max("score").alias("score"), F.min("map").alias("map"))
+    order = W.partitionBy("server").orderBy("second", "round")
+    rounds = scores.groupBy("server", "second", "round").agg(F.min("map").alias("map"))
+    rounds = rounds.withColumn("was", F.lag("map").over(order)).withColumn("before", F.lag("second").over(order)).withColumn("prior", F.lag("round").over(order))
+    old = scores.select("server", F.col("second").alias("before"), F.col("round").alias("prior"), "name", F.col("score").alias("old"))
+    back = scores.select("server", "second", "round", "name", "score").join(rounds.select("server", "second", "round", "before", "prior"), ["server", "second", "round"]).join(old, ["server", "before", "prior", "name"])
+    resets = back.groupBy("server", "second", "round").agg(F.count("*").alias("came"), F.count_if(F.col("score") < F.col("old")).alias("fell"))
+    reset = (F.coalesce("came", F.lit(0)) >= returning) & (F.coalesce("fell", F.lit(0)) >= dropped * F.coalesce("came", F.lit(0)))
+    why = F.when(F.col("before").isNull(), "first").when(F.col("second") - F.col("before") > gone_seconds, "server_gone").when(F.col("map") != F.col("was"), "map_change").when(reset, "score_reset")
+    marked = rounds.join(resets, ["server", "second", "round"], "left").withColumn("why", why)
+    marked = marked.withColumn("segment", F.count("why").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = marked.groupBy("server", "segment").agg(F.min("second").alias("started"), F.max("second").alias("ended"), F.min_by("map", F.struct("second", "round")).alias("map"), F.count("*").alias("observations"), F.max("why").alias("why"))
+    left = F.when(F.unix_timestamp(as_of) > F.col("ended") + gone_seconds, "server_gone")
+    out = whole.withColumn("closed_by", F.coalesce(F.lead("why").over(W.partitionBy("server").orderBy("segment")), left)).filter("closed_by is not null")
+    return out.select("server", "started", "ended", "map", "observations", "closed_by")
+
+
 def trend(events: DataFrame, modes: tuple[str, ...]) -> DataFrame:
     """Hourly means of per-scan sums, one column for each mode; a mode without scans in an hour has none."""
     scans = events.groupBy(F.date_trunc("minute", "ts").alias("scan"), F.col("event_type").alias("mode")).agg(F.count("*").alias("players"))

@@ -95,6 +95,19 @@ f AS (SELECT mode, map, {_LENGTH} AS n FROM o WHERE closed_by IN ('score_reset',
 g AS (SELECT mode, map, grouping(map) AS whole, count(*) AS matches, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS p75 FROM f GROUP BY GROUPING SETS ((mode, map), (mode)))
 SELECT mode, map, matches, p25, median, p75 FROM g WHERE whole = 1 OR matches >= 3"""))
 
+# Segments by time: rounds of six hours, of which some are missing, and a server is gone after ten hours.
+def _timed(s, d):
+    x = load(s, d, "timed")
+    return ob.timed_segments(x, F.lit("2024-03-01 00:00:00").cast("timestamp"), 36_000)
+
+
+register("timed_segments", _timed, cte("""WITH r AS (SELECT server, round, min(map) AS map FROM timed GROUP BY 1, 2), l AS (SELECT *, lag(map) OVER w AS was, lag(round) OVER w AS prior FROM r WINDOW w AS (PARTITION BY server ORDER BY round)),
+b AS (SELECT n.server, n.round, count(*) AS came, count(*) FILTER (n.score < o.score) AS fell FROM timed n JOIN l USING (server, round) JOIN timed o ON o.server = n.server AND o.round = l.prior AND o.name = n.name GROUP BY 1, 2),
+y AS (SELECT l.*, CASE WHEN prior IS NULL THEN 'first' WHEN (round - prior) * 21600 > 36000 THEN 'server_gone' WHEN map <> was THEN 'map_change' WHEN came >= 4 AND fell >= 0.6::DOUBLE * came THEN 'score_reset' END AS why FROM l LEFT JOIN b USING (server, round)),
+g AS (SELECT *, count(why) OVER (PARTITION BY server ORDER BY round) AS segment FROM y), w AS (SELECT server, segment, min(round) * 21600 AS started, max(round) * 21600 AS ended, arg_min(map, round) AS map, count(*) AS observations, max(why) AS why FROM g GROUP BY 1, 2),
+c AS (SELECT *, coalesce(lead(why) OVER (PARTITION BY server ORDER BY segment), CASE WHEN epoch(TIMESTAMP '2024-03-01') > ended + 36000 THEN 'server_gone' END) AS closed_by FROM w)
+SELECT server, started::BIGINT AS started, ended::BIGINT AS ended, map, observations, closed_by FROM c WHERE closed_by IS NOT NULL"""))
+
 # Queues and schedules.
 register("frontier", lambda s, d: he.frontier(load(s, d, "queue")), cte("SELECT source, count(*) AS n, min(enqueued_at) AS oldest FROM queue GROUP BY source"))
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in so.SOURCE_WEIGHTS.items()) + " ELSE 1 END"

@@ -75,6 +75,8 @@ VIEWS: dict[str, str] = {
     "claims": """SELECT cast(floor(event_id / 40) AS bigint) AS segment, concat('p', cast(user_id % 50 AS varchar(9))) AS name, min(user_id % 30) AS steamid, cast(max(event_id % 11) AS double) / 10 AS confidence, max(event_id % 2) = 1 AS strong FROM {events} GROUP BY cast(floor(event_id / 40) AS bigint), user_id % 50""",
     "labels_of": """SELECT p_partkey AS defindex, CASE p_partkey % 4 WHEN 0 THEN concat('#TF_Weapon_', p_type, '_', cast(p_size AS varchar(9))) WHEN 1 THEN '' WHEN 2 THEN p_name END AS item_name,
   CASE p_partkey % 7 WHEN 0 THEN concat('TF_WEAPON_', p_type) WHEN 1 THEN concat('Upgradeable TF_WEAPON_', p_type) WHEN 2 THEN 'Gold Botkiller' WHEN 3 THEN concat('Festive ', p_type) WHEN 4 THEN concat('war_', cast(p_size AS varchar(9))) WHEN 5 THEN concat(p_type, ' Australium') END AS name, p_size * 777 AS kills FROM {part}""",
+    "timed": """SELECT user_id % 3 AS server, cast(floor(event_id / 200) AS bigint) AS round, TIMESTAMP '1970-01-01 00:00:00' + INTERVAL '6' HOUR * cast(floor(event_id / 200) AS bigint) AS at, concat('m', cast(cast(floor(event_id / 1000) AS bigint) % 4 AS varchar(9))) AS map,
+  concat('p', cast(user_id % 25 AS varchar(9))) AS name, max(cast(floor(value) AS bigint)) AS score FROM {events} WHERE cast(floor(event_id / 200) AS bigint) % 7 <> 3 OR user_id % 3 > 0 GROUP BY user_id % 3, cast(floor(event_id / 200) AS bigint), cast(floor(event_id / 1000) AS bigint), user_id % 25""",
     "scores": """SELECT event_id, ts, user_id % 2 AS server, concat('p', cast(user_id AS varchar(20))) AS name, greatest(cast(floor(value) AS bigint), 0) AS score, event_type, user_id, value FROM {events}""",
 }
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish.functions.columns import account_id, display_name, holds, percent_to_top, snapped, trigrams, variant_kind
-from skirmish.operators import dimension, matches, percentiles, prefabs, reskins, sinks, social, versions
+from skirmish.operators import dimension, matches, observations, percentiles, prefabs, reskins, sinks, social, versions
 from skirmish.operators.similarity import near_names
 from skirmish.sources import localisation
 from skirmish.streaming import increments, live
@@ -266,6 +266,8 @@ def test_a_server_that_never_returns_is_closed_by_a_timer(spark, tmp_path):
     query.awaitTermination()
     at = lambda r: int((T + timedelta(minutes=10 * r) - datetime(1970, 1, 1)).total_seconds())
     got = sorted(tuple(r) for r in spark.table("timed").collect())
+    twin = observations.timed_segments(spark.createDataFrame(rows, schema), F.lit(T + timedelta(hours=9)), 1500)
+    assert sorted(tuple(r) for r in twin.collect()) == got
     assert got == [(1, at(0), at(2), "a", 3, "map_change"), (1, at(3), at(5), "b", 3, "server_gone"), (1, at(9), at(11), "b", 3, "server_gone"), (2, at(0), at(4), "a", 5, "server_gone")]
 
 
