@@ -27,45 +27,62 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Rules up to this number are compiled into the plan as a map literal; more are joined.
 MAX_RULES = 1000
 
-#: The labelled table is made of common words of two families, written for this module and not taken from any
-#: data: what unwanted sites are named after, and what others are. No host of a data set is listed.
+#: The labelled table is made by labelled_urls() from two families of common words and from shapes of urls that the published work on
+#: telling unwanted sites by their urls names as signs: several hyphens, digits in names, names without vowels, many
+#: subdomains, cheap top-level domains, paths of redirects and downloads. No host of a data set is in it, and no word that was
+#: chosen for one: words that the first version's list of hosts held were taken out again.
 BAD_WORDS = tuple("""
-    adult ads affiliate banner bet bingo bonus bookmaker casino cash cheap clickbait coupon crack credit deal diet discount drugs
-    escort fake fast-cash free gambling giveaway hack hookup hot jackpot keygen loan lottery luxury malware miracle nude offer
-    payday pharma phish pills poker porn prize promo replica rich roulette scam serial sex slots spam steroid sweepstake
-    torrent track viagra warez win xxx
+    affiliate banner bingo bookmaker cash clickbait coupon credit deal diet discount drugs escort fake gambling giveaway hack
+    hookup jackpot keygen lottery luxury malware miracle nude offer payday pharma phish poker porn prize promo rich roulette scam
+    serial sex slots steroid sweepstake torrent warez
 """.split())
 GOOD_WORDS = tuple("""
     academy archive art atlas biology blog books bridge calendar chemistry church city clinic club college community council
-    dictionary docs energy farm forest forum garden gazette geography guide harbour health herald history hospital house institute
+    dictionary docs energy forest forum garden gazette geography guide harbour health herald history hospital house institute
     journal kitchen language law library map market mathematics medicine meteo mountain museum music nature news notes observatory
     opera park physics poetry press radio recipes review river school science society sports story street student
-    teacher theatre times tourism town trail travel university valley village weather wiki winter
+    teacher theatre times tourism town travel university valley village weather wiki winter
 """.split())
-#: One of so many names is held out by the test; invented names of consonants and vowels stand for all unknown good ones.
-HELD_NAMES = 5
+#: One of so many words is held out by the test, with all its names.
+HELD_WORDS = 5
 INVENTED = 300
-SUBDOMAINS = ("", "www.", "m.", "static.")
-ENDINGS = ("com", "net", "org", "info", "co.uk", "de")
-PATHS = ("/", "/index.html", "/a/12", "/2024/07/page", "/item.php")
+BAD_ENDINGS = ("com", "top", "net", "xyz", "info", "click", "biz", "com", "site")
+GOOD_ENDINGS = ("com", "org", "net", "edu", "de", "co.uk", "fr", "com", "es")
+BAD_HOSTS = ("", "www.", "secure.login.", "a1.", "", "m.")
+GOOD_HOSTS = ("", "www.", "en.", "", "docs.", "www.")
+BAD_PATHS = ("/", "/go.php", "/out/83120", "/download/setup.exe", "/click/7f3a", "/r", "/page/2", "/index.html")
+GOOD_PATHS = ("/", "/about", "/2024/07/page", "/wiki/Main_Page", "/articles/a-long-walk", "/en/index.html", "/page/2", "/index.html")
 
 
 def labelled_urls(held: bool | None = None) -> list[tuple[str, int]]:
-    """The labelled table: words alone, joined to others of their family or to a filler, and invented names; 1 is bad.
+    """The labelled table (url, 1 for bad): names of words of each family, and invented ones, with the shapes of their kind.
 
-    held: only urls of the names held out, or only others; None: all.
+    held: only names made of the words held out (and of the invented names), or only of the others; a word is on one side with all its names, and
+    mates are of the same side. None: all.
     """
-    names = []
-    for words, bad in ((BAD_WORDS, 1), (GOOD_WORDS, 0)):
-        for i, word in enumerate(words):
-            mates = [words[(i * 7 + k * 11 + 3) % len(words)] for k in range(4)]
-            names += [(x, bad) for x in (word, f"{word}-{mates[0]}", f"{mates[1]}{word}", f"{word}{mates[2]}", f"{mates[3]}-{word}", f"{word}{i % 90}", f"my{word}", f"{word}-online")]
     rng = np.random.default_rng(11)
-    names += [("".join(f"{rng.choice(list('bcdfghklmnprstvwyz'))}{rng.choice(list('aeiou'))}{rng.choice(['', 'n', 'r', 's', 't', 'll'])}" for _ in range(rng.integers(2, 5))), 0) for _ in range(INVENTED)]
-    return [
-        (f"https://{SUBDOMAINS[i % len(SUBDOMAINS)]}{name}.{ENDINGS[i % len(ENDINGS)]}{PATHS[i * 3 % len(PATHS)]}", bad)
-        for i, (name, bad) in enumerate(names) if held is None or (i % HELD_NAMES == 0) == held
-    ]
+    side = lambda values: [v for i, v in enumerate(values) if held is None or (i % HELD_WORDS == 0) == held]
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    names: list[tuple[str, int]] = []
+    for words, bad in ((BAD_WORDS, 1), (GOOD_WORDS, 0)):
+        own = side(words)
+        for i, word in enumerate(own):
+            mates = [own[(i * 7 + k * 5 + 1) % len(own)] for k in range(3)]
+            names += [(x, bad) for x in (word, f"{word}{mates[0]}", f"my{word}", f"{word}-{mates[1]}")]
+            if bad:
+                names += [(x, 1) for x in (f"{mates[0]}-{word}", f"{word}-{mates[1]}-{mates[2]}", f"{word}{i % 90 + 10}", f"{mates[2]}-{word}-{i % 9}", f"{word}4u")]
+            else:
+                names += [(x, 0) for x in (f"{mates[1]}{word}", f"the{word}", f"{mates[2]}of{word}")]
+    plain = ["".join(f"{pick('bcdfghklmnprstvwyz', 1)}{pick('aeiou', 1)}{rng.choice(['', 'n', 'r', 's', 't', 'll'])}" for _ in range(rng.integers(2, 5))) for _ in range(INVENTED)]
+    names += [(x, 0) for x in side(plain)]
+    names += [(x, 1) for x in side([pick("bcdfghjklmnpqrstvwxz0123456789", rng.integers(7, 14)) for _ in range(INVENTED // 2)])]
+    joined = ["-".join("".join(f"{pick('bcdfghklmnprstvwyz', 1)}{pick('aeiou', 1)}" for _ in range(rng.integers(2, 4))) for _ in range(rng.integers(3, 5))) for _ in range(INVENTED // 4)]
+    names += [(x, 1) for x in side(joined)]
+    rows = []
+    for i, (name, bad) in enumerate(names):
+        hosts, endings, paths = (BAD_HOSTS, BAD_ENDINGS, BAD_PATHS) if bad else (GOOD_HOSTS, GOOD_ENDINGS, GOOD_PATHS)
+        rows.append((f"https://{hosts[i % len(hosts)]}{name}.{endings[i * 5 % len(endings)]}{paths[i * 3 % len(paths)]}", bad))
+    return rows
 
 
 @dataclass(frozen=True)
