@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,30 +52,51 @@ def class_medians(facts: DataFrame, stats: DataFrame, least_players: int = 3) ->
     return kept.join(wide, ["cgid", "class_num"]).select("cgid", "class_num", *per, "players")
 
 
+def scoped(stats: DataFrame, players: DataFrame) -> DataFrame:
+    """steamid, scope (a class, or all), and the sums of the metrics and of the time, of the board population."""
+    eligible = players.filter(population()).select("steamid")
+    s = stats.filter(F.col("playtime_seconds") > 0).join(eligible, "steamid")
+    sums = [F.sum(m).alias(m) for m in (*METRICS, "playtime_seconds")]
+    out = s.groupingSets([[F.col("steamid"), F.col("class_num")], [F.col("steamid")]], F.col("steamid"), F.col("class_num")).agg(*sums, F.grouping("class_num").alias("g"))
+    return out.select("steamid", F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("class_num").cast("string")).alias("scope"), *METRICS, "playtime_seconds")
+
+
+def board_columns() -> list[tuple[str, str, Column]]:
+    """Metric, kind and value of each board of a scope; the value is null below the hours that the board asks for."""
+    out = [(m, "total", F.col(m).cast("double")) for m in METRICS] + [("playtime", "total", F.col("playtime_seconds").cast("double"))]
+    for h in HOUR_STEPS:
+        out += [(m, f"per_hour:{h}h", F.when(F.col("playtime_seconds") >= h * 3600, F.col(m) * 3600.0 / F.col("playtime_seconds"))) for m in METRICS]
+    return out
+
+
+def _named(metric: str, kind: str) -> Column:
+    return F.concat(F.lit(f"{metric}:"), F.col("scope"), F.lit(f":{kind}"))
+
+
 def board_values(stats: DataFrame, players: DataFrame) -> DataFrame:
     """board, steamid, value for every board: totals, and hourly rates from some hours on, over all classes and each.
 
     The scopes are made by grouping sets and the boards by one unpivot, so the stats are read once however many boards there are.
     """
-    eligible = players.filter(population()).select("steamid")
-    s = stats.filter(F.col("playtime_seconds") > 0).join(eligible, "steamid")
-    sums = [F.sum(m).alias(m) for m in (*METRICS, "playtime_seconds")]
-    scoped = s.groupingSets([[F.col("steamid"), F.col("class_num")], [F.col("steamid")]], F.col("steamid"), F.col("class_num")).agg(*sums, F.grouping("class_num").alias("g"))
-    scope = F.when(F.col("g") == 1, F.lit("all")).otherwise(F.col("class_num").cast("string"))
-    boards = [F.struct(F.concat(F.lit(f"{m}:"), scope, F.lit(":total")).alias("board"), F.col(m).cast("double").alias("value")) for m in METRICS]
-    boards.append(F.struct(F.concat(F.lit("playtime:"), scope, F.lit(":total")).alias("board"), F.col("playtime_seconds").cast("double").alias("value")))
-    for m in METRICS:
-        for h in HOUR_STEPS:
-            value = F.when(F.col("playtime_seconds") >= h * 3600, F.col(m) * 3600.0 / F.col("playtime_seconds"))
-            boards.append(F.struct(F.concat(F.lit(f"{m}:"), scope, F.lit(f":per_hour:{h}h")).alias("board"), value.alias("value")))
-    return scoped.select("steamid", F.explode(F.array(*boards)).alias("b")).select(F.col("b.board").alias("board"), "steamid", F.col("b.value").alias("value")).filter("value is not null")
-
-
-def leaderboards(values: DataFrame, top: int = 100) -> DataFrame:
-    """The first `top` of each board with the board's participants."""
+    return _values(scoped(stats, players))
+
+
+def _values(scopes: DataFrame) -> DataFrame:
+    boards = F.array(*(F.struct(_named(m, kind).alias("board"), value.alias("value")) for m, kind, value in board_columns()))
+    return scopes.select("steamid", F.explode(boards).alias("b")).select(F.col("b.board").alias("board"), "steamid", F.col("b.value").alias("value")).filter("value is not null")
+
+
+def leaderboards(scopes: DataFrame, top: int = 100) -> DataFrame:
+    """The first `top` of each board with the board's participants. scopes: as of scoped().
+
+    Participants are counted by scope, before the boards are rows: a player takes part where the value isn't null.
+    """
     w = W.partitionBy("board").orderBy(F.desc("value"), "steamid")
-    best = values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return best.join(values.groupBy("board").agg(F.count("*").alias("participants")), "board")
+    best = _values(scopes).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    columns = board_columns()
+    counts = scopes.groupBy("scope").agg(*(F.count(value).alias(f"n{i}") for i, (_, _, value) in enumerate(columns)))
+    participants = counts.select(F.inline(F.array(*(F.struct(_named(m, kind).alias("board"), F.col(f"n{i}").alias("participants")) for i, (m, kind, _) in enumerate(columns)))))
+    return best.join(participants, "board")
 
 
 def distribution(values: DataFrame, board: str, points: int = 41, least: int = 20) -> DataFrame:
@@ -86,10 +107,15 @@ def distribution(values: DataFrame, board: str, points: int = 41, least: int = 2
     return percentiles(own, ["board"], "value", tuple(steps)).join(n, "board").select("step", "value", "participants")
 
 
-def player_ranks(values: DataFrame, steamid: int) -> DataFrame:
-    """One player's rank on every board by counting who is better: no sort, and one pass."""
-    mine = values.filter(F.col("steamid") == steamid).select("board", F.col("value").alias("mine"))
-    out = values.join(mine, "board").groupBy("board").agg((F.count_if(F.col("value") > F.col("mine")) + 1).alias("rank"), F.count("*").alias("of"), F.first("mine").alias("value"))
+def player_ranks(scopes: DataFrame, steamid: int) -> DataFrame:
+    """One player's rank on every board by counting who is better: no sort, one pass, and no row per board before the counts. scopes: as of scoped()."""
+    columns = board_columns()
+    wide = scopes.select("steamid", "scope", *(value.alias(f"v{i}") for i, (_, _, value) in enumerate(columns)))
+    mine = wide.filter(F.col("steamid") == steamid).select("scope", *(F.col(f"v{i}").alias(f"m{i}") for i in range(len(columns))))
+    met = wide.join(F.broadcast(mine), "scope")  # a row for each scope at most
+    counts = met.groupBy("scope").agg(*(x for i in range(len(columns)) for x in ((F.count_if(F.col(f"v{i}") > F.col(f"m{i}")) + 1).alias(f"r{i}"), F.count(f"v{i}").alias(f"n{i}"), F.first(f"m{i}").alias(f"m{i}"))))
+    boards = F.array(*(F.struct(_named(m, kind).alias("board"), F.col(f"r{i}").alias("rank"), F.col(f"n{i}").alias("of"), F.col(f"m{i}").alias("value")) for i, (m, kind, _) in enumerate(columns)))
+    out = counts.select(F.inline(boards)).filter("value is not null")
     return out.withColumn("percentile", 100.0 * F.col("rank") / F.col("of")).orderBy(F.col("rank") / F.col("of"), "board")
 
 

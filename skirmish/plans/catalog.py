@@ -15,7 +15,7 @@ from ..operators import ratings as ra
 from ..operators import sinks as si
 from ..operators import social as so
 from ..registry import register
-from ..sources.tables import cte, load
+from ..sources.tables import cte, kept, load
 
 #: The item that stands for the pan family in the generated tables.
 PAN = 5
@@ -37,6 +37,10 @@ def _loads(spark, d):
     return lo.loadouts(_facts(spark, d))
 
 
+def _scopes(spark, d):
+    return ra.scoped(load(spark, d, "class_stats"), load(spark, d, "players"))
+
+
 def _values(spark, d):
     return ra.board_values(load(spark, d, "class_stats"), load(spark, d, "players"))
 
@@ -51,6 +55,11 @@ def _cube(spark, d):
     return lo.usage_cube(_facts(spark, d), load(spark, d, "players"), items, so.capabilities(items))
 
 
+def _gold(spark, d):
+    """The cube as a table, built once for each state of the base tables, for the pages that show a slice."""
+    return kept(spark, d, "usage_cube", ("customer", "part", "orders", "lineitem"), lambda: _cube(spark, d), "merged", "hours", "active").select("merged", "hours", "active", "item", "class_num", "slot_num", "worn", "sample", "usage")
+
+
 _CAPS = """us AS (SELECT defindex, coalesce(reskin_group, defindex) AS gid, slot_num, unnest(list_distinct([class_a, class_b])) AS k FROM items),
 caps AS (SELECT defindex, gid, k AS class_num, slot_num FROM us)"""
 _CUBE = f"""{_FACTS}, {_CAPS},
@@ -67,7 +76,7 @@ ds AS (SELECT false AS merged, defindex AS item, slot_num, count(DISTINCT class_
 cube AS (SELECT ro.*, sample, worn::DOUBLE / (sample * CASE WHEN ro.class_num <> -1 THEN 1 WHEN ro.slot_num = -1 THEN coalesce(dc.n, 9) ELSE coalesce(ds.n, dc.n, 9) END) AS usage
  FROM ro JOIN pop USING (hours, active) LEFT JOIN dc ON dc.merged = ro.merged AND dc.item = ro.item LEFT JOIN ds ON ds.merged = ro.merged AND ds.item = ro.item AND ds.slot_num = ro.slot_num)"""
 register("usage_cube", _cube, cte(f"WITH {_CUBE} SELECT * FROM cube"))
-register("usage_page", lambda s, d: so.usage_page(_cube(s, d).filter("merged"), 0, 0, -1, -1, 20, 20), cte(f"""WITH {_CUBE},
+register("usage_page", lambda s, d: so.usage_page(_gold(s, d).filter("merged"), 0, 0, -1, -1, 20, 20), cte(f"""WITH {_CUBE},
 r AS (SELECT item, worn, usage, row_number() OVER (ORDER BY usage DESC, item DESC) AS k, count(*) OVER () AS n FROM cube WHERE merged AND hours = 0 AND active = 0 AND class_num = -1 AND slot_num = -1)
 SELECT item, worn, usage, CASE WHEN n > 40 THEN 40 END AS next_offset FROM r WHERE k > 20 AND k <= 40"""))
 register("capabilities", lambda s, d: so.capabilities(load(s, d, "items")), cte(f"WITH {_CAPS} SELECT defindex, class_num, slot_num FROM caps"))
@@ -103,9 +112,9 @@ _values_sql = " UNION ALL ".join(
 _VALUES = f"""el AS (SELECT class_stats.* FROM class_stats JOIN players USING (steamid) WHERE {_POP} AND playtime_seconds > 0),
 sc AS (SELECT steamid, CASE WHEN grouping(class_num) = 1 THEN 'all' ELSE class_num::VARCHAR END AS scope, {', '.join(f'sum({m}) AS {m}' for m in (*ra.METRICS, 'playtime_seconds'))} FROM el GROUP BY GROUPING SETS ((steamid, class_num), (steamid))),
 va AS ({_values_sql})"""
-register("leaderboards", lambda s, d: ra.leaderboards(_values(s, d)), cte(f"WITH {_VALUES} SELECT * FROM (SELECT board, steamid, value, row_number() OVER (PARTITION BY board ORDER BY value DESC, steamid) AS rank, count(*) OVER (PARTITION BY board) AS participants FROM va) WHERE rank <= 100"))
+register("leaderboards", lambda s, d: ra.leaderboards(_scopes(s, d)), cte(f"WITH {_VALUES} SELECT * FROM (SELECT board, steamid, value, row_number() OVER (PARTITION BY board ORDER BY value DESC, steamid) AS rank, count(*) OVER (PARTITION BY board) AS participants FROM va) WHERE rank <= 100"))
 register("board_distribution", lambda s, d: ra.distribution(_values(s, d), "kills:all:per_hour:10h"), cte(f"WITH {_VALUES}, c AS (SELECT quantile_cont(value, {[i / 40 for i in range(41)]}) AS c, count(*) AS participants FROM va WHERE board = 'kills:all:per_hour:10h') SELECT unnest(range(41))::INT AS step, unnest(c) AS value, participants FROM c WHERE participants >= 20"))
-register("player_ranks", lambda s, d: ra.player_ranks(_values(s, d), 7), cte(f"WITH {_VALUES}, r AS (SELECT board, steamid, value, rank() OVER (PARTITION BY board ORDER BY value DESC) AS rank, count(*) OVER (PARTITION BY board) AS of FROM va) SELECT board, rank, of, value, 100.0::DOUBLE * rank / of AS percentile FROM r WHERE steamid = 7"))
+register("player_ranks", lambda s, d: ra.player_ranks(_scopes(s, d), 7), cte(f"WITH {_VALUES}, r AS (SELECT board, steamid, value, rank() OVER (PARTITION BY board ORDER BY value DESC) AS rank, count(*) OVER (PARTITION BY board) AS of FROM va) SELECT board, rank, of, value, 100.0::DOUBLE * rank / of AS percentile FROM r WHERE steamid = 7"))
 register("counter_boards", lambda s, d: ra.counter_boards(_facts(s, d)), cte(f"""WITH {_FACTS}, o AS (SELECT steamid, defindex, max(strange_kills) AS k FROM facts WHERE quality = 11 GROUP BY 1, 2),
 p AS (SELECT steamid, sum(k)::BIGINT AS total, max(k) AS best, count(*) FILTER (k >= 8500) AS full FROM o GROUP BY 1),
 l AS (SELECT steamid, 'total' AS board, total AS value FROM p UNION ALL SELECT steamid, 'best', best FROM p UNION ALL SELECT steamid, 'full', p.full FROM p)
@@ -331,12 +340,12 @@ WHERE observations >= 3 AND {_SECS.format('first_seen', 'last_seen')} >= 300 AND
 
 _GROUP = "gp AS (SELECT defindex, coalesce(reskin_group, defindex) AS gid FROM items WHERE coalesce(reskin_group, defindex) = (SELECT coalesce(reskin_group, defindex) FROM items WHERE defindex = {0}))"
 register("item_variants", lambda s, d: pa.item_variants(load(s, d, "equipped"), load(s, d, "items"), 8), cte(f"WITH {_GROUP.format(8)} SELECT defindex, quality, count(*) AS n FROM equipped WHERE defindex IN (SELECT defindex FROM gp) GROUP BY 1, 2"))
-register("item_usage", lambda s, d: pa.item_usage(_cube(s, d), load(s, d, "items"), 8), cte(f"WITH {_CUBE}, {_GROUP.format(8)} SELECT class_num, active >= 1 AS active_only, hours, worn, sample, usage FROM cube WHERE merged AND slot_num = -1 AND active IN (0, 1) AND hours IN (0, 120000) AND item IN (SELECT gid FROM gp)"))
+register("item_usage", lambda s, d: pa.item_usage(_gold(s, d), load(s, d, "items"), 8), cte(f"WITH {_CUBE}, {_GROUP.format(8)} SELECT class_num, active >= 1 AS active_only, hours, worn, sample, usage FROM cube WHERE merged AND slot_num = -1 AND active IN (0, 1) AND hours IN (0, 120000) AND item IN (SELECT gid FROM gp)"))
 register("item_performance", lambda s, d: pa.item_performance(ra.class_medians(_facts(s, d), load(s, d, "class_stats")), load(s, d, "items"), PAN, PAN), cte(f"""WITH {_FACTS}, {_GROUP.format(PAN)},
 j AS (SELECT * FROM (SELECT DISTINCT steamid, class_num, cgid FROM facts WHERE slot_num <= 6) JOIN class_stats USING (steamid, class_num) WHERE playtime_seconds >= 36000)
 SELECT cgid, class_num, quantile_cont(points_scored * 60.0::DOUBLE / playtime_seconds, 0.5) AS ppm, quantile_cont(kills * 3600.0::DOUBLE / playtime_seconds, 0.5) AS kph,
  quantile_cont(damage_dealt * 60.0::DOUBLE / playtime_seconds, 0.5) AS dpm, count(DISTINCT steamid) AS players FROM j WHERE cgid IN (SELECT gid FROM gp) OR cgid BETWEEN 0 AND 8 GROUP BY 1, 2 HAVING players >= 3"""))
-register("usage_history", lambda s, d: pa.usage_history(_cube(s, d), "2024-02-01"), cte(f"WITH {_CUBE} SELECT DATE '2024-02-01' AS day, item AS gid, worn, sample, usage FROM cube WHERE merged AND class_num = -1 AND slot_num = -1 AND hours = 0 AND active = 0"))
+register("usage_history", lambda s, d: pa.usage_history(_gold(s, d), "2024-02-01"), cte(f"WITH {_CUBE} SELECT DATE '2024-02-01' AS day, item AS gid, worn, sample, usage FROM cube WHERE merged AND class_num = -1 AND slot_num = -1 AND hours = 0 AND active = 0"))
 register("profile_classes", lambda s, d: pa.profile_classes(load(s, d, "class_stats"), 7), cte("SELECT class_num, playtime_seconds / 3600.0::DOUBLE AS hours, kills * 3600::DOUBLE / playtime_seconds AS kph, damage_dealt * 60::DOUBLE / playtime_seconds AS dpm, points_scored * 3600::DOUBLE / playtime_seconds AS pph FROM class_stats WHERE steamid = 7"))
 register("profile_items", lambda s, d: pa.profile_items(load(s, d, "equipped"), load(s, d, "items"), 7), cte("SELECT class_num, e.slot_num, e.defindex, name, reskin_group, quality, strange_kills FROM equipped e LEFT JOIN items i ON i.defindex = e.defindex WHERE steamid = 7"))
 _WFACTS = f"""{_WINDOWS}, bf AS (SELECT steamid, snapshot, lag(snapshot) OVER (PARTITION BY steamid ORDER BY t, snapshot) AS prior FROM wh),

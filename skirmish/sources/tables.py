@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -83,7 +85,7 @@ VIEWS: dict[str, str] = {
 
 #: Fact tables that many queries read; built from the large base tables once and stored.
 STORED = ("equipped", "class_stats", "snapshots")
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, tuple[str, StructType]] = {}
 _folders: dict[str, str] = {}
 
 
@@ -93,15 +95,31 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
     built = spark.sql(text, **{t: load(spark, sf_dir, t) for t in BASE if f"{{{t}}}" in text})
-    folder = _folder(spark) if name in STORED else None
-    if not folder:
+    if name not in STORED:
         return built
-    key = (folder, sf_dir, name, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in BASE if f"{{{t}}}" in text))
-    if key not in _stored:
-        path = f"{folder}/facts-{uuid.uuid4().hex}"
-        built.write.parquet(path)
-        _stored[key] = path
-    return spark.read.schema(built.schema).parquet(_stored[key])
+    return kept(spark, sf_dir, name, tuple(t for t in BASE if f"{{{t}}}" in text), lambda: built)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame], *partitions: str) -> DataFrame:
+    """What build() gives, written once for each state of the base tables it stands on and read from then on; built each time where there is no shared folder.
+
+    A folder that has gone meanwhile is written anew.
+    """
+    folder = _folder(spark)
+    if not folder:
+        return build()
+    key = (folder, sf_dir, name, *(_changed(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if key not in _stored or not _exists(spark, _stored[key][0]):
+        rows, path = build(), f"{folder}/facts-{uuid.uuid4().hex}"
+        (rows.write.partitionBy(*partitions) if partitions else rows.write).parquet(path)
+        _stored[key] = path, rows.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def shared(spark: SparkSession) -> str:
