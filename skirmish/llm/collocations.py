@@ -29,7 +29,7 @@ from . import textvec as tv
 from .common import cut
 
 LONGEST, LEAST, BEST, SHARE = 3, 10, 2000, 50
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 5 << 20
 #: Rows that a task hands over at once.
 ROWS = 1 << 16
 #: Bits of the bitmap of frequent phrases.
