@@ -52,7 +52,7 @@ VIEWS: dict[str, str] = {
     "server_scans": """SELECT date_trunc('hour', ts) AS scanned_at, CASE WHEN user_id % 9 = 8 THEN 255 ELSE user_id % 9 END AS region, CASE user_id % 6 WHEN 0 THEN 'pl_a' WHEN 1 THEN 'plr_b' WHEN 2 THEN 'koth_c' WHEN 3 THEN 'cp_d' WHEN 4 THEN 'ctf_e' ELSE 'trade_f' END AS map,
   user_id % 4 = 0 AS official, count(*) AS players, count(*) % 3 AS bots, count(DISTINCT event_type) AS servers, 24 * count(DISTINCT event_type) AS capacity FROM {events}
   GROUP BY date_trunc('hour', ts), user_id % 9, user_id % 6, user_id % 4 = 0""",
-    "handles": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 31 <> 0 THEN concat(substring(md5(cast(cast(floor(o_orderkey / 2) AS bigint) AS varchar(20))), 1, 7), CASE WHEN o_orderkey % 20 = 0 THEN ' the ' ELSE '_' END, substring(md5(cast(o_custkey AS varchar(20))), 1, 3)) END AS name FROM {orders}""",
+    "handles": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 31 <> 0 THEN concat(substring(md5(cast(cast(floor(o_orderkey / 2) AS bigint) AS varchar(20))), 1, 7), CASE WHEN o_orderkey % 20 = 0 THEN ' the ' ELSE '_' END, substring(md5(cast(o_custkey AS varchar(20))), 1, 3)) END AS name FROM {orders} WHERE o_orderkey % 8 < 2""",
     "definitions": """SELECT p_partkey AS name, p_name AS title FROM {part}""",
     "builds_on": """SELECT p_partkey AS name, 0 AS position, cast(floor(p_partkey / 2) AS bigint) AS parent FROM {part} WHERE p_partkey > 1
   UNION ALL SELECT p_partkey, 1, cast(floor(p_partkey / 3) AS bigint) FROM {part} WHERE p_partkey > 2 AND p_partkey % 4 <> 1""",
