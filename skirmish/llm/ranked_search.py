@@ -33,8 +33,8 @@ from .common import cut
 BEST = 50
 FAN = 16
 #: Rows and bytes of text of a segment; it ends when it has reached either.
-SEGMENT_DOCS = 4096
-SEGMENT_BYTES = 16 << 20
+SEGMENT_DOCS = 2048
+SEGMENT_BYTES = 8 << 20
 #: Pairs of item and term of a block of queries, about; a segment's impacts take four bytes for each of its terms and documents.
 BLOCK_TERMS = 8192
 
@@ -128,7 +128,7 @@ class _Tree:
         self.levels = [leaves]
         while self.levels[-1].shape[1] > FAN:
             last = self.levels[-1]
-            padded = np.pad(last, ((0, 0), (0, -last.shape[1] % FAN)))
+            padded = np.pad(last, ((0, 0), (0, -last.shape[1] % FAN))) if last.shape[1] % FAN else last
             self.levels.append(padded.reshape(len(at), -1, FAN).max(2))
 
     def search(self, rows: np.ndarray, weights: np.ndarray, ids: list, best: list, k: int) -> None:
