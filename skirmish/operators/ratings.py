@@ -44,12 +44,8 @@ def class_medians(facts: DataFrame, stats: DataFrame, least_players: int = 3) ->
     """Interpolated medians of points and damage a minute and kills an hour, by class-wise item group and class; weapons only."""
     s = stats.filter(F.col("playtime_seconds") >= LEAST_SECONDS)
     joined = facts.filter(F.col("slot_num") <= WEAPON_SLOT).select("steamid", "class_num", "cgid").distinct().join(s, ["steamid", "class_num"])
-    per = {"ppm": F.col("points_scored") * 60.0, "kph": F.col("kills") * 3600.0, "dpm": F.col("damage_dealt") * 60.0}
-    kept = joined.groupBy("cgid", "class_num").agg(F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
-    rates = joined.join(kept, ["cgid", "class_num"], "left_semi").select("cgid", "class_num", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), (x / F.col("playtime_seconds")).alias("rate")) for n, x in per.items()))))
-    medians = percentiles(rates, ["cgid", "class_num", "metric"], "rate", (0.5,))
-    wide = medians.groupBy("cgid", "class_num").agg(*(F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in per))
-    return kept.join(wide, ["cgid", "class_num"]).select("cgid", "class_num", *per, "players")
+    per = lambda c, k: F.percentile(F.col(c) * k / F.col("playtime_seconds"), F.lit(0.5))
+    return joined.groupBy("cgid", "class_num").agg(per("points_scored", 60.0).alias("ppm"), per("kills", 3600.0).alias("kph"), per("damage_dealt", 60.0).alias("dpm"), F.count_distinct("steamid").alias("players")).filter(F.col("players") >= least_players)
 
 
 def scoped(stats: DataFrame, players: DataFrame) -> DataFrame:
@@ -87,16 +83,11 @@ def _values(scopes: DataFrame) -> DataFrame:
 
 
 def leaderboards(scopes: DataFrame, top: int = 100) -> DataFrame:
-    """The first `top` of each board with the board's participants. scopes: as of scoped().
-
-    Participants are counted by scope, before the boards are rows: a player takes part where the value isn't null.
-    """
+    """The first `top` of each board with the board's participants. scopes: as of scoped()."""
+    values = _values(scopes)
     w = W.partitionBy("board").orderBy(F.desc("value"), "steamid")
-    best = _values(scopes).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    columns = board_columns()
-    counts = scopes.groupBy("scope").agg(*(F.count(value).alias(f"n{i}") for i, (_, _, value) in enumerate(columns)))
-    participants = counts.select(F.inline(F.array(*(F.struct(_named(m, kind).alias("board"), F.col(f"n{i}").alias("participants")) for i, (m, kind, _) in enumerate(columns)))))
-    return best.join(participants, "board")
+    best = values.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return best.join(values.groupBy("board").agg(F.count("*").alias("participants")), "board")
 
 
 def distribution(values: DataFrame, board: str, points: int = 41, least: int = 20) -> DataFrame:
@@ -108,14 +99,10 @@ def distribution(values: DataFrame, board: str, points: int = 41, least: int = 2
 
 
 def player_ranks(scopes: DataFrame, steamid: int) -> DataFrame:
-    """One player's rank on every board by counting who is better: no sort, one pass, and no row per board before the counts. scopes: as of scoped()."""
-    columns = board_columns()
-    wide = scopes.select("steamid", "scope", *(value.alias(f"v{i}") for i, (_, _, value) in enumerate(columns)))
-    mine = wide.filter(F.col("steamid") == steamid).select("scope", *(F.col(f"v{i}").alias(f"m{i}") for i in range(len(columns))))
-    met = wide.join(F.broadcast(mine), "scope")  # a row for each scope at most
-    counts = met.groupBy("scope").agg(*(x for i in range(len(columns)) for x in ((F.count_if(F.col(f"v{i}") > F.col(f"m{i}")) + 1).alias(f"r{i}"), F.count(f"v{i}").alias(f"n{i}"), F.first(f"m{i}").alias(f"m{i}"))))
-    boards = F.array(*(F.struct(_named(m, kind).alias("board"), F.col(f"r{i}").alias("rank"), F.col(f"n{i}").alias("of"), F.col(f"m{i}").alias("value")) for i, (m, kind, _) in enumerate(columns)))
-    out = counts.select(F.inline(boards)).filter("value is not null")
+    """One player's rank on every board by counting who is better: no sort, and one pass. scopes: as of scoped()."""
+    values = _values(scopes)
+    mine = values.filter(F.col("steamid") == steamid).select("board", F.col("value").alias("mine"))
+    out = values.join(mine, "board").groupBy("board").agg((F.count_if(F.col("value") > F.col("mine")) + 1).alias("rank"), F.count("*").alias("of"), F.first("mine").alias("value"))
     return out.withColumn("percentile", 100.0 * F.col("rank") / F.col("of")).orderBy(F.col("rank") / F.col("of"), "board")
 
 
