@@ -1,21 +1,25 @@
-"""Line dedup: repeated runs of lines are found by distributed prefix doubling, later copies are deleted.
+"""Line dedup: maximal repeated runs of lines are found by distributed prefix doubling, later copies are deleted.
 
 A text is the sequence of its lines that hold a word. The suffixes of all sequences are ranked by
 prefix doubling: the rank of a prefix of 2k lines is the place of (rank of the first k, rank of the
 next k) in the sorted order of the pairs that occur more than once; suffixes whose prefix is unique
-drop out. Suffixes of one rank are an LCP interval: they share that prefix. Of a run of any length
-the interval is named by two ranks, those of the largest power of two lines at its begin and its end.
+drop out. Suffixes of one rank are an LCP interval: they share that prefix.
 
-A run is one line or more, of at least `min_words` words together; by default that spares single words
-alone on a line, and nothing else. A line is deleted if some run with it occurs
-earlier, by (id, text, line). Each run of enough words contains, for each of its lines, a shortest
-run from that line on or up to the last line; so the intervals of the shortest runs decide, and the
-maximal repeated runs are the unions of what they cover. Overlapping copies count.
+From the longest prefixes down, each suffix then descends through the intervals: to the lines that it is
+known to share with an earlier suffix, 2^j more are added if the interval so narrowed has an earlier
+member. What it ends with is the longest prefix that occurs earlier, by (id, text, line), and where that
+occurs first. An interval is named by its first member and its length; the first member of what an
+interval narrows to either stands at the same length or is the interval's own first member, so a step
+compares only rows of one length, and one row for each interval.
+
+Runs that no run of the line before holds are maximal (`maximal_runs()`); those of at least `min_words`
+words are later copies, and their lines are deleted. By default that spares single words
+alone on a line, and nothing else. Overlapping copies count.
 
 Lines are told apart by two independent 64-bit hashes, so 128 bits decide before a line is deleted. Only
-distinct pairs are sorted, so a line that a third of all rows share is one row there; the first places of
-the commonest runs are broadcast (their number is bounded), so no task gathers all copies of a run. Texts that
-lose no line aren't shuffled: a bitmap of fixed size over the hashes of the others tells most of them.
+distinct pairs are sorted, so a line that a third of all rows share is one row there; the ranks and first places of
+the commonest prefixes are broadcast (their number is bounded), so no task gathers all copies of a run. Lines of one text
+meet in one task where runs are told maximal. Texts that lose no line aren't shuffled: a bitmap of fixed size over the hashes of the others tells most of them.
 
 Defined results: null and empty texts have no lines and stay; lines without a word are not counted
 and never deleted; rows that repeat both id and text are one document in the comparison, and all get
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,7 +41,7 @@ from . import textvec as tv
 from .common import cut, extended, possible
 
 MIN_WORDS = 2
-#: A run with more than this share of all places is common; so there are at most as many common runs as its inverse.
+#: A key with more than this share of all rows is common; so there are at most as many common keys as its inverse.
 COMMON = 1e-4
 
 
@@ -66,11 +70,11 @@ def _second_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, doc, pos, h, g (two hashes of the line), ahead, back: lengths of the shortest runs of enough words that begin and end at the line; 0: none."""
+    """doc, pos, h, g (two hashes of the line), ahead: length of the shortest run of enough words that begins at the line; 0: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, starts in tv.chunks(batch.column(2)):
+            for row, data, starts in tv.chunks(batch.column(1)):
                 begins, ends, rows, words = _worded(data, starts)
                 if not len(begins):
                     continue
@@ -80,59 +84,103 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 before = upto - words
                 at = np.arange(len(begins))
                 to = np.searchsorted(upto, before + min_words)  # the run [at, to] has enough
-                since = np.searchsorted(before, upto - min_words, "right") - 1
                 take = pa.array(rows + row)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first).astype(np.int32)), pa.array(tv.span_hashes(data, begins, ends).view(np.int64)), pa.array(_second_hashes(data, begins, ends).view(np.int64)),
-                    pa.array(np.where(to < last, to - at + 1, 0).astype(np.int32)), pa.array(np.where(since >= first, at - since + 1, 0).astype(np.int32)),
-                ], names=["id", "doc", "pos", "h", "g", "ahead", "back"])
+                    batch.column(0).take(take), pa.array((at - first).astype(np.int32)), pa.array(tv.span_hashes(data, begins, ends).view(np.int64)), pa.array(_second_hashes(data, begins, ends).view(np.int64)),
+                    pa.array(np.where(to < last, to - at + 1, 0).astype(np.int32)),
+                ], names=["doc", "pos", "h", "g", "ahead"])
+
+    return docs.mapInArrow(run, "doc bigint, pos int, h bigint, g bigint, ahead int").distinct()
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields[:2], *StructType.fromDDL("pos int, h bigint, g bigint, ahead int, back int").fields])).distinct()
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns that groups has for their keys; c of groups counts the rows of a key, total those of all."""
+    common, rest = groups.filter(F.col("c") > COMMON * total).drop("c"), groups.filter(F.col("c") <= COMMON * total).drop("c")
+    often = rows.join(F.broadcast(common), keys)  # fewer than 1 / COMMON rows
+    return often.unionByName(rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(rest, keys))
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the rank of their keys among those that occur more than once; others drop out."""
-    groups = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """rows with the rank of their keys among those that occur more than once, in place of the keys; others drop out."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("c")).filter("c > 1")
     ranks = cut(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
-    return cut(rows.join(ranks, keys).select("doc", "pos", "rank"))
+    total = ranks.agg(F.sum("c")).first()[0]
+    return _met(rows, ranks, keys, total).drop(*keys) if total else None
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc (a hash of id and text), deleted: sorted array of the numbers, among lines with a word, of lines to delete."""
-    slim = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("doc"), F.col(text).alias("text"))
-    lines = cut(_lines(slim, min_words))
-    spot = F.struct("id", "doc", "start")
-    windows = lines.filter("ahead > 0").select("id", "doc", F.col("pos").alias("start"), F.col("ahead").alias("n"))
-    windows = windows.unionByName(lines.filter("back > 0").select("id", "doc", (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("n"))).distinct()
-    longest = lines.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-
-    level = _ranked(lines.select("doc", "pos", "h", "g"), ["h", "g"])
-    levels = [level]
-    size = 1
-    while 2 * size <= longest:
-        after = level.select("doc", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
-        level = _ranked(level.withColumnRenamed("rank", "this").join(after, ["doc", "pos"]), ["this", "next"])
-        if level.isEmpty():
-            break
+def _levels(lines: DataFrame, places: DataFrame) -> list[DataFrame]:
+    """For each k: ord, pos, rank of the prefix of 2^k lines of each suffix, where it occurs more than once. The first has ahead too."""
+    level = _ranked(lines, ["h", "g"])
+    levels = []
+    while level is not None:
+        level = cut(level if levels else level.join(places, "doc").select("ord", "pos", "rank", "ahead"))
         levels.append(level)
-        size *= 2
-
-    table = None
-    for k, x in enumerate(levels):
-        x = x.withColumn("level", F.lit(k))
-        table = x if table is None else table.unionByName(x)
-    windows = windows.withColumn("level", F.length(F.bin("n")) - 1).withColumn("end", F.col("start") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int"))
-    head = table.select("level", "doc", F.col("pos").alias("start"), F.col("rank").alias("head"))
-    tail = table.select("level", "doc", F.col("pos").alias("end"), F.col("rank").alias("tail"))
-    named = cut(windows.join(head, ["level", "doc", "start"]).join(tail, ["level", "doc", "end"]).select("id", "doc", "start", "n", "head", "tail"))
-    run = ["n", "head", "tail"]
-    firsts = cut(named.groupBy(*run).agg(F.min(spot).alias("first"), F.count("*").alias("c")).filter("c > 1"))
-    most = COMMON * (firsts.agg(F.sum("c")).first()[0] or 0)
-    common, rest = firsts.filter(F.col("c") > most).drop("c"), firsts.filter(F.col("c") <= most).drop("c")
-    later = named.join(F.broadcast(common), run)  # fewer than 1 / COMMON rows
-    later = later.unionByName(named.join(F.broadcast(common.select(*run)), run, "left_anti").join(rest, run)).filter(spot > F.col("first"))
-    gone = later.groupBy("doc", "start").agg(F.max("n").alias("n")).select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("deleted"))
+        level = level.select("ord", "pos", "rank")
+        after = level.select("ord", (F.col("pos") - (1 << len(levels) - 1)).alias("pos"), F.col("rank").alias("next"))
+        level = _ranked(cut(level.withColumnRenamed("rank", "this").join(after, ["ord", "pos"])), ["this", "next"])
+    return levels
+
+
+def _earlier(levels: list[DataFrame]) -> DataFrame:
+    """ord, pos, n, first_ord, first_pos: the longest prefix of a suffix that occurs earlier, and where first; suffixes without one are absent."""
+    interval = ["first_ord", "first_pos", "n"]
+    state = None
+    for j, level in reversed(list(enumerate(levels))):
+        fresh = level.select("ord", "pos", F.lit(0).alias("n"), F.lit(-1).cast("bigint").alias("first_ord"), F.lit(-1).alias("first_pos"), "rank")
+        rows, origins = fresh, None
+        if state is not None:
+            at = level.select(F.col("ord").alias("at"), F.col("pos").alias("end"), "rank")
+            known = state.join(at, (state.ord == at["at"]) & (state.pos + state.n == at.end), "left").drop("at", "end")
+            rows = fresh.join(state.select("ord", "pos"), ["ord", "pos"], "left_anti").unionByName(known)
+            origins = state.select(*interval).distinct()
+            origins = origins.join(at, (origins.first_ord == at["at"]) & (origins.first_pos + origins.n == at.end)).drop("at", "end")
+        rows = cut(rows)
+        narrowed = rows.filter("rank is not null")
+        members = narrowed.select(*interval, "rank", F.struct("ord", "pos").alias("least"), F.lit(1).alias("c"))
+        if origins is not None:
+            members = members.unionByName(origins.select(*interval, "rank", F.struct(F.col("first_ord").alias("ord"), F.col("first_pos").alias("pos")).alias("least"), F.lit(0).alias("c")))
+        groups = cut(members.groupBy(*interval, "rank").agg(F.min("least").alias("least"), F.sum("c").alias("c")).filter("c > 0"))
+        total = groups.agg(F.sum("c")).first()[0] or 0
+        shared = F.col("least") < F.struct("ord", "pos")
+        narrowed = _met(narrowed, groups, [*interval, "rank"], total).select(
+            "ord", "pos", F.when(shared, F.col("n") + (1 << j)).otherwise(F.col("n")).alias("n"),
+            F.when(shared, F.col("least.ord")).otherwise(F.col("first_ord")).alias("first_ord"), F.when(shared, F.col("least.pos")).otherwise(F.col("first_pos")).alias("first_pos"),
+        )
+        state = cut(narrowed.unionByName(rows.filter("rank is null").drop("rank")).filter("n > 0"))
+    return state
+
+
+def _copies(docs: DataFrame, min_words: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, doc, ord) of each distinct document, and (ord, pos, n, first_ord, first_pos, maximal, enough) of each line that occurs earlier."""
+    slim = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("doc"), F.col(text).alias("text"))
+    places = cut(slim.filter("text is not null").select("id", "doc").distinct().repartitionByRange("id", "doc").sortWithinPartitions("id", "doc").withColumn("ord", F.monotonically_increasing_id()))
+    levels = _levels(cut(_lines(slim.select("doc", "text"), min_words)), places.select("doc", "ord"))
+    if not levels:
+        return places, docs.sparkSession.createDataFrame([], "ord bigint, pos int, n int, first_ord bigint, first_pos int, maximal boolean, enough boolean")
+    before = F.lag(F.struct("pos", "n")).over(Window.partitionBy("ord").orderBy("pos"))
+    held = (before["pos"] == F.col("pos") - 1) & (before["n"] > F.col("n"))
+    found = _earlier(levels).join(levels[0].select("ord", "pos", "ahead"), ["ord", "pos"])
+    found = found.withColumn("maximal", ~F.coalesce(held, F.lit(False))).withColumn("enough", F.col("ahead").between(1, F.col("n"))).drop("ahead")
+    return places, found
+
+
+def maximal_runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, start, n, first_id, first_start: each run of n lines that occurs earlier, of enough words, which no longer such run of its text holds.
+
+    Lines with a word are numbered from 0. first_id and first_start tell where the run occurs first.
+    """
+    places, found = _copies(docs, min_words, id, text)
+    kept = cut(found.filter("maximal and enough").join(places.select("ord", "id"), "ord"))
+    origins = kept.groupBy("first_ord").agg(F.count("*").alias("c")).join(places.select(F.col("ord").alias("first_ord"), F.col("id").alias("first_id")), "first_ord")
+    return _met(kept, origins, ["first_ord"], kept.count()).select("id", F.col("pos").alias("start"), "n", "first_id", F.col("first_pos").alias("first_start"))
+
+
+def runs(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc (a hash of id and text), deleted: sorted array of the numbers, among lines with a word, of lines to delete: those of the maximal runs."""
+    places, found = _copies(docs, min_words, id, text)
+    reach = F.max(F.expr("case when maximal and enough then pos + n end")).over(Window.partitionBy("ord").orderBy("pos"))
+    gone = found.withColumn("reach", reach).filter("reach > pos").groupBy("ord").agg(F.array_sort(F.collect_list("pos")).alias("deleted"))
+    return gone.join(places, "ord").select("doc", "deleted")
 
 
 def _without(text: bytes, deleted: list[int]) -> str:

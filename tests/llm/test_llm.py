@@ -203,6 +203,38 @@ def test_line_dedup_of_odd_rows(odd, odd_duck):
     assert line_dedup.deduped(odd).columns == odd.columns
 
 
+def _maximal_runs(docs, least):
+    """By brute force: every run of lines that occurs earlier, of enough words, which no longer such run of its text holds."""
+    lines = [[x for x in (t or "").split("\n") if x.split()] for _, t in docs]
+    first, out = {}, set()
+    for d, ls in enumerate(lines):
+        for s in range(len(ls)):
+            for e in range(s + 1, len(ls) + 1):
+                first.setdefault(tuple(ls[s:e]), []).append((d, s))
+    for d, ls in enumerate(lines):
+        def earlier(s, e):
+            return 0 <= s and e <= len(ls) and min(first[tuple(ls[s:e])]) < (d, s)
+        for s in range(len(ls)):
+            for e in range(s + 1, len(ls) + 1):
+                if earlier(s, e) and not earlier(s - 1, e) and not earlier(s, e + 1) and sum(len(x.split()) for x in ls[s:e]) >= least:
+                    f = min(first[tuple(ls[s:e])])
+                    out.add((docs[d][0], s, e - s, docs[f[0]][0], f[1]))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 7])
+def test_maximal_runs_against_brute_force(spark, least):
+    draw = random.Random(least)
+    docs = [(i, "\n".join(draw.choice(["a", "b b", "c c c", " ", "d d"]) for _ in range(draw.randrange(14)))) for i in range(40)]
+    block = "\n".join(f"line {i} of a block" for i in range(21))
+    docs += [(100, block), (101, "own\n" + block), (102, "\n".join(["same line"] * 19)), (103, block[17:] + "\nown end"), (104, None), (105, ""), (106, block + "\n" + block)]
+    frame = spark.createDataFrame(docs + [docs[-1]], "doc_id bigint, text string")
+    got = line_dedup.maximal_runs(frame, least).collect()
+    want = _maximal_runs(docs, least)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert line_dedup.maximal_runs(frame.limit(0)).count() == line_dedup.maximal_runs(frame.filter("doc_id in (104, 105)")).count() == 0
+
+
 def test_short_lines_and_recall(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = line_dedup.line_dedup(docs).toPandas()
