@@ -113,6 +113,19 @@ def test_reskins_of_each_kind(spark):
     assert sorted(tuple(r) for r in social.capabilities(plain, {(1, 2): 0}).collect()) == [(1, 1, 2), (1, 2, 0), (3, 4, 0)]
 
 
+def _windows_without_length(spark):
+    """Windows 10 (no length, inside a stay), 11 (meets a stay and one without length) and 12 (meets only one without length)."""
+    at = lambda s: T + timedelta(seconds=s)
+    rows = [(1, w, w - 1, at(a), at(b), [(3, 60)], False) for w, a, b in ((10, 50, 50), (11, 50, 90), (12, 90, 200))]
+    windows = spark.createDataFrame(rows, "steamid int, snapshot int, before int, start timestamp, end timestamp, moved array<struct<class_num: int, delta: bigint>>, reset boolean")
+    stays = spark.createDataFrame([(1, "m1", at(0), at(80)), (1, "m2", at(60), at(60)), (1, "m3", at(100), at(100))], "key int, map string, from timestamp, to timestamp")
+    return matches.full_windows(windows, stays, spark.createDataFrame([(10, 3, 0, 7)], "snapshot int, class_num int, slot_num int, gid int"))
+
+
+def test_windows_and_stays_without_length_have_no_map(spark):
+    assert {r["snapshot"]: r["pure_map"] for r in _windows_without_length(spark).collect()} == {10: None, 11: "m1", 12: None}
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = random.Random(9)
     at = lambda s: T + timedelta(seconds=s)
