@@ -126,6 +126,10 @@ def test_windows_and_stays_without_length_have_no_map(spark):
     assert {r["snapshot"]: r["pure_map"] for r in _windows_without_length(spark).collect()} == {10: None, 11: "m1", 12: None}
 
 
+def test_time_on_maps_leaves_out_windows_without_length(spark):
+    assert [tuple(r) for r in matches.map_class_time(_windows_without_length(spark)).collect()] == [("m1", 3, 60, 1, 1)]
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = random.Random(9)
     at = lambda s: T + timedelta(seconds=s)
