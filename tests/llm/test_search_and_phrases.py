@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,6 +131,20 @@ def test_ranked_search_ties_segments_and_empty_tables(spark, monkeypatch):
     assert ranked_search.search(index, bench.limit(0)).count() == 0
 
 
+def test_index_is_written_and_read_few_segments_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "SEGMENT_DOCS", 40)
+    index = ranked_search.build(spark.createDataFrame([(i, f"t{i} t{i % 7}") for i in range(1000)], "doc_id int, text string").coalesce(1))
+    found = index.inputFiles()
+    assert len(found) == 1 and index.count() > 20
+    with pq.ParquetFile(found[0].removeprefix("file://")) as file:
+        groups = [file.metadata.row_group(i) for i in range(file.num_row_groups)]
+    assert max(g.num_rows for g in groups) <= ranked_search.SEGMENTS_AT_ONCE and groups[0].column(1).compression == "UNCOMPRESSED"
+    before = spark.conf.get(ranked_search.BATCH)
+    with ranked_search._small_batches(spark):
+        sizes = [r[0] for r in index.select("n_docs").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows])}) for b in batches), "n bigint").collect()]
+    assert sum(sizes) == index.count() and max(sizes) <= ranked_search.SEGMENTS_AT_ONCE and spark.conf.get(ranked_search.BATCH) == before
+
+
 def test_the_search_opens_fewer_leaves_than_there_are():
     rng = np.random.default_rng(5)
     n = 4096
