@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from skirmish import registry
 
@@ -10,3 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, name):
     assert rows(registry.queries()[name](spark, SF).toPandas()) == rows(duck(registry.oracle_sql()[name], SF))
+
+
+def test_some_items_have_a_slot_of_their_own_for_a_class(spark):
+    slots = registry.queries()["capabilities"](spark, SF).groupBy("defindex").agg(F.collect_set("slot_num").alias("slots"), F.count("*").alias("n")).collect()
+    assert any(len(r["slots"]) > 1 for r in slots) and all(len(r["slots"]) <= r["n"] for r in slots)
