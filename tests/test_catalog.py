@@ -16,3 +16,12 @@ def test_query_equals_its_sql(spark, name):
 def test_some_items_have_a_slot_of_their_own_for_a_class(spark):
     slots = registry.queries()["capabilities"](spark, SF).groupBy("defindex").agg(F.collect_set("slot_num").alias("slots"), F.count("*").alias("n")).collect()
     assert any(len(r["slots"]) > 1 for r in slots) and all(len(r["slots"]) <= r["n"] for r in slots)
+
+
+def test_places_in_a_slot_are_the_classes_that_have_it_there(spark):
+    slots = registry.queries()["capabilities"](spark, SF)
+    there = {(r["defindex"], r["slot_num"]): r["n"] for r in slots.groupBy("defindex", "slot_num").agg(F.count("*").alias("n")).collect()}
+    classes = {r["defindex"]: r["n"] for r in slots.groupBy("defindex").agg(F.count("*").alias("n")).collect()}
+    cube = registry.queries()["usage_cube"](spark, SF).filter("NOT merged AND hours = 0 AND active = 0 AND class_num = -1 AND slot_num <> -1").collect()
+    places = {(r["item"], r["slot_num"]): round(r["worn"] / r["sample"] / r["usage"]) for r in cube}
+    assert all(n == there.get(k, classes[k[0]]) for k, n in places.items()) and any(n < classes[k[0]] for k, n in places.items())
