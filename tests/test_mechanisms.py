@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skirmish import registry
 from skirmish.functions.columns import account_id, display_name, holds, percent_to_top, snapped, trigrams, variant_kind
 from skirmish.operators import dimension, matches, observations, percentiles, prefabs, reskins, sinks, social, versions
 from skirmish.operators.similarity import near_names
@@ -130,6 +131,11 @@ def test_time_on_maps_leaves_out_windows_without_length(spark):
     assert [tuple(r) for r in matches.map_class_time(_windows_without_length(spark)).collect()] == [("m1", 3, 60, 1, 1)]
 
 
+def test_time_on_maps_reads_no_kits_and_makes_windows_once(spark):
+    plan = registry.queries()["map_class_time"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot_num" not in plan and "lag(" not in plan
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = random.Random(9)
     at = lambda s: T + timedelta(seconds=s)
