@@ -1,7 +1,7 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped levels.
 
-The trie has three levels. An entry of level 2 is a pair of words, found by its 64-bit key. Pairs that
-have children point, by a monotone sequence, to where their range in level 3 begins; an entry there is
+The trie has three levels. An entry of level 2 is a pair of words, found by its 64-bit key. Each pair
+points, by a monotone sequence, to where its range in level 3 begins, which may be empty; an entry there is
 the 32-bit id of the word that follows, placed relative to the range of its context, so that the level
 is one monotone sequence and a look-up is a successor search inside that range. Level 1 holds the words with exact counts. Each sequence is Elias-Fano coded:
 packed low bits, unary high bits, and a sampled directory of zeros; values are 16-bit codes, counts in
@@ -13,7 +13,8 @@ one task that streams its parts, and written to the shared folder. A round gathe
 so that the shuffled counts of one round lie on disk at a time. The model knows which shards were
 written; one that can't be read is an error, never an unseen n-gram. Shards are split by the hash of the
 word or of the pair, so no frequent word makes a large one, and their number follows the corpus.
-Scoring tasks map the shards and look up the distinct n-grams of a part of the texts at once.
+Words have fewer shards than pairs, since a part has fewer of them. Scoring tasks map the shards and look
+up the distinct n-grams of a part of the texts at once.
 
 Probabilities are smoothed by Dirichlet priors, each order backing off to the next lower and words to
 (c + 1) / (N + V + 1): P3 = (count + MU3 * P2) / (count of the pair + MU3),
@@ -49,6 +50,8 @@ FOLDS, HELD = 7, 2
 MU2, MU3 = 40.0, 1.0
 #: Rounds of training; each reads all texts and builds its share of the shards.
 ROUNDS = 4
+#: Shards of pairs for each one of words.
+PAIR_SHARDS = 8
 #: Distinct n-grams a shard should hold, and texts (bytes) that one packed part covers.
 SHARD_TOKENS = 1_000_000
 PART_BYTES = 8 << 20
@@ -56,6 +59,29 @@ ASK_BYTES = 6 << 20
 START = U64(0x243F6A8885A308D3)
 END = U64(0x13198A2E03707344)
 SAMPLE = 8
+#: Low bits that a sequence read by place has more than others.
+STEP_BITS = 7
+#: Longer words are hashed byte by byte, not in steps of 8 bytes.
+LONG = 256
+_LOWER = tv.LOWER.tobytes()
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _select_table() -> np.ndarray:
+    """For 16 bits and k below SAMPLE, at bits * SAMPLE + k: the place behind the k-th one, or 255."""
+    ones = np.cumsum(np.arange(1 << 16)[:, None] >> np.arange(16) & 1, 1)
+    out = np.zeros((1 << 16, SAMPLE), np.uint8)
+    for k in range(1, SAMPLE):
+        out[:, k] = np.where(ones[:, -1] >= k, np.argmax(ones == k, 1) + 1, 255)
+    return out.ravel()
+
+
+_SELECT = _select_table()
+
+
+def _every_byte(words: np.ndarray) -> np.ndarray:
+    """The 64 bits from each byte on, of an array that is longer than it need be by a word."""
+    return np.ndarray(max(0, words.nbytes - 7), "<u8", words, strides=(1,))
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------
@@ -66,13 +92,16 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
+        self._highs, self._lows = _every_byte(high), _every_byte(low)
 
     @classmethod
     def build(cls, values: np.ndarray, by_place: bool = False) -> EliasFano:
-        """by_place: keep what get() needs."""
+        """by_place: keep what get() needs, and lower parts so wide that a large step leaves a short gap in the high bits."""
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        if by_place:
+            low_bits = min(63, low_bits + STEP_BITS)
         high = (values >> U64(low_bits)).astype(np.int64)
         size = n + (int(high[-1]) if n else 0) + 1
         words = np.zeros(size // 64 + 5, U64)
@@ -93,47 +122,49 @@ class EliasFano:
             np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (U64(64) - off[spill]))
         return cls(n, low_bits, low, words, zeros, ones)
 
-    def _window(self, words: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """64 bits from each bit on."""
-        word, off = bit >> 6, (bit & 63).astype(U64)
-        up = np.where(off > 0, words[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
-        return words[word] >> off | up
-
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), U64)
-        return self._window(self.low, i * self.low_bits) & ((U64(1) << U64(self.low_bits)) - U64(1))
+        bit = i * self.low_bits
+        if self.low_bits <= 57:
+            part = self._lows[bit >> 3] >> (bit & 7).astype(U64)
+        else:
+            word, off = bit >> 6, (bit & 63).astype(U64)
+            part = self.low[word] >> off | np.where(off > 0, self.low[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
+        return part & ((U64(1) << U64(self.low_bits)) - U64(1))
 
     def _walk(self, bit: np.ndarray, skip: np.ndarray, zeros: bool) -> np.ndarray:
-        """The bit behind the skip-th zero (or one) from each bit on, 64 bits at a time; skip is below SAMPLE."""
-        bit, skip = bit.copy(), skip.copy()
-        todo = np.flatnonzero(skip > 0)
-        while len(todo):
-            w = self._window(self.high, bit[todo])
+        """The bit behind the skip-th zero (or one) from each bit on, 16 bits at a time; skip is below SAMPLE."""
+        out, todo = np.empty(len(bit), np.int64), None
+        while len(bit):
+            w = (self._highs[bit >> 3] >> (bit & 7).astype(U64)).astype(np.uint16)
             w = ~w if zeros else w
-            held = np.bitwise_count(w).astype(np.int64)
-            inside = held >= skip[todo]
-            w, left = w[inside], skip[todo[inside]] - 1
-            for k in range(SAMPLE - 1):
-                more = left > k
-                if not more.any():
-                    break
-                w = np.where(more, w & (w - U64(1)), w)
-            bit[todo[inside]] += np.bitwise_count((w & (~w + U64(1))) - U64(1)).astype(np.int64) + 1
-            todo, held = todo[~inside], held[~inside]
-            skip[todo] -= held
-            bit[todo] += 64
-            live = bit[todo] < len(self.high) * 64 - 128
-            todo = todo[live]
-        return bit
+            step = _SELECT[w.astype(np.int64) * SAMPLE + skip]
+            at = bit + step
+            if todo is None:
+                out[:] = at
+            else:
+                out[todo] = at
+            far = np.flatnonzero(step == 255)
+            bit, skip, todo = bit[far] + 16, skip[far] - np.bitwise_count(w[far]), far if todo is None else todo[far]
+        return out
+
+    def _place(self, i: np.ndarray) -> np.ndarray:
+        """The bit of each one: behind the one at the sampled place, then behind some more."""
+        return self._walk(self.ones[i // SAMPLE].astype(np.int64) + 1, i % SAMPLE, False) - 1
+
+    def _value(self, i: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return (bit - i).astype(U64) << U64(self.low_bits) | self._low(i)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        bit = self.ones[i // SAMPLE].astype(np.int64)
-        skip = i % SAMPLE
-        # Behind the one at the sampled place, then behind `skip` more; the last one passed is the i-th.
-        at = np.where(skip > 0, self._walk(bit + 1, skip, False) - 1, bit)
-        return (at - i).astype(U64) << U64(self.low_bits) | self._low(i)
+        return self._value(i, self._place(i))
+
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and at the next ones."""
+        bit = self._place(i)
+        after = self._walk(bit + 1, np.ones(len(i), np.int64), False) - 1
+        return self._value(i, bit), self._value(i + 1, after)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each value of x in the sequence, or -1: a successor search from the begin of its high part on."""
@@ -143,22 +174,16 @@ class EliasFano:
         high = x >> U64(self.low_bits)
         ask = np.flatnonzero(high // U64(SAMPLE) < U64(len(self.zeros)))
         h = high[ask].astype(np.int64)
-        bit = self.zeros[h // SAMPLE].astype(np.int64)
-        bit = self._walk(bit, h % SAMPLE, True)
+        bit = self._walk(self.zeros[h // SAMPLE].astype(np.int64), h % SAMPLE, True)
         place = bit - h
         want = x[ask] & ((U64(1) << U64(self.low_bits)) - U64(1))
-        live = np.arange(len(ask))
-        while len(live):
-            inside = (bit[live] < len(self.high) * 64 - 64) & (place[live] < self.n)
-            live = live[inside]
-            one = (self.high[bit[live] >> 6] >> (bit[live] & 63).astype(U64)) & U64(1) > 0
-            live = live[one]
-            low = self._low(place[live])
-            same = low == want[live]
-            out[ask[live[same]]] = place[live[same]]
-            live = live[low < want[live]]
-            bit[live] += 1
-            place[live] += 1
+        while len(ask):  # a zero ends a run, and one follows the last
+            one = self._highs[bit >> 3] >> (bit & 7).astype(U64) & U64(1) > 0
+            low = self._low(place)
+            same = one & (low == want)
+            out[ask[same]] = place[same]
+            live = np.flatnonzero(one & (low < want))
+            ask, want, bit, place = ask[live], want[live], bit[live] + 1, place[live] + 1
         return out
 
     def arrays(self) -> list[np.ndarray]:
@@ -206,6 +231,7 @@ def _load(uri: str) -> list[np.ndarray]:
                 copy.write(block)
             copy.flush()
             raw = np.memmap(copy, np.uint8, "r")
+    raw = np.asarray(raw)  # slices of a memmap cost more
     number = int(raw[:8].view(U64)[0])
     head = raw[8 : 8 + 16 * number].view(U64).astype(np.int64)
     at, out = 8 + 16 * number, []
@@ -263,19 +289,48 @@ def code_chances(q: np.ndarray) -> np.ndarray:
 def token_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, starts) of consecutive texts: START, the words, END for each."""
     for _, data, starts in tv.chunks(column):
-        n = len(starts) - 1
-        low = tv.LOWER[data]
-        begins, ends, rows = tv.tokens(low, starts, tv.BLANKS)
-        count = np.bincount(rows, minlength=n)
+        low = np.frombuffer(data.tobytes().translate(_LOWER) + bytes(8), np.uint8)
+        begins, ends = _words(low[:-8], starts)
+        count = np.diff(np.searchsorted(begins, starts))
         at = np.concatenate([[0], np.cumsum(count + 2)])
-        first = np.concatenate([[0], np.cumsum(count)])
         out = np.empty(at[-1], U64)
+        inner = np.ones(len(out), bool)
+        inner[at[:-1]] = inner[at[1:] - 1] = False
         out[at[:-1]] = START
         out[at[1:] - 1] = END
-        out[np.arange(len(rows)) - first[rows] + at[rows] + 1] = tv.span_hashes(low, begins, ends)
+        out[inner] = _hashes(low, begins, ends)
         yield out, at
 
 
+def _words(low: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of bytes that aren't 0x20 or 0x09 to 0x0D; none spans two rows."""
+    blank = (low == 0x20) | (low - np.uint8(0x09) < 5)
+    word = ~blank
+    begin, last = word.copy(), word.copy()
+    begin[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    first = starts[:-1][starts[:-1] < len(low)]
+    begin[first] = word[first]
+    final = starts[1:][starts[1:] > 0] - 1
+    last[final] = word[final]
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
+def _hashes(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, 8 bytes at a time; 8 bytes follow the last word."""
+    at, size = _every_byte(low), ends - begins
+    out = tv.mix((at[begins] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+    done, rest = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(rest):
+        out[rest] = tv.mix(out[rest] * U64(0xA0761D6478BD642F) + (at[begins[rest] + done] & _FIRST_BYTES[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        out[long] = tv.span_hashes(low, begins[long], ends[long])
+    return out
+
+
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tv.mix(tv.mix(a * U64(0xA0761D6478BD642F)) + b)
 
@@ -305,10 +360,11 @@ def _slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 
 def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by shard, shard numbers, first of each in the order)."""
-    shard = (keys % U64(shards)).astype(np.int64)
+    shard = (keys % U64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
     order = np.argsort(shard, kind="stable")
-    which, cuts = np.unique(shard[order], return_index=True)
-    return order, which, np.append(cuts, len(keys))
+    shard = shard[order]
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(keys)])
+    return order, shard[cuts].astype(np.int64), np.append(cuts, len(keys))
 
 
 # --- training -----------------------------------------------------------------------------------
@@ -316,8 +372,8 @@ def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.nd
 _PARTS = "shard bigint, keys binary, counts binary, children binary, ids binary, id_counts binary"
 
 
-def _counted(texts: DataFrame, shards: int, turn: int) -> DataFrame:
-    """Packed counts by part and shard: of words (shards below `shards`), then of pairs with the words that follow.
+def _counted(texts: DataFrame, word_shards: int, shards: int, turn: int) -> DataFrame:
+    """Packed counts by part and shard: of words (shards below `word_shards`), then of pairs with the words that follow.
 
     Only of the shards that are built in this turn.
     """
@@ -325,20 +381,20 @@ def _counted(texts: DataFrame, shards: int, turn: int) -> DataFrame:
     def row(shard, *arrays):
         return (int(shard), *(a.tobytes() for a in arrays))
 
-    def now(keys: np.ndarray) -> np.ndarray:
+    def now(keys: np.ndarray, shards: int) -> np.ndarray:
         return keys % U64(shards) % U64(ROUNDS) == U64(turn)
 
     def count(h: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         predicted = np.ones(len(h), bool)
         predicted[at[:-1]] = False
         words = h[predicted]
-        words, c = np.unique(words[now(words)], return_counts=True)
-        order, which, cuts = _split(words, shards)
+        words, c = np.unique(words[now(words, word_shards)], return_counts=True)
+        order, which, cuts = _split(words, word_shards)
         for s, a, b in zip(which, cuts, cuts[1:]):
             yield row(s, words[order[a:b]], c[order[a:b]].astype(np.uint32), *(np.zeros(0, np.uint32),) * 3)
         first = np.flatnonzero(predicted[1:])  # a pair begins at every token but the end
         g = pair_keys(h[first], h[first + 1])
-        mine = now(g)
+        mine = now(g, shards)
         g, first = g[mine], first[mine]
         follows = first + 2 < len(h)
         follows[follows] = predicted[first[follows] + 2]
@@ -362,7 +418,7 @@ def _counted(texts: DataFrame, shards: int, turn: int) -> DataFrame:
             mine = order[a:b]
             n = kids[mine]
             take = np.repeat(first_kid[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            yield row(s + shards, keys[mine], c2[mine].astype(np.uint32), kids[mine].astype(np.uint32), ids[take], c3[take])
+            yield row(s + word_shards, keys[mine], c2[mine].astype(np.uint32), kids[mine].astype(np.uint32), ids[take], c3[take])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, at in _parts(batches, 0, PART_BYTES):
@@ -399,24 +455,27 @@ def _build_pairs(parts: list[tuple], uri: str) -> tuple[int, int]:
     parent = np.repeat(np.searchsorted(unique, keys), kids).astype(U64)
     entry, c3 = _summed(parent << U64(32) | np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts]), np.concatenate([np.frombuffer(p[4], np.uint32) for p in parts]).astype(np.int64))
     parent = (entry >> U64(32)).astype(np.int64)
-    owners, begin, size = np.unique(parent, return_index=True, return_counts=True)
-    placed = _placed(np.repeat(begin, size), np.repeat(size, size), entry & U64(0xFFFFFFFF))
-    pointers = np.append(begin, len(entry)).astype(U64)
-    _save(uri, [*(a for v in (unique, owners.astype(U64), pointers, placed) for a in EliasFano.build(v, v is pointers).arrays()), count_codes(c2), chance_codes(c3 / (c2[parent] + MU3))])
+    size = np.bincount(parent, minlength=len(unique))
+    pointers = np.concatenate([[0], np.cumsum(size)])
+    placed = _placed(pointers[parent], size[parent], entry & U64(0xFFFFFFFF))
+    sequences = EliasFano.build(unique), EliasFano.build(pointers.astype(U64), True), EliasFano.build(placed)
+    _save(uri, [*(a for v in sequences for a in v.arrays()), count_codes(c2), chance_codes(c3 / (c2[parent] + MU3))])
     return 0, 0
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = FOLDS, held: int = HELD) -> dict:
-    """Writes the trie to the shared folder; returns where it is, the number of shards, N, V and the texts trained on."""
+    """Writes the trie to the shared folder; returns where it is, the numbers of shards, N, V and the texts trained on."""
     spark = docs.sparkSession
     texts = docs.filter(F.coalesce(F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds)) != held, F.lit(True))).select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(8, int((size[0] or 0) / 6 / SHARD_TOKENS))
+    word_shards = max(8, shards // PAIR_SHARDS)
+    every = word_shards + shards
     base = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(shard: int, parts: list[tuple]) -> pa.RecordBatch:
-            n, v = (_build_words if shard < shards else _build_pairs)(parts, f"{base}/{shard % 251}/{shard}")
+            n, v = (_build_words if shard < word_shards else _build_pairs)(parts, f"{base}/{shard % 251}/{shard}")
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, n, v)], names=["shard", "n", "v"])
 
         now, parts = None, []
@@ -431,19 +490,19 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
             yield done(now, parts)
 
     n = v = 0
-    written = np.zeros(2 * shards // 64 + 1, U64)
+    written = np.zeros(every // 64 + 1, U64)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         for turn in range(ROUNDS):
-            built = _counted(texts, shards, turn).repartition(max(1, 2 * shards // ROUNDS), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, n bigint, v bigint")
+            built = _counted(texts, word_shards, shards, turn).repartition(max(1, every // ROUNDS), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard bigint, n bigint, v bigint")
             bits = F.expr("bit_or(shiftleft(1L, cast(shard % 64 as int)))").alias("bits")
             for r in built.groupBy(F.expr("shard div 64").alias("word")).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), bits).collect():  # a row for 64 shards
                 n, v = n + r["n"], v + r["v"]
                 written[r["word"]] |= U64(r["bits"] & (1 << 64) - 1)
     finally:
         spark.conf.set(CLEANUP, before)
-    return {"base": base, "shards": shards, "n": n, "v": v, "texts": size[1], "written": written}
+    return {"base": base, "word_shards": word_shards, "shards": shards, "n": n, "v": v, "texts": size[1], "written": written}
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -452,18 +511,17 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
 class Trie:
     def __init__(self, model: dict):
         self.model = model
-        self.shards = model["shards"]
 
-    def _look(self, keys: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, tuple]]:
-        order, which, cuts = _split(keys, self.shards)
+    def _look(self, keys: np.ndarray, shards: int, skip: int) -> Iterator[tuple[np.ndarray, tuple]]:
+        order, which, cuts = _split(keys, shards)
         for s, a, b in zip(which, cuts, cuts[1:]):
-            shard = int(s) + level * self.shards
+            shard = int(s) + skip
             if self.model["written"][shard >> 6] >> U64(shard & 63) & U64(1):
                 yield order[a:b], _shard(f"{self.model['base']}/{shard % 251}/{shard}")
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words))
-        for rows, (sequence, counts) in self._look(words, 0):
+        for rows, (sequence, counts) in self._look(words, self.model["word_shards"], 0):
             at = sequence.find(words[rows])
             out[rows[at >= 0]] = counts[at[at >= 0]]
         return out
@@ -478,32 +536,31 @@ class Trie:
         own = c.copy()
         own[words == START] = self.model["texts"]
         first = np.flatnonzero(predicted[1:])
-        p1 = one[which[first + 1]]
+        token = which[first + 1]
         keys, pair = np.unique(pair_keys(h[first], h[first + 1]), return_inverse=True)
         # The triple of a pair that ends at a text's end is never asked; others follow at the next place.
         after = np.append(first[1:] == first[:-1] + 1, False)
         asks = np.flatnonzero(after)
         wanted, asked = np.unique(pair[asks].astype(U64) << U64(32) | h[first[asks] + 2] >> U64(32), return_inverse=True)
-        parent = (wanted >> U64(32)).astype(np.int64)
-        bounds = np.searchsorted(parent, np.arange(len(keys) + 1))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount((wanted >> U64(32)).astype(np.int64), minlength=len(keys)))])
         c2, chance = np.zeros(len(keys)), np.zeros(len(wanted))
-        for rows, (pairs, owners, pointers, entries, counts, chances) in self._look(keys, 1):
+        for rows, (pairs, pointers, entries, counts, chances) in self._look(keys, self.model["shards"], self.model["word_shards"]):
             place = pairs.find(keys[rows])
-            rows, place = rows[place >= 0], place[place >= 0]
+            known = np.flatnonzero(place >= 0)
+            rows, place = rows[known], place[known]
             c2[rows] = code_counts(counts[place])
-            owner = owners.find(place.astype(U64))
-            rows, owner = rows[owner >= 0], owner[owner >= 0]
-            begin, end = pointers.get(owner).astype(np.int64), pointers.get(owner + 1).astype(np.int64)
-            n = bounds[rows + 1] - bounds[rows]
-            mine = np.repeat(bounds[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            begin, end = (x.astype(np.int64) for x in pointers.ranges(place))
+            n = np.where(end > begin, bounds[rows + 1] - bounds[rows], 0)  # an empty range has no place of its own
+            before = np.cumsum(n) - n
+            mine = np.repeat(bounds[rows] - before, n) + np.arange(n.sum())
             spot = entries.find(_placed(np.repeat(begin, n), np.repeat(end - begin, n), wanted[mine] & U64(0xFFFFFFFF)))
-            chance[mine[spot >= 0]] = code_chances(chances[spot[spot >= 0]])
-        p = (c2[pair] + MU2 * p1) / (own[which[first]] + MU2)
-        p[asks + 1] = chance[asked] + MU3 / (c2[pair[asks]] + MU3) * p[asks + 1]
-        row = np.searchsorted(at, first, "right") - 1
-        n = len(at) - 1
-        token = which[first + 1]
-        return np.bincount(row, minlength=n), np.bincount(row, c[token] > 0, n).astype(np.int64), np.bincount(row, np.log10(p1), n), np.bincount(row, np.log10(p), n)
+            known = np.flatnonzero(spot >= 0)
+            chance[mine[known]] = code_chances(chances[spot[known]])
+        p = (c2[pair] + (MU2 * one)[token]) / (own + MU2)[which[first]]
+        p[asks + 1] = chance[asked] + (MU3 / (c2 + MU3))[pair[asks]] * p[asks + 1]
+        n = np.diff(at) - 1
+        row = np.repeat(np.arange(len(n)), n)
+        return n, np.bincount(row, (c > 0)[token], len(n)).astype(np.int64), np.bincount(row, np.log10(one)[token], len(n)), np.bincount(row, np.log10(p), len(n))
 
 
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text", folds: int = FOLDS, held: int = HELD) -> DataFrame:

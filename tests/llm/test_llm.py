@@ -333,6 +333,50 @@ def test_elias_fano_finds_and_gets():
         assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
 
+def test_long_range_of_children_leaves_a_short_gap():
+    """A look-up by place walks over the gap, so its work mustn't grow with the largest range."""
+    size = np.random.default_rng(5).integers(0, 5, 2000)
+    size[700] = 200_000
+    v = np.concatenate([[0], np.cumsum(size)]).astype(np.uint64)
+    e = lm_trie.EliasFano.build(v, True)
+    ones = np.flatnonzero(np.unpackbits(e.high.view(np.uint8), bitorder="little"))
+    assert len(ones) == len(v) and np.diff(ones).max() <= 1024
+    begin, end = e.ranges(np.arange(len(size)))
+    assert (begin == v[:-1]).all() and (end == v[1:]).all() and (e.get(np.arange(len(v))) == v).all()
+
+
+def test_lm_hashes_tell_words_apart():
+    words = [c * n for c in ("a", "\u00e9", "\x00") for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 256, 257, 900)] + ["a" * n + "b" for n in (7, 8, 15, 16, 255, 256)]
+    texts = [" ".join(words), "", " \t ", "\v".join(w.upper() for w in reversed(words)), words[-1]]
+    (h, at), = lm_trie.token_hashes(pa.array([*texts, None]))
+    rows_ = [h[a:b].tolist() for a, b in zip(at, at[1:])]
+    assert [len(r) - 2 for r in rows_] == [len(words), 0, 0, len(words), 1, 0]
+    assert all(r[0] == lm_trie.START and r[-1] == lm_trie.END for r in rows_)
+    plain = {w: x for w, x in zip(words, rows_[0][1:])}
+    assert len(set(plain.values())) == len(set(words)) and rows_[4][1] == plain[words[-1]]
+    assert [x for w, x in zip(reversed(words), rows_[3][1:]) if w.isascii()] == [plain[w] for w in reversed(words) if w.isascii()]
+
+
+def test_lm_pair_without_followers_meets_no_other_range(spark):
+    """Pairs that only end texts have an empty range; what follows other pairs there isn't theirs."""
+    texts = [f"p{i} q{i}" for i in range(300)] + [f"r{i} s{i} t" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, f"p{i} q{i} t") for i in range(300)], "doc_id bigint, text string")
+    model = lm_trie.train(docs)
+    train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in t)
+    for r in lm_trie.score(asked, model).collect():
+        s = ["<s>", f"p{r['doc_id']}", f"q{r['doc_id']}", "t", None]
+        one = [((len(train) if w is None else c[w]) + 1) / (model["n"] + model["v"] + 1) for w in s[1:]]
+        seen = c[s[1]] > 0
+        c2 = [1 if seen else 0, 1 if seen else 0, 0, c["t"]]
+        own = [len(train), c[s[1]], c[s[2]], c["t"]]
+        p = [(a + lm_trie.MU2 * b) / (o + lm_trie.MU2) for a, b, o in zip(c2, one, own)]
+        p[1] = ((1 if seen else 0) + lm_trie.MU3 * p[1]) / (c2[0] + lm_trie.MU3)
+        p[2] = lm_trie.MU3 * p[2] / (c2[1] + lm_trie.MU3)
+        assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=2e-3, abs_tol=2e-3)
+
+
 def test_lm_against_brute_force(spark, odd):
     docs = odd.unionByName(odd.limit(0))
     got = sorted(lm_trie.score(docs, lm_trie.train(docs)).collect(), key=lambda r: (r["doc_id"], r["n_tokens"]))
