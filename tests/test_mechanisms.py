@@ -304,3 +304,22 @@ def test_small_column_functions(spark):
     assert [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, x string").orderBy("i").select(account_id(F.col("x"))).collect()] == ["76561198000000001"] * 2 + ["boby", "alice", None, "765611980000000012"]
     got = spark.range(1).select(snapped(F.lit(137), (0, 100, 174, 300)), snapped(F.lit(50), (0, 100)), percent_to_top(F.lit(4250)), percent_to_top(F.lit(99999)), holds(" 42", F.lit(None).cast("string"), F.lit(1423)), holds("", F.lit("a")), holds("b", F.lit("a")), trigrams(F.lit("Ab-b"))).first()
     assert tuple(got)[:7] == (100, 0, 50.0, 100.0, True, True, False) and set(got[7]) == {"  a", " ab", "ab ", "  b", " b "}
+
+
+def test_levels_and_pointer_jumping_agree(spark):
+    parents = spark.createDataFrame([(i, p, i // k) for i in range(2, 60) for p, k in ((0, 2), (1, 3)) if i >= k] + [(100, 0, 7), (100, 0, 8), (101, 2, 100), (101, 1, 9), (200, 0, 300), (300, 0, 5)], "name long, position int, parent long")
+    rows = [(i, p, f"{p} {i}") for i in (*range(60), 100, 101, 300) for k, p in enumerate(("a", "a/b", "a/c", "d/e", "d/e/f", "g")) if i % (k + 2) == 0]
+    values = spark.createDataFrame(rows, "name long, path string, value string")
+    names = spark.createDataFrame([(i,) for i in (*range(60), 100, 101, 200)], "name long")
+    found = [sorted(tuple(r) for r in prefabs.resolved(names, parents, values, levels).collect()) for levels in (0, 1, 3, 32)]
+    assert found[0] and all(x == found[0] for x in found) and {200} <= {r[0] for r in found[0]} and 300 not in {r[0] for r in found[0]}
+
+
+@pytest.mark.parametrize("name", ["resolved_definitions"])
+def test_steps_of_definitions_hold_no_pairs(spark, name, monkeypatch):
+    steps = []
+    monkeypatch.setattr(prefabs, "written", lambda df, write=prefabs.written: steps.append(n := write(df)) or n)
+    monkeypatch.setattr(prefabs, "dropped", lambda *steps: None, raising=False)
+    registry.queries()[name](spark, "/root/testdata/sf0.01").count()
+    whole = registry.queries()["resolved_definitions"](spark, "/root/testdata/sf0.01").count()
+    assert max(x.count() for x in steps) <= whole
