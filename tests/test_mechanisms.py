@@ -315,7 +315,7 @@ def test_levels_and_pointer_jumping_agree(spark):
     assert found[0] and all(x == found[0] for x in found) and {200} <= {r[0] for r in found[0]} and 300 not in {r[0] for r in found[0]}
 
 
-@pytest.mark.parametrize("name", ["resolved_definitions"])
+@pytest.mark.parametrize("name", ["resolved_definitions", "class_slots"])
 def test_steps_of_definitions_hold_no_pairs(spark, name, monkeypatch):
     steps = []
     monkeypatch.setattr(prefabs, "written", lambda df, write=prefabs.written: steps.append(n := write(df)) or n)
