@@ -315,7 +315,7 @@ def test_levels_and_pointer_jumping_agree(spark):
     assert found[0] and all(x == found[0] for x in found) and {200} <= {r[0] for r in found[0]} and 300 not in {r[0] for r in found[0]}
 
 
-@pytest.mark.parametrize("name", ["resolved_definitions", "class_slots"])
+@pytest.mark.parametrize("name", ["resolved_definitions", "class_slots", "weapon_signatures"])
 def test_steps_of_definitions_hold_no_pairs(spark, name, monkeypatch):
     steps = []
     monkeypatch.setattr(prefabs, "written", lambda df, write=prefabs.written: steps.append(n := write(df)) or n)
@@ -323,3 +323,9 @@ def test_steps_of_definitions_hold_no_pairs(spark, name, monkeypatch):
     registry.queries()[name](spark, "/root/testdata/sf0.01").count()
     whole = registry.queries()["resolved_definitions"](spark, "/root/testdata/sf0.01").count()
     assert max(x.count() for x in steps) <= whole
+
+
+def test_signatures_move_the_values_once(spark, capsys):
+    values = spark.createDataFrame([(1, "item_class", "a"), (1, "item_slot", "melee")], "defindex long, path string, value string")
+    reskins.signatures(values).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
