@@ -315,7 +315,7 @@ def test_levels_and_pointer_jumping_agree(spark):
     assert found[0] and all(x == found[0] for x in found) and {200} <= {r[0] for r in found[0]} and 300 not in {r[0] for r in found[0]}
 
 
-@pytest.mark.parametrize("name", ["resolved_definitions", "class_slots", "weapon_signatures"])
+@pytest.mark.parametrize("name", ["resolved_definitions", "class_slots", "reskin_groups", "weapon_signatures"])
 def test_steps_of_definitions_hold_no_pairs(spark, name, monkeypatch):
     steps = []
     monkeypatch.setattr(prefabs, "written", lambda df, write=prefabs.written: steps.append(n := write(df)) or n)
@@ -329,3 +329,10 @@ def test_signatures_move_the_values_once(spark, capsys):
     values = spark.createDataFrame([(1, "item_class", "a"), (1, "item_slot", "melee")], "defindex long, path string, value string")
     reskins.signatures(values).explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_signs_are_made_once_for_all_uses(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(reskins, "written", lambda df, write=reskins.written: steps.append(n := write(df)) or n)
+    signs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "defindex long, sign string")
+    assert {tuple(r) for r in reskins.reskin_groups(signs, {}).collect()} == {(1, 1), (2, 1)} and steps[0].columns == ["defindex", "sign"]
