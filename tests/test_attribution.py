@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from skirmish.operators import attribution as at
@@ -43,3 +44,22 @@ def test_sightings_that_one_profile_explains(spark):
     assert got == {1: (1, 2**60, 6), 2: (2, None, 0)}
     empty = seen.limit(0)
     assert at.sightings(empty, known, log).count() == 0 and at.scored(empty, known, log).count() == 0
+
+
+def test_sure_candidates_are_the_best_of_all(spark):
+    rng = random.Random(5)
+    words = ["grey fox", "Grey  Fox", "grey foxes", "red fox", "bob", "Bob ", "bobby", "\u200b"]
+    seen = spark.createDataFrame([(i // 3, f"{rng.choice(words)}{rng.choice(['', ' 1', ' 2'])}", h(rng.randrange(200)) if i % 40 else None) for i in range(400)], "segment int, name string, started timestamp")
+    known = profiles(spark, [(i, rng.choice([*words, None]) and f"{rng.choice(words)}{rng.choice(['', ' 1', ' 2'])}", rng.choice([None, 0, 9])) for i in range(90)])
+    log = logged(spark, [(rng.randrange(90), h(rng.randrange(200)), rng.randrange(50)) for _ in range(600)])
+    every = at.scored(seen, known, log)
+    for least in (0.5, 0.9):
+        want = {tuple(r) for r in at.attributions(every, least).collect()}
+        assert want and {tuple(r) for r in at.attributions(at.sure(seen, known, log, least, 7200), least).collect()} == want
+
+
+def test_names_meet_only_candidates_that_play(spark):
+    seen = spark.createDataFrame([(i, "bob", h(2)) for i in range(30)], "segment int, name string, started timestamp")
+    known = profiles(spark, [(i, "Bob", 5) for i in range(50)])
+    found = at.sure(seen, known, logged(spark, [(7, h(0), 1), (7, h(4), 5)]), 0.9)
+    assert {(r["steamid"], r["played"]) for r in found.collect()} == {(7, True)} and found.count() == 30
