@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish import registry
+from skirmish.operators import attribution
 
 from .compare import duck, rows
 
@@ -25,3 +26,9 @@ def test_places_in_a_slot_are_the_classes_that_have_it_there(spark):
     cube = registry.queries()["usage_cube"](spark, SF).filter("NOT merged AND hours = 0 AND active = 0 AND class_num = -1 AND slot_num <> -1").collect()
     places = {(r["item"], r["slot_num"]): round(r["worn"] / r["sample"] / r["usage"]) for r in cube}
     assert all(n == there.get(k, classes[k[0]]) for k, n in places.items()) and any(n < classes[k[0]] for k, n in places.items())
+
+
+@pytest.mark.parametrize("name", ["attributions", "map_regulars", "regulars_weapons"])
+def test_names_are_not_paired_with_all_candidates(spark, name, monkeypatch):
+    monkeypatch.setattr(attribution, "scored", None)
+    assert registry.queries()[name](spark, SF).columns
