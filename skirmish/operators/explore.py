@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import gamemode, ratio
+from ..sources.tables import dropped, written
 from .loadouts import WEAPON_SLOT, ascending, population
 from .ratings import upper_medians
 
@@ -17,6 +21,8 @@ RATES = {
 }
 #: Flags of a server by the tag that sets them.
 TAGS = {"alltalk": "alltalk", "nocrits": "nocrits", "respawntimes": "respawntimes", "maxplayers": "increased_maxplayers", "highlander": "highlander"}
+#: Combinations whose rates are moved at a time.
+AT_ONCE = 1 << 25
 MODES = ("payload", "cp", "koth", "ctf", "mvm", "pd", "other")
 
 
@@ -52,20 +58,48 @@ def combo_page(source: DataFrame, loads: DataFrame, size: int, class_num: int =
     return out.crossJoin(F.broadcast(following))  # one row
 
 
+def _rated(stats: DataFrame, metric: str, least_seconds: int) -> DataFrame:
+    column, unit, cap = RATES[metric]
+    return stats.filter(F.col("playtime_seconds") >= least_seconds).select("steamid", "class_num", "playtime_seconds", (F.col(column).cast("double") * unit / F.col("playtime_seconds")).alias("rate")).filter(F.col("rate") <= cap)
+
+
+def _enough(met: DataFrame, least_players: int) -> DataFrame:
+    """members, players, avg_hours of what enough players wear. met: members, steamid, playtime_seconds, rate."""
+    return met.groupBy("members").agg(F.count_distinct("steamid").alias("players"), (F.avg("playtime_seconds") / 3600).alias("avg_hours")).filter(F.col("players") >= least_players)
+
+
+def _valued(met: DataFrame, whole: DataFrame) -> DataFrame:
+    """whole, of _enough(), with the upper median of the rate."""
+    kept = met.join(whole.select("members"), "members", "left_semi")
+    return whole.join(upper_medians(kept, "members", "rate"), "members").select("members", F.col("rate").alias("value"), "players", "avg_hours")
+
+
 def performance(worn: DataFrame, stats: DataFrame, metric: str = "points_hr", class_num: int = -1, least_seconds: int = 36_000, minutes: int = 0, least_players: int = 5, offset: int = 0, page: int = 50) -> DataFrame:
     """members, value (upper median of a rate), players, avg_hours: the best groups or combinations among those worn by enough players.
 
     worn: steamid, class_num, lifetime_min, members (array), a row for each time worn. Rates above the metric's cap are out.
     """
-    column, unit, cap = RATES[metric]
-    rated = stats.filter(F.col("playtime_seconds") >= least_seconds).select("steamid", "class_num", "playtime_seconds", (F.col(column).cast("double") * unit / F.col("playtime_seconds")).alias("rate")).filter(F.col("rate") <= cap)
     fit = worn.filter(F.col("lifetime_min") >= minutes)
     fit = (fit if class_num == -1 else fit.filter(F.col("class_num") == class_num)).select("steamid", "class_num", "members")
-    met = fit.join(rated, ["steamid", "class_num"])
-    whole = met.groupBy("members").agg(F.count_distinct("steamid").alias("players"), (F.avg("playtime_seconds") / 3600).alias("avg_hours")).filter(F.col("players") >= least_players)
-    kept = met.join(whole.select("members"), "members", "left_semi")
-    out = whole.join(upper_medians(kept, "members", "rate"), "members").select("members", F.col("rate").alias("value"), "players", "avg_hours")
-    return out.orderBy(F.desc("value"), "members").offset(offset).limit(page)
+    met = fit.join(_rated(stats, metric, least_seconds), ["steamid", "class_num"])
+    return _valued(met, _enough(met, least_players)).orderBy(F.desc("value"), "members").offset(offset).limit(page)
+
+
+def combo_performance(loads: DataFrame, stats: DataFrame, size: int, exclude: tuple[int, ...] = (), metric: str = "points_hr", least_seconds: int = 36_000, minutes: int = 0, least_players: int = 5, page: int = 50, at_once: int = AT_ONCE) -> DataFrame:
+    """performance() of worn_combos(), in parts of about `at_once` combinations, so that disk holds the rows of one part at a time."""
+    gids = F.array_except("weapon_gids", F.array(*map(F.lit, exclude))) if exclude else F.col("weapon_gids")
+    rated = written(loads.filter(F.col("lifetime_min") >= minutes).select("steamid", "class_num", gids.alias("g")).filter(F.size("g") >= size).join(_rated(stats, metric, least_seconds), ["steamid", "class_num"]))
+    n = F.size("g").cast("double")
+    ways = {1: n, 2: n * (n - 1) / 2, 3: n * (n - 1) * (n - 2) / 6}[size]
+    parts = max(1, math.ceil((rated.agg(F.sum(ways)).first()[0] or 0) / at_once))
+    found = []
+    for i in range(parts):
+        met = rated.select("steamid", "playtime_seconds", "rate", F.explode(ascending(F.col("g"), size, (i, parts) if parts > 1 else None)).alias("members"))
+        whole = written(_enough(met, least_players))
+        found.append(written(_valued(met, whole)))
+        dropped(whole)
+    dropped(rated)
+    return reduce(DataFrame.unionByName, found).orderBy(F.desc("value"), "members").limit(page)
 
 
 def worn_items(facts: DataFrame, slot: int = -1, merged: bool = True, exclude: tuple[int, ...] = ()) -> DataFrame:

@@ -47,7 +47,7 @@ def _rated(metric: str, cls: str = "", minutes: int = 0, offset: int = 0) -> str
 
 
 register("item_damage", lambda s, d: ex.performance(ex.worn_items(_facts(s, d), 1, False, PSEUDO), load(s, d, "class_stats"), "damage_min", minutes=1000, offset=3), cte(f"""WITH {_FACTS}, wo AS (SELECT steamid, class_num, lifetime_min, [defindex] AS members FROM facts WHERE slot_num = 1 AND defindex NOT IN ({_PSEUDO})), {_rated("damage_min", "", 1000, 3)}"""))
-register("triple_kills", lambda s, d: ex.performance(ex.worn_combos(_loads(s, d), 3, PSEUDO), load(s, d, "class_stats"), "kills_hr"), cte(f"""WITH {_FACTS}, {_LOADS}, wo AS (SELECT steamid, class_num, lifetime_min, [a, b, c] AS members FROM loads, unnest(weapon_gids) t1(a), unnest(weapon_gids) t2(b), unnest(weapon_gids) t3(c) WHERE a < b AND b < c AND a NOT IN ({_PSEUDO}) AND b NOT IN ({_PSEUDO}) AND c NOT IN ({_PSEUDO})), {_rated("kills_hr")}"""))
+register("triple_kills", lambda s, d: ex.combo_performance(_loads(s, d), load(s, d, "class_stats"), 3, PSEUDO, "kills_hr"), cte(f"""WITH {_FACTS}, {_LOADS}, wo AS (SELECT steamid, class_num, lifetime_min, [a, b, c] AS members FROM loads, unnest(weapon_gids) t1(a), unnest(weapon_gids) t2(b), unnest(weapon_gids) t3(c) WHERE a < b AND b < c AND a NOT IN ({_PSEUDO}) AND b NOT IN ({_PSEUDO}) AND c NOT IN ({_PSEUDO})), {_rated("kills_hr")}"""))
 
 # Hours, counters, the population and the last build.
 register("hours_ranks", lambda s, d: ex.hours_ranks(load(s, d, "players")), cte(f"SELECT steamid, rank() OVER (ORDER BY lifetime_min DESC) AS rank, count(*) OVER () AS participants, (lifetime_min / 60.0::DOUBLE)::FLOAT::DOUBLE AS value FROM players WHERE {_POP} AND lifetime_min IS NOT NULL"))

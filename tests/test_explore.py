@@ -80,3 +80,14 @@ def test_boards_in_wide_form(spark):
     assert ratings.distribution(ratings.board_values(stats, players), "kills:all:total").count() == 0
     with pytest.raises(KeyError):
         explore.performance(stats, stats, "nothing")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_combinations_in_parts_are_those_of_one_pass(spark, size):
+    rows = [(i, c, sorted({i % 3, 4 + i % 2, 6 + c, 9, 10 + i % 5}), 10) for i in range(40) for c in (1, 2)] + [(99, 1, [], 10), (98, 1, [4], 10), (0, 3, [4, 6, 10], None)]
+    frame = spark.createDataFrame(rows, "steamid long, class_num int, weapon_gids array<long>, lifetime_min long")
+    stats = spark.createDataFrame([(i, c, 36_000 + i, 100 * i + c) for i in (*range(40), 98, 99) for c in (1, 2, 3)], "steamid long, class_num int, playtime_seconds long, points_scored long")
+    want = [tuple(r) for r in explore.performance(explore.worn_combos(frame, size, (9,)), stats).collect()]
+    for at_once in (20, 1 << 26):
+        assert [tuple(r) for r in explore.combo_performance(frame, stats, size, (9,), at_once=at_once).collect()] == want
+    assert want and explore.combo_performance(frame.limit(0), stats, size).count() == 0
