@@ -336,3 +336,12 @@ def test_signs_are_made_once_for_all_uses(spark, monkeypatch):
     monkeypatch.setattr(reskins, "written", lambda df, write=reskins.written: steps.append(n := write(df)) or n)
     signs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "defindex long, sign string")
     assert {tuple(r) for r in reskins.reskin_groups(signs, {}).collect()} == {(1, 1), (2, 1)} and steps[0].columns == ["defindex", "sign"]
+
+
+def test_names_dealt_in_parts_make_the_same_pairs(spark):
+    rng = random.Random(3)
+    names = spark.createDataFrame([("".join(rng.choice("abc") for _ in range(6)) + rng.choice(["", " x", " the y"]),) for _ in range(300)], "name string")
+    want = {tuple(r) for r in near_names(names, names, 0.3).collect()}
+    for chunk, at_once in ((1000, 3000), (20, 20_000)):
+        found = [tuple(r) for r in near_names(names, names.limit(300), 0.3, chunk, at_once).collect()]
+        assert len(found) == len(want) and set(found) == want
